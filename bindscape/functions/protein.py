@@ -135,7 +135,7 @@ def residue_counts(seq) -> Column:
     chars = F.array_sort(F.array_distinct(F.split(s, "")))
     chars = F.filter(chars, lambda ch: ch != "")
     return F.map_from_arrays(
-        chars, F.transform(chars, lambda ch: F.size(F.split(s, F.lit("\\Q") + ch + F.lit("\\E"), -1)) - 1))
+        chars, F.transform(chars, lambda ch: F.length(s) - F.length(F.replace(s, ch, F.lit("")))))
 
 
 def sequence_stats(seq) -> Column:

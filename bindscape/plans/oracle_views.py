@@ -6,6 +6,11 @@ oracle query inlines the views it needs as CTEs (``with_views``).
 
 from __future__ import annotations
 
+import re
+
+# DuckDB 2 spells lambdas ``lambda x: ...``; the oracle text is written with arrows.
+_LAMBDA = re.compile(r"\b([a-z_][a-z0-9_]*)\s*->\s*")
+
 VIEWS = {
     "t_proteins": """
 select doc_id as protein_id, case when doc_id%7=0 then lower(q) else q end as protein from (
@@ -68,6 +73,7 @@ def with_views(body: str, *names: str) -> str:
         if n not in order:
             order.append(n)
 
+    body = _LAMBDA.sub(lambda m: f"lambda {m.group(1)}: ", body)
     for n in names:
         add(n)
     if not order:
