@@ -41,3 +41,36 @@ def preprocess_dataset(df: DataFrame):
 
 def lit_str(v):
     return F.lit(v).cast("string")
+
+
+def evaluate_predictions(scored: DataFrame, text_col: str | None = None, y: str = "y_true",
+                         score: str = "score", threshold: float = 0.5) -> DataFrame:
+    """Parse the probability out of generated text (I27; when no text
+    column is given the score is rendered as the model line), then
+    classification, ROC and PR metrics as one long ``(metric, value)`` table
+    (unioned one-row aggregates, no join)."""
+    from bindscape.functions.scoring import parse_probability
+    from bindscape.operators import metrics as M
+    text = F.col(text_col) if text_col else F.concat(F.lit("Binding Probability: "), F.col(score).cast("string"))
+    t = scored.select(F.col(y).alias("y_true"), parse_probability(text).alias("score"))
+    cm = M.classification_metrics(t, "y_true", "score", threshold)
+    longs = [
+        M.roc_auc(t).select(F.lit("roc_auc").alias("metric"), F.col("roc_auc").alias("value")),
+        M.pr_auc(t).select(F.lit("pr_auc").alias("metric"), F.col("pr_auc").alias("value")),
+    ]
+    names = ["accuracy", "true_positives", "false_positives", "true_negatives", "false_negatives"]
+    longs.append(cm.select(F.explode(F.map_from_arrays(
+        F.array(*[F.lit(n) for n in names]), F.array(*[F.col(n).cast("double") for n in names])))
+        .alias("metric", "value")))
+    out = longs[0]
+    for d in longs[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+def score_with_uncertainty(samples: DataFrame, pair_cols, value: str, temperature: float | None) -> DataFrame:
+    """P5: Monte-Carlo aggregate per pair (D11) -> interval (E10) -> calibrated mean."""
+    from bindscape.operators import metrics as M
+    from bindscape.operators import reports as R
+    mc = R.uncertainty_interval(R.mc_aggregate(samples, pair_cols, value))
+    return M.calibrate(mc, "mean_prediction", temperature)
