@@ -120,7 +120,7 @@ def compounds_for_target(activities: DataFrame, compounds: DataFrame, n: int = 1
     shuffle; the per-target top-n then runs on one row per pair."""
     first = activities.groupBy(target, compound).agg(
         F.min(F.struct(*[F.col(c) for c in order_cols], *[F.col(c) for c in keep])).alias("_a"))
-    w = Window.partitionBy(target).orderBy(*[F.col(f"_a.{c}") for c in order_cols])
+    w = Window.partitionBy(target).orderBy(*[F.col(f"_a.{c}") for c in order_cols], F.col(compound))
     top = first.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
     return (top.join(compounds, compound)
                .select(target, compound, "rank", *[F.col(f"_a.{c}").alias(c) for c in (*order_cols, *keep)],

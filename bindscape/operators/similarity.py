@@ -20,6 +20,8 @@ candidates are verified exactly with a length filter.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,79 +34,98 @@ def _dot(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
-def _unit(v):
-    n = F.sqrt(_dot(v, v))
-    return F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))
-
-
 def cosine_distance(a, b):
     """1 - a.b / (|a| |b|) on double arrays (0-norm vectors give distance 1)."""
     den = F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))
     return F.lit(1.0) - F.when(den > 0, _dot(a, b) / den).otherwise(F.lit(0.0))
 
 
+def _stack(series):
+    return np.vstack([np.asarray(v, dtype="float64") for v in series]) if len(series) else np.zeros((0, 0))
+
+
+def pair_cosine_distance_udf():
+    """Vectorised cosine distance of two array columns (Arrow batches, numpy row-wise dot)."""
+
+    @F.pandas_udf("double")
+    def dist(a: pd.Series, b: pd.Series) -> pd.Series:
+        if len(a) == 0:
+            return pd.Series([], dtype="float64")
+        A, B = _stack(a), _stack(b)
+        dot = np.einsum("ij,ij->i", A, B)
+        den = np.sqrt(np.einsum("ij,ij->i", A, A)) * np.sqrt(np.einsum("ij,ij->i", B, B))
+        cos = np.divide(dot, den, out=np.zeros_like(dot), where=den > 0)
+        return pd.Series(1.0 - cos)
+    return dist
+
+
 def knn_join(queries: DataFrame, train: DataFrame, k: int = 5, q_id: str = "q_id", t_id: str = "t_id",
              vec: str = "embedding", n_pivots: int = 32, seed: int = 42) -> DataFrame:
     """The ``k`` nearest train vectors of every query by cosine distance
     (ties by train id); self is a legal neighbour. Output
-    ``(q_id, t_id, distance, rank)``."""
+    ``(q_id, t_id, distance, rank)``.
+
+    Numeric kernels (distances to the pivots, the per-query cell bound, the
+    pair distances) run as Arrow-batched pandas UDFs over numpy; the pivot
+    matrix they close over is bounded by ``n_pivots`` x dim."""
+
     spark = queries.sparkSession
-    tr = train.select(F.col(t_id).alias("t_id"), _unit(F.col(vec)).alias("u"), F.col(vec).alias("tv"))
-    # pivots: the n_pivots train vectors with the smallest hash (bounded list)
+    tr = train.select(F.col(t_id).alias("t_id"), F.col(vec).alias("tv"))
     piv_rows = (tr.withColumn("_h", hash_key(["t_id"], seed)).orderBy("_h", "t_id")
-                  .limit(n_pivots).select("u").collect())
-    pivots = [list(map(float, r["u"])) for r in piv_rows]
-    if not pivots:
+                  .limit(n_pivots).select("tv").collect())
+    if not piv_rows:
         return spark.createDataFrame([], f"{q_id} long, {t_id} long, distance double, rank int")
-    piv_lit = F.array(*[F.array(*[F.lit(x) for x in p]) for p in pivots])
-
-    def dists(u):
-        return F.transform(piv_lit, lambda p: F.sqrt(F.greatest(F.lit(0.0), F.lit(2.0) - 2 * _dot(u, p))))
-
-    def argmin(arr):
-        m = F.array_min(arr)
-        return (F.array_position(arr, m) - 1).cast("int")
-
-    tr = tr.withColumn("_d", dists(F.col("u"))).withColumn("cell", argmin(F.col("_d"))) \
-           .withColumn("r", F.element_at("_d", F.col("cell") + 1)).drop("_d")
+    P = np.vstack([np.asarray(r["tv"], dtype="float64") for r in piv_rows])
+    P = P / np.maximum(np.linalg.norm(P, axis=1, keepdims=True), 1e-300)
+
+    def unit_dists(series):
+        X = _stack(series)
+        n = np.linalg.norm(X, axis=1, keepdims=True)
+        U = np.divide(X, n, out=np.zeros_like(X), where=n > 0)
+        return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * U @ P.T))
+
+    @F.pandas_udf("struct<cell:int, r:double>")
+    def assign(v: pd.Series) -> pd.DataFrame:
+        if len(v) == 0:
+            return pd.DataFrame({"cell": pd.Series([], dtype="int32"), "r": pd.Series([], dtype="float64")})
+        D = unit_dists(v)
+        c = D.argmin(axis=1)
+        return pd.DataFrame({"cell": c.astype("int32"), "r": D[np.arange(len(c)), c]})
+
+    tr = tr.withColumn("_a", assign(F.col("tv"))).select("t_id", "tv", F.col("_a.cell").alias("cell"),
+                                                          F.col("_a.r").alias("r"))
     # cell table: one row per pivot (bounded by n_pivots)
     cells = tr.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("radius")).collect()
-    n_cells = len(pivots)
-    cnt = [0] * n_cells
-    rad = [0.0] * n_cells
+    cnt = np.zeros(len(P), dtype="int64")
+    rad = np.zeros(len(P), dtype="float64")
     for row in cells:
         cnt[row["cell"]] = int(row["n"])
         rad[row["cell"]] = float(row["radius"])
-    cnt_lit = F.array(*[F.lit(c) for c in cnt])
-    rad_lit = F.array(*[F.lit(r) for r in rad])
-
-    q = queries.select(F.col(q_id).alias("q_id"), F.col(vec).alias("qv"), _unit(F.col(vec)).alias("qu"))
-    q = q.withColumn("_d", dists(F.col("qu")))
-    # cells by distance to the query's pivot, with running point counts
-    order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(n_cells - 1)),
-                                     lambda i: F.struct(F.element_at("_d", i + 1).alias("d"), i.alias("c"))))
-    q = q.withColumn("_ord", order)
-    running = F.transform(F.col("_ord"), lambda s, i: F.struct(
-        s["d"].alias("d"), s["c"].alias("c"),
-        F.aggregate(F.slice(F.col("_ord"), 1, i + 1), F.lit(0).cast("long"),
-                    lambda acc, e: acc + F.element_at(cnt_lit, e["c"] + 1)).alias("cum")))
-    q = q.withColumn("_run", running)
-    # first position where the covered count reaches k (all cells when the train side is smaller)
-    need = F.filter("_run", lambda s: s["cum"] >= k)
-    upto = F.when(F.size(need) > 0, F.array_position(F.transform("_run", lambda s: s["cum"] >= k), True)) \
-        .otherwise(F.lit(n_cells))
-    covered = F.slice("_run", 1, upto.cast("int"))
-    bound = F.array_max(F.transform(covered, lambda s: s["d"] + F.element_at(rad_lit, s["c"] + 1)))
-    q = q.withColumn("_bound", bound + F.lit(EPS))
-    cand = F.transform(F.filter("_run", lambda s: s["d"] - F.element_at(rad_lit, s["c"] + 1) <= F.col("_bound")),
-                       lambda s: s["c"])
-    qc = q.select("q_id", "qv", F.explode(cand).alias("cell"))
+
+    @F.pandas_udf("array<int>")
+    def candidates(v: pd.Series) -> pd.Series:
+        if len(v) == 0:
+            return pd.Series([], dtype="object")
+        D = unit_dists(v)
+        order = np.argsort(D, axis=1, kind="stable")
+        cum = np.cumsum(cnt[order], axis=1)
+        reach = cum >= k
+        pos = np.where(reach.any(axis=1), reach.argmax(axis=1), len(P) - 1)
+        ub = D + rad[None, :]
+        ub_sorted = np.take_along_axis(ub, order, axis=1)
+        mask = np.arange(len(P))[None, :] <= pos[:, None]
+        bound = np.where(mask, ub_sorted, -np.inf).max(axis=1) + EPS
+        keep = (D - rad[None, :]) <= bound[:, None]
+        return pd.Series([np.nonzero(row)[0].astype("int32").tolist() for row in keep])
+
+    q = queries.select(F.col(q_id).alias("q_id"), F.col(vec).alias("qv"))
+    qc = q.select("q_id", "qv", F.explode(candidates(F.col("qv"))).alias("cell"))
     pairs = qc.join(tr.select("t_id", "tv", "cell"), "cell")
-    scored = pairs.select("q_id", "t_id", cosine_distance(F.col("qv"), F.col("tv")).alias("distance"))
+    dist = pair_cosine_distance_udf()
+    scored = pairs.select("q_id", "t_id", dist(F.col("qv"), F.col("tv")).alias("distance"))
     w = Window.partitionBy("q_id").orderBy("distance", "t_id")
     out = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return out.withColumnRenamed("q_id", q_id).withColumnRenamed("t_id", t_id) if (q_id, t_id) != ("q_id", "t_id") \
-        else out
+    return out.withColumnRenamed("q_id", q_id).withColumnRenamed("t_id", t_id)
 
 
 def reliability(neighbors: DataFrame, train_labels: DataFrame, q_id: str = "q_id", t_id: str = "t_id",

@@ -74,3 +74,44 @@ def score_with_uncertainty(samples: DataFrame, pair_cols, value: str, temperatur
     from bindscape.operators import reports as R
     mc = R.uncertainty_interval(R.mc_aggregate(samples, pair_cols, value))
     return M.calibrate(mc, "mean_prediction", temperature)
+
+
+def screening_summary(preds: DataFrame, affinity: str = "binding_affinity") -> DataFrame:
+    """Total, average, count above 8.0, max and min; zeros when empty."""
+    a = F.col(affinity)
+    return preds.agg(
+        F.count(F.lit(1)).alias("total_processed"),
+        F.coalesce(F.avg(a), F.lit(0.0)).alias("avg_binding_affinity"),
+        F.coalesce(F.sum(F.when(a > 8.0, 1).otherwise(0)), F.lit(0)).cast("long").alias("high_affinity_count"),
+        F.coalesce(F.max(a), F.lit(0.0)).alias("max_binding_affinity"),
+        F.coalesce(F.min(a), F.lit(0.0)).alias("min_binding_affinity"))
+
+
+def run_screen(proteins: DataFrame, compounds: DataFrame, scorer=None) -> DataFrame:
+    """Screen validated lists (C3 with the K1 scorer), classify strength
+    (I21) and summarise (D6) as a long ``(metric, value)`` table."""
+    from bindscape.functions.scoring import binding_strength
+    from bindscape.operators.joins import screen
+    s = screen(proteins, compounds, scorer=scorer)
+    s = s.withColumn("strength", binding_strength("binding_affinity")["binding_strength"])
+    a = F.col("binding_affinity")
+    agg = s.agg(
+        F.count(F.lit(1)).cast("double").alias("total"),
+        F.coalesce(F.avg(a), F.lit(0.0)).alias("avg_binding_affinity"),
+        F.sum(F.when(a > 8.0, 1).otherwise(0)).cast("double").alias("high_affinity_count"),
+        F.coalesce(F.max(a), F.lit(0.0)).alias("max_binding_affinity"),
+        F.coalesce(F.min(a), F.lit(0.0)).alias("min_binding_affinity"),
+        F.sum(F.when(F.col("strength") == "Strong", 1).otherwise(0)).cast("double").alias("strong_pairs"))
+    names = agg.columns
+    return agg.select(F.explode(F.map_from_arrays(
+        F.array(*[F.lit(n) for n in names]), F.array(*[F.col(n) for n in names]))).alias("metric", "value"))
+
+
+def approved_compounds(df: DataFrame, limit: int, phase: str = "max_phase") -> DataFrame:
+    """Compounds with max_phase = 4, first ``limit`` by id."""
+    return df.filter(F.col(phase) == 4).orderBy("compound_id").limit(int(limit))
+
+
+def keyword_search(df: DataFrame, text: str, keyword: str, key: str, limit: int) -> DataFrame:
+    """Case-insensitive substring match, first ``limit`` by id."""
+    return df.filter(F.lower(F.col(text)).contains(keyword.lower())).orderBy(key).limit(int(limit))
