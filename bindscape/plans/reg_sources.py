@@ -1 +1,261 @@
-"""Registered queries."""
+"""Registered queries: sources and sinks as round trips.
+
+Each query writes data Spark derives from the driver tables in the format
+the reference reads or writes, reads it back with the library's reader, and
+returns the parsed rows; the oracle computes the same rows straight from the
+tables. Files go to a fresh folder under the shared checkpoint folder.
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from bindscape.operators import metrics as M
+from bindscape.plans import views as V
+from bindscape.plans import workflows as W
+from bindscape.plans.oracle_views import with_views
+from bindscape.plans.reg_metrics import CONF_SQL
+from bindscape.plans.reg_prepare import PKD_SQL, SPLIT_SQL
+from bindscape.plans.registry import joined, r6, register
+from bindscape.session import read_table
+from bindscape.sources import readers as RD
+from bindscape.sources import writers as WR
+
+CSV_SCHEMA = T.StructType([T.StructField(n, t) for n, t in (
+    ("l_orderkey", T.LongType()), ("l_linenumber", T.IntegerType()), ("compound_id", T.LongType()),
+    ("protein_id", T.LongType()), ("affinity", T.DoubleType()))])
+
+
+@register("A1_A2_read_split_csv", with_views("""
+select l_orderkey, l_linenumber, round(affinity, 6) as affinity, source_dataset as dataset, source_split
+from t_interactions_ids""", "t_interactions_ids"))
+def q_a1(spark, sf):
+    root = WR.scratch_dir(spark, "split-csv")
+    ids = V.interactions_ids(spark, sf)
+    for ds in ("davis", "kiba", "bindingdb"):
+        for sp in ("train", "test"):
+            (ids.filter((F.col("source_dataset") == ds) & (F.col("source_split") == sp))
+                .select(*[f.name for f in CSV_SCHEMA.fields])
+                .write.mode("overwrite").option("header", True).csv(os.path.join(root, f"{ds}_{sp}.csv")))
+    df = RD.read_split_csv(spark, os.path.join(root, "*.csv"), CSV_SCHEMA)
+    return df.select("l_orderkey", "l_linenumber", r6("affinity").alias("affinity"),
+                     F.regexp_extract(RD.file_stem("source_file"), "^([^_]+)_", 1).alias("dataset"),
+                     "source_split")
+
+
+def _shards(df, per_shard: int = 100_000) -> int:
+    return max(8, int(df.count() // per_shard) + 1)
+
+
+@register("A3_read_id_dict", with_views("select cast(compound_id as varchar) as compound_id, compound from t_compounds",
+                                        "t_compounds"))
+def q_a3(spark, sf):
+    root = WR.scratch_dir(spark, "id-dict")
+    comp = V.compounds(spark, sf)
+    n = _shards(comp)
+    # one JSON object per shard; a shard holds about rows / n entries
+    shard = comp.groupBy((F.col("compound_id") % n).alias("shard")).agg(
+        F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("compound_id").cast("string"), "compound"))))
+         .alias("value"))
+    shard.write.mode("overwrite").partitionBy("shard").text(os.path.join(root, "ligands_can.txt"))
+    d = RD.read_id_dict(spark, os.path.join(root, "ligands_can.txt"))
+    return d.select("compound_id", "compound")
+
+
+@register("A4_read_list_txt", with_views("""
+select compound_id % 4 as bucket, row_number() over (partition by compound_id % 4 order by compound_id) - 1 as idx,
+       compound as data from t_compounds""", "t_compounds"))
+def q_a4(spark, sf):
+    root = WR.scratch_dir(spark, "list-txt")
+    comp = V.compounds(spark, sf).withColumn("bucket", F.col("compound_id") % 4)
+    (comp.repartition(4, "bucket").sortWithinPartitions("compound_id").select("bucket", F.col("compound").alias("value"))
+         .write.mode("overwrite").partitionBy("bucket").text(os.path.join(root, "ligands.txt")))
+    d = RD.read_list_txt(spark, os.path.join(root, "ligands.txt"))
+    return d.select(F.regexp_extract("source_file", r"bucket=(\d+)", 1).cast("long").alias("bucket"),
+                    F.col("idx").cast("long").alias("idx"), "data")
+
+
+@register("A5_read_matrix_txt", """
+with o as (select o_orderkey, o_orderkey % 4 as bucket, o_totalprice, o_custkey from orders),
+k as (select *, row_number() over (partition by bucket order by o_orderkey) - 1 as i from o where o_orderkey % 17 <> 0),
+v as (select bucket, i, 0 as j, o_totalprice as affinity from k
+      union all select bucket, i, 1, cast(o_custkey as double) from k
+      union all select bucket, i, 2, cast(o_orderkey % 7 as double) from k)
+select bucket, i, j, round(affinity, 6) as affinity from v""")
+def q_a5(spark, sf):
+    root = WR.scratch_dir(spark, "matrix-txt")
+    o = read_table(spark, sf, "orders").withColumn("bucket", F.col("o_orderkey") % 4)
+    line = F.concat_ws(" ", F.col("o_totalprice").cast("string"), F.col("o_custkey").cast("double").cast("string"),
+                       (F.col("o_orderkey") % 7).cast("double").cast("string"),
+                       F.when(F.col("o_orderkey") % 17 == 0, F.lit("bad")))
+    (o.repartition(4, "bucket").sortWithinPartitions("o_orderkey").select("bucket", line.alias("value"))
+      .write.mode("overwrite").partitionBy("bucket").text(os.path.join(root, "Y.txt")))
+    m = RD.read_matrix_txt(spark, os.path.join(root, "Y.txt"))
+    return m.select(F.regexp_extract("source_file", r"bucket=(\d+)", 1).cast("long").alias("bucket"),
+                    F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"),
+                    r6("affinity").alias("affinity"))
+
+
+@register("A6_flatten_protein", with_views("""
+select 'P' || protein_id as uniprot_id, case when protein_id % 3 <> 0 then 'protein ' || protein_id else '' end as protein_name,
+ case when protein_id % 2 = 0 then 'G' || protein_id else '' end as gene_name,
+ case when protein_id % 5 = 0 then '' else 'binds ' || protein_id end as function,
+ length(protein) as length, 'k1,k' || (protein_id % 10) as keywords
+from t_proteins""", "t_proteins"))
+def q_a6(spark, sf):
+    root = WR.scratch_dir(spark, "protein-json")
+    p = V.proteins(spark, sf)
+    pid = F.col("protein_id")
+    rec = F.struct(
+        F.concat(F.lit("P"), pid.cast("string")).alias("primaryAccession"),
+        F.when(pid % 3 != 0, F.struct(F.struct(F.struct(F.concat(F.lit("protein "), pid.cast("string"))
+                                                        .alias("value")).alias("fullName")).alias("recommendedName")))
+         .alias("proteinDescription"),
+        F.when(pid % 2 == 0, F.array(F.struct(F.struct(F.concat(F.lit("G"), pid.cast("string")).alias("value"))
+                                              .alias("geneName"))))
+         .otherwise(F.array().cast("array<struct<geneName:struct<value:string>>>")).alias("genes"),
+        F.struct(F.lit("Homo sapiens").alias("scientificName")).alias("organism"),
+        F.struct(F.col("protein").alias("value"), F.length("protein").cast("long").alias("length")).alias("sequence"),
+        F.array(
+            F.struct(F.lit("NOTE").alias("commentType"),
+                     F.array(F.struct(F.lit("note").alias("value"))).alias("texts")),
+            F.struct(F.lit("FUNCTION").alias("commentType"),
+                     F.when(pid % 5 == 0, F.array().cast("array<struct<value:string>>"))
+                      .otherwise(F.array(F.struct(F.concat(F.lit("binds "), pid.cast("string")).alias("value"))))
+                      .alias("texts")),
+            F.struct(F.lit("FUNCTION").alias("commentType"),
+                     F.array(F.struct(F.lit("second").alias("value"))).alias("texts"))).alias("comments"),
+        F.array(F.struct(F.lit("k1").alias("value")),
+                F.struct(F.concat(F.lit("k"), (pid % 10).cast("string")).alias("value"))).alias("keywords"),
+    )
+    p.select(F.to_json(rec).alias("value")).write.mode("overwrite").text(os.path.join(root, "proteins.json"))
+    raw = spark.read.text(os.path.join(root, "proteins.json"))
+    flat = raw.select(RD.flatten_protein(F.from_json("value", RD.PROTEIN_JSON_SCHEMA)).alias("r")).select("r.*")
+    return flat.select("uniprot_id", "protein_name", "gene_name", "function", "length",
+                       joined("keywords").alias("keywords"))
+
+
+@register("A7_flatten_compound", with_views("""
+select 'CHEMBL' || p_partkey as chembl_id, case when p_partkey % 4 = 0 then '' else p_name end as pref_name,
+ c.compound as smiles, round(p_retailprice, 6) as molecular_weight,
+ round(case when p_partkey % 6 = 0 then 0.0 else p_size / 8.0 end, 6) as alogp,
+ cast(p_partkey % 5 as int) as max_phase, p_partkey % 2 = 0 as therapeutic_flag
+from part join t_compounds c on c.compound_id = p_partkey""", "t_compounds"))
+def q_a7(spark, sf):
+    root = WR.scratch_dir(spark, "compound-json")
+    p = read_table(spark, sf, "part").join(V.compounds(spark, sf), F.col("p_partkey") == F.col("compound_id"))
+    k = F.col("p_partkey")
+    rec = F.struct(
+        F.concat(F.lit("CHEMBL"), k.cast("string")).alias("molecule_chembl_id"),
+        F.when(k % 4 != 0, F.col("p_name")).alias("pref_name"),
+        F.struct(F.col("compound").alias("canonical_smiles")).alias("molecule_structures"),
+        F.struct(F.col("p_retailprice").cast("string").alias("full_mwt"),
+                 F.when(k % 6 != 0, (F.col("p_size") / F.lit(8.0)).cast("string")).alias("alogp"))
+         .alias("molecule_properties"),
+        (k % 5).cast("string").alias("max_phase"),
+        (k % 2 == 0).alias("therapeutic_flag"),
+    )
+    p.select(F.to_json(rec).alias("value")).write.mode("overwrite").text(os.path.join(root, "compounds.json"))
+    raw = spark.read.text(os.path.join(root, "compounds.json"))
+    flat = raw.select(RD.flatten_compound(F.from_json("value", RD.COMPOUND_JSON_SCHEMA)).alias("r")).select("r.*")
+    return flat.select("chembl_id", "pref_name", "smiles", r6("molecular_weight").alias("molecular_weight"),
+                       r6("alogp").alias("alogp"), "max_phase", "therapeutic_flag")
+
+
+@register("A8_flatten_activity", """
+select 'T' || l_orderkey as target, l_orderkey * 10 + l_linenumber as activity_id, 'IC50' as standard_type,
+ round(l_extendedprice, 2) as standard_value,
+ case when l_linenumber % 2 = 0 then 'ok' else '' end as activity_comment
+from lineitem""")
+def q_a8(spark, sf):
+    root = WR.scratch_dir(spark, "activity-json")
+    li = read_table(spark, sf, "lineitem")
+    act = F.struct(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("activity_id"),
+        F.lit("IC50").alias("standard_type"),
+        F.round("l_extendedprice", 2).cast("string").alias("standard_value"),
+        F.lit("nM").alias("standard_units"),
+        (F.col("l_quantity") / F.lit(5.0)).cast("string").alias("pchembl_value"),
+        F.when(F.col("l_linenumber") % 2 == 0, F.lit("ok")).alias("activity_comment"))
+    # one payload per order: its activities (bounded by the lines of one order)
+    per = li.groupBy("l_orderkey").agg(F.collect_list(act).alias("activities"))
+    per.select(F.to_json(F.struct(F.concat(F.lit("T"), F.col("l_orderkey").cast("string")).alias("target"),
+                                  "activities")).alias("value")) \
+       .write.mode("overwrite").text(os.path.join(root, "activities.json"))
+    raw = spark.read.text(os.path.join(root, "activities.json")) \
+        .select(F.from_json("value", RD.ACTIVITY_JSON_SCHEMA).alias("rec"))
+    flat = RD.flatten_activities(raw, "rec")
+    return flat.select("target", "activity_id", "standard_type",
+                       r6(F.col("standard_value").cast("double")).alias("standard_value"), "activity_comment")
+
+
+P1_SPLIT_COUNTS_SQL = SPLIT_SQL + f""",
+s as (select *, case when shuffle_rank <= floor(n*0.8) then 'train'
+      when shuffle_rank <= floor(n*0.8) + floor(n*0.1) then 'validation' else 'test' end as split from r),
+p as (select *, {PKD_SQL} as pKd from s
+      where length(protein) > 10 and length(protein) < 1024 and length(compound) > 5 and length(compound) < 200),
+fin as (select *, cast(pKd >= 6.0 as int) as binding_label from p where pKd between 4.0 and 12.0 and not isnan(pKd))"""
+
+
+def _prepared(spark, sf):
+    return W.prepare_training(V.interactions(spark, sf)).select(
+        "compound_id", "protein_id", "compound", "protein", "pKd", "binding_label", "split")
+
+
+@register("A9_write_splits", with_views(P1_SPLIT_COUNTS_SQL + """
+select split, count(*) as n_parquet, count(*) as n_csv, cast(sum(binding_label) as bigint) as positives
+from fin group by split""", "t_interactions"))
+def q_a9(spark, sf):
+    root = WR.scratch_dir(spark, "splits")
+    paths = WR.write_splits(_prepared(spark, sf), root)
+    pq = spark.read.parquet(paths["parquet"]).groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_parquet"), F.sum("binding_label").cast("long").alias("positives"))
+    csv = spark.read.option("header", True).csv(paths["csv"]).groupBy("split").agg(F.count(F.lit(1)).alias("n_csv"))
+    return pq.join(csv, "split").select("split", "n_parquet", "n_csv", "positives")
+
+
+@register("A10_write_pairs_txt", with_views(P1_SPLIT_COUNTS_SQL + """
+select split, count(*) as n_sequence_lines, count(*) as n_label_lines, cast(sum(binding_label) as bigint) as label_sum
+from fin group by split""", "t_interactions"))
+def q_a10(spark, sf):
+    root = WR.scratch_dir(spark, "pairs-txt")
+    paths = WR.write_pairs_txt(_prepared(spark, sf), root)
+    seq = spark.read.text(paths["sequences"]).groupBy("split").agg(F.count(F.lit(1)).alias("n_sequence_lines"))
+    lab = spark.read.text(paths["labels"]).select(
+        "split", F.split("value", "\t").getItem(1).cast("long").alias("lab"))
+    lab = lab.groupBy("split").agg(F.count(F.lit(1)).alias("n_label_lines"), F.sum("lab").alias("label_sum"))
+    return seq.join(lab, "split").select("split", "n_sequence_lines", "n_label_lines", "label_sum")
+
+
+@register("A11_write_metadata", with_views(P1_SPLIT_COUNTS_SQL + """
+select count(*) as total_samples,
+ (select string_agg(split || ':' || c, ',' order by split) from (select split, count(*) c from fin group by split) x) as splits,
+ 7 as n_features
+from fin""", "t_interactions"))
+def q_a11(spark, sf):
+    root = WR.scratch_dir(spark, "metadata")
+    path = WR.write_metadata(_prepared(spark, sf), root)
+    js = spark.read.text(path).select(F.from_json(
+        "value", "total_samples long, splits map<string,long>, features array<string>, created_at string").alias("m"))
+    ent = F.transform(F.map_entries("m.splits"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))
+    return js.select(F.col("m.total_samples").alias("total_samples"), F.array_join(F.array_sort(ent), ",").alias("splits"),
+                     F.size("m.features").alias("n_features"))
+
+
+@register("A12_write_metrics", with_views(CONF_SQL.replace("select tp as true_positives", "select tp as true_positives")
+                                          .replace(
+    "round(case when tn + fn > 0 then tn / (tn + fn) else 0.0 end, 6) as npv\nfrom m",
+    "round(case when tn + fn > 0 then tn / (tn + fn) else 0.0 end, 6) as npv from m"), "t_scored"))
+def q_a12(spark, sf):
+    root = WR.scratch_dir(spark, "metrics")
+    m = M.classification_metrics(V.scored(spark, sf))
+    path = WR.write_metrics(m, root)
+    schema = ("true_positives long, false_positives long, true_negatives long, false_negatives long, accuracy double, "
+              "precision double, recall double, f1_score double, specificity double, npv double")
+    back = spark.read.text(path).select(F.from_json("value", schema).alias("m")).select("m.*")
+    cols = ["true_positives", "false_positives", "true_negatives", "false_negatives"]
+    return back.select(*cols, *[r6(c).alias(c) for c in ("accuracy", "precision", "recall", "f1_score",
+                                                          "specificity", "npv")])
