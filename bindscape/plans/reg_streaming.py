@@ -1 +1,113 @@
-"""Registered queries."""
+"""Registered queries: anchored-TTL hits (batch and stream), windowed latency
+and streaming scoring. Stream queries run with ``availableNow`` over files
+Spark writes from the driver tables and return what the sink received."""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import functions as F
+
+from bindscape.plans import views as V
+from bindscape.plans.oracle_views import with_views
+from bindscape.plans.reg_scalar import HASH_SCORE_SQL
+from bindscape.plans.registry import r6, register
+from bindscape.sources.writers import scratch_dir
+from bindscape.streaming import jobs, ttl
+
+TTL_DAYS = 2
+TTL_US = TTL_DAYS * 86400 * 1_000_000
+
+J1_SQL = f"""
+with recursive ev as (select cache_key, event_id, epoch_us(ts) as t,
+       row_number() over (partition by cache_key order by ts, event_id) as rn from t_requests),
+nx as (select e.cache_key, e.rn,
+        (select min(e2.rn) from ev e2 where e2.cache_key = e.cache_key and e2.t >= e.t + cast({TTL_US} as bigint)) as nxt
+       from ev e),
+chain(cache_key, rn) as (
+  select cache_key, rn from ev where rn = 1
+  union all
+  select n.cache_key, n.nxt from chain c join nx n on n.cache_key = c.cache_key and n.rn = c.rn where n.nxt is not null)
+select ev.event_id, ev.cache_key, c.rn is null as hit
+from ev left join chain c on c.cache_key = ev.cache_key and c.rn = ev.rn"""
+
+
+def _log(spark, sf):
+    return V.requests(spark, sf).withColumn("ts_us", F.unix_micros("ts"))
+
+
+@register("J1_ttl_hits", with_views(J1_SQL, "t_requests"))
+def q_j1(spark, sf):
+    h = ttl.ttl_hits(_log(spark, sf), ttl_us=TTL_US)
+    return h.select("event_id", "cache_key", "hit")
+
+
+def _stream_files(spark, sf, name: str, cols, parts_col: str = "week"):
+    """Write the log as one parquet folder per week, oldest first (so the file
+    source sees them in event-time order), and return a streaming reader."""
+    root = scratch_dir(spark, name)
+    log = V.requests(spark, sf).select(*cols).withColumn(
+        parts_col, F.floor((F.unix_seconds("ts") - F.lit(0)) / F.lit(7 * 86400)))
+    weeks = sorted(r[0] for r in log.select(parts_col).distinct().collect())   # one value per week (bounded)
+    for wk in weeks:
+        log.filter(F.col(parts_col) == wk).drop(parts_col).write.mode("overwrite") \
+            .parquet(os.path.join(root, "in", f"{parts_col}={int(wk):06d}"))
+    schema = log.drop(parts_col).schema
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 8)
+              .option("recursiveFileLookup", True).parquet(os.path.join(root, "in")))
+    return root, stream
+
+
+@register("J1_ttl_hits_stream", with_views(J1_SQL, "t_requests"))
+def q_j1s(spark, sf):
+    root, stream = _stream_files(spark, sf, "ttl-stream", ["event_id", "ts", "cache_key"])
+    out = ttl.ttl_hits_stream(stream, ttl_seconds=TTL_DAYS * 86400, watermark="1 hour")
+    q = (out.writeStream.format("parquet").option("path", os.path.join(root, "out"))
+            .option("checkpointLocation", os.path.join(root, "chk")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(os.path.join(root, "out")).select("event_id", "cache_key", "hit")
+
+
+@register("J2_window_latency", with_views("""
+select time_bucket(interval 1 hour, ts) as window_start, count(*) as n_requests,
+       round(avg(latency_ms), 6) as avg_latency_ms, round(max(latency_ms), 6) as max_latency_ms,
+       round(quantile_cont(latency_ms, 0.95), 6) as p95_latency_ms
+from t_requests group by all""", "t_requests"))
+def q_j2(spark, sf):
+    w = jobs.stream_latency(V.requests(spark, sf), exact=True)
+    return w.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n_requests",
+                    r6("avg_latency_ms").alias("avg_latency_ms"), r6("max_latency_ms").alias("max_latency_ms"),
+                    r6("p95_latency_ms").alias("p95_latency_ms"))
+
+
+@register("J2_stream_latency")
+def q_j2s(spark, sf):
+    root, stream = _stream_files(spark, sf, "latency-stream", ["event_id", "ts", "latency_ms"])
+    out = jobs.stream_latency(stream, watermark="10 minutes")
+    q = (out.writeStream.format("parquet").outputMode("append").option("path", os.path.join(root, "out"))
+            .option("checkpointLocation", os.path.join(root, "chk")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(os.path.join(root, "out")).select(
+        "window_start", "n_requests", r6("avg_latency_ms").alias("avg_latency_ms"),
+        r6("max_latency_ms").alias("max_latency_ms"))
+
+
+@register("J3_stream_score", with_views(f"""
+select distinct md5(concat_ws('|', protein, compound)) as pair_key,
+       {HASH_SCORE_SQL.format(p='protein', c='compound')} as binding_affinity
+from t_interactions
+where length(protein) > 0 and regexp_full_match(upper(protein), '[ACDEFGHIKLMNPQRSTVWY]+')
+  and length(compound) >= 3 and regexp_matches(compound, '[A-Za-z]')""", "t_interactions"))
+def q_j3(spark, sf):
+    from bindscape.session import read_table
+    root = scratch_dir(spark, "score-stream")
+    li = read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    src = V.interactions(spark, sf).join(li, ["l_orderkey", "l_linenumber"]) \
+        .select("l_shipdate", "protein", "compound").dropDuplicates()
+    src.write.mode("overwrite").parquet(os.path.join(root, "in"))
+    stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 4).parquet(os.path.join(root, "in"))
+    out = jobs.stream_score(stream, "l_shipdate", delay="36500 days").select("pair_key", "binding_affinity")
+    q = (out.writeStream.format("parquet").option("path", os.path.join(root, "out"))
+            .option("checkpointLocation", os.path.join(root, "chk")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(os.path.join(root, "out"))
