@@ -207,3 +207,51 @@ select l_orderkey, l_linenumber from t_interactions_ids where not isnan(affinity
                                             "t_interactions_ids"))
 def q_b12(spark, sf):
     return clean.valid_affinity(V.interactions_ids(spark, sf)).select("l_orderkey", "l_linenumber")
+
+
+@register("P2_preprocess_dataset", with_views(f"""
+with t as (select compound, protein, affinity, source_dataset, {PKD_SQL} as pKd,
+                  cast({PKD_SQL} >= 6.0 as int) as binding_label from t_interactions),
+dp as (select distinct protein from t),
+pv as (select coalesce({VALID_PROT_SQL.format(c='protein')}, false) as v,
+              length(upper(replace(replace(protein, ' ', ''), chr(10), ''))) as n from dp),
+dc as (select distinct compound from t),
+cv as (select coalesce({valid_smiles_sql('compound')}, false) as v from dc),
+g as (select compound, protein, affinity, source_dataset, pKd, binding_label, count(*) as c from t group by all),
+cl as (select distinct compound, protein, affinity, source_dataset, pKd, binding_label from t
+       where protein = upper(replace(replace(protein, ' ', ''), chr(10), ''))
+         and coalesce({VALID_PROT_SQL.format(c='protein')}, false)
+         and compound = {STRIP_SQL.format(c='compound')} and coalesce({valid_smiles_sql('compound')}, false))
+select 'protein' as section, 'total_proteins' as metric, cast(count(*) as double) as value from pv
+union all select 'protein', 'valid_proteins', cast(sum(cast(v as int)) as double) from pv
+union all select 'protein', 'length_median', round(quantile_cont(case when v then n end, 0.5), 6) from pv
+union all select 'drug', 'total_drugs', cast(count(*) as double) from cv
+union all select 'drug', 'valid_drugs', cast(sum(cast(v as int)) as double) from cv
+union all select 'interaction', 'total_interactions', cast(count(*) as double) from t
+union all select 'interaction', 'positive_interactions', cast(sum(binding_label) as double) from t
+union all select 'interaction', 'mean_pkd', round(avg(pKd), 6) from t
+union all select 'quality', 'duplicate_interactions', cast(sum(c - 1) as double) from g
+union all select 'cleaned', 'rows', cast(count(*) as double) from cl""", "t_interactions"))
+def q_p2(spark, sf):
+    d = V.interactions(spark, sf).select("compound", "protein", "affinity", "source_dataset")
+    d = d.withColumn("pKd", clean.to_pkd("affinity")).withColumn("binding_label", clean.binding_label("pKd"))
+    prot, drug, inter, quality, cleaned = W.preprocess_dataset(d)
+
+    def long(df, section, metrics):
+        return df.select(F.explode(F.map_from_arrays(
+            F.array(*[F.lit(m) for m in metrics]), F.array(*[F.col(m).cast("double") for m in metrics])))
+            .alias("metric", "value")).select(F.lit(section).alias("section"), "metric", "value")
+
+    parts = [
+        long(prot, "protein", ["total_proteins", "valid_proteins", "length_median"]),
+        long(drug, "drug", ["total_drugs", "valid_drugs"]),
+        long(inter, "interaction", ["total_interactions", "positive_interactions", "mean_pkd"]),
+        quality.filter(F.col("metric") == "duplicate_interactions").select(F.lit("quality").alias("section"),
+                                                                           "metric", "value"),
+        cleaned.agg(F.count(F.lit(1)).cast("double").alias("rows")).select(
+            F.lit("cleaned").alias("section"), F.lit("rows").alias("metric"), F.col("rows").alias("value")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("section", "metric", r6("value").alias("value"))
