@@ -21,7 +21,8 @@ def validate_pair(df: DataFrame, protein: str = "protein", smiles: str = "compou
               .withColumn("error", F.when(~ok, F.lit("Invalid input sequences"))))
 
 
-def clean_interactions(df: DataFrame, protein: str = "protein", compound: str = "compound") -> DataFrame:
+def clean_interactions(df: DataFrame, protein: str = "protein", compound: str = "compound",
+                       distinct_input: bool = False) -> DataFrame:
     """Keep rows whose raw protein equals its normalized form and is valid,
     whose raw compound equals its stripped form and is valid; drop exact
     duplicate rows; add lengths.
@@ -31,7 +32,9 @@ def clean_interactions(df: DataFrame, protein: str = "protein", compound: str =
     ``raw == normalize(raw) AND valid(raw)`` - a filter, no join."""
     keep = ((F.col(protein) == P.normalize_protein(protein)) & P.is_valid_protein(protein)
             & (F.col(compound) == S.strip(compound)) & S.is_valid_smiles(compound))
-    return (df.filter(keep).dropDuplicates()
+    kept = df.filter(keep)
+    kept = kept if distinct_input else kept.dropDuplicates()
+    return (kept
               .withColumn("protein_length", F.length(protein))
               .withColumn("compound_length", F.length(compound)))
 

@@ -86,28 +86,37 @@ def drug_summary(df: DataFrame, compound: str = "compound") -> DataFrame:
 
 
 def interaction_summary(df: DataFrame, protein: str = "protein", compound: str = "compound",
-                        label: str = "binding_label", pkd: str = "pKd") -> DataFrame:
-    """Rows, distinct proteins and compounds, positives and ratio, pKd range."""
-    aggs = [F.count(F.lit(1)).alias("total_interactions"),
+                        label: str = "binding_label", pkd: str = "pKd", weight: str | None = None) -> DataFrame:
+    """Rows, distinct proteins and compounds, positives and ratio, pKd range.
+    ``weight`` names a multiplicity column when the input is already grouped."""
+    w = F.col(weight) if weight else F.lit(1)
+    n = F.sum(w).cast("long")
+    aggs = [n.alias("total_interactions"),
             F.countDistinct(protein).alias("unique_proteins"),
             F.countDistinct(compound).alias("unique_compounds")]
     if label in df.columns:
-        aggs += [F.sum((F.col(label) == 1).cast("long")).alias("positive_interactions"),
-                 F.avg((F.col(label) == 1).cast("double")).alias("binding_ratio")]
+        pos = F.sum(F.when(F.col(label) == 1, w).otherwise(0)).cast("long")
+        aggs += [pos.alias("positive_interactions"), (pos / n).alias("binding_ratio")]
     if pkd in df.columns:
-        aggs += [F.min(pkd).alias("min_pkd"), F.max(pkd).alias("max_pkd"), F.avg(pkd).alias("mean_pkd")]
+        aggs += [F.min(pkd).alias("min_pkd"), F.max(pkd).alias("max_pkd"),
+                 (F.sum(F.col(pkd) * w) / F.sum(F.when(F.col(pkd).isNotNull(), w))).alias("mean_pkd")]
     return df.agg(*aggs)
 
 
-def data_quality(df: DataFrame, protein: str = "protein", compound: str = "compound") -> DataFrame:
+def data_quality(df: DataFrame, protein: str = "protein", compound: str = "compound",
+                 count_col: str | None = None) -> DataFrame:
     """Long table ``(metric, value)``: valid shares of distinct proteins and
     compounds, overall score, null count per column, duplicate rows.
 
     Duplicates come from one group-by over whole rows (count - 1 per group);
     the share metrics from one aggregate with two distinct counts. The two
     branches are unioned, never joined."""
-    cols = df.columns
-    grouped = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_c"))
+    if count_col:
+        cols = [c for c in df.columns if c != count_col]
+        grouped = df.withColumnRenamed(count_col, "_c")
+    else:
+        cols = df.columns
+        grouped = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_c"))
     dup_nulls = grouped.agg(
         F.sum(F.col("_c") - 1).cast("double").alias("duplicate_interactions"),
         *[F.sum(F.when(F.col(c).isNull(), F.col("_c")).otherwise(0)).cast("double").alias(f"missing_{c}")
@@ -115,7 +124,7 @@ def data_quality(df: DataFrame, protein: str = "protein", compound: str = "compo
     names = ["duplicate_interactions"] + [f"missing_{c}" for c in cols]
     long1 = dup_nulls.select(F.explode(F.map_from_arrays(
         F.array(*[F.lit(n) for n in names]), F.array(*[F.col(n) for n in names]))).alias("metric", "value"))
-    shares = df.agg(
+    shares = grouped.agg(
         F.countDistinct(protein).alias("np"),
         F.countDistinct(F.when(P.is_valid_protein(protein), F.col(protein))).alias("vp"),
         F.countDistinct(compound).alias("nd"),

@@ -87,7 +87,8 @@ select compound_id, protein_id, l_orderkey, l_linenumber, split, round(pKd, 6) a
        cast(pKd >= 6.0 as int) as binding_label
 from p where pKd between 4.0 and 12.0 and not isnan(pKd)""", "t_interactions"))
 def q_p1(spark, sf):
-    out = W.prepare_training(V.interactions(spark, sf))
+    out = W.prepare_training_normalized(V.interactions_ids(spark, sf), V.compounds(spark, sf),
+                                        V.proteins(spark, sf))
     return out.select("compound_id", "protein_id", "l_orderkey", "l_linenumber", "split",
                       r6("pKd").alias("pKd"), "binding_label")
 

@@ -201,7 +201,8 @@ fin as (select *, cast(pKd >= 6.0 as int) as binding_label from p where pKd betw
 
 
 def _prepared(spark, sf):
-    return W.prepare_training(V.interactions(spark, sf)).select(
+    return W.prepare_training_normalized(V.interactions_ids(spark, sf), V.compounds(spark, sf),
+                                         V.proteins(spark, sf)).select(
         "compound_id", "protein_id", "compound", "protein", "pKd", "binding_label", "split")
 
 

@@ -32,11 +32,43 @@ def interaction_profile(df: DataFrame, threshold: float = 6.0,
     return out.withColumn("binding_label", clean.binding_label("pKd", threshold))
 
 
-def preprocess_dataset(df: DataFrame):
-    """(protein summary, drug summary, interaction summary, quality, cleaned rows)."""
+def preprocess_dataset(df: DataFrame, protein: str = "protein", compound: str = "compound"):
+    """(protein summary, drug summary, interaction summary, quality, cleaned rows).
+
+    All five outputs derive from one table of distinct rows with their
+    multiplicity (``groupBy(all columns).count()``): one shuffle of the input;
+    every later step shuffles distinct rows only, and the planner reuses the
+    shared exchange when the outputs are evaluated in one plan."""
     from bindscape.operators import profile
-    return (profile.protein_summary(df), profile.drug_summary(df), profile.interaction_summary(df),
-            profile.data_quality(df), clean.clean_interactions(df))
+    g = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_c"))
+    rows = g.drop("_c")
+    return (profile.protein_summary(rows.select(protein), protein),
+            profile.drug_summary(rows.select(compound), compound),
+            profile.interaction_summary(g, protein, compound, weight="_c"),
+            profile.data_quality(g, protein, compound, count_col="_c"),
+            clean.clean_interactions(rows, protein, compound, distinct_input=True))
+
+
+def prepare_training_normalized(facts: DataFrame, compounds: DataFrame, proteins: DataFrame,
+                                ratios=(0.8, 0.1, 0.1), seed: int = 42, threshold: float = 6.0,
+                                row_order=("l_orderkey", "l_linenumber"), bucket_bits: int = 12) -> DataFrame:
+    """P1 over a normalized star: facts keyed by ``compound_id`` / ``protein_id``
+    plus the two dimension tables. Same result as ``prepare_training`` on the
+    joined table, but the keep-first step shuffles ids, not strings: each
+    distinct string gets a canonical id (its smallest id, from the dimension
+    table), facts are de-duplicated on canonical ids, and the strings are
+    joined back only to the rows kept."""
+    canon_c = compounds.groupBy("compound").agg(F.min("compound_id").alias("canon_c"))
+    canon_p = proteins.groupBy("protein").agg(F.min("protein_id").alias("canon_p"))
+    cmap = compounds.join(canon_c, "compound").select("compound_id", "canon_c")
+    pmap = proteins.join(canon_p, "protein").select("protein_id", "canon_p")
+    keyed = facts.join(cmap, "compound_id").join(pmap, "protein_id")
+    first = splits.dedup_pairs(keyed, ("canon_c", "canon_p"), row_order)
+    named = (first.join(canon_c.withColumnRenamed("canon_c", "_cc"), F.col("canon_c") == F.col("_cc"))
+                  .join(canon_p.withColumnRenamed("canon_p", "_cp"), F.col("canon_p") == F.col("_cp"))
+                  .drop("_cc", "_cp", "canon_c", "canon_p"))
+    cut = splits.ratio_split(named, ("compound", "protein"), ratios, seed, bucket_bits=bucket_bits)
+    return clean.add_training_columns(cut, "affinity", threshold)
 
 
 def lit_str(v):
