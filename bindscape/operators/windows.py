@@ -54,8 +54,8 @@ def rolling_mean(df: DataFrame, value: str, width: int, partition_cols=(), order
     ov = with_overlap(ranked, width, chunk_rows)
     w = (Window.partitionBy(*partition_cols, "_chunk").orderBy("rn")
          .rowsBetween(-(width - 1), Window.currentRow))
-    return (ov.withColumn(out, F.avg(value).over(w)).filter(~F.col("_overlap"))
-              .drop("_chunk", "_overlap"))
+    return (ov.withColumn(out, F.avg(value).over(w)).withColumn("window_rows", F.count(value).over(w))
+              .filter(~F.col("_overlap")).drop("_chunk", "_overlap"))
 
 
 def rolling_latency(df: DataFrame, value: str = "latency_ms", width: int = 1000,
