@@ -44,31 +44,20 @@ def _stack(series):
     return np.vstack([np.asarray(v, dtype="float64") for v in series]) if len(series) else np.zeros((0, 0))
 
 
-def pair_cosine_distance_udf():
-    """Vectorised cosine distance of two array columns (Arrow batches, numpy row-wise dot)."""
-
-    @F.pandas_udf("double")
-    def dist(a: pd.Series, b: pd.Series) -> pd.Series:
-        if len(a) == 0:
-            return pd.Series([], dtype="float64")
-        A, B = _stack(a), _stack(b)
-        dot = np.einsum("ij,ij->i", A, B)
-        den = np.sqrt(np.einsum("ij,ij->i", A, A)) * np.sqrt(np.einsum("ij,ij->i", B, B))
-        cos = np.divide(dot, den, out=np.zeros_like(dot), where=den > 0)
-        return pd.Series(1.0 - cos)
-    return dist
-
-
 def knn_join(queries: DataFrame, train: DataFrame, k: int = 5, q_id: str = "q_id", t_id: str = "t_id",
-             vec: str = "embedding", n_pivots: int = 32, seed: int = 42) -> DataFrame:
+             vec: str = "embedding", n_pivots: int = 32, block_rows: int = 4096, seed: int = 42) -> DataFrame:
     """The ``k`` nearest train vectors of every query by cosine distance
     (ties by train id); self is a legal neighbour. Output
     ``(q_id, t_id, distance, rank)``.
 
-    Numeric kernels (distances to the pivots, the per-query cell bound, the
-    pair distances) run as Arrow-batched pandas UDFs over numpy; the pivot
-    matrix they close over is bounded by ``n_pivots`` x dim."""
-
+    Candidate cells come from the pivot bound (see module doc). The work unit
+    is a block pair: the train vectors of one cell are hashed into blocks of
+    about ``block_rows`` rows, the queries that probe the cell likewise, and
+    each (cell, train block, query block) is one cogrouped pandas task that
+    scores its queries against its train block with one matrix product and
+    keeps a top-k per query. No pair rows are materialised; every task is
+    bounded by ``block_rows`` on both sides. The pivot matrix and the cell
+    tables the driver holds are bounded by ``n_pivots``."""
     spark = queries.sparkSession
     tr = train.select(F.col(t_id).alias("t_id"), F.col(vec).alias("tv"))
     piv_rows = (tr.withColumn("_h", hash_key(["t_id"], seed)).orderBy("_h", "t_id")
@@ -77,6 +66,7 @@ def knn_join(queries: DataFrame, train: DataFrame, k: int = 5, q_id: str = "q_id
         return spark.createDataFrame([], f"{q_id} long, {t_id} long, distance double, rank int")
     P = np.vstack([np.asarray(r["tv"], dtype="float64") for r in piv_rows])
     P = P / np.maximum(np.linalg.norm(P, axis=1, keepdims=True), 1e-300)
+    n_cells = len(P)
 
     def unit_dists(series):
         X = _stack(series)
@@ -94,10 +84,9 @@ def knn_join(queries: DataFrame, train: DataFrame, k: int = 5, q_id: str = "q_id
 
     tr = tr.withColumn("_a", assign(F.col("tv"))).select("t_id", "tv", F.col("_a.cell").alias("cell"),
                                                           F.col("_a.r").alias("r"))
-    # cell table: one row per pivot (bounded by n_pivots)
     cells = tr.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("radius")).collect()
-    cnt = np.zeros(len(P), dtype="int64")
-    rad = np.zeros(len(P), dtype="float64")
+    cnt = np.zeros(n_cells, dtype="int64")
+    rad = np.zeros(n_cells, dtype="float64")
     for row in cells:
         cnt[row["cell"]] = int(row["n"])
         rad[row["cell"]] = float(row["radius"])
@@ -110,19 +99,56 @@ def knn_join(queries: DataFrame, train: DataFrame, k: int = 5, q_id: str = "q_id
         order = np.argsort(D, axis=1, kind="stable")
         cum = np.cumsum(cnt[order], axis=1)
         reach = cum >= k
-        pos = np.where(reach.any(axis=1), reach.argmax(axis=1), len(P) - 1)
-        ub = D + rad[None, :]
-        ub_sorted = np.take_along_axis(ub, order, axis=1)
-        mask = np.arange(len(P))[None, :] <= pos[:, None]
+        pos = np.where(reach.any(axis=1), reach.argmax(axis=1), n_cells - 1)
+        ub_sorted = np.take_along_axis(D + rad[None, :], order, axis=1)
+        mask = np.arange(n_cells)[None, :] <= pos[:, None]
         bound = np.where(mask, ub_sorted, -np.inf).max(axis=1) + EPS
-        keep = (D - rad[None, :]) <= bound[:, None]
+        keep = ((D - rad[None, :]) <= bound[:, None]) & (cnt[None, :] > 0)
         return pd.Series([np.nonzero(row)[0].astype("int32").tolist() for row in keep])
 
     q = queries.select(F.col(q_id).alias("q_id"), F.col(vec).alias("qv"))
     qc = q.select("q_id", "qv", F.explode(candidates(F.col("qv"))).alias("cell"))
-    pairs = qc.join(tr.select("t_id", "tv", "cell"), "cell")
-    dist = pair_cosine_distance_udf()
-    scored = pairs.select("q_id", "t_id", dist(F.col("qv"), F.col("tv")).alias("distance"))
+    qcount = dict((r["cell"], int(r["n"])) for r in qc.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect())
+    t_blocks = [max(1, -(-int(cnt[c]) // block_rows)) for c in range(n_cells)]
+    q_blocks = [max(1, -(-qcount.get(c, 0) // block_rows)) for c in range(n_cells)]
+    tb_lit = F.array(*[F.lit(x) for x in t_blocks])
+    qb_lit = F.array(*[F.lit(x) for x in q_blocks])
+
+    def nblocks(lit):
+        return F.element_at(lit, F.col("cell") + 1)
+
+    q_side = (qc.withColumn("qblock", F.pmod(F.xxhash64("q_id"), nblocks(qb_lit)).cast("int"))
+                .withColumn("tblock", F.explode(F.sequence(F.lit(0), nblocks(tb_lit) - 1))))
+    t_side = (tr.select("t_id", "tv", "cell")
+                .withColumn("tblock", F.pmod(F.xxhash64("t_id"), nblocks(tb_lit)).cast("int"))
+                .withColumn("qblock", F.explode(F.sequence(F.lit(0), nblocks(qb_lit) - 1))))
+
+    def block_topk(qpdf: pd.DataFrame, tpdf: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"q_id": pd.Series([], dtype="int64"), "t_id": pd.Series([], dtype="int64"),
+                              "distance": pd.Series([], dtype="float64")})
+        if len(qpdf) == 0 or len(tpdf) == 0:
+            return empty
+        Q, T = _stack(qpdf["qv"]), _stack(tpdf["tv"])
+        qn, tn = np.linalg.norm(Q, axis=1), np.linalg.norm(T, axis=1)
+        den = qn[:, None] * tn[None, :]
+        cos = np.divide(Q @ T.T, den, out=np.zeros((len(Q), len(T))), where=den > 0)
+        D = 1.0 - cos
+        tids = tpdf["t_id"].to_numpy()
+        kk = min(k, len(T))
+        kth = np.partition(D, kk - 1, axis=1)[:, kk - 1]
+        out_q, out_t, out_d = [], [], []
+        for i, qi in enumerate(qpdf["q_id"].to_numpy()):
+            idx = np.nonzero(D[i] <= kth[i])[0]
+            idx = idx[np.lexsort((tids[idx], D[i, idx]))][:kk]
+            out_q.extend([qi] * len(idx))
+            out_t.extend(tids[idx].tolist())
+            out_d.extend(D[i, idx].tolist())
+        return pd.DataFrame({"q_id": np.asarray(out_q, dtype="int64"), "t_id": np.asarray(out_t, dtype="int64"),
+                             "distance": np.asarray(out_d, dtype="float64")})
+
+    keys = ["cell", "tblock", "qblock"]
+    scored = (q_side.groupBy(*keys).cogroup(t_side.groupBy(*keys))
+                    .applyInPandas(block_topk, "q_id long, t_id long, distance double"))
     w = Window.partitionBy("q_id").orderBy("distance", "t_id")
     out = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return out.withColumnRenamed("q_id", q_id).withColumnRenamed("t_id", t_id)

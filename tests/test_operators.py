@@ -88,15 +88,17 @@ def test_knn_matches_brute_force(spark):
     X = rnd.normal(size=(300, 16))
     X[:40] = X[0] + 0.01 * rnd.normal(size=(40, 16))      # a dense cluster
     df = spark.createDataFrame([(i, X[i].tolist()) for i in range(300)], "id long, embedding array<double>")
-    k = similarity.knn_join(df.withColumnRenamed("id", "q_id"), df.withColumnRenamed("id", "t_id"), 5, n_pivots=8)
-    got = {(r.q_id, r.t_id) for r in k.collect()}
     U = X / np.linalg.norm(X, axis=1, keepdims=True)
     D = 1 - U @ U.T
     ref = set()
     for i in range(300):
         order = sorted(range(300), key=lambda j: (round(D[i, j], 12), j))[:5]
         ref |= {(i, j) for j in order}
-    assert got == ref
+    for block_rows in (4096, 16):       # one block per cell, and many blocks per cell
+        k = similarity.knn_join(df.withColumnRenamed("id", "q_id"), df.withColumnRenamed("id", "t_id"), 5,
+                                n_pivots=8, block_rows=block_rows)
+        got = {(r.q_id, r.t_id) for r in k.collect()}
+        assert got == ref
 
 
 def test_tanimoto_join_matches_brute_force(spark):
