@@ -152,3 +152,58 @@ def calibrate(df: DataFrame, score: str, temperature: float | None) -> DataFrame
     p = F.when((s > 1.0) | (s < 0.0), _to_prob(s)).otherwise(s)
     return (df.withColumn("_p", p).withColumn("calibrated", _temper(F.col("_p"), temperature))
               .withColumn("calibration_error", F.abs(F.col("_p") - F.col("calibrated"))).drop("_p"))
+
+
+def concordance_index(df: DataFrame, group: str, y: str, pred: str, n_buckets: int = 64) -> DataFrame:
+    """Per group, Harrell's C over pairs with ``y_i > y_j``: a pair counts 1
+    when ``pred_i > pred_j``, 0.5 when the predictions tie. Output
+    ``(group, comparable_pairs, concordant, c_index)``.
+
+    No pair is materialised. With ``a`` = rank of y and ``b`` = dense rank
+    of pred inside the group, the concordant count of row i is the number of
+    rows with ``a_j < a_i`` and ``b_j < b_i``. The range ``[0, b_i)`` splits
+    into at most log2(max b) power-of-two blocks (one per set bit of ``b_i``);
+    every row is counted in the block that holds its ``b_j`` at each level, so
+    each (level, block) is a one-dimensional count of smaller ``a`` - a rank
+    inside the block. Ranks come from the bucketed ``partition_rank``, so a
+    large group or block is spread over many tasks. Work is O(n log n)."""
+    from bindscape.operators.windows import partition_rank
+    from bindscape.session import cut_lineage
+
+    # a row id that stays fixed for every use below (reliable checkpoint of 4 columns)
+    base = cut_lineage(df.select(F.col(group).alias("g"), F.col(y).cast("double").alias("y"),
+                                 F.col(pred).cast("double").alias("p"))
+                         .filter(F.col("y").isNotNull() & F.col("p").isNotNull())
+                         .withColumn("id", F.monotonically_increasing_id()))
+    # a: 0-based count of rows with a smaller y (ties share it); b: dense rank of p from 0
+    ry = partition_rank(base, ["g"], "y", ["id"], rank_col="_ry", n_buckets=n_buckets)
+    amin = ry.groupBy("g", "y").agg((F.min("_ry") - 1).alias("a"))
+    dp = base.select("g", "p").distinct()
+    dp = partition_rank(dp, ["g"], "p", rank_col="_rp", n_buckets=n_buckets).withColumn("b", F.col("_rp") - 1)
+    pts = base.join(amin, ["g", "y"]).join(dp.select("g", "p", "b"), ["g", "p"]).select("g", "id", "a", "b")
+    max_b = pts.agg(F.max("b")).first()[0] or 0
+    levels = list(range(max(1, int(max_b).bit_length())))
+    lv = F.explode(F.array(*[F.lit(L) for L in levels])).alias("L")
+    contrib = pts.select("g", "id", "a", "b", lv).select(
+        "g", "L", F.expr("shiftright(b, L)").alias("node"), "a", F.lit(1).alias("kind"), "id")
+    queries = pts.select("g", "id", "a", "b", lv).filter(F.expr("shiftright(b, L)") % 2 == 1).select(
+        "g", "L", (F.expr("shiftright(b, L)") - 1).alias("node"), "a", F.lit(0).alias("kind"), "id")
+    # queries sort before contributors at equal a (strictly smaller a only)
+    u = partition_rank(contrib.unionByName(queries), ["g", "L", "node"], "a", ["kind", "id"],
+                       rank_col="_ur", n_buckets=n_buckets)
+    q_ranked = u.filter(F.col("kind") == 0)
+    qq = partition_rank(q_ranked.select("g", "L", "node", "a", "id"), ["g", "L", "node"], "a", ["id"],
+                        rank_col="_qr", n_buckets=n_buckets)
+    before = q_ranked.join(qq, ["g", "L", "node", "a", "id"]).select(
+        "g", "id", (F.col("_ur") - F.col("_qr")).alias("_less"))
+    conc = before.groupBy("g").agg(F.sum("_less").alias("conc"))
+    # ties in the prediction: rows with the same b and a smaller a
+    rt = partition_rank(pts, ["g", "b"], "a", ["id"], rank_col="_rt", n_buckets=n_buckets)
+    ties = rt.groupBy("g", "b", "a").agg(F.count(F.lit(1)).alias("_n"), (F.min("_rt") - 1).alias("_below")) \
+        .groupBy("g").agg(F.sum(F.col("_n") * F.col("_below")).alias("ties"))
+    comp = pts.groupBy("g").agg(F.sum("a").alias("comparable"))
+    out = comp.join(conc, "g", "left").join(ties, "g", "left").fillna(0, ["conc", "ties"])
+    c = (F.col("conc") + F.lit(0.5) * F.col("ties"))
+    return out.select(F.col("g").alias(group), F.col("comparable").cast("long").alias("comparable_pairs"),
+                      c.alias("concordant"),
+                      F.when(F.col("comparable") > 0, c / F.col("comparable")).alias("c_index"))
