@@ -234,9 +234,10 @@ union all select 'interaction', 'mean_pkd', round(avg(pKd), 6) from t
 union all select 'quality', 'duplicate_interactions', cast(sum(c - 1) as double) from g
 union all select 'cleaned', 'rows', cast(count(*) as double) from cl""", "t_interactions"))
 def q_p2(spark, sf):
-    d = V.interactions(spark, sf).select("compound", "protein", "affinity", "source_dataset")
-    d = d.withColumn("pKd", clean.to_pkd("affinity")).withColumn("binding_label", clean.binding_label("pKd"))
-    prot, drug, inter, quality, cleaned = W.preprocess_dataset(d)
+    facts = V.interactions_ids(spark, sf).select("compound_id", "protein_id", "affinity", "source_dataset")
+    facts = facts.withColumn("pKd", clean.to_pkd("affinity")).withColumn("binding_label", clean.binding_label("pKd"))
+    prot, drug, inter, quality, cleaned = W.preprocess_dataset_normalized(
+        facts, V.compounds(spark, sf), V.proteins(spark, sf))
 
     def long(df, section, metrics):
         return df.select(F.explode(F.map_from_arrays(

@@ -49,6 +49,73 @@ def preprocess_dataset(df: DataFrame, protein: str = "protein", compound: str =
             clean.clean_interactions(rows, protein, compound, distinct_input=True))
 
 
+def canonical_ids(compounds: DataFrame, proteins: DataFrame):
+    """Canonical id per distinct string (its smallest id) for both dimensions:
+    ``(cmap: compound_id -> canon_c, pmap: protein_id -> canon_p, canon_c, canon_p)``.
+    String equality on the joined fact table is id equality on canonical ids,
+    so fact-side shuffles can carry longs instead of sequences."""
+    canon_c = compounds.groupBy("compound").agg(F.min("compound_id").alias("canon_c"))
+    canon_p = proteins.groupBy("protein").agg(F.min("protein_id").alias("canon_p"))
+    cmap = compounds.join(canon_c, "compound").select("compound_id", "canon_c")
+    pmap = proteins.join(canon_p, "protein").select("protein_id", "canon_p")
+    return cmap, pmap, canon_c, canon_p
+
+
+def preprocess_dataset_normalized(facts: DataFrame, compounds: DataFrame, proteins: DataFrame,
+                                  attrs=("affinity", "source_dataset", "pKd", "binding_label")):
+    """P2 over a normalized star (facts keyed by ids + the two dimensions).
+    Same five outputs as ``preprocess_dataset`` on the joined table (whose
+    columns are ``compound, protein`` + ``attrs``), but fact-side work groups
+    canonical ids; sequences are touched once per distinct value."""
+    from bindscape.functions import protein as PF
+    from bindscape.functions import smiles as SF
+    from bindscape.operators import profile
+    cmap, pmap, canon_c, canon_p = canonical_ids(compounds, proteins)
+    keyed = facts.join(cmap, "compound_id").join(pmap, "protein_id").select("canon_c", "canon_p", *attrs)
+    g = keyed.groupBy("canon_c", "canon_p", *attrs).agg(F.count(F.lit(1)).alias("_c"))
+    used_p = g.select("canon_p").distinct().join(canon_p, "canon_p")
+    used_c = g.select("canon_c").distinct().join(canon_c, "canon_c")
+    prot = profile.protein_summary(used_p.select("protein"))
+    drug = profile.drug_summary(used_c.select("compound"))
+    # interaction summary: one row assembled from three one-row aggregates by union + max
+    w = F.col("_c")
+    lab, pk = "binding_label", "pKd"
+    n = F.sum(w).cast("long")
+    pos = F.sum(F.when(F.col(lab) == 1, w).otherwise(0)).cast("long")
+    a = g.agg(n.alias("total_interactions"), F.lit(None).cast("long").alias("unique_proteins"),
+              F.lit(None).cast("long").alias("unique_compounds"), pos.alias("positive_interactions"),
+              (pos / n).alias("binding_ratio"), F.min(pk).alias("min_pkd"), F.max(pk).alias("max_pkd"),
+              (F.sum(F.col(pk) * w) / F.sum(F.when(F.col(pk).isNotNull(), w))).alias("mean_pkd"))
+    b = used_p.agg(F.count(F.lit(1)).alias("unique_proteins"))
+    c = used_c.agg(F.count(F.lit(1)).alias("unique_compounds"))
+    inter = a.unionByName(b, allowMissingColumns=True).unionByName(c, allowMissingColumns=True)
+    inter = inter.agg(*[F.max(x).alias(x) for x in a.columns])
+    # quality: duplicates and nulls from the grouped ids, valid shares from the distinct values
+    cols = ["compound", "protein", *attrs]
+    nulls = {"compound": F.lit(0), "protein": F.lit(0)}
+    q1 = g.agg(F.sum(w - 1).cast("double").alias("duplicate_interactions"),
+               *[(nulls[x] if x in nulls else F.sum(F.when(F.col(x).isNull(), w).otherwise(0)))
+                 .cast("double").alias(f"missing_{x}") for x in cols])
+    names = q1.columns
+    long1 = q1.select(F.explode(F.map_from_arrays(F.array(*[F.lit(x) for x in names]),
+                                                  F.array(*[F.col(x) for x in names]))).alias("metric", "value"))
+    vp = used_p.agg(F.avg(PF.is_valid_protein("protein").cast("double")).alias("pq"))
+    vd = used_c.agg(F.avg(SF.is_valid_smiles("compound").cast("double")).alias("dq"))
+    shares = vp.unionByName(vd, allowMissingColumns=True).agg(
+        F.coalesce(F.max("pq"), F.lit(0.0)).alias("pq"), F.coalesce(F.max("dq"), F.lit(0.0)).alias("dq"))
+    long2 = shares.select(F.explode(F.map_from_arrays(
+        F.array(F.lit("protein_quality"), F.lit("drug_quality"), F.lit("overall_quality_score")),
+        F.array(F.col("pq") * 100, F.col("dq") * 100, (F.col("pq") + F.col("dq")) * 50))).alias("metric", "value"))
+    quality = long1.unionByName(long2)
+    # cleaned rows: distinct id rows whose strings pass, strings joined back once
+    ok_p = used_p.filter((F.col("protein") == PF.normalize_protein("protein")) & PF.is_valid_protein("protein"))
+    ok_c = used_c.filter((F.col("compound") == SF.strip("compound")) & SF.is_valid_smiles("compound"))
+    cleaned = (g.drop("_c").join(ok_c, "canon_c").join(ok_p, "canon_p").select(*cols)
+                .withColumn("protein_length", F.length("protein"))
+                .withColumn("compound_length", F.length("compound")))
+    return prot, drug, inter, quality, cleaned
+
+
 def prepare_training_normalized(facts: DataFrame, compounds: DataFrame, proteins: DataFrame,
                                 ratios=(0.8, 0.1, 0.1), seed: int = 42, threshold: float = 6.0,
                                 row_order=("l_orderkey", "l_linenumber"), bucket_bits: int = 12) -> DataFrame:
@@ -58,10 +125,7 @@ def prepare_training_normalized(facts: DataFrame, compounds: DataFrame, proteins
     distinct string gets a canonical id (its smallest id, from the dimension
     table), facts are de-duplicated on canonical ids, and the strings are
     joined back only to the rows kept."""
-    canon_c = compounds.groupBy("compound").agg(F.min("compound_id").alias("canon_c"))
-    canon_p = proteins.groupBy("protein").agg(F.min("protein_id").alias("canon_p"))
-    cmap = compounds.join(canon_c, "compound").select("compound_id", "canon_c")
-    pmap = proteins.join(canon_p, "protein").select("protein_id", "canon_p")
+    cmap, pmap, canon_c, canon_p = canonical_ids(compounds, proteins)
     keyed = facts.join(cmap, "compound_id").join(pmap, "protein_id")
     first = splits.dedup_pairs(keyed, ("canon_c", "canon_p"), row_order)
     named = (first.join(canon_c.withColumnRenamed("canon_c", "_cc"), F.col("canon_c") == F.col("_cc"))
