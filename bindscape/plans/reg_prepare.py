@@ -46,7 +46,9 @@ select count(*) as total_interactions, count(distinct protein) as unique_protein
 from f""", "t_interactions"))
 def q_d4(spark, sf):
     from bindscape.operators.profile import interaction_summary
-    s = interaction_summary(W.interaction_profile(V.interactions(spark, sf)))
+    prof = W.interaction_profile_normalized(V.interactions_ids(spark, sf), V.compounds(spark, sf),
+                                            V.proteins(spark, sf))
+    s = interaction_summary(prof, protein="canon_p", compound="canon_c")
     return s.select("total_interactions", "unique_proteins", "unique_compounds", "positive_interactions",
                     r6("binding_ratio").alias("binding_ratio"), r6("min_pkd").alias("min_pkd"),
                     r6("max_pkd").alias("max_pkd"), r6("mean_pkd").alias("mean_pkd"))

@@ -32,6 +32,19 @@ def interaction_profile(df: DataFrame, threshold: float = 6.0,
     return out.withColumn("binding_label", clean.binding_label("pKd", threshold))
 
 
+def interaction_profile_normalized(facts: DataFrame, compounds: DataFrame, proteins: DataFrame,
+                                   threshold: float = 6.0, row_order=("l_orderkey", "l_linenumber")) -> DataFrame:
+    """Minimum slice over the normalized star: keep-first per (compound,
+    protein) string pair via canonical ids -> pKd -> range filter -> label.
+    Rows keep ``canon_c`` / ``canon_p``, whose distinct counts equal the
+    distinct string counts, so the summary needs no sequence column."""
+    cmap, pmap, _, _ = canonical_ids(compounds, proteins)
+    keyed = facts.join(cmap, "compound_id").join(pmap, "protein_id")
+    first = splits.dedup_pairs(keyed, ("canon_c", "canon_p"), row_order)
+    out = clean.filter_pkd_range(first.withColumn("pKd", clean.to_pkd("affinity")))
+    return out.withColumn("binding_label", clean.binding_label("pKd", threshold))
+
+
 def preprocess_dataset(df: DataFrame, protein: str = "protein", compound: str = "compound"):
     """(protein summary, drug summary, interaction summary, quality, cleaned rows).
 

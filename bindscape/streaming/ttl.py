@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bindscape.operators.windows import partition_rank
 from bindscape.session import cut_lineage
@@ -44,8 +45,52 @@ def _next_pointers(df: DataFrame, key: str, t: str, ident: str, ttl_us: int):
 
 
 def ttl_hits(df: DataFrame, key: str = "cache_key", t: str = "ts_us", ident: str = "event_id",
-             ttl_us: int = 3600 * 1_000_000, checkpoint_every: int = 1, max_rounds: int = 64) -> DataFrame:
-    """Batch J1: the input rows with ``hit`` (boolean) and ``rn`` (row number per key)."""
+             ttl_us: int = 3600 * 1_000_000, max_group_rows: int = 1_000_000) -> DataFrame:
+    """Batch J1: the input rows with ``hit`` (boolean).
+
+    One aggregate measures the largest key. When every key is within
+    ``max_group_rows`` the fold runs per key in ``applyInPandas`` (one shuffle,
+    each group proven bounded); otherwise the pointer-doubling plan runs,
+    which never gathers a key."""
+    biggest = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if biggest <= max_group_rows:
+        return ttl_hits_fold(df, key, t, ident, ttl_us)
+    return ttl_hits_doubling(df, key, t, ident, ttl_us)
+
+
+def ttl_hits_fold(df: DataFrame, key: str, t: str, ident: str, ttl_us: int) -> DataFrame:
+    """Sequential fold per key (keys must be bounded; see ``ttl_hits``): rows
+    are hash-partitioned by key and sorted by (key, time, id) inside each
+    partition, then one pass over each partition's Arrow batches carries the
+    current key and its anchor time across batch boundaries."""
+    cols = df.columns
+    schema = T.StructType(list(df.schema.fields) + [T.StructField("hit", T.BooleanType())])
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+
+    def fold(batches):
+        import numpy as np
+        last, t0 = None, None
+        for pdf in batches:
+            keys, tv = pdf[key].to_numpy(), pdf[t].to_numpy()
+            hits = np.zeros(len(pdf), dtype=bool)
+            for i in range(len(pdf)):
+                if keys[i] != last:
+                    last, t0 = keys[i], tv[i]
+                elif tv[i] - t0 < ttl_us:
+                    hits[i] = True
+                else:
+                    t0 = tv[i]
+            out = pdf[cols].copy()
+            out["hit"] = hits
+            yield out
+
+    return (df.repartition(n, key).sortWithinPartitions(key, t, ident)
+              .mapInPandas(fold, schema))
+
+
+def ttl_hits_doubling(df: DataFrame, key: str = "cache_key", t: str = "ts_us", ident: str = "event_id",
+                      ttl_us: int = 3600 * 1_000_000, checkpoint_every: int = 1, max_rounds: int = 64) -> DataFrame:
+    """Batch J1 by pointer doubling (no key is gathered into one task)."""
     jumps, ranked = _next_pointers(df, key, t, ident, ttl_us)
     ranked = cut_lineage(ranked.select(key, ident, "rn"))
     J = cut_lineage(jumps.select(key, F.col("rn").alias("src"), F.col("nxt").alias("dst"))
@@ -63,7 +108,7 @@ def ttl_hits(df: DataFrame, key: str = "cache_key", t: str = "ts_us", ident: str
             S, J = cut_lineage(S), cut_lineage(J)
     misses = S.withColumn("_miss", F.lit(True))
     out = ranked.join(misses, [key, "rn"], "left")
-    return (df.join(out.select(ident, key, "rn", F.coalesce(F.col("_miss"), F.lit(False)).alias("_m")), [key, ident])
+    return (df.join(out.select(ident, key, F.coalesce(F.col("_miss"), F.lit(False)).alias("_m")), [key, ident])
               .withColumn("hit", ~F.col("_m")).drop("_m"))
 
 

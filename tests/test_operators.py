@@ -123,9 +123,22 @@ def test_tanimoto_join_matches_brute_force(spark):
 def test_ttl_gap_equal_to_ttl_is_a_miss(spark):
     rows = [("k", 1, 0), ("k", 2, 30), ("k", 3, 60), ("k", 4, 90), ("k", 5, 125), ("j", 6, 0), ("j", 7, 10)]
     df = spark.createDataFrame(rows, "cache_key string, event_id long, ts_us long")
-    h = dict((r.event_id, r.hit) for r in ttl.ttl_hits(df, ttl_us=60).collect())
+    want = {1: False, 2: True, 3: False, 4: True, 5: False, 6: False, 7: True}
     # k: 0 miss, 30 hit, 60 miss (gap == ttl), 90 hit, 125 miss; j: 0 miss, 10 hit
-    assert h == {1: False, 2: True, 3: False, 4: True, 5: False, 6: False, 7: True}
+    for kwargs in ({}, {"max_group_rows": 0}):          # per-key fold, and pointer doubling
+        h = dict((r.event_id, r.hit) for r in ttl.ttl_hits(df, ttl_us=60, **kwargs).collect())
+        assert h == want
+
+
+def test_ttl_fold_equals_doubling_on_request_log(spark):
+    from tests.conftest import SMOKE
+    from bindscape.plans import views as V
+    log = V.requests(spark, SMOKE).withColumn("ts_us", F.unix_micros("ts")).select("cache_key", "event_id", "ts_us")
+    a = ttl.ttl_hits(log, ttl_us=2 * 86400 * 10**6).select("event_id", "hit")
+    b = ttl.ttl_hits(log, ttl_us=2 * 86400 * 10**6, max_group_rows=0).select("event_id", F.col("hit").alias("h2"))
+    j = a.join(b, "event_id")
+    assert j.count() == log.count()
+    assert j.filter(F.col("hit") != F.col("h2")).count() == 0
 
 
 def test_rolling_latency_chunks_match_full_window(spark):
