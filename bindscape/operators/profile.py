@@ -43,7 +43,8 @@ def protein_summary(df: DataFrame, protein: str = "protein") -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum("hydrophobic_pct").alias("s_hyd"),
         F.sum("molecular_weight").alias("s_mw"))
     hist = hist.withColumn("nv", F.when(F.col("len_key") >= 0, F.col("n")).otherwise(F.lit(0)))
-    cum = prefix_sums(hist, "len_key", ["nv"])
+    # distinct lengths are bounded by the longest sequence, not by the row count
+    cum = prefix_sums(hist, "len_key", ["nv"], bounded_domain=True)
     valid = F.col("len_key") >= 0
     nvalid = F.sum(F.when(valid, F.col("n")))
     return cum.agg(

@@ -93,10 +93,22 @@ def value_rank(df: DataFrame, order_col: str, tie_cols=(), rank_col: str = "rank
 
 
 def prefix_sums(df: DataFrame, order_col: str, value_cols, descending: bool = False,
-                n_buckets: int = 256, prefix: str = "cum_") -> DataFrame:
+                n_buckets: int = 256, prefix: str = "cum_", bounded_domain: bool = False) -> DataFrame:
     """Running sums of ``value_cols`` in ``order_col`` order (values of
     ``order_col`` must be unique, e.g. after a group-by on it); also adds the
-    grand totals as ``total_<v>``."""
+    grand totals as ``total_<v>``.
+
+    ``bounded_domain`` is for a key whose number of distinct values has a
+    fixed bound independent of the data size (e.g. a sequence length): the
+    running sum is then one window over that small table, with no sampling pass."""
+    if bounded_domain:
+        o = F.col(order_col).desc() if descending else F.col(order_col).asc()
+        w = Window.orderBy(o).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = df
+        for v in value_cols:
+            out = (out.withColumn(f"{prefix}{v}", F.sum(v).over(w))
+                      .withColumn(f"total_{v}", F.sum(v).over(Window.partitionBy())))
+        return out
     cuts = quantile_cuts(df, order_col, n_buckets)
     tagged = df.withColumn("_b", value_bucket(order_col, cuts))
     tot = tagged.groupBy("_b").agg(*[F.sum(v).alias(f"_s_{v}") for v in value_cols])
