@@ -509,3 +509,15 @@ def q_i22(spark, sf):
     h = K.heuristic_affinity(F.length("protein"), "m")
     return j.select("protein_id", r6(h["binding_affinity"]).alias("binding_affinity"),
                     r6(h["binding_probability"]).alias("binding_probability"), r6(h["confidence"]).alias("confidence"))
+
+
+@register("K1_score_batch", with_views(f"""
+select l_orderkey, l_linenumber, {HASH_SCORE_SQL.format(p='protein', c='compound')} as native_score,
+       {HASH_SCORE_SQL.format(p='protein', c='compound')} as model_score
+from t_interactions""", "t_interactions"))
+def q_k1(spark, sf):
+    from bindscape.operators.scoring import md5_model, score_batch
+    d = V.interactions(spark, sf).select("l_orderkey", "l_linenumber", "protein", "compound")
+    native = score_batch(d, out="native_score")
+    both = score_batch(native, model_factory=md5_model, out="model_score")
+    return both.select("l_orderkey", "l_linenumber", "native_score", "model_score")
