@@ -132,7 +132,7 @@ def q_c4(spark, sf):
 with f as (select protein_id, compound_id, min((l_orderkey, l_linenumber)) as first_act from t_interactions_ids
            group by protein_id, compound_id),
 r as (select *, row_number() over (partition by protein_id order by first_act, compound_id) as rk from f)
-select r.protein_id, r.compound_id, rk as rank, first_act[1] as l_orderkey, first_act[2] as l_linenumber,
+select r.protein_id, r.compound_id, rk as rank, first_act[1] as l_orderkey, cast(first_act[2] as bigint) as l_linenumber,
        round(i.affinity, 6) as affinity, c.compound
 from r join t_compounds c on c.compound_id = r.compound_id
 join t_interactions_ids i on i.l_orderkey = first_act[1] and i.l_linenumber = first_act[2]

@@ -108,7 +108,7 @@ def _loss_sql(t: float) -> str:
 
 @register("E7_fit_temperature", with_views(
     "with l as (select [" + ", ".join(_loss_sql(t) for t in M.TEMPERATURES) + "] as losses from t_scored)\n"
-    "select round(([" + ", ".join(repr(t) for t in M.TEMPERATURES) + "])[list_position(losses, list_min(losses))], 6)"
+    "select round(cast(([" + ", ".join(repr(t) for t in M.TEMPERATURES) + "])[list_position(losses, list_min(losses))] as double), 6)"
     " as temperature, round(list_min(losses), 6) as best_loss from l", "t_scored"))
 def q_e7(spark, sf):
     f = M.fit_temperature(V.scored(spark, sf))
@@ -292,8 +292,8 @@ with t as (select protein_id as g, affinity as y,
 pr as (select a.g, count(*) as comparable,
               sum(case when a.p > b.p then 1.0 when a.p = b.p then 0.5 else 0.0 end) as concordant
        from t a join t b on a.g = b.g and a.y > b.y group by a.g)
-select g as protein_id, comparable as comparable_pairs, round(concordant, 6) as concordant,
-       round(concordant / comparable, 6) as c_index from pr""", "t_interactions"))
+select g as protein_id, comparable as comparable_pairs, round(cast(concordant as double), 6) as concordant,
+       round(cast(concordant as double) / comparable, 6) as c_index from pr""", "t_interactions"))
 def q_e6(spark, sf):
     from bindscape.functions.scoring import hash_score
     d = V.interactions(spark, sf).select("protein_id", "affinity",

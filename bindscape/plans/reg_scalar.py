@@ -65,10 +65,10 @@ select protein_id, length(n) as length,
  {cnt('n', P.AROMATIC)} as aromatic, {cnt('n', P.BASIC)} as basic, {cnt('n', P.ACIDIC)} as acidic,
  round(case when length(n) > 0 then {cnt('n', P.HYDROPHOBIC)} * 100.0 / length(n) end, 6) as hydrophobic_pct,
  round(case when length(n) > 0 then {cnt('n', P.CHARGED)} * 100.0 / length(n) end, 6) as charged_pct,
- round({_mw_sql('n', {a: v[4] for a, v in P.RESIDUE_INFO.items()})}, 6) as molecular_weight,
- round(case when {cnt('n', P.BASIC)} > {cnt('n', P.ACIDIC)} then 8.5 + ({cnt('n', P.BASIC)} - {cnt('n', P.ACIDIC)}) * 0.1
+ round(cast({_mw_sql('n', {a: v[4] for a, v in P.RESIDUE_INFO.items()})} as double), 6) as molecular_weight,
+ round(cast(case when {cnt('n', P.BASIC)} > {cnt('n', P.ACIDIC)} then 8.5 + ({cnt('n', P.BASIC)} - {cnt('n', P.ACIDIC)}) * 0.1
       when {cnt('n', P.ACIDIC)} > {cnt('n', P.BASIC)} then 5.5 - ({cnt('n', P.ACIDIC)} - {cnt('n', P.BASIC)}) * 0.1
-      else 7.0 end, 6) as estimated_pi,
+      else 7.0 end as double), 6) as estimated_pi,
  {cnt('n', 'A')} as count_a, {cnt('n', 'L')} as count_l, {cnt('n', 'W')} as count_w
 from (select protein_id, {NORM_SQL} as n from t_proteins) x""", "t_proteins"))
 def q_i345(spark, sf):
@@ -89,7 +89,7 @@ def q_i345(spark, sf):
 @register("I2_residue_info", with_views("""
 select r.residue, coalesce(i.name, 'Unknown') as name, coalesce(i.type, 'Unknown') as type,
        coalesce(i.charge, 'Unknown') as charge, coalesce(i.hydrophobic, false) as hydrophobic,
-       round(coalesce(i.mw, 0), 6) as mw, r.n
+       round(cast(coalesce(i.mw, 0) as double), 6) as mw, r.n
 from (select ch as residue, count(*) as n from (select unnest(string_split(protein, '')) as ch from t_proteins) a
       where ch <> '' group by ch) r
 left join (values """ + ", ".join(
@@ -110,7 +110,7 @@ def q_i2(spark, sf):
 
 @register("I6_sequence_stats", with_views(f"""
 select protein_id, case when v then length(n) end as length,
- round(case when v then {_mw_sql('n', P.STATS_WEIGHTS)} end, 6) as molecular_weight,
+ round(cast(case when v then {_mw_sql('n', P.STATS_WEIGHTS)} end as double), 6) as molecular_weight,
  round(case when v then {cnt('n', P.STATS_HYDROPHOBIC)} / length(n) end, 6) as hydrophobic_ratio,
  round(case when v then {cnt('n', P.STATS_CHARGED)} / length(n) end, 6) as charged_ratio
 from (select protein_id, {NORM_SQL} as n, coalesce({VALID_PROT_SQL.format(c='protein')}, false) as v
@@ -142,7 +142,8 @@ with t as (select protein_id, protein_id % 10 as batch,
         from t_proteins) a),
 p as (select *, max(len(ids)) over (partition by batch) as width from t)
 select protein_id, batch, len(ids) as n_tokens, width as padded_length,
-       list_sum(ids) as id_sum, ids[1] as first_id, ids[len(ids)] as last_id,
+       cast(list_sum(ids) as bigint) as id_sum, cast(ids[1] as bigint) as first_id,
+       cast(ids[len(ids)] as bigint) as last_id,
        cast(len(ids) as bigint) as mask_sum
 from p""", "t_proteins"))
 def q_i28(spark, sf):
@@ -160,7 +161,7 @@ def q_i28(spark, sf):
 
 
 @register("I33_sequence_quality", with_views("""
-select protein_id, round(least(greatest(0.9 - (length(protein) - 100) * 0.001, 0.7), 0.95), 6) as quality
+select protein_id, round(cast(least(greatest(0.9 - (length(protein) - 100) * 0.001, 0.7), 0.95) as double), 6) as quality
 from t_proteins""", "t_proteins"))
 def q_i33(spark, sf):
     return V.proteins(spark, sf).select("protein_id", r6(P.sequence_quality(F.length("protein"))).alias("quality"))
@@ -201,7 +202,7 @@ SP = _smiles_props_sql("compound")
 @register("I8_I9_atoms_and_estimates", with_views(f"""
 select compound_id, {SP['c']} as carbon, {SP['n']} as nitrogen, {SP['o']} as oxygen, {SP['su']} as sulfur,
  {SP['c']} + {SP['n']} + {SP['o']} + {SP['su']} as heavy_atoms,
- round({SP['mw']}, 6) as mw, round({SP['logp']}, 6) as logp, round({SP['tpsa']}, 6) as tpsa
+ round(cast({SP['mw']} as double), 6) as mw, round(cast({SP['logp']} as double), 6) as logp, round({SP['tpsa']}, 6) as tpsa
 from t_compounds""", "t_compounds"))
 def q_i89(spark, sf):
     a, e = S.atom_counts("compound"), S.estimated_properties("compound")
@@ -225,7 +226,7 @@ def q_i10(spark, sf):
 
 
 @register("I11_lipinski_estimated", with_views(f"""
-select compound_id, {SP['hbd']} as hbd, {SP['hba']} as hba, {SP['viol']} as violations,
+select compound_id, {SP['hbd']} as hbd, {SP['hba']} as hba, cast({SP['viol']} as bigint) as violations,
  case {SP['viol']} when 0 then 'Excellent' when 1 then 'Good' when 2 then 'Poor' else 'Very Poor' end as label
 from t_compounds""", "t_compounds"))
 def q_i11(spark, sf):
@@ -348,8 +349,8 @@ select compound_id,
    + cast(coalesce(hbd, 0) > 5 as int) + cast(coalesce(hba, 0) > 10 as int) as violations,
  (cast(coalesce(molecular_weight, 0) > 500 as int) + cast(coalesce(alogp, 0) > 5 as int)
    + cast(coalesce(hbd, 0) > 5 as int) + cast(coalesce(hba, 0) > 10 as int)) <= 1 as lipinski_compliant,
- round(greatest(0.0, 1.0 - 0.25 * (cast(coalesce(molecular_weight, 0) > 500 as int) + cast(coalesce(alogp, 0) > 5 as int)
-   + cast(coalesce(hbd, 0) > 5 as int) + cast(coalesce(hba, 0) > 10 as int))), 6) as drug_likeness_score,
+ round(cast(greatest(0.0, 1.0 - 0.25 * (cast(coalesce(molecular_weight, 0) > 500 as int) + cast(coalesce(alogp, 0) > 5 as int)
+   + cast(coalesce(hbd, 0) > 5 as int) + cast(coalesce(hba, 0) > 10 as int))) as double), 6) as drug_likeness_score,
  max_phase = 4 as approved
 from t_descriptors""", "t_descriptors"))
 def q_i12(spark, sf):
@@ -409,7 +410,7 @@ def q_i21(spark, sf):
 
 
 @register("I23_property_categories", with_views(f"""
-select l_orderkey, l_linenumber, case when lab = 1 then 1.0 else 0.3 end as binding_prob,
+select l_orderkey, l_linenumber, cast(case when lab = 1 then 1.0 else 0.3 end as double) as binding_prob,
  round(least(0.9, greatest(0.1, 1.0 - abs(p - 6.0) / 6.0)), 6) as confidence,
  case when p > 6.5 then 'Low' when p > 5.0 then 'Medium' else 'High' end as toxicity_risk,
  case when p < 8.0 then 'Good' else 'Moderate' end as solubility,

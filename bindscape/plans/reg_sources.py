@@ -84,7 +84,7 @@ k as (select *, row_number() over (partition by bucket order by o_orderkey) - 1
 v as (select bucket, i, 0 as j, o_totalprice as affinity from k
       union all select bucket, i, 1, cast(o_custkey as double) from k
       union all select bucket, i, 2, cast(o_orderkey % 7 as double) from k)
-select bucket, i, j, round(affinity, 6) as affinity from v""")
+select bucket, i, cast(j as bigint) as j, round(affinity, 6) as affinity from v""")
 def q_a5(spark, sf):
     root = WR.scratch_dir(spark, "matrix-txt")
     o = read_table(spark, sf, "orders").withColumn("bucket", F.col("o_orderkey") % 4)
