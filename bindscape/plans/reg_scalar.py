@@ -433,18 +433,43 @@ def _text_examples(spark, sf):
                     K.format_text_example("protein", "compound", "pKd", "binding_label").alias("text"))
 
 
-@register("I24_format_text_example")
+_INSTR_SQL = ("'You are a protein-drug interaction prediction expert. Given a protein sequence and drug SMILES, "
+              "predict the binding affinity and properties.' || chr(10) || chr(10) || '### Protein Sequence:' || chr(10) "
+              "|| substr(protein, 1, 500) || chr(10) || chr(10) || '### Drug SMILES:' || chr(10) || compound || chr(10) "
+              "|| chr(10) || '### Task:' || chr(10) || 'Predict the binding affinity (pKd), binding probability, "
+              "and drug properties.'")
+_TEXT_SQL = f"""
+select l_orderkey, l_linenumber, md5({_INSTR_SQL}) as instruction_md5, round(pKd, 2) as pkd_text,
+ cast(case when pKd >= 6.0 then 1.0 else 0.3 end as double) as prob_text,
+ case when pKd > 6.5 then 'Low' when pKd > 5.0 then 'Medium' else 'High' end as toxicity_risk,
+ case when pKd < 8.0 then 'Good' else 'Moderate' end as solubility,
+ case when pKd > 5.0 and pKd < 9.0 then 'High' else 'Moderate' end as druglikeness
+from (select *, {PKD_SQL} as pKd from t_interactions) x"""
+
+
+@register("I24_format_text_example", with_views(_TEXT_SQL, "t_interactions"))
 def q_i24(spark, sf):
-    return _text_examples(spark, sf).select("l_orderkey", "l_linenumber", "text")
-
-
-@register("I25_format_chat_example")
+    t = _text_examples(spark, sf)
+    instr = F.substring_index("text", "\n\nBased on the protein-drug interaction analysis", 1)
+    num = lambda label: F.regexp_extract("text", label + r":\*\* (-?[0-9.]+)", 1).cast("double")
+    word = lambda label: F.regexp_extract("text", label + r": (\w+)", 1)
+    return t.select("l_orderkey", "l_linenumber", F.md5(instr).alias("instruction_md5"),
+                    num(r"Binding Affinity \(pKd\)").alias("pkd_text"),
+                    num("Binding Probability").alias("prob_text"),
+                    word("Toxicity Risk").alias("toxicity_risk"), word("Solubility").alias("solubility"),
+                    word("Drug-likeness").alias("druglikeness"))
+
+
+@register("I25_format_chat_example", with_views(f"""
+select l_orderkey, l_linenumber, 'human' as from_0, 'gpt' as from_1, md5({_INSTR_SQL}) as human_md5,
+       2 as n_turns
+from (select *, {PKD_SQL} as pKd from t_interactions) x""", "t_interactions"))
 def q_i25(spark, sf):
     d = V.interactions(spark, sf).withColumn("pKd", clean.to_pkd("affinity")) \
         .withColumn("binding_label", clean.binding_label("pKd"))
     c = K.format_chat_example("protein", "compound", "pKd", "binding_label")
     return d.select("l_orderkey", "l_linenumber", c[0]["from"].alias("from_0"), c[1]["from"].alias("from_1"),
-                    F.length(c[1]["value"]).alias("response_length"))
+                    F.md5(c[0]["value"]).alias("human_md5"), F.size(c).alias("n_turns"))
 
 
 @register("I26_parse_prediction", with_views(f"""
