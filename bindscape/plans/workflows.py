@@ -148,10 +148,6 @@ def prepare_training_normalized(facts: DataFrame, compounds: DataFrame, proteins
     return clean.add_training_columns(cut, "affinity", threshold)
 
 
-def lit_str(v):
-    return F.lit(v).cast("string")
-
-
 def evaluate_predictions(scored: DataFrame, text_col: str | None = None, y: str = "y_true",
                          score: str = "score", threshold: float = 0.5) -> DataFrame:
     """Parse the probability out of generated text (I27; when no text
