@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from bindscape.functions import protein as P
 from bindscape.operators import profile
 from bindscape.plans import views as V
 from bindscape.plans.oracle_views import with_views
@@ -32,11 +33,9 @@ select count(*) as total_proteins, cast(sum(cast(v as int)) as bigint) as valid_
  min(case when v then length(n) end) as length_min, max(case when v then length(n) end) as length_max,
  round(avg(case when v then length(n) end), 6) as length_mean,
  round(quantile_cont(case when v then length(n) end, 0.5), 6) as length_median,
- round(avg(case when v then {cnt('n', 'AILMFWV')} * 100.0 / length(n) end), 6) as avg_hydrophobic_pct,
- round(avg(case when v then ({' + '.join(f"{cnt('n', a)} * {w}" for a, w in
-     {'A': 89.1, 'R': 174.2, 'N': 132.1, 'D': 133.1, 'C': 121.2, 'Q': 146.1, 'E': 147.1, 'G': 75.1,
-      'H': 155.2, 'I': 131.2, 'L': 131.2, 'K': 146.2, 'M': 149.2, 'F': 165.2, 'P': 115.1, 'S': 105.1,
-      'T': 119.1, 'W': 204.2, 'Y': 181.2, 'V': 117.1}.items())}) end), 6) as avg_molecular_weight
+ round(avg(case when v then {cnt('n', P.HYDROPHOBIC)} * 100.0 / length(n) end), 6) as avg_hydrophobic_pct,
+ round(cast(avg(case when v then ({' + '.join(f"{cnt('n', a)} * {v[4]}" for a, v in P.RESIDUE_INFO.items())})
+       end) as double), 6) as avg_molecular_weight
 from p""", "t_proteins"))
 def q_d2(spark, sf):
     s = profile.protein_summary(V.proteins(spark, sf))
