@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,7 +86,10 @@ def preprocess_dataset_normalized(facts: DataFrame, compounds: DataFrame, protei
     from bindscape.operators import profile
     cmap, pmap, canon_c, canon_p = canonical_ids(compounds, proteins)
     keyed = facts.join(cmap, "compound_id").join(pmap, "protein_id").select("canon_c", "canon_p", *attrs)
-    g = keyed.groupBy("canon_c", "canon_p", *attrs).agg(F.count(F.lit(1)).alias("_c"))
+    # the distinct-row table feeds all five outputs: persisted so it is built once
+    # (memory, spilling to disk; a lost block is rebuilt from lineage)
+    g = keyed.groupBy("canon_c", "canon_p", *attrs).agg(F.count(F.lit(1)).alias("_c")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     used_p = g.select("canon_p").distinct().join(canon_p, "canon_p")
     used_c = g.select("canon_c").distinct().join(canon_c, "canon_c")
     prot = profile.protein_summary(used_p.select("protein"))
