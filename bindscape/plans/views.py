@@ -45,7 +45,7 @@ def _proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
     case, invalid letters removed except on every fifth id, lower case on every
     seventh, cut to 1200 residues."""
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
+    letters = F.upper(F.regexp_replace("text", "[^A-Za-z]+", ""))
     q = F.substring(
         F.when(F.col("doc_id") % 5 == 0, letters).otherwise(F.translate(letters, "BJOUXZ", "")),
         1, 1200)
