@@ -154,7 +154,7 @@ def calibrate(df: DataFrame, score: str, temperature: float | None) -> DataFrame
               .withColumn("calibration_error", F.abs(F.col("_p") - F.col("calibrated"))).drop("_p"))
 
 
-def concordance_index(df: DataFrame, group: str, y: str, pred: str, n_buckets: int = 64) -> DataFrame:
+def concordance_index(df: DataFrame, group: str, y: str, pred: str, n_buckets: int | None = None) -> DataFrame:
     """Per group, Harrell's C over pairs with ``y_i > y_j``: a pair counts 1
     when ``pred_i > pred_j``, 0.5 when the predictions tie. Output
     ``(group, comparable_pairs, concordant, c_index)``.

@@ -22,6 +22,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_BUCKETS = 1 << 16
+ROWS_PER_BUCKET = 1_000_000      # target rows per bucket (one window partition)
+MAX_HASH_BITS = 20               # at most 2**20 offsets rows are broadcast (~24 MB)
+
+
+def adaptive_buckets(df: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, lo: int = 16,
+                     hi: int = MAX_BUCKETS) -> int:
+    """Bucket count from one row count: about ``rows_per_bucket`` rows each."""
+    n = df.count()
+    return int(max(lo, min(hi, -(-n // rows_per_bucket))))
 
 
 def hash_key(cols, seed) -> Column:
@@ -31,15 +40,18 @@ def hash_key(cols, seed) -> Column:
 
 
 def hash_rank(df: DataFrame, key_cols, seed=42, rank_col: str = "rank",
-              bucket_bits: int = 12, with_total: bool = True) -> DataFrame:
+              bucket_bits: int | None = None, with_total: bool = True) -> DataFrame:
     """1-based global rank ordered by ``(md5(key|seed), key...)``.
 
-    ``bucket_bits`` sets the bucket count (2**bits, at most 65536); choose so
-    that a bucket holds a few million rows at most."""
-    bits = max(1, min(16, int(bucket_bits)))
+    ``bucket_bits`` sets the bucket count (2**bits, at most 2**20); ``None``
+    sizes it from a row count so a bucket holds about ``ROWS_PER_BUCKET`` rows."""
+    if bucket_bits is None:
+        bucket_bits = max(1, (adaptive_buckets(df, lo=2, hi=1 << MAX_HASH_BITS) - 1).bit_length())
+    bits = max(1, min(MAX_HASH_BITS, int(bucket_bits)))
     h = hash_key(key_cols, seed)
+    # the first 6 hex digits are 24 uniform bits; the bucket is their top ``bits``
     tagged = df.withColumn("_h", h).withColumn(
-        "_b", F.shiftright(F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"), 16 - bits))
+        "_b", F.shiftright(F.conv(F.substring("_h", 1, 6), 16, 10).cast("int"), 24 - bits))
     offsets = _bucket_offsets(tagged, "_b")
     w = Window.partitionBy("_b").orderBy("_h", *key_cols)
     out = (tagged.join(F.broadcast(offsets), "_b")
@@ -80,9 +92,10 @@ def value_bucket(col, cuts) -> Column:
 
 
 def value_rank(df: DataFrame, order_col: str, tie_cols=(), rank_col: str = "rank",
-               descending: bool = False, n_buckets: int = 256) -> DataFrame:
-    """Exact 1-based global row number ordered by ``order_col`` then ``tie_cols``."""
-    cuts = quantile_cuts(df, order_col, n_buckets)
+               descending: bool = False, n_buckets: int | None = None) -> DataFrame:
+    """Exact 1-based global row number ordered by ``order_col`` then ``tie_cols``
+    (``n_buckets=None`` sizes the buckets from a row count)."""
+    cuts = quantile_cuts(df, order_col, n_buckets if n_buckets else adaptive_buckets(df))
     tagged = df.withColumn("_b", value_bucket(order_col, cuts))
     offsets = _bucket_offsets(tagged, "_b", descending)
     o = F.col(order_col).desc() if descending else F.col(order_col).asc()
@@ -93,7 +106,7 @@ def value_rank(df: DataFrame, order_col: str, tie_cols=(), rank_col: str = "rank
 
 
 def prefix_sums(df: DataFrame, order_col: str, value_cols, descending: bool = False,
-                n_buckets: int = 256, prefix: str = "cum_", bounded_domain: bool = False) -> DataFrame:
+                n_buckets: int | None = None, prefix: str = "cum_", bounded_domain: bool = False) -> DataFrame:
     """Running sums of ``value_cols`` in ``order_col`` order (values of
     ``order_col`` must be unique, e.g. after a group-by on it); also adds the
     grand totals as ``total_<v>``.
@@ -109,7 +122,7 @@ def prefix_sums(df: DataFrame, order_col: str, value_cols, descending: bool = Fa
             out = (out.withColumn(f"{prefix}{v}", F.sum(v).over(w))
                       .withColumn(f"total_{v}", F.sum(v).over(Window.partitionBy())))
         return out
-    cuts = quantile_cuts(df, order_col, n_buckets)
+    cuts = quantile_cuts(df, order_col, n_buckets if n_buckets else adaptive_buckets(df))
     tagged = df.withColumn("_b", value_bucket(order_col, cuts))
     tot = tagged.groupBy("_b").agg(*[F.sum(v).alias(f"_s_{v}") for v in value_cols])
     order = F.col("_b").desc() if descending else F.col("_b").asc()

@@ -66,7 +66,7 @@ def drop_exact_duplicates(df: DataFrame) -> DataFrame:
 
 def ratio_split(df: DataFrame, key_cols=("compound", "protein"), ratios=(0.8, 0.1, 0.1),
                 seed: int = 42, names=("train", "validation", "test"),
-                bucket_bits: int = 12) -> DataFrame:
+                bucket_bits: int | None = None) -> DataFrame:
     """shuffle by ``md5(key|seed)`` and cut at exact counts
     ``int(n*r0)``, ``int(n*r1)``, rest. Adds ``split`` and ``shuffle_rank``."""
     ranked = hash_rank(df, list(key_cols), seed, "shuffle_rank", bucket_bits)
@@ -80,7 +80,7 @@ def ratio_split(df: DataFrame, key_cols=("compound", "protein"), ratios=(0.8, 0.
 
 
 def two_stage_split(df: DataFrame, key_cols=("compound", "protein"), test_size: float = 0.2,
-                    val_size: float = 0.25, seed: int = 42, bucket_bits: int = 12) -> DataFrame:
+                    val_size: float = 0.25, seed: int = 42, bucket_bits: int | None = None) -> DataFrame:
     """test = ceil(test_size*n) first, then validation = ceil(val_size*rest)."""
     ranked = hash_rank(df, list(key_cols), seed, "shuffle_rank", bucket_bits)
     n = F.col("n_total")

@@ -12,19 +12,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bindscape.operators.ranking import quantile_cuts, value_bucket
+from bindscape.operators.ranking import adaptive_buckets, quantile_cuts, value_bucket
 
 CHUNK_ROWS = 200_000
 
 
 def partition_rank(df: DataFrame, partition_cols, order_col: str, tie_cols=(), rank_col: str = "rn",
-                   n_buckets: int = 256) -> DataFrame:
+                   n_buckets: int | None = None) -> DataFrame:
     """Exact 1-based row number within ``partition_cols`` ordered by
     ``order_col`` then ``tie_cols``. The order domain is cut at global
     quantiles; a large group spreads over many (group, bucket) tasks and the
     per-group bucket offsets come from a running sum over bucket counts."""
     partition_cols = list(partition_cols)
-    cuts = quantile_cuts(df, order_col, n_buckets)
+    cuts = quantile_cuts(df, order_col, n_buckets if n_buckets else adaptive_buckets(df))
     tagged = df.withColumn("_b", value_bucket(order_col, cuts))
     counts = tagged.groupBy(*partition_cols, "_b").agg(F.count(F.lit(1)).alias("_n"))
     wb = Window.partitionBy(*partition_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)

@@ -11,7 +11,7 @@ from bindscape.operators import clean, splits
 
 def prepare_training(df: DataFrame, ratios=(0.8, 0.1, 0.1), seed: int = 42,
                      threshold: float = 6.0, row_order=("l_orderkey", "l_linenumber"),
-                     bucket_bits: int = 12) -> DataFrame:
+                     bucket_bits: int | None = None) -> DataFrame:
     """Require columns -> keep-first per pair -> exact-size shuffle split
     -> per-split length filters, pKd, range filter, label.
 
@@ -135,7 +135,7 @@ def preprocess_dataset_normalized(facts: DataFrame, compounds: DataFrame, protei
 
 def prepare_training_normalized(facts: DataFrame, compounds: DataFrame, proteins: DataFrame,
                                 ratios=(0.8, 0.1, 0.1), seed: int = 42, threshold: float = 6.0,
-                                row_order=("l_orderkey", "l_linenumber"), bucket_bits: int = 12) -> DataFrame:
+                                row_order=("l_orderkey", "l_linenumber"), bucket_bits: int | None = None) -> DataFrame:
     """P1 over a normalized star: facts keyed by ``compound_id`` / ``protein_id``
     plus the two dimension tables. Same result as ``prepare_training`` on the
     joined table, but the keep-first step shuffles ids, not strings: each
