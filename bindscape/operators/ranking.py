@@ -46,6 +46,10 @@ def hash_rank(df: DataFrame, key_cols, seed=42, rank_col: str = "rank",
     ``bucket_bits`` sets the bucket count (2**bits, at most 2**20); ``None``
     sizes it from a row count so a bucket holds about ``ROWS_PER_BUCKET`` rows."""
     if bucket_bits is None:
+        # the input is read three times (count, bucket offsets, ranking): persist it once
+        # (memory, spilling to disk; a lost block is recomputed from lineage)
+        from pyspark import StorageLevel
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
         bucket_bits = max(1, (adaptive_buckets(df, lo=2, hi=1 << MAX_HASH_BITS) - 1).bit_length())
     bits = max(1, min(MAX_HASH_BITS, int(bucket_bits)))
     h = hash_key(key_cols, seed)
