@@ -158,3 +158,18 @@ def test_partition_rank_spreads_hot_key(spark):
     r = windows.partition_rank(df, ["k"], "v", rank_col="rn", n_buckets=16)
     bad = r.filter(F.col("rn") != F.col("v") + 1).count()
     assert bad == 0
+
+
+def test_hot_key_plans_reduce_before_shuffle(spark):
+    """A key with a third of the rows: keep-first and top-n both reduce map-side."""
+    df = spark.range(30000).select((F.col("id") % 3).cast("string").alias("compound"), F.lit("P").alias("protein"),
+                                   F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"),
+                                   F.lit("davis").alias("source_dataset"), F.lit("train").alias("source_split"))
+    d = splits.dedup_pairs(df, order_cols=("l_orderkey", "l_linenumber"))
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min" in plan
+    assert sorted(r.l_orderkey for r in d.collect()) == [0, 1, 2]
+    t = windows.top_n_per_group(df, ["compound"], ["l_orderkey"], 5)
+    plan2 = t._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan2 and "Partial" in plan2
+    assert t.count() == 15
