@@ -86,13 +86,20 @@ def quantile_cuts(df: DataFrame, col: str, n_buckets: int = 256, rel_err: float
     return sorted(set(c for c in cuts if c is not None))
 
 
-def value_bucket(col, cuts) -> Column:
-    """Bucket index = number of cut points strictly below the value."""
-    c = F.col(col) if isinstance(col, str) else col
-    if not cuts:
-        return F.lit(0)
-    arr = F.array(*[F.lit(float(x)) for x in cuts])
-    return F.size(F.filter(arr, lambda x: x < c.cast("double")))
+def with_value_bucket(df: DataFrame, col: str, cuts, out: str = "_b") -> DataFrame:
+    """Add ``out`` = index of the value range holding ``col`` (ranges cut at the
+    sorted ``cuts``; equal values always share a range; null sorts first, NaN
+    last). A binary search per row in the JVM (``Bucketizer``); kept opaque to
+    the optimizer, so a plan that joins two sides derived from it stays valid."""
+    from pyspark.ml.feature import Bucketizer
+    splits = [float("-inf")] + [float(x) for x in cuts] + [float("inf")]
+    tmp = "_bv" + out
+    b = Bucketizer(splits=splits, inputCol=tmp, outputCol=out + "_raw", handleInvalid="keep")
+    staged = df.withColumn(tmp, F.col(col).cast("double"))
+    return (b.transform(staged)
+              .withColumn(out, F.when(F.col(tmp).isNull(), F.lit(-1))
+                               .otherwise(F.col(out + "_raw").cast("int")))
+              .drop(tmp, out + "_raw"))
 
 
 def value_rank(df: DataFrame, order_col: str, tie_cols=(), rank_col: str = "rank",
@@ -100,7 +107,7 @@ def value_rank(df: DataFrame, order_col: str, tie_cols=(), rank_col: str = "rank
     """Exact 1-based global row number ordered by ``order_col`` then ``tie_cols``
     (``n_buckets=None`` sizes the buckets from a row count)."""
     cuts = quantile_cuts(df, order_col, n_buckets if n_buckets else adaptive_buckets(df))
-    tagged = df.withColumn("_b", value_bucket(order_col, cuts))
+    tagged = with_value_bucket(df, order_col, cuts)
     offsets = _bucket_offsets(tagged, "_b", descending)
     o = F.col(order_col).desc() if descending else F.col(order_col).asc()
     w = Window.partitionBy("_b").orderBy(o, *tie_cols)
@@ -127,7 +134,7 @@ def prefix_sums(df: DataFrame, order_col: str, value_cols, descending: bool = Fa
                       .withColumn(f"total_{v}", F.sum(v).over(Window.partitionBy())))
         return out
     cuts = quantile_cuts(df, order_col, n_buckets if n_buckets else adaptive_buckets(df))
-    tagged = df.withColumn("_b", value_bucket(order_col, cuts))
+    tagged = with_value_bucket(df, order_col, cuts)
     tot = tagged.groupBy("_b").agg(*[F.sum(v).alias(f"_s_{v}") for v in value_cols])
     order = F.col("_b").desc() if descending else F.col("_b").asc()
     wb = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bindscape.operators.ranking import adaptive_buckets, quantile_cuts, value_bucket
+from bindscape.operators.ranking import adaptive_buckets, quantile_cuts, with_value_bucket
 
 CHUNK_ROWS = 200_000
 
@@ -25,7 +25,7 @@ def partition_rank(df: DataFrame, partition_cols, order_col: str, tie_cols=(), r
     per-group bucket offsets come from a running sum over bucket counts."""
     partition_cols = list(partition_cols)
     cuts = quantile_cuts(df, order_col, n_buckets if n_buckets else adaptive_buckets(df))
-    tagged = df.withColumn("_b", value_bucket(order_col, cuts))
+    tagged = with_value_bucket(df, order_col, cuts)
     counts = tagged.groupBy(*partition_cols, "_b").agg(F.count(F.lit(1)).alias("_n"))
     wb = Window.partitionBy(*partition_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     offs = counts.select(*partition_cols, "_b", (F.sum("_n").over(wb) - F.col("_n")).alias("_off"))
