@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,17 +37,19 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+def shared_dir(spark: SparkSession) -> str:
+    """Folder that the driver and all executors share: ``spark.checkpoint.dir`` of the
+    session, else a folder beside the warehouse tables. Never a machine-local one."""
+    return spark.conf.get("spark.checkpoint.dir", None) or (
+        spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared")
+
 
-    A cluster names a shared folder there; a folder of our own is only set when
-    the setting is unset (local runs and tests)."""
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        conf = tempfile.mkdtemp(prefix="bindscape-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", conf)
-    spark.sparkContext.setCheckpointDir(conf)
-    return conf
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Point the session's checkpoints at ``shared_dir`` unless it already has a
+    checkpoint folder; returns the shared folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    return shared_dir(spark)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
