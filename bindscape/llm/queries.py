@@ -23,3 +23,9 @@ def register(name: str, sql: str | None = None):
 def op2(spark, sf_dir):
     from bindscape.llm.simhash import near_duplicates
     return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@register("op1_shard_balance")
+def op1(spark, sf_dir):
+    from bindscape.llm.sharding import shard_documents
+    return shard_documents(read_table(spark, sf_dir, "documents"))
