@@ -29,3 +29,9 @@ def op2(spark, sf_dir):
 def op1(spark, sf_dir):
     from bindscape.llm.sharding import shard_documents
     return shard_documents(read_table(spark, sf_dir, "documents"))
+
+
+@register("op3_prefix_token_counts")
+def op3(spark, sf_dir):
+    from bindscape.llm.tokens import token_summary
+    return token_summary(read_table(spark, sf_dir, "documents"))
