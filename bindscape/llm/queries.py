@@ -35,3 +35,16 @@ def op1(spark, sf_dir):
 def op3(spark, sf_dir):
     from bindscape.llm.tokens import token_summary
     return token_summary(read_table(spark, sf_dir, "documents"))
+
+
+@register("op5_warc_index_first", """
+with p as (select page_id, coalesce(html, '') as h from pages),
+d as (select page_id, strlen(h)::bigint as payload_bytes, sha256(h) as payload_digest from p),
+f as (select payload_digest, min(page_id) as first_id from d where payload_bytes >= 100 group by 1)
+select d.page_id, d.payload_bytes, d.payload_digest,
+ case when f.first_id is null or f.first_id = d.page_id then 'response' else 'revisit' end as record_type,
+ case when f.first_id <> d.page_id then f.first_id end as refers_to
+from d left join f using (payload_digest)""")
+def op5(spark, sf_dir):
+    from bindscape.llm.warc import round_trip
+    return round_trip(read_table(spark, sf_dir, "pages"))
