@@ -48,3 +48,26 @@ from d left join f using (payload_digest)""")
 def op5(spark, sf_dir):
     from bindscape.llm.warc import round_trip
     return round_trip(read_table(spark, sf_dir, "pages"))
+
+
+@register("op10_poisson_mix", """
+with s as (select source, sum(strlen(coalesce(text, '')) + 1)::double as bytes from documents group by 1),
+w as (select source, bytes, pow(bytes, 0.5) as w from s),
+r as (select source, w * (select sum(bytes) from w) / (select sum(w) from w) / bytes as rate from w),
+d as (select doc_id, d.source, text, rate,
+  ('0x' || substr(md5('42|' || coalesce(doc_id::varchar, '')), 1, 13))::bigint / 4503599627370496.0::double as u
+  from documents d join r on d.source is not distinct from r.source),
+k as (select range as k from range(0, 2000)),
+p as (select source, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) as p from r, k where k <= rate + 12 * sqrt(rate) + 40),
+c as (select source, k, sum(p) over (partition by source order by k) as cdf from p),
+l as (select source, list(cdf order by k) as cdfs from c group by 1),
+n as (select doc_id, d.source, text, len(list_filter(cdfs, lambda x: x <= u)) as n
+  from d join l on d.source is not distinct from l.source),
+e as (select doc_id, source, text, unnest(range(0, n))::int as copy from n)
+select doc_id, source, copy, md5(text) as text_md5,
+ md5('42|' || coalesce(doc_id::varchar, '') || '|' || copy::varchar) as shuffle_key from e""")
+def op10(spark, sf_dir):
+    from bindscape.llm.mixing import mix_sources
+    mixed = mix_sources(read_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", F.col("__copy").alias("copy"), F.md5("text").alias("text_md5"),
+                        F.col("__order").alias("shuffle_key"))
