@@ -71,3 +71,10 @@ def op10(spark, sf_dir):
     mixed = mix_sources(read_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", F.col("__copy").alias("copy"), F.md5("text").alias("text_md5"),
                         F.col("__order").alias("shuffle_key"))
+
+
+@register("op6_toxicity_lexicon")
+def op6(spark, sf_dir):
+    from bindscape.llm.toxicity import fit, score
+    docs = read_table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, read_table(spark, sf_dir, "labels")))
