@@ -78,3 +78,12 @@ def op6(spark, sf_dir):
     from bindscape.llm.toxicity import fit, score
     docs = read_table(spark, sf_dir, "documents")
     return score(docs, fit(docs, read_table(spark, sf_dir, "labels")))
+
+
+@register("op8_pigeonhole_decontamination")
+def op8(spark, sf_dir):
+    from bindscape.llm.decontam import find_leaks
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = find_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+    return marked.select("doc_id", (F.size("leaks") > 0).alias("contaminated"), F.size("leaks").alias("n_items"),
+                         F.col("leaks.item_id").alias("item_ids"), F.col("leaks.distance").alias("distances"))

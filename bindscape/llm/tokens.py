@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
-REMEMBERED = 300_000
+#: Pre-tokens remembered per generation and worker; those of over LONG characters never are.
+REMEMBERED = 350_000
+LONG = 60
 PIECE = 1 << 20
 
 # Fixed values of the tokenizer's format: its split pattern.
@@ -67,9 +69,12 @@ class PrefixCounter:
         self.split = regex.compile(SPLIT)
         self.run = regex.compile(r"\s\s")
         self.gap = regex.compile(r"(?<=\S) (?=\S)")
-        self.letters = byte_letters()
+        self.letters = dict(enumerate(byte_letters()))
         self.follows: dict[tuple[str | None, str], bool] = {}
         self.seen: dict[str, bytes] = {}
+        self.back: dict[str, bytes] = {}
+        self.old_seen: dict[str, bytes] = {}
+        self.old_back: dict[str, bytes] = {}
 
     def merge(self, s: str) -> list[str]:
         """Plain BPE of a short string: the lowest-ranked pair first, leftmost first."""
@@ -97,42 +102,73 @@ class PrefixCounter:
             ok = len(self.merge(token)) == 1
         else:
             ok = self.merge(before + token) == [before, token]
-        if len(self.follows) >= 4 * REMEMBERED:
+        if len(self.follows) >= REMEMBERED:
             self.follows.clear()
         self.follows[before, token] = ok
         return ok
 
-    def pre_token(self, text: str) -> bytes:
-        """Counts (int32) of the prefixes of one pre-token that end at its characters."""
+    def _solve(self, text: str) -> tuple[bytes, list[int], list[int]]:
+        """Bytes, and per byte prefix the count and the length of the last token. Goes on from the
+        longest beginning of the pre-token that is remembered."""
         data = text.encode("utf-8")
-        letters = "".join([self.letters[b] for b in data])
+        letters = data.decode("latin-1").translate(self.letters)
         vocab, follows, n = self.vocab, self.follows, len(letters)
-        count, last = [0], [None]
-        for i in range(1, n + 1):
+        count, size = [0], [0]
+        for k in range(len(text) - 1, 0, -1):
+            start = text[:k]
+            known = self.back.get(start) or self.old_back.get(start)
+            if known is not None:
+                m = len(known) // 2
+                count.extend(known[:m])
+                size.extend(known[m:])
+                break
+        last = [letters[i - s:i] or None for i, s in enumerate(size)]
+        for i in range(len(count), n + 1):
             for j in range(max(0, i - self.longest), i):
                 token = letters[j:i]
                 if token in vocab:
                     ok = follows.get((last[j], token))
                     if ok or (ok is None and self.may_follow(last[j], token)):
                         count.append(count[j] + 1)
+                        size.append(i - j)
                         last.append(token)
                         break
             else:
                 raise ValueError(f"no token ends at byte {i} of {text!r}")
+        return data, count, size
+
+    def pre_token(self, text: str) -> bytes:
+        """Counts (uint8, or int32 for one of over ``LONG`` characters) of the prefixes of one
+        pre-token that end at its characters."""
+        found = self.old_seen.get(text)
+        if found is not None:
+            self.seen[text], self.back[text] = found, self.old_back[text]
+            return found
+        data, count, size = self._solve(text)
+        n = len(data)
         if n == len(text):
             ends = count[1:]
         else:
             ends = [count[i] for i in range(1, n + 1) if i == n or (data[i] & 0xC0) != 0x80]
+        if len(text) > LONG:
+            return array.array("i", ends).tobytes()
         if len(self.seen) >= REMEMBERED:
-            self.seen.clear()
-        found = self.seen[text] = array.array("i", ends).tobytes()
+            # the last two generations are remembered, so frequent words stay
+            self.old_seen, self.old_back, self.seen, self.back = self.seen, self.back, {}, {}
+        self.back[text] = bytes(count[1:] + size[1:])
+        found = self.seen[text] = bytes(ends)
         return found
 
     def _segment(self, text: str) -> np.ndarray:
         """Counts of the prefixes 1..n of a text without special tokens."""
         parts = self.split.findall(text)
         known, learn = self.seen.get, self.pre_token
-        local = np.frombuffer(b"".join([known(p) or learn(p) for p in parts]), np.int32)
+        got = [known(p) or learn(p) for p in parts]
+        if len(text) > LONG and max(map(len, parts)) > LONG:
+            local = np.concatenate([np.frombuffer(g, np.int32 if len(p) > LONG else np.uint8).astype(np.int64)
+                                    for p, g in zip(parts, got, strict=True)])
+        else:
+            local = np.frombuffer(b"".join(got), np.uint8)
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         ends = np.cumsum(sizes)
         totals = local[ends - 1].astype(np.int64)
@@ -145,8 +181,7 @@ class PrefixCounter:
                     counts[starts[k] + 1] = base[k] + 2          # a cut contraction is a quote and a letter
                 elif k + 1 < len(parts) and parts[k + 1][0].isspace() and p.isspace():
                     # a run of white space is one pre-token when the text ends with it
-                    whole = np.frombuffer(learn(p + parts[k + 1][0]), np.int32)
-                    counts[starts[k + 1]] = base[k] + int(whole[-1])
+                    counts[starts[k + 1]] = base[k] + self._solve(p + parts[k + 1][0])[1][-1]
         return counts
 
     def _ordinary(self, text: str) -> np.ndarray:
