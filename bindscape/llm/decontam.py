@@ -3,8 +3,11 @@
 Texts are lower-cased and white space is collapsed. A test item of ``m`` characters has an
 error budget ``k`` (a share of m). It is cut into k + 1 pieces; a passage within k edits of the
 item must hold at least one piece unchanged. All pieces are found in one Aho-Corasick scan
-of each document; around each hit the item's whole text is verified in a window that
-any passage within the budget must lie in.
+of each document. A hit is verified by Myers' distance in a window that any passage within the
+budget must lie in, first for the piece and its neighbour, then for twice as many pieces, up
+to the whole item: of the pieces under a node of this binary tree with budget (pieces - 1),
+one half keeps its own budget, so a true passage passes at every level above one of its
+pieces, and chance hits end after a few characters.
 
 The items are a query set: they go to the tasks in blocks of a bounded size, and each
 block is matched against all documents, so nothing grows with the benchmark but the
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ERROR_RATE = 0.08
+ERROR_RATE = 0.10
 #: Characters of test items that one scan holds in each task.
 BLOCK_CHARS = 4 << 20
 
@@ -41,17 +44,22 @@ def pieces(item: str, rate: float = ERROR_RATE) -> list[tuple[int, str]]:
     return [(edge[i], item[edge[i]:edge[i + 1]]) for i in range(n)]
 
 
-def myers_best(item: str, text: str, limit: int) -> tuple[int, int]:
-    """Smallest edit distance of ``item`` to any substring of ``text`` and the end of the first such
-    substring; (limit + 1, -1) if none is within ``limit``. Bit-parallel, one word per item."""
-    m = len(item)
-    peq: dict[str, int] = {}
+def letter_masks(item: str) -> dict[str, int]:
+    """Bit i of a letter's mask: the item has it at position i."""
+    masks: dict[str, int] = {}
     for i, c in enumerate(item):
-        peq[c] = peq.get(c, 0) | 1 << i
+        masks[c] = masks.get(c, 0) | 1 << i
+    return masks
+
+
+def myers_best(masks: dict[str, int], m: int, text: str, limit: int) -> tuple[int, int]:
+    """Smallest edit distance of an item of ``m`` letters to any substring of ``text`` and the end of
+    the first such substring; (limit + 1, -1) if none is within ``limit`` (less than m).
+    Bit-parallel: one integer holds a column of the edit matrix."""
     mask, top = (1 << m) - 1, 1 << (m - 1)
     pv, mv, score, best, where = mask, 0, m, limit + 1, -1
     for i, c in enumerate(text):
-        eq = peq.get(c, 0)
+        eq = masks.get(c, 0)
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
         ph = mv | ~(xh | pv) & mask
@@ -68,51 +76,78 @@ def myers_best(item: str, text: str, limit: int) -> tuple[int, int]:
     return best, where
 
 
+class Matcher:
+    """Aho-Corasick over the pieces of a block of items, and their trees of nodes."""
+
+    def __init__(self, items: tuple[tuple[int, str], ...], rate: float):
+        import ahocorasick
+        self.items, self.rate = items, rate
+        found: dict[str, list] = {}
+        for k, (_, item) in enumerate(items):
+            cut = pieces(item, rate)
+            ends = [at for at, _ in cut[1:]] + [len(item)]
+            self._grow(k, item, cut, ends, 0, len(cut), (), found)
+        self.pieces = ahocorasick.Automaton()
+        for piece, uses in found.items():
+            self.pieces.add_word(piece, (len(piece), uses))
+        self.pieces.make_automaton()
+
+    def _grow(self, k, item, cut, ends, lo, hi, above, found):
+        """A node over pieces lo..hi; a leaf notes the nodes above it, the lowest first."""
+        start, end = cut[lo][0], ends[hi - 1]
+        node = (start, end - start, hi - lo - 1, letter_masks(item[start:end]))
+        if hi - lo == 1:
+            found.setdefault(cut[lo][1], []).append((k, start, above or (node,)))
+            return
+        mid = (lo + hi) // 2
+        for a, b in ((lo, mid), (mid, hi)):
+            self._grow(k, item, cut, ends, a, b, (node, *above), found)
+
+    def matches(self, text: str | None) -> list[tuple[int, int, int]]:
+        """``(item_id, distance, end)`` for each item that the text holds within its budget: the
+        smallest distance and where (in the normalised text) the first passage of it ends."""
+        s = normalise(text)
+        if not s or not self.items:
+            return []
+        windows: dict[int, list[tuple[int, int]]] = {}
+        roots = {}
+        for end, (n, uses) in self.pieces.iter(s):
+            begin = end - n + 1
+            for k, at, nodes in uses:
+                for start, m, limit, masks in nodes[:-1]:
+                    first = begin - (at - start)
+                    if myers_best(masks, m, s[max(0, first - limit):first + m + limit], limit)[0] > limit:
+                        break
+                else:
+                    start, m, limit, _ = roots[k] = nodes[-1]
+                    first = begin - at
+                    windows.setdefault(k, []).append((max(0, first - limit), min(len(s), first + m + limit)))
+        out = []
+        for k, spans in windows.items():
+            _, m, limit, masks = roots[k]
+            spans.sort()
+            best, where, i = limit + 1, -1, 0
+            while i < len(spans):
+                lo, hi = spans[i]
+                i += 1
+                while i < len(spans) and spans[i][0] <= hi:
+                    hi = max(hi, spans[i][1])
+                    i += 1
+                d, at = myers_best(masks, m, s[lo:hi], best - 1)
+                if d < best:
+                    best, where = d, lo + at
+            if best <= limit:
+                out.append((self.items[k][0], best, where))
+        return sorted(out)
+
+
 @functools.lru_cache(maxsize=2)
-def _matcher(key: str, items: tuple[tuple[int, str], ...], rate: float):
-    import ahocorasick
-    found: dict[str, list[tuple[int, int]]] = {}
-    for k, (_, text) in enumerate(items):
-        for at, piece in pieces(text, rate):
-            found.setdefault(piece, []).append((k, at))
-    machine = ahocorasick.Automaton()
-    for piece, uses in found.items():
-        machine.add_word(piece, (len(piece), uses))
-    machine.make_automaton()
-    return machine
+def _matcher(key: str, items: tuple[tuple[int, str], ...], rate: float) -> Matcher:
+    return Matcher(items, rate)
 
 
 def matches(text: str | None, key: str, items: tuple[tuple[int, str], ...], rate: float) -> list[tuple]:
-    """``(item_id, distance, end)`` for each item that the text holds within its budget: the
-    smallest distance and where (in the normalised text) the first passage of it ends."""
-    s = normalise(text)
-    if not s or not items:
-        return []
-    windows: dict[int, list[tuple[int, int]]] = {}
-    for end, (n, uses) in _matcher(key, items, rate).iter(s):
-        start = end - n + 1
-        for k, at in uses:
-            m = len(items[k][1])
-            b = budget(m, rate)
-            windows.setdefault(k, []).append((max(0, start - at - b), min(len(s), start - at + m + b)))
-    out = []
-    for k, spans in windows.items():
-        item_id, item = items[k]
-        limit = budget(len(item), rate)
-        spans.sort()
-        best, where, i = limit + 1, -1, 0
-        while i < len(spans):
-            lo, hi = spans[i]
-            i += 1
-            while i < len(spans) and spans[i][0] <= hi:
-                hi = max(hi, spans[i][1])
-                i += 1
-            d, at = myers_best(item, s[lo:hi], min(limit, best))
-            if d < best:
-                best, where = d, lo + at
-        if best <= limit:
-            out.append((item_id, best, where))
-    return sorted(out)
+    return _matcher(key, items, rate).matches(text)
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int):
