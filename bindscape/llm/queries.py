@@ -87,3 +87,9 @@ def op8(spark, sf_dir):
     marked = find_leaks(docs, read_table(spark, sf_dir, "benchmark"))
     return marked.select("doc_id", (F.size("leaks") > 0).alias("contaminated"), F.size("leaks").alias("n_items"),
                          F.col("leaks.item_id").alias("item_ids"), F.col("leaks.distance").alias("distances"))
+
+
+@register("op9_chunk_fingerprints")
+def op9(spark, sf_dir):
+    from bindscape.llm.chunks import fingerprint_neighbours
+    return fingerprint_neighbours(read_table(spark, sf_dir, "documents"))
