@@ -93,3 +93,11 @@ def op8(spark, sf_dir):
 def op9(spark, sf_dir):
     from bindscape.llm.chunks import fingerprint_neighbours
     return fingerprint_neighbours(read_table(spark, sf_dir, "documents"))
+
+
+@register("op4_line_similarity_dedup")
+def op4(spark, sf_dir):
+    from bindscape.llm.lines import dedup_lines
+    done = dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", F.col("__lines").alias("n_lines"), F.size("__removed").alias("n_removed"),
+                       F.col("__removed").alias("removed_lines"), F.md5("text").alias("kept_md5"))
