@@ -101,3 +101,9 @@ def op4(spark, sf_dir):
     done = dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", F.col("__lines").alias("n_lines"), F.size("__removed").alias("n_removed"),
                        F.col("__removed").alias("removed_lines"), F.md5("text").alias("kept_md5"))
+
+
+@register("op7_quality_cotraining")
+def op7(spark, sf_dir):
+    from bindscape.llm.quality import score_quality
+    return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
