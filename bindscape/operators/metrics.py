@@ -3,7 +3,7 @@
 Threshold metrics are one conditional aggregate. Rank metrics (ROC AUC,
 average precision, Spearman) first reduce the table to distinct scores with
 positive/negative counts (partial aggregation), then take running counts
-with the bucketed ``prefix_sums`` - no global single-partition window.
+with the range-partitioned ``prefix_sums`` - no global single-partition window.
 """
 
 from __future__ import annotations
@@ -154,7 +154,7 @@ def calibrate(df: DataFrame, score: str, temperature: float | None) -> DataFrame
               .withColumn("calibration_error", F.abs(F.col("_p") - F.col("calibrated"))).drop("_p"))
 
 
-def concordance_index(df: DataFrame, group: str, y: str, pred: str, n_buckets: int | None = None) -> DataFrame:
+def concordance_index(df: DataFrame, group: str, y: str, pred: str, n_parts: int | None = None) -> DataFrame:
     """Per group, Harrell's C over pairs with ``y_i > y_j``: a pair counts 1
     when ``pred_i > pred_j``, 0.5 when the predictions tie. Output
     ``(group, comparable_pairs, concordant, c_index)``.
@@ -165,9 +165,9 @@ def concordance_index(df: DataFrame, group: str, y: str, pred: str, n_buckets: i
     into at most log2(max b) power-of-two blocks (one per set bit of ``b_i``);
     every row is counted in the block that holds its ``b_j`` at each level, so
     each (level, block) is a one-dimensional count of smaller ``a`` - a rank
-    inside the block. Ranks come from the bucketed ``partition_rank``, so a
+    inside the block. Ranks come from the range-partitioned ``partition_rank``, so a
     large group or block is spread over many tasks. Work is O(n log n)."""
-    from bindscape.operators.windows import partition_rank
+    from bindscape.operators.ranking import partition_rank
     from bindscape.session import cut_lineage
 
     # a row id that stays fixed for every use below (reliable checkpoint of 4 columns)
@@ -176,10 +176,10 @@ def concordance_index(df: DataFrame, group: str, y: str, pred: str, n_buckets: i
                          .filter(F.col("y").isNotNull() & F.col("p").isNotNull())
                          .withColumn("id", F.monotonically_increasing_id()))
     # a: 0-based count of rows with a smaller y (ties share it); b: dense rank of p from 0
-    ry = partition_rank(base, ["g"], "y", ["id"], rank_col="_ry", n_buckets=n_buckets)
+    ry = partition_rank(base, ["g"], "y", ["id"], rank_col="_ry", n_parts=n_parts)
     amin = ry.groupBy("g", "y").agg((F.min("_ry") - 1).alias("a"))
     dp = base.select("g", "p").distinct()
-    dp = partition_rank(dp, ["g"], "p", rank_col="_rp", n_buckets=n_buckets).withColumn("b", F.col("_rp") - 1)
+    dp = partition_rank(dp, ["g"], "p", rank_col="_rp", n_parts=n_parts).withColumn("b", F.col("_rp") - 1)
     pts = base.join(amin, ["g", "y"]).join(dp.select("g", "p", "b"), ["g", "p"]).select("g", "id", "a", "b")
     max_b = pts.agg(F.max("b")).first()[0] or 0
     levels = list(range(max(1, int(max_b).bit_length())))
@@ -190,15 +190,15 @@ def concordance_index(df: DataFrame, group: str, y: str, pred: str, n_buckets: i
         "g", "L", (F.expr("shiftright(b, L)") - 1).alias("node"), "a", F.lit(0).alias("kind"), "id")
     # queries sort before contributors at equal a (strictly smaller a only)
     u = partition_rank(contrib.unionByName(queries), ["g", "L", "node"], "a", ["kind", "id"],
-                       rank_col="_ur", n_buckets=n_buckets)
+                       rank_col="_ur", n_parts=n_parts)
     q_ranked = u.filter(F.col("kind") == 0)
     qq = partition_rank(q_ranked.select("g", "L", "node", "a", "id"), ["g", "L", "node"], "a", ["id"],
-                        rank_col="_qr", n_buckets=n_buckets)
+                        rank_col="_qr", n_parts=n_parts)
     before = q_ranked.join(qq, ["g", "L", "node", "a", "id"]).select(
         "g", "id", (F.col("_ur") - F.col("_qr")).alias("_less"))
     conc = before.groupBy("g").agg(F.sum("_less").alias("conc"))
     # ties in the prediction: rows with the same b and a smaller a
-    rt = partition_rank(pts, ["g", "b"], "a", ["id"], rank_col="_rt", n_buckets=n_buckets)
+    rt = partition_rank(pts, ["g", "b"], "a", ["id"], rank_col="_rt", n_parts=n_parts)
     ties = rt.groupBy("g", "b", "a").agg(F.count(F.lit(1)).alias("_n"), (F.min("_rt") - 1).alias("_below")) \
         .groupBy("g").agg(F.sum(F.col("_n") * F.col("_below")).alias("ties"))
     comp = pts.groupBy("g").agg(F.sum("a").alias("comparable"))

@@ -1,19 +1,16 @@
 """Exact global ranks and prefix sums without a single-partition window.
 
 A global ``row_number() over (order by ...)`` moves every row into one task.
-Both helpers here cut the ordering domain into buckets that are a function of
-the row value (not of the physical partitioning, so a recomputed task after an
-executor loss lands on the same numbers):
-
-* ``hash_rank`` orders by an md5 hash; the bucket is the hash prefix, so
-  buckets are uniform whatever the key distribution.
-* ``value_rank`` / ``prefix_sums`` order by a numeric column; bucket bounds
-  are approximate quantiles (a bounded list of cut points), rows are placed by
-  value, so equal values never straddle a bucket edge and the result is exact.
-
-Per bucket: count (map-side combined), a running sum over the bounded bucket
-table gives the offset, the offset is broadcast (its size is the bucket
-count, a parameter) and added to a window that is partitioned by bucket.
+Here the rows are range-partitioned by the whole order (the tie columns
+included, so a frequent value is spread over many tasks), sorted inside each
+partition and numbered there; the numbered rows are cut from their lineage by
+a reliable checkpoint, so partition and position stay fixed when a task is
+recomputed. One count per partition then gives the offsets: a table with one
+row per partition, which is broadcast.
+
+The number of partitions is ``spark.sql.shuffle.partitions`` unless given, so
+partitions keep their size as the data and the setting grow. Nulls sort first,
+NaN and infinities last, and an empty input gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,16 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BUCKETS = 1 << 16
-ROWS_PER_BUCKET = 1_000_000      # target rows per bucket (one window partition)
-MAX_HASH_BITS = 20               # at most 2**20 offsets rows are broadcast (~24 MB)
+from bindscape.session import cut_lineage
 
-
-def adaptive_buckets(df: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, lo: int = 16,
-                     hi: int = MAX_BUCKETS) -> int:
-    """Bucket count from one row count: about ``rows_per_bucket`` rows each."""
-    n = df.count()
-    return int(max(lo, min(hi, -(-n // rows_per_bucket))))
+_POSITION_BITS = 33      # layout of monotonically_increasing_id
 
 
 def hash_key(cols, seed) -> Column:
@@ -39,112 +29,102 @@ def hash_key(cols, seed) -> Column:
     return F.md5(F.concat_ws("|", *parts, F.lit(str(seed))))
 
 
-def hash_rank(df: DataFrame, key_cols, seed=42, rank_col: str = "rank",
-              bucket_bits: int | None = None, with_total: bool = True) -> DataFrame:
-    """1-based global rank ordered by ``(md5(key|seed), key...)``.
-
-    ``bucket_bits`` sets the bucket count (2**bits, at most 2**20); ``None``
-    sizes it from a row count so a bucket holds about ``ROWS_PER_BUCKET`` rows."""
-    if bucket_bits is None:
-        # the input is read three times (count, bucket offsets, ranking): persist it once
-        # (memory, spilling to disk; a lost block is recomputed from lineage)
-        from pyspark import StorageLevel
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
-        bucket_bits = max(1, (adaptive_buckets(df, lo=2, hi=1 << MAX_HASH_BITS) - 1).bit_length())
-    bits = max(1, min(MAX_HASH_BITS, int(bucket_bits)))
-    h = hash_key(key_cols, seed)
-    # the first 6 hex digits are 24 uniform bits; the bucket is their top ``bits``
-    tagged = df.withColumn("_h", h).withColumn(
-        "_b", F.shiftright(F.conv(F.substring("_h", 1, 6), 16, 10).cast("int"), 24 - bits))
-    offsets = _bucket_offsets(tagged, "_b")
-    w = Window.partitionBy("_b").orderBy("_h", *key_cols)
-    out = (tagged.join(F.broadcast(offsets), "_b")
-           .withColumn(rank_col, F.col("_off") + F.row_number().over(w)))
-    drop = ["_b", "_h", "_off"] + ([] if with_total else ["_total"])
-    out = out.drop(*drop)
-    return out.withColumnRenamed("_total", "n_total") if with_total else out
-
-
-def _bucket_offsets(tagged: DataFrame, bucket_col: str, descending: bool = False) -> DataFrame:
-    """Per bucket: rows before it (``_off``) and the grand total (``_total``).
-    The input of the running sum is one row per bucket (bounded)."""
-    counts = tagged.groupBy(bucket_col).agg(F.count(F.lit(1)).alias("_n"))
-    order = F.col(bucket_col).desc() if descending else F.col(bucket_col).asc()
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return counts.select(
-        bucket_col,
-        (F.sum("_n").over(w) - F.col("_n")).alias("_off"),
-        F.sum("_n").over(Window.partitionBy()).alias("_total"),
-    )
-
-
-def quantile_cuts(df: DataFrame, col: str, n_buckets: int = 256, rel_err: float = 1e-3):
-    """Approximate quantile cut points of a numeric column (a bounded list)."""
-    n = max(1, min(MAX_BUCKETS, int(n_buckets)))
-    probs = [i / n for i in range(1, n)]
-    cuts = df.approxQuantile(col, probs, rel_err) if probs else []
-    return sorted(set(c for c in cuts if c is not None))
-
-
-def with_value_bucket(df: DataFrame, col: str, cuts, out: str = "_b") -> DataFrame:
-    """Add ``out`` = index of the value range holding ``col`` (ranges cut at the
-    sorted ``cuts``; equal values always share a range; null sorts first, NaN
-    last). A binary search per row in the JVM (``Bucketizer``); kept opaque to
-    the optimizer, so a plan that joins two sides derived from it stays valid."""
-    from pyspark.ml.feature import Bucketizer
-    splits = [float("-inf")] + [float(x) for x in cuts] + [float("inf")]
-    tmp = "_bv" + out
-    b = Bucketizer(splits=splits, inputCol=tmp, outputCol=out + "_raw", handleInvalid="keep")
-    staged = df.withColumn(tmp, F.col(col).cast("double"))
-    return (b.transform(staged)
-              .withColumn(out, F.when(F.col(tmp).isNull(), F.lit(-1))
-                               .otherwise(F.col(out + "_raw").cast("int")))
-              .drop(tmp, out + "_raw"))
+def _columns(cols) -> list[Column]:
+    return [F.col(c) if isinstance(c, str) else c for c in cols]
+
+
+def ordered_rows(df: DataFrame, order, n_parts: int | None = None) -> DataFrame:
+    """``df`` with ``_b`` (number of the range partition) and ``_i`` (position in
+    it, from 0); positions of all partitions in turn are the global ``order``."""
+    n = n_parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cols = _columns(order)
+    rows = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+              .withColumn("_at", F.monotonically_increasing_id()))
+    return (cut_lineage(rows)
+            .withColumn("_b", F.shiftright("_at", _POSITION_BITS))
+            .withColumn("_i", F.col("_at").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1)))
+            .drop("_at"))
+
+
+def _offsets(rows: DataFrame, sums: dict) -> DataFrame:
+    """Per partition: the sums of the partitions before it (``_off_<name>``) and
+    the grand totals (``_all_<name>``). One row per partition."""
+    per = rows.groupBy("_b").agg(*[s.alias(n) for n, s in sums.items()])
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy()
+    return per.select("_b", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_off_{n}") for n in sums],
+                      *[F.sum(n).over(whole).alias(f"_all_{n}") for n in sums])
+
+
+def global_rank(df: DataFrame, order, rank_col: str = "rank", total_col: str | None = None,
+                n_parts: int | None = None) -> DataFrame:
+    """1-based row number of the whole table by ``order``; ``total_col`` adds the row count."""
+    rows = ordered_rows(df, order, n_parts)
+    out = (rows.join(F.broadcast(_offsets(rows, {"n": F.count(F.lit(1))})), "_b")
+               .withColumn(rank_col, F.col("_off_n") + F.col("_i") + 1))
+    if total_col:
+        out = out.withColumn(total_col, F.col("_all_n"))
+    return out.drop("_b", "_i", "_off_n", "_all_n")
+
+
+def hash_rank(df: DataFrame, key_cols, seed=42, rank_col: str = "rank", n_parts: int | None = None,
+              with_total: bool = True) -> DataFrame:
+    """1-based global rank ordered by ``(md5(key|seed), key...)``."""
+    tagged = df.withColumn("_h", hash_key(key_cols, seed))
+    return global_rank(tagged, ["_h", *key_cols], rank_col, "n_total" if with_total else None, n_parts).drop("_h")
 
 
 def value_rank(df: DataFrame, order_col: str, tie_cols=(), rank_col: str = "rank",
-               descending: bool = False, n_buckets: int | None = None) -> DataFrame:
-    """Exact 1-based global row number ordered by ``order_col`` then ``tie_cols``
-    (``n_buckets=None`` sizes the buckets from a row count)."""
-    cuts = quantile_cuts(df, order_col, n_buckets if n_buckets else adaptive_buckets(df))
-    tagged = with_value_bucket(df, order_col, cuts)
-    offsets = _bucket_offsets(tagged, "_b", descending)
-    o = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    w = Window.partitionBy("_b").orderBy(o, *tie_cols)
-    return (tagged.join(F.broadcast(offsets), "_b")
-            .withColumn(rank_col, F.col("_off") + F.row_number().over(w))
-            .drop("_b", "_off", "_total"))
+               descending: bool = False, n_parts: int | None = None) -> DataFrame:
+    """Exact 1-based global row number ordered by ``order_col`` then ``tie_cols``."""
+    first = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    return global_rank(df, [first, *tie_cols], rank_col, None, n_parts)
+
+
+def partition_rank(df: DataFrame, partition_cols, order_col: str, tie_cols=(), rank_col: str = "rn",
+                   n_parts: int | None = None) -> DataFrame:
+    """Exact 1-based row number within ``partition_cols`` ordered by ``order_col``
+    then ``tie_cols``. A large group spans several range partitions; what it
+    has in earlier partitions is an offset of at most one row per partition."""
+    groups = list(partition_cols)
+    if not groups:
+        return value_rank(df, order_col, tie_cols, rank_col, n_parts=n_parts)
+    rows = ordered_rows(df, [*groups, order_col, *tie_cols], n_parts)
+    before = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("_b", *groups).agg(F.count(F.lit(1)).alias("_n"))
+    # only the first group of a partition can have rows in earlier ones: at most one row per partition
+    carried = counts.withColumn("_off", F.sum("_n").over(before)).where("_off > 0").select(
+        F.col("_b").alias("_cb"), *[F.col(g).alias(f"_c_{g}") for g in groups], "_off")
+    same = F.col("_b") == F.col("_cb")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"_c_{g}"))
+    local = F.row_number().over(Window.partitionBy("_b", *groups).orderBy("_i"))
+    return (rows.withColumn("_local", local).join(F.broadcast(carried), same, "left")
+                .withColumn(rank_col, F.col("_local") + F.coalesce("_off", F.lit(0)))
+                .select(*df.columns, rank_col))
 
 
 def prefix_sums(df: DataFrame, order_col: str, value_cols, descending: bool = False,
-                n_buckets: int | None = None, prefix: str = "cum_", bounded_domain: bool = False) -> DataFrame:
+                n_parts: int | None = None, prefix: str = "cum_", bounded_domain: bool = False) -> DataFrame:
     """Running sums of ``value_cols`` in ``order_col`` order (values of
     ``order_col`` must be unique, e.g. after a group-by on it); also adds the
     grand totals as ``total_<v>``.
 
     ``bounded_domain`` is for a key whose number of distinct values has a
     fixed bound independent of the data size (e.g. a sequence length): the
-    running sum is then one window over that small table, with no sampling pass."""
+    running sum is then one window over that small table."""
+    o = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    upto = (Window.unboundedPreceding, Window.currentRow)
     if bounded_domain:
-        o = F.col(order_col).desc() if descending else F.col(order_col).asc()
-        w = Window.orderBy(o).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         out = df
         for v in value_cols:
-            out = (out.withColumn(f"{prefix}{v}", F.sum(v).over(w))
+            out = (out.withColumn(f"{prefix}{v}", F.sum(v).over(Window.orderBy(o).rowsBetween(*upto)))
                       .withColumn(f"total_{v}", F.sum(v).over(Window.partitionBy())))
         return out
-    cuts = quantile_cuts(df, order_col, n_buckets if n_buckets else adaptive_buckets(df))
-    tagged = with_value_bucket(df, order_col, cuts)
-    tot = tagged.groupBy("_b").agg(*[F.sum(v).alias(f"_s_{v}") for v in value_cols])
-    order = F.col("_b").desc() if descending else F.col("_b").asc()
-    wb = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offs = tot.select("_b", *[(F.sum(f"_s_{v}").over(wb) - F.col(f"_s_{v}")).alias(f"_o_{v}")
-                              for v in value_cols],
-                      *[F.sum(f"_s_{v}").over(Window.partitionBy()).alias(f"total_{v}")
-                        for v in value_cols])
-    o = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    w = Window.partitionBy("_b").orderBy(o).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = tagged.join(F.broadcast(offs), "_b")
+    rows = ordered_rows(df, [o], n_parts)
+    w = Window.partitionBy("_b").orderBy("_i").rowsBetween(*upto)
+    out = rows.join(F.broadcast(_offsets(rows, {v: F.sum(v) for v in value_cols})), "_b")
     for v in value_cols:
-        out = out.withColumn(f"{prefix}{v}", F.col(f"_o_{v}") + F.sum(v).over(w))
-    return out.drop("_b", *[f"_o_{v}" for v in value_cols])
+        out = (out.withColumn(f"{prefix}{v}", F.col(f"_off_{v}") + F.sum(v).over(w))
+                  .withColumn(f"total_{v}", F.col(f"_all_{v}")))
+    return out.select(*df.columns, *[f"{p}{v}" for v in value_cols for p in (prefix, "total_")])

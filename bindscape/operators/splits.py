@@ -66,10 +66,10 @@ def drop_exact_duplicates(df: DataFrame) -> DataFrame:
 
 def ratio_split(df: DataFrame, key_cols=("compound", "protein"), ratios=(0.8, 0.1, 0.1),
                 seed: int = 42, names=("train", "validation", "test"),
-                bucket_bits: int | None = None) -> DataFrame:
+                n_parts: int | None = None) -> DataFrame:
     """shuffle by ``md5(key|seed)`` and cut at exact counts
     ``int(n*r0)``, ``int(n*r1)``, rest. Adds ``split`` and ``shuffle_rank``."""
-    ranked = hash_rank(df, list(key_cols), seed, "shuffle_rank", bucket_bits)
+    ranked = hash_rank(df, list(key_cols), seed, "shuffle_rank", n_parts)
     n = F.col("n_total")
     n_train = F.floor(n * F.lit(float(ratios[0])))
     n_val = F.floor(n * F.lit(float(ratios[1])))
@@ -80,9 +80,9 @@ def ratio_split(df: DataFrame, key_cols=("compound", "protein"), ratios=(0.8, 0.
 
 
 def two_stage_split(df: DataFrame, key_cols=("compound", "protein"), test_size: float = 0.2,
-                    val_size: float = 0.25, seed: int = 42, bucket_bits: int | None = None) -> DataFrame:
+                    val_size: float = 0.25, seed: int = 42, n_parts: int | None = None) -> DataFrame:
     """test = ceil(test_size*n) first, then validation = ceil(val_size*rest)."""
-    ranked = hash_rank(df, list(key_cols), seed, "shuffle_rank", bucket_bits)
+    ranked = hash_rank(df, list(key_cols), seed, "shuffle_rank", n_parts)
     n = F.col("n_total")
     n_test = F.ceil(n * F.lit(float(test_size)))
     n_val = F.ceil((n - n_test) * F.lit(float(val_size)))

@@ -4,7 +4,7 @@ Ordered running computations over one long sequence (the whole request log,
 or one very large group) are cut into chunks of consecutive rows: each chunk
 receives the ``width - 1`` rows before it as a flagged overlap, the frame is
 evaluated per (group, chunk), and only unflagged rows are kept. Row numbers
-come from bucketed ranking, so no step moves a whole sequence into one task.
+come from range-partitioned ranking, so no step moves a whole sequence into one task.
 """
 
 from __future__ import annotations
@@ -12,31 +12,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bindscape.operators.ranking import adaptive_buckets, quantile_cuts, with_value_bucket
+from bindscape.operators.ranking import partition_rank
 
 CHUNK_ROWS = 200_000
 
 
-def partition_rank(df: DataFrame, partition_cols, order_col: str, tie_cols=(), rank_col: str = "rn",
-                   n_buckets: int | None = None) -> DataFrame:
-    """Exact 1-based row number within ``partition_cols`` ordered by
-    ``order_col`` then ``tie_cols``. The order domain is cut at global
-    quantiles; a large group spreads over many (group, bucket) tasks and the
-    per-group bucket offsets come from a running sum over bucket counts."""
-    partition_cols = list(partition_cols)
-    cuts = quantile_cuts(df, order_col, n_buckets if n_buckets else adaptive_buckets(df))
-    tagged = with_value_bucket(df, order_col, cuts)
-    counts = tagged.groupBy(*partition_cols, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    wb = Window.partitionBy(*partition_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    offs = counts.select(*partition_cols, "_b", (F.sum("_n").over(wb) - F.col("_n")).alias("_off"))
-    if not partition_cols:
-        offs = F.broadcast(offs)   # one row per bucket: bounded by n_buckets
-    w = Window.partitionBy(*partition_cols, "_b").orderBy(order_col, *tie_cols)
-    return (tagged.join(offs, [*partition_cols, "_b"])
-                  .withColumn(rank_col, F.col("_off") + F.row_number().over(w))
-                  .drop("_b", "_off"))
-
-
 def with_overlap(ranked: DataFrame, width: int, chunk_rows: int = CHUNK_ROWS, rn: str = "rn") -> DataFrame:
     """Tag rows with ``_chunk`` and duplicate the last ``width - 1`` rows of
     each chunk into the next one with ``_overlap = true``."""

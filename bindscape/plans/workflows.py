@@ -11,7 +11,7 @@ from bindscape.operators import clean, splits
 
 def prepare_training(df: DataFrame, ratios=(0.8, 0.1, 0.1), seed: int = 42,
                      threshold: float = 6.0, row_order=("l_orderkey", "l_linenumber"),
-                     bucket_bits: int | None = None) -> DataFrame:
+                     n_parts: int | None = None) -> DataFrame:
     """Require columns -> keep-first per pair -> exact-size shuffle split
     -> per-split length filters, pKd, range filter, label.
 
@@ -20,7 +20,7 @@ def prepare_training(df: DataFrame, ratios=(0.8, 0.1, 0.1), seed: int = 42,
     the pair de-duplication and the hash-bucketed rank."""
     splits.require_columns(df, ["compound", "protein", "affinity"])
     first = splits.dedup_pairs(df, ("compound", "protein"), row_order)
-    cut = splits.ratio_split(first, ("compound", "protein"), ratios, seed, bucket_bits=bucket_bits)
+    cut = splits.ratio_split(first, ("compound", "protein"), ratios, seed, n_parts=n_parts)
     return clean.add_training_columns(cut, "affinity", threshold)
 
 
@@ -135,7 +135,7 @@ def preprocess_dataset_normalized(facts: DataFrame, compounds: DataFrame, protei
 
 def prepare_training_normalized(facts: DataFrame, compounds: DataFrame, proteins: DataFrame,
                                 ratios=(0.8, 0.1, 0.1), seed: int = 42, threshold: float = 6.0,
-                                row_order=("l_orderkey", "l_linenumber"), bucket_bits: int | None = None) -> DataFrame:
+                                row_order=("l_orderkey", "l_linenumber"), n_parts: int | None = None) -> DataFrame:
     """P1 over a normalized star: facts keyed by ``compound_id`` / ``protein_id``
     plus the two dimension tables. Same result as ``prepare_training`` on the
     joined table, but the keep-first step shuffles ids, not strings: each
@@ -148,7 +148,7 @@ def prepare_training_normalized(facts: DataFrame, compounds: DataFrame, proteins
     named = (first.join(canon_c.withColumnRenamed("canon_c", "_cc"), F.col("canon_c") == F.col("_cc"))
                   .join(canon_p.withColumnRenamed("canon_p", "_cp"), F.col("canon_p") == F.col("_cp"))
                   .drop("_cc", "_cp", "canon_c", "canon_p"))
-    cut = splits.ratio_split(named, ("compound", "protein"), ratios, seed, bucket_bits=bucket_bits)
+    cut = splits.ratio_split(named, ("compound", "protein"), ratios, seed, n_parts=n_parts)
     return clean.add_training_columns(cut, "affinity", threshold)
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bindscape.operators.windows import partition_rank
+from bindscape.operators.ranking import partition_rank
 from bindscape.session import cut_lineage
 
 

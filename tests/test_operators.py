@@ -15,7 +15,7 @@ from bindscape.streaming import ttl
 
 def test_hash_rank_matches_single_partition_row_number(spark):
     df = spark.range(3000).select(F.col("id").alias("k"))
-    r = ranking.hash_rank(df, ["k"], 42, "rank", bucket_bits=4)
+    r = ranking.hash_rank(df, ["k"], 42, "rank", n_parts=16)
     ref = df.withColumn("_h", ranking.hash_key(["k"], 42)) \
         .withColumn("ref", F.row_number().over(Window.orderBy("_h", "k")))
     j = r.join(ref, "k")
@@ -27,23 +27,23 @@ def test_value_rank_and_prefix_sums_exact(spark):
     rnd = random.Random(1)
     data = [(i, float(rnd.randint(0, 50))) for i in range(500)]
     df = spark.createDataFrame(data, "id long, v double")
-    r = ranking.value_rank(df, "v", ["id"], "rank", n_buckets=8).toPandas()
+    r = ranking.value_rank(df, "v", ["id"], "rank", n_parts=8).toPandas()
     pdf = pd.DataFrame(data, columns=["id", "v"]).sort_values(["v", "id"]).reset_index(drop=True)
     pdf["ref"] = np.arange(1, len(pdf) + 1)
     m = r.merge(pdf, on="id")
     assert (m["rank"] == m["ref"]).all()
     g = df.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    p = ranking.prefix_sums(g, "v", ["c"], descending=True, n_buckets=4).toPandas().sort_values("v", ascending=False)
+    p = ranking.prefix_sums(g, "v", ["c"], descending=True, n_parts=4).toPandas().sort_values("v", ascending=False)
     assert list(p["cum_c"]) == list(p["c"].cumsum())
 
 
 def test_splits_disjoint_complete_exact(spark):
     df = spark.range(1001).select(F.col("id").cast("string").alias("compound"), F.lit("P").alias("protein"))
-    s = splits.ratio_split(df, bucket_bits=3)
+    s = splits.ratio_split(df, n_parts=8)
     counts = dict(s.groupBy("split").count().collect())
     assert counts == {"train": 800, "validation": 100, "test": 101}
     assert s.select("compound").distinct().count() == 1001
-    t = splits.two_stage_split(df, bucket_bits=3)
+    t = splits.two_stage_split(df, n_parts=8)
     c2 = dict(t.groupBy("split").count().collect())
     assert c2["test"] == math.ceil(1001 * 0.2) and c2["validation"] == math.ceil((1001 - 201) * 0.25)
 
@@ -155,7 +155,7 @@ def test_rolling_latency_chunks_match_full_window(spark):
 def test_partition_rank_spreads_hot_key(spark):
     data = [("hot", i) for i in range(2000)] + [("cold", i) for i in range(10)]
     df = spark.createDataFrame(data, "k string, v long")
-    r = windows.partition_rank(df, ["k"], "v", rank_col="rn", n_buckets=16)
+    r = ranking.partition_rank(df, ["k"], "v", rank_col="rn", n_parts=16)
     bad = r.filter(F.col("rn") != F.col("v") + 1).count()
     assert bad == 0
 
