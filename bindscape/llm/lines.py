@@ -10,6 +10,9 @@ are then compared in full. Equal sets are one class, represented by the earliest
 
 from __future__ import annotations
 
+from decimal import Decimal
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,7 +47,7 @@ def _bucket(word_hash: Column) -> Column:
 def rarity(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """One row with the array ``ranks``: the rank (from 0, rarest first) of each of the 65,536 hash
     buckets by the number of words in it, over all lines."""
-    words = docs.select(F.explode(F.split(F.lower(F.regexp_replace(text_col, "[\\n\\t\\r\\f\\x0B]", " ")), " ")).alias("w"))
+    words = docs.select(F.explode(_words(F.replace(F.col(text_col), F.lit("\n"), F.lit(" ")))).alias("w"))
     counts = words.where("w <> ''").groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("n"))
     dense = counts.union(every).groupBy("b").agg(F.sum("n").alias("n"))
@@ -56,10 +59,12 @@ def rarity(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def _codes(words: Column, ranks: Column) -> Column:
     """Sorted distinct codes of the words, empty strings left out."""
-    def code(w):
-        h = F.xxhash64(w)
-        return F.shiftleft(F.get(ranks, _bucket(h)), 47).bitwiseOR(F.shiftrightunsigned(h, 17))
-    return F.sort_array(F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), code)))
+    hashes = F.array_distinct(F.transform(words, lambda w: F.when(w == "", F.lit(0).cast("long")).otherwise(F.xxhash64(w))))
+
+    def code(h):
+        rank = F.coalesce(F.get(ranks, _bucket(h)), F.lit(0).cast("long"))
+        return F.shiftleft(rank, 47).bitwiseOR(F.shiftrightunsigned(h, 17))
+    return F.sort_array(F.transform(F.array_remove(hashes, F.lit(0).cast("long")), code))
 
 
 def _coded(lines: DataFrame, ranks: DataFrame) -> DataFrame:
@@ -67,6 +72,12 @@ def _coded(lines: DataFrame, ranks: DataFrame) -> DataFrame:
     return staged.select(*lines.columns, _codes(_words(F.col("line")), F.col("ranks")).alias("codes")).drop("line")
 
 
+def _place(doc: Column, line_no: Column) -> Column:
+    """Position of a line in the order of the corpus as one number: by id (null first), then line."""
+    return (F.coalesce(doc.cast("decimal(20,0)"), F.lit(Decimal(-(1 << 63) - 1)).cast("decimal(20,0)"))
+            * F.lit(1 << 32).cast("decimal(10,0)") + line_no.cast("decimal(10,0)")).cast("decimal(38,0)")
+
+
 def _ceil(x: Column) -> Column:
     """Ceiling that forgives rounding just above an integer."""
     return F.ceil(x - F.lit(1e-9)).cast("int")
@@ -78,48 +89,51 @@ def similar_sets(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ``n - ceil(t n) + 1`` codes, rarest first; of the smaller set of a pair the first
     ``n - ceil(2 t n / (1 + t)) + 1`` are enough."""
     t = F.lit(threshold)
-    entry = sets.select("key", "n", F.posexplode("prefix").alias("pos", "code"))
-    short = F.col("n") - _ceil(2 * t / (1 + t) * F.col("n")) + 1
-    index = entry.where(F.col("pos") < short).select(
-        F.col("code"), F.col("key").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    probe = entry.select(F.col("code").alias("code_b"), F.col("key").alias("b"), F.col("n").alias("nb"),
-                         F.col("pos").alias("pb"))
-    sized = ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & (
-        F.col("na") >= t * F.col("nb") - 1e-9)
-    need = _ceil(t / (1 + t) * (F.col("na") + F.col("nb")))
-    placed = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1 >= need
-    return index.hint("shuffle_hash").join(probe, (F.col("code") == F.col("code_b")) & sized & placed).select(
-        "a", "b").distinct()
+    packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
+    entry = sets.select("key", "n", F.posexplode("prefix").alias("pos", "code")).select("code", "key", packed.alias("at"))
+    one, two = entry.alias("one"), entry.alias("two")
+    a, b = F.col("one.key"), F.col("two.key")
+    na, nb = (F.shiftright(F.col(f"{s}.at"), 32).cast("int") for s in ("one", "two"))
+    pa, pb = (F.col(f"{s}.at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int") for s in ("one", "two"))
+    # asked of the pair rather than of the smaller set's entries, so that one shuffle serves both sides
+    short = (pa < na - _ceil(2 * t / (1 + t) * na) + 1) | (nb < 0)
+    sized = ((na < nb) | ((na == nb) & (a < b))) & (na >= t * nb - 1e-9)
+    placed = F.least(na - pa, nb - pb) >= _ceil(t / (1 + t) * (na + nb))
+    return one.hint("shuffle_hash").join(two, (F.col("one.code") == F.col("two.code")) & short & sized & placed).select(
+        a.alias("a"), b.alias("b")).distinct()
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(lines, classes, links)``: each line with words ``(doc, hash, line_no, key)``; each distinct word
-    set ``(key, n, first)`` with its earliest line; and the similar pairs of sets ``(a, b)``."""
+    set ``(key, first)`` with the place of its earliest line; and the similar pairs of sets ``(a, b)``."""
     ranks = rarity(docs, text_col)
     t = F.lit(threshold)
     coded = _coded(_lines(docs, id_col, text_col), ranks)
     n = F.size("codes")
-    lines = cut_lineage(coded.where(n > 0).select(
+    place = _place(F.col("doc"), F.col("line_no"))
+    # read three times below; blocks that are lost or don't fit are coded again from the texts
+    wide = coded.where(n > 0).select(
         "doc", "hash", "line_no", F.xxhash64("codes").alias("key"), n.alias("n"),
-        F.slice("codes", 1, n - _ceil(t * n) + 1).alias("prefix")))
-    classes = cut_lineage(lines.groupBy("key", "n", "prefix").agg(F.min(F.struct("doc", "line_no", "hash")).alias("first")))
-    pairs = cut_lineage(similar_sets(classes, threshold))
+        F.slice("codes", 1, n - _ceil(t * n) + 1).alias("prefix")).persist(StorageLevel.MEMORY_AND_DISK)
+    lines = cut_lineage(wide.select("doc", "hash", "line_no", "key"))
+    pairs = cut_lineage(similar_sets(wide.select("key", "n", "prefix").distinct(), threshold))
+    wide.unpersist()
+    narrow = cut_lineage(lines.groupBy("key").agg(F.min(place).alias("first")))
     # the full sets of the lines that stand for a candidate
-    asked = cut_lineage(classes.join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key", "left_semi")
-                        .select("key", F.col("first.doc").alias("d"), F.col("first.line_no").alias("l"),
-                                F.col("first.hash").alias("h")))
-    small = asked.count() * 64 <= BROADCAST_BYTES
-    wanted = _lines(docs, id_col, text_col).join(
-        F.broadcast(asked) if small else asked,
-        F.col("doc").eqNullSafe(F.col("d")) & (F.col("line_no") == F.col("l")) & (F.col("hash") == F.col("h")))
-    sets = cut_lineage(_coded(wanted.select("key", "line").dropDuplicates(["key"]), ranks))
-    one = sets.select(F.col("key").alias("a"), F.col("codes").alias("x"))
-    two = sets.select(F.col("key").alias("b"), F.col("codes").alias("y"))
+    asked = cut_lineage(narrow.join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key", "left_semi")
+                        .select(F.col("key").alias("asked_key"), F.col("first").alias("asked_place")))
+    if asked.count() * 64 <= BROADCAST_BYTES:
+        asked = F.broadcast(asked)
+    wanted = _lines(docs, id_col, text_col).join(asked, F.col("asked_place") == place)
+    sets = cut_lineage(_coded(wanted.select("asked_key", "line"), ranks).where(F.xxhash64("codes") == F.col("asked_key"))
+                       .groupBy("asked_key").agg(F.first("codes").alias("codes")))
+    one = sets.select(F.col("asked_key").alias("a"), F.col("codes").alias("x"))
+    two = sets.select(F.col("asked_key").alias("b"), F.col("codes").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     similar = common >= t * (F.size("x") + F.size("y") - common) - 1e-9
     links = pairs.join(one, "a").join(two, "b").where(similar).select("a", "b")
-    return lines.drop("n", "prefix"), classes.drop("prefix"), cut_lineage(links)
+    return lines, narrow, cut_lineage(links)
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -132,10 +146,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = classes.select("key", "first")
     near = (both.join(first.withColumnRenamed("key", "b"), "b")
             .groupBy("a").agg(F.min("first").alias("near")).withColumnRenamed("a", "key"))
-    judged = first.join(near, "key", "left").select(
-        "key", "first", F.coalesce(F.col("near") < F.col("first"), F.lit(False)).alias("late"))
-    here = F.struct("doc", "line_no", "hash")
-    gone = lines.join(judged, "key").where(F.col("late") | (F.col("first") < here))
+    judged = first.join(near, "key", "left").select("key", F.least("first", "near").alias("keep"))
+    gone = lines.join(judged, "key").where(F.col("keep") < _place(F.col("doc"), F.col("line_no")))
     return gone.groupBy("doc", "hash").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
 
@@ -147,7 +159,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Lines are cut at line feeds; a line without words matches nothing and stays. Lines of fewer
     than five words match equal sets, or sets of at most one word more. Null texts stay null
     with 0 lines, empty ones have one empty line. Rows with a null id come first in the order. Rows
-    that repeat id and text are one document and are cut alike. Other columns are untouched."""
+    of one id share its place in the order: a line is later only than lines of smaller ids or numbers. Other columns are untouched."""
     gone = removed_lines(docs, id_col, text_col, threshold).select(
         F.col("doc").alias("__doc"), F.col("hash").alias("__hash"), F.col("removed").alias("__gone"))
     marked = docs.join(gone, docs[id_col].eqNullSafe(F.col("__doc")) & (F.xxhash64(docs[text_col]) == F.col("__hash")), "left")
