@@ -53,15 +53,19 @@ def roc_auc(df: DataFrame, y: str = "y_true", score: str = "score") -> DataFrame
     c = score_counts(df, y, score)
     contrib = F.col("neg") * (2 * F.col("cum_pos") - F.col("pos"))
     P, N = F.max("total_pos"), F.max("total_neg")
-    return c.agg(F.when((P > 0) & (N > 0), F.sum(contrib) / (2.0 * P * N)).alias("roc_auc"))
+    return c.agg(F.when((P > 0) & (N > 0), F.try_divide(F.sum(contrib), 2.0 * P * N)).alias("roc_auc"))
 
 
 def roc_curve(df: DataFrame, y: str = "y_true", score: str = "score") -> DataFrame:
-    """One (fpr, tpr) point per distinct score threshold, from the top."""
+    """The start (0, 0) (threshold null), then one (fpr, tpr) point per distinct score
+    threshold, from the top."""
     c = score_counts(df, y, score)
-    return c.select(F.col(score).alias("threshold"),
-                    F.when(F.col("total_neg") > 0, F.col("cum_neg") / F.col("total_neg")).alias("fpr"),
-                    F.when(F.col("total_pos") > 0, F.col("cum_pos") / F.col("total_pos")).alias("tpr"))
+    start = df.sparkSession.range(1).select(F.lit(None).cast(df.schema[score].dataType).alias("threshold"),
+                                            F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    return start.union(c.select(
+        F.col(score).alias("threshold"),
+        F.when(F.col("total_neg") > 0, F.col("cum_neg") / F.col("total_neg")).alias("fpr"),
+        F.when(F.col("total_pos") > 0, F.col("cum_pos") / F.col("total_pos")).alias("tpr")))
 
 
 def pr_auc(df: DataFrame, y: str = "y_true", score: str = "score") -> DataFrame:
@@ -69,43 +73,54 @@ def pr_auc(df: DataFrame, y: str = "y_true", score: str = "score") -> DataFrame:
     c = score_counts(df, y, score)
     prec = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
     P = F.max("total_pos")
-    return c.agg(F.when(P > 0, F.sum(F.col("pos") * prec) / P).alias("pr_auc"))
+    return c.agg(F.when(P > 0, F.try_divide(F.sum(F.col("pos") * prec), P)).alias("pr_auc"))
 
 
 def pr_curve(df: DataFrame, y: str = "y_true", score: str = "score") -> DataFrame:
-    """(precision, recall) per distinct threshold; the end point is (1, 0)."""
+    """(precision, recall) per distinct threshold, and the end point (1, 0) (threshold null)."""
     c = score_counts(df, y, score)
+    end = df.sparkSession.range(1).select(F.lit(None).cast(df.schema[score].dataType).alias("threshold"),
+                                          F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
     return c.select(F.col(score).alias("threshold"),
                     (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("precision"),
-                    F.when(F.col("total_pos") > 0, F.col("cum_pos") / F.col("total_pos")).alias("recall"))
+                    F.when(F.col("total_pos") > 0, F.col("cum_pos") / F.col("total_pos")).alias("recall")).union(end)
 
 
 def regression_metrics(df: DataFrame, y: str, pred: str) -> DataFrame:
-    """MSE, MAE, R^2 = 1 - SSE/SST, Pearson correlation (one aggregate)."""
+    """MSE, MAE, R^2 = 1 - SSE/SST (SST from the centered population
+    variance), Pearson correlation (one aggregate)."""
     e = F.col(pred) - F.col(y)
-    n = F.count(F.lit(1))
+    n = F.count(e)
     sse = F.sum(e * e)
-    sst = F.sum(F.col(y) * F.col(y)) - F.sum(F.col(y)) * F.sum(F.col(y)) / n
-    return df.agg((sse / n).alias("mse"), F.avg(F.abs(e)).alias("mae"),
+    sst = F.var_pop(F.when(e.isNotNull(), F.col(y))) * n
+    return df.agg(F.try_divide(sse, n).alias("mse"), F.avg(F.abs(e)).alias("mae"),
                   F.when(sst > 0, F.lit(1.0) - sse / sst).alias("r2"),
                   F.corr(y, pred).alias("pearson"))
 
 
-def average_ranks(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Average (tie-aware) 1-based ranks of ``col``: distinct values with counts,
-    running counts, rank = rows below + (count + 1) / 2. Returns ``(col, out)``."""
-    g = df.groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
+def average_ranks(df: DataFrame, col: str, out: str, weight: str | None = None) -> DataFrame:
+    """Average (tie-aware) 1-based ranks of ``col``: distinct values with counts
+    (or summed ``weight``), running counts, rank = rows below + (count + 1) / 2.
+    Returns ``(col, out, _total)``, the last being the number of rows."""
+    g = df.groupBy(col).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
     c = prefix_sums(g, col, ["_n"])
-    return c.select(col, (F.col("cum__n") - F.col("_n") + (F.col("_n") + 1) / 2.0).alias(out))
+    return c.select(col, (F.col("cum__n") - F.col("_n") + (F.col("_n") + 1) / 2.0).alias(out),
+                    F.col("total__n").alias("_total"))
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """E5: Pearson correlation of average-tied ranks. Each rank table has one
-    row per distinct value and is joined back on the value."""
-    ra = average_ranks(df, a, "_ra")
-    rb = average_ranks(df, b, "_rb")
-    j = df.select(a, b).join(ra, a).join(rb, b)
-    return j.agg(F.corr("_ra", "_rb").alias("spearman"))
+    """E5: Pearson correlation of average-tied ranks. Rows are first counted
+    per distinct pair (combined map-side), so a frequent value meets its rank
+    once per value of the other column; the mean rank is known, so the sums
+    are centered. Rows with a null in either column are left out; null when a
+    column is constant or the table empty."""
+    pairs = df.select(F.col(a).alias("_a"), F.col(b).alias("_b_")).dropna().groupBy("_a", "_b_").agg(
+        F.count(F.lit(1)).alias("_w"))
+    ra = average_ranks(pairs, "_a", "_ra", "_w")
+    rb = average_ranks(pairs, "_b_", "_rb", "_w")
+    j = pairs.join(ra, "_a").join(rb.drop("_total"), "_b_")
+    x, y, w = F.col("_ra") - (F.col("_total") + 1) / 2.0, F.col("_rb") - (F.col("_total") + 1) / 2.0, F.col("_w")
+    return j.agg(F.try_divide(F.sum(w * x * y), F.sqrt(F.sum(w * x * x) * F.sum(w * y * y))).alias("spearman"))
 
 
 TEMPERATURES = [round(0.1 + i * 0.1, 10) for i in range(50)]   # 0.1 .. 5.0

@@ -79,8 +79,8 @@ def drug_summary(df: DataFrame, compound: str = "compound") -> DataFrame:
         F.sum(v.cast("long")).alias("valid_drugs"),
         F.avg(F.when(v, F.col("violations"))).alias("avg_violations"),
         F.sum(F.when(v & (F.col("violations") <= 1), 1).otherwise(0)).cast("long").alias("drug_like_compounds"),
-        (F.sum(F.when(v & (F.col("violations") <= 1), 1).otherwise(0))
-         * F.lit(100.0) / F.sum(v.cast("long"))).alias("drug_like_percentage"),
+        F.try_divide(F.sum(F.when(v & (F.col("violations") <= 1), 1).otherwise(0)) * F.lit(100.0),
+                     F.sum(v.cast("long"))).alias("drug_like_percentage"),
         F.avg(F.when(v, F.col("mw"))).alias("avg_molecular_weight"),
         F.avg(F.when(v, F.col("logp"))).alias("avg_logp"),
     )
@@ -195,11 +195,11 @@ def dimension_extremes(df: DataFrame, vec: str = "embedding") -> DataFrame:
 
 def masked_mean_pool(df: DataFrame, seq: str, vec: str, mask: str) -> DataFrame:
     """Per sequence and dimension, sum(v * mask) / sum(mask) over its
-    tokens. Long form ``(seq, dim, value)``: one partial aggregate per
+    tokens (null when every token is masked). Long form ``(seq, dim, value)``: one partial aggregate per
     (sequence, dimension), so a long sequence is reduced map-side."""
     ex = df.select(seq, mask, F.posexplode(vec).alias("dim", "v"))
     return ex.groupBy(seq, "dim").agg(
-        (F.sum(F.col("v") * F.col(mask)) / F.sum(mask)).alias("value"))
+        F.try_divide(F.sum(F.col("v") * F.col(mask)), F.sum(mask)).alias("value"))
 
 
 def binding_coverage(sites: DataFrame, seqs: DataFrame, seq_id: str = "protein_id",
@@ -213,14 +213,16 @@ def binding_coverage(sites: DataFrame, seqs: DataFrame, seq_id: str = "protein_i
 
 
 def char_composition(df: DataFrame, col: str, top_n: int | None = None,
-                     char_name: str = "residue") -> DataFrame:
-    """Character counts over the corpus with their share of all
-    characters, by count descending (ties by character). The explode feeds a
-    partial aggregate in the same stage, so only (char, count) pairs shuffle."""
-    chars = df.select(F.explode(F.split(F.col(col), "")).alias(char_name)).filter(F.col(char_name) != "")
-    counts = chars.groupBy(char_name).agg(F.count(F.lit(1)).alias("count"))
-    # the grouped table has one row per distinct character (bounded by the alphabet)
-    out = counts.withColumn("percentage", F.col("count") * F.lit(100.0) / F.sum("count").over(Window.partitionBy()))
+                     char_name: str = "residue", by=()) -> DataFrame:
+    """Character counts with their share of all characters, over the
+    corpus or per group of the ``by`` columns (e.g. per sequence), by count
+    descending (ties by character). The explode feeds a partial aggregate in
+    the same stage, so only (group, char, count) rows shuffle."""
+    by = list(by)
+    chars = df.select(*by, F.explode(F.split(F.col(col), "")).alias(char_name)).filter(F.col(char_name) != "")
+    counts = chars.groupBy(*by, char_name).agg(F.count(F.lit(1)).alias("count"))
+    # a group has one row per distinct character (bounded by the alphabet)
+    out = counts.withColumn("percentage", F.col("count") * F.lit(100.0) / F.sum("count").over(Window.partitionBy(*by)))
     if top_n is not None:
         out = out.orderBy(F.col("count").desc(), F.col(char_name)).limit(int(top_n))
     return out

@@ -30,12 +30,12 @@ def uncertainty_interval(mc: DataFrame, mean: str = "mean_prediction",
 
 def ensemble_properties(conf: DataFrame, group_cols, energy: str, conf_id: str) -> DataFrame:
     """Boltzmann-like weights p = exp(-E / 2.5) (not normalized):
-    weighted mean energy, population std of E, max p, -sum p ln p (p > 0),
+    weighted mean energy (null when all weights underflow to 0), population std of E, max p, -sum p ln p (p > 0),
     primary conformation = lowest energy (ties: smallest id)."""
     p = F.exp(-F.col(energy) / F.lit(2.5))
     c = conf.withColumn("_p", p)
     return c.groupBy(*group_cols).agg(
-        (F.sum(F.col(energy) * F.col("_p")) / F.sum("_p")).alias("average_energy"),
+        F.try_divide(F.sum(F.col(energy) * F.col("_p")), F.sum("_p")).alias("average_energy"),
         F.stddev_pop(energy).alias("energy_spread"),
         F.max("_p").alias("dominant_conformation_prob"),
         (-F.sum(F.when(F.col("_p") > 0, F.col("_p") * F.log(F.col("_p"))))).alias("conformational_entropy"),
@@ -52,15 +52,16 @@ def latency_report(log: DataFrame, latency: str = "latency_ms", threshold_ms: fl
     cum = prefix_sums(hist, latency, ["_c"])
     x, c = F.col(latency), F.col("_c")
     n = F.sum(c)
-    mean = F.sum(x * c) / n
-    var_s = (F.sum(x * x * c) - n * mean * mean) / (n - 1)
+    # second moments around the mean (one number read back), so a large offset costs no digits
+    mean = cum.agg(F.try_divide(F.sum(x * c), n)).first()[0]
+    d = x - F.lit(mean if mean is not None else 0.0)
     return cum.agg(
-        n.alias("n_requests"), mean.alias("avg_latency_ms"),
+        F.coalesce(n, F.lit(0)).alias("n_requests"), F.lit(mean).cast("double").alias("avg_latency_ms"),
         *percentile_aggs(latency, "cum__c", "total__c", [0.5, 0.95, 0.99],
                          ["median_latency_ms", "p95_latency_ms", "p99_latency_ms"]),
         F.min(x).alias("min_latency_ms"), F.max(x).alias("max_latency_ms"),
-        F.sqrt(F.greatest(var_s, F.lit(0.0))).alias("std_latency_ms"),
-        (F.sum(F.when(x < threshold_ms, c).otherwise(0)) / n).alias("sub_120ms_rate"),
+        F.sqrt(F.when(n > 1, F.sum(d * d * c) / (n - 1))).alias("std_latency_ms"),
+        F.try_divide(F.sum(F.when(x < threshold_ms, c).otherwise(0)), n).alias("sub_120ms_rate"),
     )
 
 
@@ -105,21 +106,24 @@ def hit_rate(log: DataFrame, hit: str = "cached") -> DataFrame:
 
 def performance_grade(log: DataFrame, latency: str = "latency_ms", cached: str = "cached") -> DataFrame:
     """Weighted grade of latency (40), cache speedup (30) and load (30)
-    sub-scores over one scan of the log; letter grade by thresholds."""
+    sub-scores over one scan of the log; letter grade by thresholds. Only the
+    parts that the log has count: without both cached and uncached requests
+    there is no speedup, and its weight is left out. An empty log is 'N/A'."""
     x = F.col(latency)
     sub = F.avg(F.when(x < 120, 1.0).otherwise(0.0))
-    avg = F.avg(x)
-    lat = sub * 0.6 + F.greatest(F.lit(0.0), (F.lit(120.0) - avg) / 120.0) * 0.4
+    lat = sub * 0.6 + F.greatest(F.lit(0.0), (F.lit(120.0) - F.avg(x)) / 120.0) * 0.4
     t_on = F.sum(F.when(F.col(cached), x))
     t_off = F.sum(F.when(~F.col(cached), x))
-    speed = F.when(t_on > 0, t_off / t_on).otherwise(F.lit(1.0))
-    cache = F.least(F.lit(1.0), speed / 3.0)
-    tput = F.count(F.lit(1)) / (F.sum(x) / 1000.0)
-    conc = F.least(F.lit(1.0), tput / 50.0) * 0.5 + sub * 0.5
-    score = (lat * 40 + cache * 30 + conc * 30) / 100.0
-    g = log.agg(lat.alias("latency_score"), cache.alias("cache_score"), conc.alias("concurrent_score"),
-                score.alias("final_score"))
+    cache = F.least(F.lit(1.0), F.try_divide(t_off, t_on) / 3.0)
+    cache = F.when((t_on > 0) & t_off.isNotNull(), cache)
+    tput = F.try_divide(F.count(x), F.sum(x) / 1000.0)
+    conc = F.least(F.lit(1.0), F.coalesce(tput, F.lit(0.0)) / 50.0) * 0.5 + sub * 0.5
+    g = log.agg(lat.alias("latency_score"), cache.alias("cache_score"), conc.alias("concurrent_score"))
+    parts = [("latency_score", 40), ("cache_score", 30), ("concurrent_score", 30)]
+    got = sum((F.coalesce(F.col(p) * w, F.lit(0.0)) for p, w in parts), F.lit(0.0))
+    most = sum((F.when(F.col(p).isNotNull(), w).otherwise(0) for p, w in parts), F.lit(0))
+    g = g.withColumn("final_score", F.try_divide(got, most))
     s = F.col("final_score")
-    grade = (F.when(s >= 0.9, "A+").when(s >= 0.8, "A").when(s >= 0.7, "B+").when(s >= 0.6, "B")
-              .when(s >= 0.5, "C+").when(s >= 0.4, "C").otherwise("D"))
+    grade = (F.when(s.isNull(), "N/A").when(s >= 0.9, "A+").when(s >= 0.8, "A").when(s >= 0.7, "B+")
+              .when(s >= 0.6, "B").when(s >= 0.5, "C+").when(s >= 0.4, "C").otherwise("D"))
     return g.withColumn("grade", grade)

@@ -14,7 +14,7 @@ _LAMBDA = re.compile(r"\b([a-z_][a-z0-9_]*)\s*->\s*")
 VIEWS = {
     "t_proteins": """
 select doc_id as protein_id, case when doc_id%7=0 then lower(q) else q end as protein from (
- select doc_id, substr(case when doc_id%5=0 then l else translate(l,'BJOUXZ','') end,1,1200) as q from (
+ select doc_id, case when doc_id%5=0 then l else translate(l,'BJOUXZ','') end as q from (
   select doc_id, upper(regexp_replace(text,'[^A-Za-z]','','g')) as l from documents) a) b""",
     "t_compounds": """
 select p_partkey as compound_id,

@@ -53,8 +53,9 @@ def q_e2(spark, sf):
 
 
 @register("E2_roc_curve", with_views(SCORE_COUNTS_SQL + """
-select score as threshold, round(case when tn_all > 0 then cum_neg / tn_all end, 6) as fpr,
-       round(case when tp_all > 0 then cum_pos / tp_all end, 6) as tpr from c""", "t_scored"))
+select null::double as threshold, 0.0::double as fpr, 0.0::double as tpr
+union all select score, round(case when tn_all > 0 then cum_neg / tn_all end, 6),
+       round(case when tp_all > 0 then cum_pos / tp_all end, 6) from c""", "t_scored"))
 def q_e2c(spark, sf):
     c = M.roc_curve(V.scored(spark, sf))
     return c.select("threshold", r6("fpr").alias("fpr"), r6("tpr").alias("tpr"))
@@ -69,7 +70,8 @@ def q_e3(spark, sf):
 
 @register("E3_pr_curve", with_views(SCORE_COUNTS_SQL + """
 select score as threshold, round(cum_pos / (cum_pos + cum_neg), 6) as precision,
-       round(case when tp_all > 0 then cum_pos / tp_all end, 6) as recall from c""", "t_scored"))
+       round(case when tp_all > 0 then cum_pos / tp_all end, 6) as recall from c
+union all select null, 1.0, 0.0""", "t_scored"))
 def q_e3c(spark, sf):
     c = M.pr_curve(V.scored(spark, sf))
     return c.select("threshold", r6("precision").alias("precision"), r6("recall").alias("recall"))

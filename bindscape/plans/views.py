@@ -43,12 +43,10 @@ def proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``protein_id long, protein string`` from ``documents``: letters only, upper
     case, invalid letters removed except on every fifth id, lower case on every
-    seventh, cut to 1200 residues."""
+    seventh."""
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     letters = F.upper(F.regexp_replace("text", "[^A-Za-z]+", ""))
-    q = F.substring(
-        F.when(F.col("doc_id") % 5 == 0, letters).otherwise(F.translate(letters, "BJOUXZ", "")),
-        1, 1200)
+    q = F.when(F.col("doc_id") % 5 == 0, letters).otherwise(F.translate(letters, "BJOUXZ", ""))
     return d.select(
         F.col("doc_id").alias("protein_id"),
         F.when(F.col("doc_id") % 7 == 0, F.lower(q)).otherwise(q).alias("protein"),
