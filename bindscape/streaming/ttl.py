@@ -16,15 +16,15 @@ still spread over many tasks):
    pointer is left; ``S`` is then the chain of misses. About log2(chain length)
    rounds; lineage is cut with reliable checkpoints.
 
-Stream: ``applyInPandasWithState`` keeps one timestamp per key and an
-event-time timeout that drops the state once the watermark passes t0 + ttl.
+Stream: ``applyInPandasWithState`` holds a key's requests until the watermark passes
+them, folds them in time order and keeps one anchor time per key (see
+``ttl_hits_stream``).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from bindscape.operators.ranking import partition_rank
 from bindscape.session import cut_lineage
@@ -45,58 +45,16 @@ def _next_pointers(df: DataFrame, key: str, t: str, ident: str, ttl_us: int):
 
 
 def ttl_hits(df: DataFrame, key: str = "cache_key", t: str = "ts_us", ident: str = "event_id",
-             ttl_us: int = 3600 * 1_000_000, max_group_rows: int = 1_000_000) -> DataFrame:
-    """Batch J1: the input rows with ``hit`` (boolean).
-
-    One aggregate measures the largest key. When every key is within
-    ``max_group_rows`` the fold runs per key in ``applyInPandas`` (one shuffle,
-    each group proven bounded); otherwise the pointer-doubling plan runs,
-    which never gathers a key."""
-    biggest = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if biggest <= max_group_rows:
-        return ttl_hits_fold(df, key, t, ident, ttl_us)
-    return ttl_hits_doubling(df, key, t, ident, ttl_us)
-
-
-def ttl_hits_fold(df: DataFrame, key: str, t: str, ident: str, ttl_us: int) -> DataFrame:
-    """Sequential fold per key (keys must be bounded; see ``ttl_hits``): rows
-    are hash-partitioned by key and sorted by (key, time, id) inside each
-    partition, then one pass over each partition's Arrow batches carries the
-    current key and its anchor time across batch boundaries."""
-    cols = df.columns
-    schema = T.StructType(list(df.schema.fields) + [T.StructField("hit", T.BooleanType())])
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-
-    def fold(batches):
-        import numpy as np
-        last, t0 = None, None
-        for pdf in batches:
-            keys, tv = pdf[key].to_numpy(), pdf[t].to_numpy()
-            hits = np.zeros(len(pdf), dtype=bool)
-            for i in range(len(pdf)):
-                if keys[i] != last:
-                    last, t0 = keys[i], tv[i]
-                elif tv[i] - t0 < ttl_us:
-                    hits[i] = True
-                else:
-                    t0 = tv[i]
-            out = pdf[cols].copy()
-            out["hit"] = hits
-            yield out
-
-    return (df.repartition(n, key).sortWithinPartitions(key, t, ident)
-              .mapInPandas(fold, schema))
-
-
-def ttl_hits_doubling(df: DataFrame, key: str = "cache_key", t: str = "ts_us", ident: str = "event_id",
-                      ttl_us: int = 3600 * 1_000_000, checkpoint_every: int = 1, max_rounds: int = 64) -> DataFrame:
-    """Batch J1 by pointer doubling (no key is gathered into one task)."""
+             ttl_us: int = 3600 * 1_000_000, max_rounds: int = 64) -> DataFrame:
+    """Batch J1: the input rows with ``hit`` (boolean), by pointer doubling (no key is gathered
+    into one task). Raises if pointers are left after ``max_rounds`` rounds, enough for
+    2 ** max_rounds misses of one key."""
     jumps, ranked = _next_pointers(df, key, t, ident, ttl_us)
     ranked = cut_lineage(ranked.select(key, ident, "rn"))
     J = cut_lineage(jumps.select(key, F.col("rn").alias("src"), F.col("nxt").alias("dst"))
                     .filter(F.col("dst").isNotNull()))
     S = ranked.filter(F.col("rn") == 1).select(key, "rn")
-    for m in range(max_rounds):
+    for _ in range(max_rounds):
         if J.isEmpty():
             break
         reached = S.join(J.withColumnRenamed("src", "rn"), [key, "rn"]).select(key, F.col("dst").alias("rn"))
@@ -104,50 +62,58 @@ def ttl_hits_doubling(df: DataFrame, key: str = "cache_key", t: str = "ts_us", i
         J2 = J.alias("a").join(J.alias("b"), (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.dst") == F.col("b.src"))) \
             .select(F.col(f"a.{key}").alias(key), F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
         J = J2
-        if (m + 1) % checkpoint_every == 0:
-            S, J = cut_lineage(S), cut_lineage(J)
+        S, J = cut_lineage(S), cut_lineage(J)
+    else:
+        if not J.isEmpty():
+            raise RuntimeError(f"pointers are left after {max_rounds} rounds")
     misses = S.withColumn("_miss", F.lit(True))
     out = ranked.join(misses, [key, "rn"], "left")
     return (df.join(out.select(ident, key, F.coalesce(F.col("_miss"), F.lit(False)).alias("_m")), [key, ident])
               .withColumn("hit", ~F.col("_m")).drop("_m"))
 
 
-STATE_SCHEMA = "t0 long"
+STATE_SCHEMA = "t0 long, wait_t array<long>, wait_id array<long>"
 
 
 def ttl_hits_stream(stream: DataFrame, key: str = "cache_key", ts: str = "ts", ident: str = "event_id",
                     ttl_seconds: int = 3600, watermark: str = "1 hour") -> DataFrame:
-    """Streaming J1 with one stored timestamp per key. Requests of a key must
-    arrive in event-time order across micro-batches (they are sorted within
-    one); rows later than the watermark are dropped by the watermark."""
+    """Streaming J1 in event-time order. Requests of a key wait in state until the
+    watermark passes them, are then sorted by (time, id) and folded into the
+    anchor time, so files and batches may arrive in any order within the
+    watermark delay; requests later than that are dropped by the watermark. State
+    is one time per key plus its requests of the delay, and is dropped once
+    the watermark passes t0 + ttl with nothing waiting. A finite log needs one
+    later row of any key to move the watermark past its end."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     ttl_us = int(ttl_seconds) * 1_000_000
 
     def fold(k, pdfs, state):
         import pandas as pd
-        t0 = state.get[0] if state.exists else None
-        if state.hasTimedOut:
-            state.remove()
-            return
-        frames = [p for p in pdfs]
-        if not frames:
-            return
-        pdf = pd.concat(frames).sort_values(["_t", ident])
+        t0, waiting = None, []
+        if state.exists:
+            t0, wait_t, wait_id = state.get
+            waiting = list(zip(wait_t, wait_id, strict=True))
+        if not state.hasTimedOut:
+            for p in pdfs:
+                waiting += zip(p["_t"].tolist(), p[ident].tolist(), strict=True)
+        mark_ms = state.getCurrentWatermarkMs()
+        waiting.sort()
+        ready = [w for w in waiting if w[0] // 1000 < mark_ms]
+        waiting = waiting[len(ready):]
         hits = []
-        for tv in pdf["_t"].to_numpy():
-            if t0 is not None and tv - t0 < ttl_us:
-                hits.append(True)
-            else:
-                hits.append(False)
-                t0 = int(tv)
-        expire_ms = int((t0 + ttl_us) // 1000)
-        if expire_ms <= state.getCurrentWatermarkMs():
+        for tv, _ in ready:
+            hits.append(t0 is not None and tv - t0 < ttl_us)
+            if not hits[-1]:
+                t0 = tv
+        expires = [w[0] // 1000 + 1 for w in waiting[:1]] or [0 if t0 is None else (t0 + ttl_us) // 1000 + 1]
+        if not waiting and expires[0] <= mark_ms:
             state.remove()          # every later request is a miss anyway
         else:
-            state.update((int(t0),))
-            state.setTimeoutTimestamp(expire_ms)
-        yield pd.DataFrame({key: pdf[key].to_numpy(), ident: pdf[ident].to_numpy(), "hit": hits})
+            state.update((t0, [w[0] for w in waiting], [w[1] for w in waiting]))
+            state.setTimeoutTimestamp(max(int(expires[0]), mark_ms + 1))
+        if ready:
+            yield pd.DataFrame({key: [k[0]] * len(ready), ident: [w[1] for w in ready], "hit": hits})
 
     s = stream.withWatermark(ts, watermark).withColumn("_t", F.unix_micros(F.col(ts)))
     return s.groupBy(key).applyInPandasWithState(

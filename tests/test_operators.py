@@ -125,20 +125,24 @@ def test_ttl_gap_equal_to_ttl_is_a_miss(spark):
     df = spark.createDataFrame(rows, "cache_key string, event_id long, ts_us long")
     want = {1: False, 2: True, 3: False, 4: True, 5: False, 6: False, 7: True}
     # k: 0 miss, 30 hit, 60 miss (gap == ttl), 90 hit, 125 miss; j: 0 miss, 10 hit
-    for kwargs in ({}, {"max_group_rows": 0}):          # per-key fold, and pointer doubling
-        h = dict((r.event_id, r.hit) for r in ttl.ttl_hits(df, ttl_us=60, **kwargs).collect())
-        assert h == want
+    assert dict((r.event_id, r.hit) for r in ttl.ttl_hits(df, ttl_us=60).collect()) == want
+    try:
+        ttl.ttl_hits(df, ttl_us=60, max_rounds=1)
+        raise AssertionError("pointers were left")
+    except RuntimeError:
+        pass
 
 
-def test_ttl_fold_equals_doubling_on_request_log(spark):
+def test_ttl_matches_a_fold_on_the_request_log(spark):
     from tests.conftest import SMOKE
     from bindscape.plans import views as V
     log = V.requests(spark, SMOKE).withColumn("ts_us", F.unix_micros("ts")).select("cache_key", "event_id", "ts_us")
-    a = ttl.ttl_hits(log, ttl_us=2 * 86400 * 10**6).select("event_id", "hit")
-    b = ttl.ttl_hits(log, ttl_us=2 * 86400 * 10**6, max_group_rows=0).select("event_id", F.col("hit").alias("h2"))
-    j = a.join(b, "event_id")
-    assert j.count() == log.count()
-    assert j.filter(F.col("hit") != F.col("h2")).count() == 0
+    ttl_us, want, t0 = 2 * 86400 * 10**6, {}, {}
+    for r in sorted(log.collect(), key=lambda r: (r.ts_us, r.event_id)):
+        want[r.event_id] = r.cache_key in t0 and r.ts_us - t0[r.cache_key] < ttl_us
+        if not want[r.event_id]:
+            t0[r.cache_key] = r.ts_us
+    assert dict((r.event_id, r.hit) for r in ttl.ttl_hits(log, ttl_us=ttl_us).collect()) == want
 
 
 def test_rolling_latency_chunks_match_full_window(spark):
