@@ -138,18 +138,28 @@ def residue_counts(seq) -> Column:
         chars, F.transform(chars, lambda ch: F.length(s) - F.length(F.replace(s, ch, F.lit("")))))
 
 
+def residue_percentages(seq) -> Column:
+    """Map residue -> percentage of the length for every character present."""
+    s = _col(seq)
+    return F.transform_values(residue_counts(s), lambda k, v: v * F.lit(100.0) / F.length(s))
+
+
 def sequence_stats(seq) -> Column:
-    """Statistics of a valid sequence with the second weight table; null when invalid."""
+    """``valid`` and, for a valid sequence, its length, the counts of the 20 residues
+    (map), weight (second table) and ratios; these are null when it is invalid."""
     n = normalize_protein(seq)
+    ok = is_valid_protein(seq)
     ln = F.length(n)
     mw = sum((count_chars(n, a) * F.lit(w) for a, w in STATS_WEIGHTS.items()), F.lit(0.0))
-    st = F.struct(
-        ln.alias("length"),
-        mw.alias("molecular_weight"),
-        (count_chars(n, STATS_HYDROPHOBIC) / ln).alias("hydrophobic_ratio"),
-        (count_chars(n, STATS_CHARGED) / ln).alias("charged_ratio"),
+    counts = F.create_map(*[x for a in STATS_WEIGHTS for x in (F.lit(a), count_chars(n, a))])
+    return F.struct(
+        F.coalesce(ok, F.lit(False)).alias("valid"),
+        F.when(ok, ln).alias("length"),
+        F.when(ok, counts).alias("residue_counts"),
+        F.when(ok, mw).alias("molecular_weight"),
+        F.when(ok, count_chars(n, STATS_HYDROPHOBIC) / ln).alias("hydrophobic_ratio"),
+        F.when(ok, count_chars(n, STATS_CHARGED) / ln).alias("charged_ratio"),
     )
-    return F.when(is_valid_protein(seq), st)
 
 
 def residue_classes_ui(seq) -> Column:

@@ -108,30 +108,55 @@ def q_i2(spark, sf):
                     r6(F.coalesce("mw", F.lit(0.0))).alias("mw"), "n")
 
 
+# Residue weights of the sequence statistics, and the residues.
+STATS_WEIGHTS_SQL = {
+    "A": 89.1, "C": 121.0, "D": 133.1, "E": 147.1, "F": 165.2,
+    "G": 75.1, "H": 155.2, "I": 131.2, "K": 146.2, "L": 131.2,
+    "M": 149.2, "N": 132.1, "P": 115.1, "Q": 146.2, "R": 174.2,
+    "S": 105.1, "T": 119.1, "V": 117.1, "W": 204.2, "Y": 181.2,
+}
+RESIDUES = "ACDEFGHIKLMNPQRSTVWY"
+
+
+@register("I3_residue_counts", with_views(f"""
+with n as (select protein_id, {NORM_SQL} as n from t_proteins),
+c as (select protein_id, length(n) as len, unnest(string_split(n, '')) as residue from n where length(n) > 0)
+select protein_id, residue, count(*) as count, round(count(*) * 100.0 / max(len), 6) as percentage
+from c group by protein_id, residue""", "t_proteins"))
+def q_i3(spark, sf):
+    d = V.proteins(spark, sf).select("protein_id", P.normalize_protein("protein").alias("n"))
+    both = d.select("protein_id", P.residue_counts("n").alias("c"), P.residue_percentages("n").alias("p"))
+    rows = both.select("protein_id", "p", F.explode("c").alias("residue", "count"))
+    return rows.select("protein_id", "residue", F.col("count").cast("long").alias("count"),
+                       r6(F.element_at("p", F.col("residue"))).alias("percentage"))
+
+
 @register("I6_sequence_stats", with_views(f"""
-select protein_id, case when v then length(n) end as length,
- round(cast(case when v then {_mw_sql('n', P.STATS_WEIGHTS)} end as double), 6) as molecular_weight,
- round(case when v then {cnt('n', P.STATS_HYDROPHOBIC)} / length(n) end, 6) as hydrophobic_ratio,
- round(case when v then {cnt('n', P.STATS_CHARGED)} / length(n) end, 6) as charged_ratio
+select protein_id, v as valid, case when v then length(n) end as length,
+ {", ".join(f"case when v then {cnt('n', a)} end as count_{a.lower()}" for a in RESIDUES)},
+ round(cast(case when v then {_mw_sql('n', STATS_WEIGHTS_SQL)} end as double), 6) as molecular_weight,
+ round(case when v then {cnt('n', 'AILMFPWV')} / length(n) end, 6) as hydrophobic_ratio,
+ round(case when v then {cnt('n', 'DEKR')} / length(n) end, 6) as charged_ratio
 from (select protein_id, {NORM_SQL} as n, coalesce({VALID_PROT_SQL.format(c='protein')}, false) as v
       from t_proteins) x""", "t_proteins"))
 def q_i6(spark, sf):
     st = P.sequence_stats("protein")
     return V.proteins(spark, sf).select(
-        "protein_id", st["length"].cast("long").alias("length"), r6(st["molecular_weight"]).alias("molecular_weight"),
+        "protein_id", st["valid"].alias("valid"), st["length"].cast("long").alias("length"),
+        *[F.element_at(st["residue_counts"], F.lit(a)).cast("long").alias(f"count_{a.lower()}") for a in RESIDUES],
+        r6(st["molecular_weight"]).alias("molecular_weight"),
         r6(st["hydrophobic_ratio"]).alias("hydrophobic_ratio"), r6(st["charged_ratio"]).alias("charged_ratio"))
 
 
-@register("I7_residue_classes_ui", with_views(f"""
-select protein_id, {cnt('u', P.UI_HYDROPHOBIC)} as hydrophobic, {cnt('u', P.UI_POLAR)} as polar,
- {cnt('u', P.UI_CHARGED)} as charged, {cnt('u', P.UI_AROMATIC)} as aromatic,
- round(case when length(u) > 0 then {cnt('u', P.UI_AROMATIC)} * 100.0 / length(u) end, 6) as aromatic_pct
-from (select protein_id, upper(protein) as u from t_proteins) x""", "t_proteins"))
+@register("I7_residue_classes_ui", with_views("select protein_id, " + ", ".join(
+    f"{cnt('u', s)} as {k}, round(case when length(u) > 0 then {cnt('u', s)} * 100.0 / length(u) end, 6) as {k}_pct"
+    for k, s in (("hydrophobic", "AILMFPWV"), ("polar", "NQST"), ("charged", "DEKR"), ("aromatic", "FWY")))
+    + " from (select protein_id, upper(protein) as u from t_proteins) x", "t_proteins"))
 def q_i7(spark, sf):
     c = P.residue_classes_ui("protein")
-    return V.proteins(spark, sf).select(
-        "protein_id", *[c[k].cast("long").alias(k) for k in ("hydrophobic", "polar", "charged", "aromatic")],
-        r6(c["aromatic_pct"]).alias("aromatic_pct"))
+    names = ("hydrophobic", "polar", "charged", "aromatic")
+    return V.proteins(spark, sf).select("protein_id", *[c[k].cast("long").alias(k) for k in names],
+                                        *[r6(c[f"{k}_pct"]).alias(f"{k}_pct") for k in names])
 
 
 @register("I28_I29_tokenize_pad", with_views("""
@@ -343,21 +368,25 @@ def q_i30(spark, sf):
     return V.compounds(spark, sf).select("compound_id", joined(S.bit_fingerprint("compound")).alias("bits"))
 
 
-@register("I12_I13_lipinski_veber", with_views("""
-select compound_id,
- cast(coalesce(molecular_weight, 0) > 500 as int) + cast(coalesce(alogp, 0) > 5 as int)
-   + cast(coalesce(hbd, 0) > 5 as int) + cast(coalesce(hba, 0) > 10 as int) as violations,
- (cast(coalesce(molecular_weight, 0) > 500 as int) + cast(coalesce(alogp, 0) > 5 as int)
-   + cast(coalesce(hbd, 0) > 5 as int) + cast(coalesce(hba, 0) > 10 as int)) <= 1 as lipinski_compliant,
- round(cast(greatest(0.0, 1.0 - 0.25 * (cast(coalesce(molecular_weight, 0) > 500 as int) + cast(coalesce(alogp, 0) > 5 as int)
-   + cast(coalesce(hbd, 0) > 5 as int) + cast(coalesce(hba, 0) > 10 as int))) as double), 6) as drug_likeness_score,
+_VIOLATIONS_SQL = ("(cast(coalesce(molecular_weight, 0) > 500 as int) + cast(coalesce(alogp, 0) > 5 as int)"
+                   " + cast(coalesce(hbd, 0) > 5 as int) + cast(coalesce(hba, 0) > 10 as int))")
+
+
+@register("I12_I13_lipinski_veber", with_views(f"""
+select compound_id, {_VIOLATIONS_SQL} as violations, {_VIOLATIONS_SQL} <= 1 as lipinski_compliant,
+ round(cast(greatest(0.0, 1.0 - 0.25 * {_VIOLATIONS_SQL}) as double), 6) as drug_likeness_score,
+ coalesce(p_size % 15, 0) <= 10 as rotatable_bonds_ok, coalesce(p_retailprice / 10.0::double, 0) <= 140 as tpsa_ok,
  max_phase = 4 as approved
-from t_descriptors""", "t_descriptors"))
+from t_descriptors join part on p_partkey = compound_id""", "t_descriptors"))
 def q_i12(spark, sf):
     from bindscape.operators.joins import lipinski_veber
-    d = lipinski_veber(V.compound_descriptors(spark, sf))
+    from bindscape.session import read_table
+    more = read_table(spark, sf, "part").select(
+        F.col("p_partkey").alias("compound_id"), (F.col("p_size") % 15).alias("rotatable_bonds"),
+        (F.col("p_retailprice") / F.lit(10.0)).alias("tpsa"))
+    d = lipinski_veber(V.compound_descriptors(spark, sf).join(more, "compound_id"), rotatable="rotatable_bonds", tpsa="tpsa")
     return d.select("compound_id", F.col("violations").cast("int").alias("violations"), "lipinski_compliant",
-                    r6("drug_likeness_score").alias("drug_likeness_score"),
+                    r6("drug_likeness_score").alias("drug_likeness_score"), "rotatable_bonds_ok", "tpsa_ok",
                     (F.col("max_phase") == 4).alias("approved"))
 
 
@@ -398,15 +427,17 @@ select l_orderkey, l_linenumber,
  case when a > 7 then 'Strong' when a > 5 then 'Moderate' when a > 3 then 'Weak' else 'Very Weak' end as binding_strength,
  round(a / 10.0, 6) as interaction_probability,
  case when a > 7 then 'High' when a > 5 then 'Medium' else 'Low' end as affinity_bin,
- case when a / 10.0 > 0.7 then 'High' when a / 10.0 > 0.4 then 'Medium' else 'Low' end as probability_bin
+ case when a / 10.0 > 0.7 then 'High' when a / 10.0 > 0.4 then 'Medium' else 'Low' end as probability_bin,
+ case when l_linenumber / 7.0 > 0.8 then 'High' when l_linenumber / 7.0 > 0.6 then 'Medium' else 'Low' end as confidence_bin
 from (select l_orderkey, l_linenumber, {PKD_SQL} as a from t_interactions_ids) x""", "t_interactions_ids"))
 def q_i21(spark, sf):
     d = V.interactions_ids(spark, sf).select("l_orderkey", "l_linenumber", clean.to_pkd("affinity").alias("a"))
     b = K.binding_strength("a")
-    u = K.ui_bins("a", b["interaction_probability"], F.lit(0.0))
+    u = K.ui_bins("a", b["interaction_probability"], F.col("l_linenumber") / F.lit(7.0))
     return d.select("l_orderkey", "l_linenumber", b["binding_strength"].alias("binding_strength"),
                     r6(b["interaction_probability"]).alias("interaction_probability"),
-                    u["affinity_bin"].alias("affinity_bin"), u["probability_bin"].alias("probability_bin"))
+                    u["affinity_bin"].alias("affinity_bin"), u["probability_bin"].alias("probability_bin"),
+                    u["confidence_bin"].alias("confidence_bin"))
 
 
 @register("I23_property_categories", with_views(f"""
@@ -461,15 +492,24 @@ def q_i24(spark, sf):
 
 
 @register("I25_format_chat_example", with_views(f"""
-select l_orderkey, l_linenumber, 'human' as from_0, 'gpt' as from_1, md5({_INSTR_SQL}) as human_md5,
-       2 as n_turns
+select l_orderkey, l_linenumber, 'human' as from_0, 'gpt' as from_1, md5({_INSTR_SQL}) as human_md5, 2 as n_turns,
+ round(pKd, 2) as pkd_text, cast(case when pKd >= 6.0 then 1.0 else 0.3 end as double) as prob_text,
+ case when pKd > 6.5 then 'Low' when pKd > 5.0 then 'Medium' else 'High' end as toxicity_risk,
+ case when pKd < 8.0 then 'Good' else 'Moderate' end as solubility,
+ case when pKd > 5.0 and pKd < 9.0 then 'High' else 'Moderate' end as druglikeness
 from (select *, {PKD_SQL} as pKd from t_interactions) x""", "t_interactions"))
 def q_i25(spark, sf):
     d = V.interactions(spark, sf).withColumn("pKd", clean.to_pkd("affinity")) \
         .withColumn("binding_label", clean.binding_label("pKd"))
     c = K.format_chat_example("protein", "compound", "pKd", "binding_label")
-    return d.select("l_orderkey", "l_linenumber", c[0]["from"].alias("from_0"), c[1]["from"].alias("from_1"),
-                    F.md5(c[0]["value"]).alias("human_md5"), F.size(c).alias("n_turns"))
+    d = d.select("l_orderkey", "l_linenumber", c.alias("c")).withColumn("text", F.col("c")[1]["value"])
+    num = lambda label: F.regexp_extract("text", label + r":\*\* (-?[0-9.]+)", 1).cast("double")
+    word = lambda label: F.regexp_extract("text", label + r": (\w+)", 1)
+    return d.select("l_orderkey", "l_linenumber", F.col("c")[0]["from"].alias("from_0"), F.col("c")[1]["from"].alias("from_1"),
+                    F.md5(F.col("c")[0]["value"]).alias("human_md5"), F.size("c").alias("n_turns"),
+                    num(r"Binding Affinity \(pKd\)").alias("pkd_text"), num("Binding Probability").alias("prob_text"),
+                    word("Toxicity Risk").alias("toxicity_risk"), word("Solubility").alias("solubility"),
+                    word("Drug-likeness").alias("druglikeness"))
 
 
 @register("I26_parse_prediction", with_views(f"""

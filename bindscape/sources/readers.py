@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bindscape.operators.ranking import partition_rank
+from bindscape.session import cut_lineage
+
 INTERACTION_CSV_SCHEMA = T.StructType([
     T.StructField("compound", T.StringType()),
     T.StructField("protein", T.StringType()),
@@ -59,58 +62,64 @@ def read_split_csv(spark: SparkSession, pattern: str, schema: T.StructType | Non
 def read_id_dict(spark: SparkSession, pattern: str) -> DataFrame:
     """A3: each file is one JSON object ``{id: value}``; one row per entry.
     Columns ``compound_id/compound`` for ligand or compound files,
-    ``protein_id/protein`` for protein files, else ``id/data``. Each file is
-    one record (the format); a large dictionary is sharded over many files."""
-    raw = spark.read.text(pattern, wholetext=True).withColumn("_path", F.col("_metadata.file_path"))
-    m = F.from_json(F.trim("value"), T.MapType(T.StringType(), T.StringType()))
-    ex = raw.select("_path", F.explode(m).alias("k", "v"))
+    ``protein_id/protein`` for protein files, else ``id/data``. A file that is
+    not one valid JSON object is read as text: one row per line of the stripped
+    content in ``data``, the other columns null. Each file is one record (the
+    format); a large dictionary is sharded over many files."""
+    raw = spark.read.text(pattern, wholetext=True).select(
+        F.col("_metadata.file_path").alias("_path"), _strip(F.col("value")).alias("_text"))
+    m = F.from_json("_text", T.MapType(T.StringType(), T.StringType()))
+    raw = raw.withColumn("_map", F.when(F.col("_text").startswith("{") & F.col("_text").endswith("}"), m))
+    entries = F.transform(F.map_entries("_map"), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))
+    lines = F.transform(F.split("_text", "\n"), lambda x: F.struct(F.lit(None).cast("string").alias("k"), x.alias("v")))
+    is_json = F.col("_map").isNotNull()
+    ex = raw.select("_path", is_json.alias("_json"), F.explode(F.when(is_json, entries).otherwise(lines)).alias("e"))
     path = F.col("_path")
-    is_comp = path.contains("ligands") | path.contains("compounds")
-    is_prot = path.contains("proteins")
-    out = ex.select(
-        F.when(is_comp, F.col("k")).alias("compound_id"), F.when(is_comp, F.col("v")).alias("compound"),
-        F.when(~is_comp & is_prot, F.col("k")).alias("protein_id"),
-        F.when(~is_comp & is_prot, F.col("v")).alias("protein"),
-        F.when(~is_comp & ~is_prot, F.col("k")).alias("id"), F.when(~is_comp & ~is_prot, F.col("v")).alias("data"),
-        "_path")
-    return out
+    is_comp = F.col("_json") & (path.contains("ligands") | path.contains("compounds"))
+    is_prot = F.col("_json") & ~is_comp & path.contains("proteins")
+    other = ~is_comp & ~is_prot
+    return ex.select(
+        F.when(is_comp, F.col("e.k")).alias("compound_id"), F.when(is_comp, F.col("e.v")).alias("compound"),
+        F.when(is_prot, F.col("e.k")).alias("protein_id"), F.when(is_prot, F.col("e.v")).alias("protein"),
+        F.when(other, F.col("e.k")).alias("id"), F.when(other, F.col("e.v")).alias("data"), "_path")
+
+
+def read_lines_indexed(spark: SparkSession, pattern: str) -> DataFrame:
+    """``(source_file, idx, data)``: the lines of the stripped content of each file with their
+    number in it from 0 (leading and trailing blank lines are no part of it). Files are
+    split over tasks; the number comes from a rank by block and position."""
+    raw = spark.read.text(pattern).select(
+        F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.regexp_replace("value", "\r$", "").alias("data"))
+    rows = cut_lineage(raw.withColumn("_row", F.monotonically_increasing_id()))
+    ranked = partition_rank(rows, ["source_file"], "_block", ["_row"], "_n")
+    full = F.when(_strip(F.col("data")) != "", F.col("_n"))
+    ends = ranked.groupBy(F.col("source_file").alias("_f")).agg(F.min(full).alias("_first"), F.max(full).alias("_last"))
+    kept = ranked.join(ends, F.col("source_file") == F.col("_f")).where(F.col("_n").between(F.col("_first"), F.col("_last")))
+    text = F.col("data")
+    text = F.when(F.col("_n") == F.col("_first"), F.regexp_replace(text, r"^\s+", "")).otherwise(text)
+    text = F.when(F.col("_n") == F.col("_last"), F.regexp_replace(text, r"\s+$", "")).otherwise(text)
+    return kept.select("source_file", (F.col("_n") - F.col("_first")).cast("long").alias("idx"), text.alias("data"))
 
 
 def read_list_txt(spark: SparkSession, pattern: str) -> DataFrame:
-    """A4: each file stripped and split on newlines; ``(source_file, idx, data)``.
-    A file is one record here (list files are per dataset); ``read_lines_indexed``
-    is the splittable form for files larger than a task."""
-    raw = spark.read.text(pattern, wholetext=True)
-    return raw.select(F.col("_metadata.file_path").alias("source_file"),
-                      F.posexplode(F.split(_strip(F.col("value")), "\n")).alias("idx", "data"))
-
-
-def read_lines_indexed(spark: SparkSession, path: str) -> DataFrame:
-    """Splittable line reader with a global line index (``zipWithIndex`` keeps
-    the file order of the text splits; used for list files beyond task memory)."""
-    rdd = spark.read.text(path).rdd.zipWithIndex().map(lambda r: (r[1], r[0][0]))
-    return spark.createDataFrame(rdd, "idx long, data string")
+    """A4: each file stripped and cut into lines; ``(source_file, idx, data)``."""
+    return read_lines_indexed(spark, pattern)
 
 
 def read_matrix_txt(spark: SparkSession, pattern: str) -> DataFrame:
     """A5: whitespace matrix; a line with any unparsable token is dropped
     whole and later rows shift up. Long form ``(source_file, i, j, affinity)``.
     A file whose first line has a single token is not a matrix (no rows)."""
-    raw = spark.read.text(pattern, wholetext=True)
-    lines = raw.select(F.col("_metadata.file_path").alias("source_file"),
-                       F.split(_strip(F.col("value")), "\n").alias("lines"))
-    first_tokens = F.size(F.split(F.trim(F.try_element_at("lines", F.lit(1))), r"\s+"))
-    parsed = lines.filter(first_tokens > 1).select(
-        "source_file",
-        F.transform("lines", lambda ln: F.transform(
-            F.split(F.trim(ln), r"\s+"), lambda t: t.try_cast("double"))).alias("rows"),
-        F.transform("lines", lambda ln: F.split(F.trim(ln), r"\s+")).alias("tokens"))
-    keep = F.filter(F.arrays_zip(F.col("rows").alias("r"), F.col("tokens").alias("t")),
-                    lambda z: ~F.exists(F.zip_with(z["r"], z["t"], lambda v, t: v.isNull() & (t != "")),
-                                        lambda b: b))
-    kept = parsed.select("source_file", F.transform(keep, lambda z: z["r"]).alias("rows"))
-    rows = kept.select("source_file", F.posexplode("rows").alias("i", "row"))
-    return rows.select("source_file", "i", F.posexplode("row").alias("j", "affinity"))
+    lines = read_lines_indexed(spark, pattern).select(
+        "source_file", "idx", F.split(_strip(F.col("data")), r"\s+").alias("tokens"))
+    matrix = lines.where((F.col("idx") == 0) & (F.size("tokens") > 1)).select(F.col("source_file").alias("_f"))
+    row = F.transform("tokens", lambda t: t.try_cast("double"))
+    bad = F.exists(F.zip_with(row, "tokens", lambda v, t: v.isNull() & (t != "")), lambda b: b)
+    kept = lines.join(matrix, F.col("source_file") == F.col("_f"), "left_semi").where(~bad).select(
+        "source_file", "idx", row.alias("row"))
+    numbered = partition_rank(kept, ["source_file"], "idx", rank_col="_n")
+    return numbered.select("source_file", (F.col("_n") - 1).cast("int").alias("i"), F.posexplode("row").alias("j", "affinity"))
 
 
 PROTEIN_JSON_SCHEMA = T.StructType([
