@@ -154,14 +154,22 @@ def knn_join(queries: DataFrame, train: DataFrame, k: int = 5, q_id: str = "q_id
     return out.withColumnRenamed("q_id", q_id).withColumnRenamed("t_id", t_id)
 
 
+UNFITTED_RELIABILITY = 0.5
+
+
 def reliability(neighbors: DataFrame, train_labels: DataFrame, q_id: str = "q_id", t_id: str = "t_id",
-                label: str = "label") -> DataFrame:
+                label: str = "label", queries: DataFrame | None = None) -> DataFrame:
     """Per query, mean neighbour distance d and population variance v of
-    neighbour labels; score = clip(.7 / (1 + d) + .3 / (1 + v), 0, 1)."""
+    neighbour labels; score = clip(.7 / (1 + d) + .3 / (1 + v), 0, 1). With
+    ``queries`` every query is returned; one without neighbours (nothing was
+    fitted for it) scores 0.5."""
     j = neighbors.join(train_labels.select(F.col(t_id), F.col(label).cast("double").alias("_lab")), t_id)
     g = j.groupBy(q_id).agg(F.avg("distance").alias("avg_distance"), F.var_pop("_lab").alias("label_variance"))
+    if queries is not None:
+        g = queries.select(q_id).distinct().join(g, q_id, "left")
     s = F.lit(0.7) / (F.lit(1.0) + F.col("avg_distance")) + F.lit(0.3) / (F.lit(1.0) + F.col("label_variance"))
-    return g.withColumn("reliability", F.least(F.lit(1.0), F.greatest(F.lit(0.0), s)))
+    return g.withColumn("reliability", F.when(F.col("avg_distance").isNull(), F.lit(UNFITTED_RELIABILITY))
+                        .otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), s))))
 
 
 def tanimoto(a, b):

@@ -265,26 +265,65 @@ cm as (select cast(sum(case when score >= 0.5 and y_true = 1 then 1 else 0 end)
 select 'roc_auc' as metric, round(sum(neg * (2 * cum_pos - pos)) / (2.0 * max(tp_all) * max(tn_all)), 6) as value from c
 union all select 'pr_auc', round(sum(pos * cum_pos / (cum_pos + cum_neg)) / max(tp_all), 6) from c
 union all select 'accuracy', round((tp + tn) / (tp + fp + tn + fn), 6) from cm
+union all select 'precision', round(case when tp + fp > 0 then tp / (tp + fp) else 0 end, 6) from cm
+union all select 'recall', round(case when tp + fn > 0 then tp / (tp + fn) else 0 end, 6) from cm
+union all select 'f1_score', round(case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0 end, 6) from cm
+union all select 'specificity', round(case when tn + fp > 0 then tn / (tn + fp) else 0 end, 6) from cm
+union all select 'npv', round(case when tn + fn > 0 then tn / (tn + fn) else 0 end, 6) from cm
 union all select 'true_positives', tp from cm union all select 'false_positives', fp from cm
 union all select 'true_negatives', tn from cm union all select 'false_negatives', fn from cm""", "t_scored"))
 def q_p4(spark, sf):
     from bindscape.plans.workflows import evaluate_predictions
-    return evaluate_predictions(V.scored(spark, sf)).select("metric", r6("value").alias("value"))
+    from bindscape.sources.writers import scratch_dir
+    root = scratch_dir(spark, "evaluation")
+    evaluate_predictions(V.scored(spark, sf), out=root)
+    names = ["roc_auc", "pr_auc", "accuracy", "precision", "recall", "f1_score", "specificity", "npv",
+             "true_positives", "false_positives", "true_negatives", "false_negatives"]
+    written = spark.read.text(root + "/metrics").select(F.from_json("value", "map<string,double>").alias("m"))
+    return written.select(F.explode("m").alias("metric", "value")).where(F.col("metric").isin(names)).select(
+        "metric", r6("value").alias("value"))
+
+
+@register("P4_evaluation_curves", with_views(SCORE_COUNTS_SQL + """
+select 'roc' as curve, null::double as threshold, 0.0::double as x, 0.0::double as y
+union all select 'roc', score, round(cum_neg / tn_all, 6), round(cum_pos / tp_all, 6) from c
+union all select 'pr', score, round(cum_pos / tp_all, 6), round(cum_pos / (cum_pos + cum_neg), 6) from c
+union all select 'pr', null, 0.0, 1.0""", "t_scored"))
+def q_p4c(spark, sf):
+    from bindscape.plans.workflows import evaluation_curves
+    c = evaluation_curves(V.scored(spark, sf))
+    return c.select("curve", "threshold", r6("x").alias("x"), r6("y").alias("y"))
 
 
 @register("P5_score_with_uncertainty", with_views("""
-with m as (select cache_key, avg(latency_ms) as mu, stddev_pop(latency_ms) as e from t_requests group by cache_key),
-u as (select cache_key, mu, 0.5 * e as a, sqrt(e * e + 0.25 * e * e) as tot,
-   case when mu > 1.0 or mu < 0.0 then 1.0 / (1.0 + exp(-mu)) else mu end as p from m)
-select cache_key, round(mu, 6) as mean_prediction, round(tot, 6) as total_uncertainty,
+with m as (select user_id, avg(value) as mu, stddev_pop(value) as e from events group by user_id),
+u as (select user_id, mu, 0.5 * e as a, sqrt(e * e + 0.25 * e * e) as tot,
+   case when mu > 1.0 or mu < 0.0 then 1.0 / (1.0 + exp(-mu)) else mu end as p from m),
+n as (select vec_id, embedding, label, sqrt(list_sum(list_transform(embedding, x -> x * x))) as nrm from t_emb),
+q as (select * from n where vec_id % 10 = 0),
+d as (select q.vec_id as q_id, t.vec_id as t_id, t.label,
+   1.0 - case when q.nrm * t.nrm > 0 then list_dot_product(q.embedding, t.embedding) / (q.nrm * t.nrm) else 0.0 end as distance
+   from q cross join n t),
+k as (select * from (select *, row_number() over (partition by q_id order by distance, t_id) as rn from d) z where rn <= 5),
+r as (select q_id, least(1.0, greatest(0.0, 0.7 / (1 + avg(distance)) + 0.3 / (1 + var_pop(label)))) as reliability
+   from k group by q_id)
+select u.user_id, round(mu, 6) as mean_prediction, round(tot, 6) as total_uncertainty,
  round(mu - 1.96 * tot, 6) as ci_low, round(mu + 1.96 * tot, 6) as ci_high,
- round(1.0 / (1.0 + exp(-(ln(least(greatest(p, 1e-7), 1 - 1e-7) / (1.0 - least(greatest(p, 1e-7), 1 - 1e-7))) / 1.5))), 6) as calibrated
-from u""", "t_requests"))
+ round(1.0 / (1.0 + exp(-(ln(least(greatest(p, 1e-7), 1 - 1e-7) / (1.0 - least(greatest(p, 1e-7), 1 - 1e-7))) / 1.5))), 6) as calibrated,
+ round(coalesce(reliability, 0.5), 6) as reliability_score
+from u left join r on r.q_id = u.user_id""", "t_emb"))
 def q_p5(spark, sf):
+    """Predictions are grouped by user; the user's embedding (every tenth has one) is the query."""
+    from bindscape.operators import similarity as SIM
     from bindscape.plans.workflows import score_with_uncertainty
-    s = score_with_uncertainty(V.requests(spark, sf), ["cache_key"], "latency_ms", temperature=1.5)
-    return s.select("cache_key", *[r6(c).alias(c) for c in ("mean_prediction", "total_uncertainty", "ci_low",
-                                                            "ci_high", "calibrated")])
+    from bindscape.session import read_table
+    e = V.embeddings(spark, sf)
+    train = e.withColumnRenamed("vec_id", "t_id")
+    near = SIM.knn_join(e.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "q_id"), train, 5)
+    rel = SIM.reliability(near, train).select(F.col("q_id").alias("user_id"), "reliability")
+    s = score_with_uncertainty(read_table(spark, sf, "events").select("user_id", "value"), ["user_id"], "value", 1.5, rel)
+    return s.select("user_id", *[r6(c).alias(c) for c in ("mean_prediction", "total_uncertainty", "ci_low", "ci_high",
+                                                          "calibrated", "reliability_score")])
 
 
 @register("E6_concordance_index", with_views("""

@@ -170,6 +170,16 @@ def q_d20(spark, sf):
     return c.select("residue", "count", r6("percentage").alias("percentage"))
 
 
+@register("D20_residue_composition_per_sequence", with_views("""
+with c as (select protein_id, ch as residue, count(*) as count from
+  (select protein_id, unnest(string_split(protein, '')) as ch from t_proteins) a where ch <> '' group by protein_id, ch)
+select protein_id, residue, count, round(count * 100.0 / sum(count) over (partition by protein_id), 6) as percentage
+from c""", "t_proteins"))
+def q_d20s(spark, sf):
+    c = profile.char_composition(V.proteins(spark, sf), "protein", by=["protein_id"])
+    return c.select("protein_id", "residue", "count", r6("percentage").alias("percentage"))
+
+
 @register("D21_smiles_char_frequency", with_views("""
 with c as (select ch as "character", count(*) as count from
   (select unnest(string_split(compound, '')) as ch from t_compounds) a where ch <> '' group by ch)

@@ -24,15 +24,6 @@ def prepare_training(df: DataFrame, ratios=(0.8, 0.1, 0.1), seed: int = 42,
     return clean.add_training_columns(cut, "affinity", threshold)
 
 
-def interaction_profile(df: DataFrame, threshold: float = 6.0,
-                        row_order=("l_orderkey", "l_linenumber")) -> DataFrame:
-    """Minimum slice: keep-first per pair -> pKd -> range filter -> label."""
-    first = splits.dedup_pairs(df, ("compound", "protein"), row_order)
-    out = first.withColumn("pKd", clean.to_pkd("affinity"))
-    out = clean.filter_pkd_range(out)
-    return out.withColumn("binding_label", clean.binding_label("pKd", threshold))
-
-
 def interaction_profile_normalized(facts: DataFrame, compounds: DataFrame, proteins: DataFrame,
                                    threshold: float = 6.0, row_order=("l_orderkey", "l_linenumber")) -> DataFrame:
     """Minimum slice over the normalized star: keep-first per (compound,
@@ -152,37 +143,61 @@ def prepare_training_normalized(facts: DataFrame, compounds: DataFrame, proteins
     return clean.add_training_columns(cut, "affinity", threshold)
 
 
-def evaluate_predictions(scored: DataFrame, text_col: str | None = None, y: str = "y_true",
-                         score: str = "score", threshold: float = 0.5) -> DataFrame:
-    """Parse the probability out of generated text (I27; when no text
-    column is given the score is rendered as the model line), then
-    classification, ROC and PR metrics as one long ``(metric, value)`` table
-    (unioned one-row aggregates, no join)."""
+def parsed_predictions(scored: DataFrame, text_col: str | None = None, y: str = "y_true",
+                       score: str = "score") -> DataFrame:
+    """``(y_true, score)`` with the probability read out of generated text (I27; without a
+    text column the score is rendered as the model line)."""
     from bindscape.functions.scoring import parse_probability
-    from bindscape.operators import metrics as M
     text = F.col(text_col) if text_col else F.concat(F.lit("Binding Probability: "), F.col(score).cast("string"))
-    t = scored.select(F.col(y).alias("y_true"), parse_probability(text).alias("score"))
+    return scored.select(F.col(y).alias("y_true"), parse_probability(text).alias("score"))
+
+
+def evaluate_predictions(scored: DataFrame, text_col: str | None = None, y: str = "y_true",
+                         score: str = "score", threshold: float = 0.5, out: str | None = None) -> DataFrame:
+    """Classification, ROC and PR metrics of the parsed predictions as one long
+    ``(metric, value)`` table (unioned one-row aggregates, no join). With ``out`` the metrics
+    are also written there as one JSON row without curves (A12)."""
+    from bindscape.operators import metrics as M
+    from bindscape.sources.writers import write_metrics
+    t = parsed_predictions(scored, text_col, y, score)
     cm = M.classification_metrics(t, "y_true", "score", threshold)
-    longs = [
-        M.roc_auc(t).select(F.lit("roc_auc").alias("metric"), F.col("roc_auc").alias("value")),
-        M.pr_auc(t).select(F.lit("pr_auc").alias("metric"), F.col("pr_auc").alias("value")),
-    ]
-    names = ["accuracy", "true_positives", "false_positives", "true_negatives", "false_negatives"]
-    longs.append(cm.select(F.explode(F.map_from_arrays(
+    names = ["accuracy", "precision", "recall", "f1_score", "specificity", "npv",
+             "true_positives", "false_positives", "true_negatives", "false_negatives"]
+    long = cm.select(F.explode(F.map_from_arrays(
         F.array(*[F.lit(n) for n in names]), F.array(*[F.col(n).cast("double") for n in names])))
-        .alias("metric", "value")))
-    out = longs[0]
-    for d in longs[1:]:
-        out = out.unionByName(d)
-    return out
+        .alias("metric", "value"))
+    for name, one in (("roc_auc", M.roc_auc(t)), ("pr_auc", M.pr_auc(t))):
+        long = long.unionByName(one.select(F.lit(name).alias("metric"), F.col(name).alias("value")))
+    if out is not None:
+        # a dozen rows: one row with a column per metric
+        write_metrics(long.groupBy().pivot("metric", [*names, "roc_auc", "pr_auc"]).agg(F.first("value")), out)
+    return long
+
+
+def evaluation_curves(scored: DataFrame, text_col: str | None = None, y: str = "y_true",
+                      score: str = "score") -> DataFrame:
+    """Both curves as ``(curve, threshold, x, y)``: ROC with x = fpr, y = tpr, and PR with
+    x = recall, y = precision."""
+    from bindscape.operators import metrics as M
+    t = parsed_predictions(scored, text_col, y, score)
+    roc = M.roc_curve(t).select(F.lit("roc").alias("curve"), "threshold", F.col("fpr").alias("x"), F.col("tpr").alias("y"))
+    pr = M.pr_curve(t).select(F.lit("pr").alias("curve"), "threshold", F.col("recall").alias("x"), F.col("precision").alias("y"))
+    return roc.unionByName(pr)
 
 
-def score_with_uncertainty(samples: DataFrame, pair_cols, value: str, temperature: float | None) -> DataFrame:
-    """P5: Monte-Carlo aggregate per pair (D11) -> interval (E10) -> calibrated mean."""
+def score_with_uncertainty(samples: DataFrame, pair_cols, value: str, temperature: float | None,
+                           reliability: DataFrame | None = None) -> DataFrame:
+    """P5: Monte-Carlo aggregate per pair (D11) -> interval (E10) -> calibrated mean (E8), and with
+    ``reliability`` (pair columns, ``reliability``; E9 over C7) the reliability score, 0.5 for a
+    pair that has none."""
     from bindscape.operators import metrics as M
     from bindscape.operators import reports as R
     mc = R.uncertainty_interval(R.mc_aggregate(samples, pair_cols, value))
-    return M.calibrate(mc, "mean_prediction", temperature)
+    out = M.calibrate(mc, "mean_prediction", temperature)
+    if reliability is not None:
+        out = out.join(reliability.select(*pair_cols, F.col("reliability").alias("reliability_score")), list(pair_cols), "left")
+        out = out.withColumn("reliability_score", F.coalesce("reliability_score", F.lit(0.5)))
+    return out
 
 
 def screening_summary(preds: DataFrame, affinity: str = "binding_affinity") -> DataFrame:
