@@ -213,3 +213,10 @@ def bit_fingerprint(smiles, n_bits: int = 1024) -> Column:
     return F.when(F.length(s) > 0,
                   F.filter(idx, lambda i: F.ascii(F.substr(s, i + 1, F.lit(1))) % 2 == 1)) \
         .otherwise(F.array().cast("array<int>"))
+
+
+def trigrams(smiles) -> Column:
+    """Distinct runs of three characters of a SMILES string (empty for shorter strings)."""
+    s = _col(smiles)
+    at = F.when(F.length(s) >= 3, F.sequence(F.lit(1), F.length(s) - 2)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(at, lambda i: F.substr(s, i, F.lit(3))))

@@ -10,10 +10,6 @@ from bindscape.functions import protein as P
 from bindscape.functions import scoring as K
 from bindscape.operators.ranking import hash_key
 
-# Broadcast bound for the small side of a join (rows). A side is broadcast
-# only after its row count was checked against this bound.
-BROADCAST_ROWS = 2_000_000
-
 
 def residue_info_table(spark: SparkSession) -> DataFrame:
     """The fixed 20-row residue table as a dimension table (size bounded by the alphabet)."""
@@ -57,13 +53,6 @@ def melt_affinity(ligands: DataFrame, proteins: DataFrame, matrix: DataFrame, da
     )
 
 
-def _checked_broadcast(df: DataFrame, bound: int = BROADCAST_ROWS):
-    """Return ``(df, True)`` hinted for broadcast when its row count is within
-    ``bound``; otherwise the frame unhinted."""
-    n = df.count()
-    return (F.broadcast(df), True) if n <= bound else (df, False)
-
-
 def sample_pairs(ligands: DataFrame, proteins: DataFrame, n: int = 100, cap: int = 10000,
                  seed: int = 42, ligand_key: str = "compound_id", protein_key: str = "protein_id") -> DataFrame:
     """Deterministic sample of at most ``n`` rows per side (smallest
@@ -77,17 +66,7 @@ def sample_pairs(ligands: DataFrame, proteins: DataFrame, n: int = 100, cap: int
                  .drop("_lh", "_ph").withColumn("synthetic", F.lit(True)))
 
 
-def screen(proteins: DataFrame, compounds: DataFrame, protein_idx: str = "protein_idx",
-           compound_idx: str = "compound_idx", scorer=None, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """Every (protein, compound) pair of two request lists, scored.
-
-    The pair set is the operator's output. The compound library is broadcast
-    after its row count is checked; a library over the bound falls back to a
-    partitioned cartesian product instead of being forced into memory. Labels
-    are ``protein_<i>`` / ``drug_<j>`` and the sequence label is the first 50
-    residues plus ``...``."""
-    comp, _ = _checked_broadcast(compounds, bound)
-    pairs = proteins.crossJoin(comp)
+def _labelled(pairs: DataFrame, protein_idx: str, compound_idx: str, scorer) -> DataFrame:
     out = pairs.select(
         protein_idx, compound_idx, "protein", "compound",
         F.concat(F.lit("protein_"), F.col(protein_idx).cast("string")).alias("protein_label"),
@@ -98,6 +77,23 @@ def screen(proteins: DataFrame, compounds: DataFrame, protein_idx: str = "protei
     return out.withColumn("binding_affinity", score(F.col("protein"), F.col("compound")))
 
 
+def screen(proteins: DataFrame, compounds: DataFrame, protein_idx: str = "protein_idx",
+           compound_idx: str = "compound_idx", scorer=None) -> DataFrame:
+    """Every (protein, compound) pair of two request lists, scored. The full
+    product is the operator's documented output; ``screen_pairs`` is the form
+    for a large library. Labels are ``protein_<i>`` / ``drug_<j>`` and the
+    sequence label is the first 50 residues plus ``...``."""
+    return _labelled(proteins.crossJoin(compounds), protein_idx, compound_idx, scorer)
+
+
+def screen_pairs(pairs: DataFrame, proteins: DataFrame, compounds: DataFrame, protein_idx: str = "protein_idx",
+                 compound_idx: str = "compound_idx", scorer=None) -> DataFrame:
+    """C3 over a relation of requested pairs ``(protein_idx, compound_idx)``: each distinct pair once,
+    by two equi-joins; ids that a list does not have are left out."""
+    asked = pairs.select(protein_idx, compound_idx).dropDuplicates()
+    return _labelled(asked.join(compounds, compound_idx).join(proteins, protein_idx), protein_idx, compound_idx, scorer)
+
+
 def resolve_by_id(requests: DataFrame, dim: DataFrame, ref: str, inline: str, dim_key: str,
                   dim_value: str, out: str) -> DataFrame:
     """C4: id given -> dimension lookup (missing -> status not_found), else the inline value."""
@@ -134,13 +130,11 @@ def binding_data(activities: DataFrame, pairs: DataFrame, keys=("compound_id", "
 
 def split_cached(requests: DataFrame, cache: DataFrame, key: str = "cache_key",
                  value: str = "cached_score", scorer=None) -> DataFrame:
-    """Hits take the cached value; misses are scored once per distinct
-    key (left-anti to find them, distinct before scoring) and joined back."""
-    cache = cache.select(key, value).dropDuplicates([key])
-    hits = requests.join(cache, key)
-    miss_keys = requests.select(key).distinct().join(cache, key, "left_anti")
+    """Hits take the cached value; a miss is scored from its key. One left
+    join; the score of a key is the same for all its requests."""
+    cache = cache.groupBy(F.col(key).alias("_k")).agg(F.min(F.struct(F.col(value).alias("v"))).alias("_c"))
     score = scorer if scorer is not None else (lambda k: K.hash_score(k, F.lit("")))
-    scored = miss_keys.withColumn(value, score(F.col(key)))
-    misses = requests.join(cache, key, "left_anti").join(scored, key)
-    return (hits.withColumn("cached", F.lit(True))
-                .unionByName(misses.withColumn("cached", F.lit(False))))
+    j = requests.join(cache, F.col(key) == F.col("_k"), "left")
+    return j.select(*[F.col(c) for c in requests.columns],
+                    F.when(F.col("_k").isNotNull(), F.col("_c.v")).otherwise(score(F.col(key))).alias(value),
+                    F.col("_k").isNotNull().alias("cached"))

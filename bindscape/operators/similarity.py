@@ -1,31 +1,29 @@
-"""Similarity joins without all-pairs: exact cosine kNN with pivot pruning
-and exact Tanimoto threshold join with prefix filtering.
-
-kNN (C7). Vectors are L2-normalised, so Euclidean distance is a metric
-monotone in cosine distance. A bounded set of pivots (``n_pivots``, chosen by
-hash from the train side) partitions the train vectors into cells with a
-radius. For each query the cells are ordered by distance to their pivot;
-walking them until ``k`` points are covered gives an upper bound on the k-th
-neighbour distance, and only cells whose lower bound ``d(q, pivot) - radius``
-is within it can hold a neighbour (triangle inequality). Queries join the
-train side on the candidate cell id (an equi-join), distances are exact, and
-a per-query top-k keeps the answer. The pivot table and the cell table are
-bounded by ``n_pivots`` and are inlined as literals.
-
-Tanimoto (C8). Sets are sorted by a global order of elements (rarest
-first). Two sets with Jaccard >= t share an element in their first
-``|A| - ceil(t |A|) + 1`` elements, so only prefix elements are joined;
-candidates are verified exactly with a length filter.
+"""Similarity joins: exact cosine kNN of a query table against a large train
+table, and an exact Tanimoto threshold join with prefix filtering.
+
+kNN (C7). The query vectors go to the tasks in blocks of bounded size. Every
+task scores its train rows against a block with one matrix product per Arrow
+batch and keeps ``k`` rows per query, so ``k`` rows per query and partition
+are all that is shuffled; no train vector is moved or copied. The work is
+queries x train rows by definition of the exact answer; for a table against
+itself use it on a bounded set of queries.
+
+Tanimoto (C8). Elements are ordered globally, rarest first (counts joined to
+the elements, so any number of distinct elements will do). Two sets with
+Jaccard >= t share an element in their first ``|A| - ceil(t |A|) + 1``
+elements, so only prefix entries ``(element, id, size, position)`` are joined,
+under a length and a position bound; the sets themselves meet only for the
+candidate pairs left.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bindscape.operators.ranking import hash_key
+from bindscape.session import cut_lineage
 
 EPS = 1e-9
 
@@ -40,117 +38,72 @@ def cosine_distance(a, b):
     return F.lit(1.0) - F.when(den > 0, _dot(a, b) / den).otherwise(F.lit(0.0))
 
 
-def _stack(series):
-    return np.vstack([np.asarray(v, dtype="float64") for v in series]) if len(series) else np.zeros((0, 0))
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Array column of equal lengths as a matrix of doubles."""
+    values = column.flatten().to_numpy(zero_copy_only=False).astype("float64")
+    return values.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _query_blocks(queries: DataFrame, block_rows: int):
+    """The query table in blocks of ``block_rows`` rows, one at a time on the driver."""
+    ids, vecs = [], []
+    for r in queries.toLocalIterator(prefetchPartitions=False):
+        ids.append(r[0])
+        vecs.append(r[1])
+        if len(ids) == block_rows:
+            yield np.array(ids, "int64"), np.array(vecs, "float64")
+            ids, vecs = [], []
+    if ids:
+        yield np.array(ids, "int64"), np.array(vecs, "float64")
 
 
 def knn_join(queries: DataFrame, train: DataFrame, k: int = 5, q_id: str = "q_id", t_id: str = "t_id",
-             vec: str = "embedding", n_pivots: int = 32, block_rows: int = 4096, seed: int = 42) -> DataFrame:
+             vec: str = "embedding", block_rows: int = 4096) -> DataFrame:
     """The ``k`` nearest train vectors of every query by cosine distance
     (ties by train id); self is a legal neighbour. Output
-    ``(q_id, t_id, distance, rank)``.
-
-    Candidate cells come from the pivot bound (see module doc). The work unit
-    is a block pair: the train vectors of one cell are hashed into blocks of
-    about ``block_rows`` rows, the queries that probe the cell likewise, and
-    each (cell, train block, query block) is one cogrouped pandas task that
-    scores its queries against its train block with one matrix product and
-    keeps a top-k per query. No pair rows are materialised; every task is
-    bounded by ``block_rows`` on both sides. The pivot matrix and the cell
-    tables the driver holds are bounded by ``n_pivots``."""
+    ``(q_id, t_id, distance, rank)``. Rows with a null id or vector are left
+    out; an empty side gives an empty result."""
     spark = queries.sparkSession
-    tr = train.select(F.col(t_id).alias("t_id"), F.col(vec).alias("tv"))
-    piv_rows = (tr.withColumn("_h", hash_key(["t_id"], seed)).orderBy("_h", "t_id")
-                  .limit(n_pivots).select("tv").collect())
-    if not piv_rows:
+    schema = "q_id long, t_id long, distance double"
+    ask = queries.select(F.col(q_id).cast("long"), F.col(vec).cast("array<double>")).dropna()
+    tr = train.select(F.col(t_id).cast("long").alias("t_id"), F.col(vec).cast("array<double>").alias("v")).dropna()
+
+    def nearest(ids, vectors):
+        norms = np.linalg.norm(vectors, axis=1)
+
+        def scan(batches):
+            best_d = np.zeros((len(ids), 0))
+            best_t = np.zeros((len(ids), 0), "int64")
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x = _matrix(b.column(1))
+                den = norms[:, None] * np.linalg.norm(x, axis=1)[None, :]
+                cos = np.divide(vectors @ x.T, den, out=np.zeros((len(ids), len(x))), where=den > 0)
+                d = np.concatenate([best_d, 1.0 - cos], axis=1)
+                t = np.concatenate([best_t, np.broadcast_to(b.column(0).to_numpy(), cos.shape)], axis=1)
+                # rows within the k-th distance, ties included, then by (distance, id)
+                kk = min(k, d.shape[1])
+                near = d <= np.partition(d, kk - 1, axis=1)[:, kk - 1:kk]
+                best_d, best_t = np.empty((len(ids), kk)), np.empty((len(ids), kk), "int64")
+                for i in range(len(ids)):
+                    at = np.flatnonzero(near[i])
+                    at = at[np.lexsort((t[i, at], d[i, at]))][:kk]
+                    best_d[i], best_t[i] = d[i, at], t[i, at]
+            if best_d.size:
+                yield pa.record_batch({"q_id": pa.array(np.repeat(ids, best_d.shape[1])),
+                                       "t_id": pa.array(best_t.ravel()), "distance": pa.array(best_d.ravel())})
+
+        return scan
+
+    found = None
+    for ids, vectors in _query_blocks(ask, block_rows):
+        part = tr.mapInArrow(nearest(ids, vectors), schema)
+        found = part if found is None else found.union(part)
+    if found is None:
         return spark.createDataFrame([], f"{q_id} long, {t_id} long, distance double, rank int")
-    P = np.vstack([np.asarray(r["tv"], dtype="float64") for r in piv_rows])
-    P = P / np.maximum(np.linalg.norm(P, axis=1, keepdims=True), 1e-300)
-    n_cells = len(P)
-
-    def unit_dists(series):
-        X = _stack(series)
-        n = np.linalg.norm(X, axis=1, keepdims=True)
-        U = np.divide(X, n, out=np.zeros_like(X), where=n > 0)
-        return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * U @ P.T))
-
-    @F.pandas_udf("struct<cell:int, r:double>")
-    def assign(v: pd.Series) -> pd.DataFrame:
-        if len(v) == 0:
-            return pd.DataFrame({"cell": pd.Series([], dtype="int32"), "r": pd.Series([], dtype="float64")})
-        D = unit_dists(v)
-        c = D.argmin(axis=1)
-        return pd.DataFrame({"cell": c.astype("int32"), "r": D[np.arange(len(c)), c]})
-
-    tr = tr.withColumn("_a", assign(F.col("tv"))).select("t_id", "tv", F.col("_a.cell").alias("cell"),
-                                                          F.col("_a.r").alias("r"))
-    cells = tr.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("radius")).collect()
-    cnt = np.zeros(n_cells, dtype="int64")
-    rad = np.zeros(n_cells, dtype="float64")
-    for row in cells:
-        cnt[row["cell"]] = int(row["n"])
-        rad[row["cell"]] = float(row["radius"])
-
-    @F.pandas_udf("array<int>")
-    def candidates(v: pd.Series) -> pd.Series:
-        if len(v) == 0:
-            return pd.Series([], dtype="object")
-        D = unit_dists(v)
-        order = np.argsort(D, axis=1, kind="stable")
-        cum = np.cumsum(cnt[order], axis=1)
-        reach = cum >= k
-        pos = np.where(reach.any(axis=1), reach.argmax(axis=1), n_cells - 1)
-        ub_sorted = np.take_along_axis(D + rad[None, :], order, axis=1)
-        mask = np.arange(n_cells)[None, :] <= pos[:, None]
-        bound = np.where(mask, ub_sorted, -np.inf).max(axis=1) + EPS
-        keep = ((D - rad[None, :]) <= bound[:, None]) & (cnt[None, :] > 0)
-        return pd.Series([np.nonzero(row)[0].astype("int32").tolist() for row in keep])
-
-    q = queries.select(F.col(q_id).alias("q_id"), F.col(vec).alias("qv"))
-    qc = q.select("q_id", "qv", F.explode(candidates(F.col("qv"))).alias("cell"))
-    qcount = dict((r["cell"], int(r["n"])) for r in qc.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect())
-    t_blocks = [max(1, -(-int(cnt[c]) // block_rows)) for c in range(n_cells)]
-    q_blocks = [max(1, -(-qcount.get(c, 0) // block_rows)) for c in range(n_cells)]
-    tb_lit = F.array(*[F.lit(x) for x in t_blocks])
-    qb_lit = F.array(*[F.lit(x) for x in q_blocks])
-
-    def nblocks(lit):
-        return F.element_at(lit, F.col("cell") + 1)
-
-    q_side = (qc.withColumn("qblock", F.pmod(F.xxhash64("q_id"), nblocks(qb_lit)).cast("int"))
-                .withColumn("tblock", F.explode(F.sequence(F.lit(0), nblocks(tb_lit) - 1))))
-    t_side = (tr.select("t_id", "tv", "cell")
-                .withColumn("tblock", F.pmod(F.xxhash64("t_id"), nblocks(tb_lit)).cast("int"))
-                .withColumn("qblock", F.explode(F.sequence(F.lit(0), nblocks(qb_lit) - 1))))
-
-    def block_topk(qpdf: pd.DataFrame, tpdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"q_id": pd.Series([], dtype="int64"), "t_id": pd.Series([], dtype="int64"),
-                              "distance": pd.Series([], dtype="float64")})
-        if len(qpdf) == 0 or len(tpdf) == 0:
-            return empty
-        Q, T = _stack(qpdf["qv"]), _stack(tpdf["tv"])
-        qn, tn = np.linalg.norm(Q, axis=1), np.linalg.norm(T, axis=1)
-        den = qn[:, None] * tn[None, :]
-        cos = np.divide(Q @ T.T, den, out=np.zeros((len(Q), len(T))), where=den > 0)
-        D = 1.0 - cos
-        tids = tpdf["t_id"].to_numpy()
-        kk = min(k, len(T))
-        kth = np.partition(D, kk - 1, axis=1)[:, kk - 1]
-        out_q, out_t, out_d = [], [], []
-        for i, qi in enumerate(qpdf["q_id"].to_numpy()):
-            idx = np.nonzero(D[i] <= kth[i])[0]
-            idx = idx[np.lexsort((tids[idx], D[i, idx]))][:kk]
-            out_q.extend([qi] * len(idx))
-            out_t.extend(tids[idx].tolist())
-            out_d.extend(D[i, idx].tolist())
-        return pd.DataFrame({"q_id": np.asarray(out_q, dtype="int64"), "t_id": np.asarray(out_t, dtype="int64"),
-                             "distance": np.asarray(out_d, dtype="float64")})
-
-    keys = ["cell", "tblock", "qblock"]
-    scored = (q_side.groupBy(*keys).cogroup(t_side.groupBy(*keys))
-                    .applyInPandas(block_topk, "q_id long, t_id long, distance double"))
     w = Window.partitionBy("q_id").orderBy("distance", "t_id")
-    out = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    out = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return out.withColumnRenamed("q_id", q_id).withColumnRenamed("t_id", t_id)
 
 
@@ -173,45 +126,59 @@ def reliability(neighbors: DataFrame, train_labels: DataFrame, q_id: str = "q_id
 
 
 def tanimoto(a, b):
-    """|A n B| / |A u B| of set-bit arrays; 0.0 when the union is empty."""
+    """|A n B| / |A u B| of set arrays; 0.0 when the union is empty."""
     inter = F.size(F.array_intersect(a, b))
     union = F.size(a) + F.size(b) - inter
     return F.when(union > 0, inter / union).otherwise(F.lit(0.0))
 
 
+def _ceil(x):
+    return F.ceil(x - F.lit(EPS)).cast("int")
+
+
+def ordered_sets(sides: list[tuple[DataFrame, str, str]]) -> DataFrame:
+    """``(side, id, e)``: the distinct elements of each non-empty set of the ``(table, id, array)``
+    sides as structs ``(count, element)``, rarest first by their count over all sides."""
+    rows = None
+    for k, (df, ident, elements) in enumerate(sides):
+        part = df.select(F.lit(k).alias("side"), F.col(ident).alias("id"), F.explode(F.array_distinct(elements)).alias("e"))
+        rows = part if rows is None else rows.union(part)
+    freq = rows.groupBy(F.col("e").alias("fe")).agg(F.count(F.lit(1)).alias("f"))
+    return rows.join(freq, F.col("e") == F.col("fe")).groupBy("side", "id").agg(
+        F.sort_array(F.collect_list(F.struct("f", "e"))).alias("e"))
+
+
+def tanimoto_candidates(left: DataFrame, right: DataFrame, t: float, self_join: bool) -> DataFrame:
+    """Pairs ``(l, r)`` of ids, each once, of the ordered sets ``(id, e)`` that may reach ``t``: all that
+    do, and some below."""
+    def entries(df, i, n, pos, e):
+        size = F.size("e")
+        first = F.slice("e", 1, size - _ceil(F.lit(t) * size) + 1)
+        return df.select(F.col("id").alias(i), size.alias(n), F.posexplode(first).alias(pos, e)).withColumn(e, F.col(f"{e}.e"))
+    lp, rp = entries(left, "l", "ln", "lp", "le"), entries(right, "r", "rn", "rp", "re")
+    near = F.least("ln", "rn") >= F.lit(t) * F.greatest("ln", "rn") - F.lit(EPS)
+    placed = F.least(F.col("ln") - F.col("lp"), F.col("rn") - F.col("rp")) >= _ceil(
+        F.lit(t / (1 + t)) * (F.col("ln") + F.col("rn")))
+    on = (F.col("le") == F.col("re")) & near & placed
+    if self_join:
+        on = on & (F.col("l") < F.col("r"))
+    return lp.join(rp, on).select("l", "r").distinct()
+
+
 def tanimoto_join(left: DataFrame, right: DataFrame, min_sim: float, l_id: str = "l_id", r_id: str = "r_id",
                   bits: str = "bits", self_join: bool = False) -> DataFrame:
     """All (left, right) pairs with Tanimoto >= ``min_sim`` (> 0), exact.
-    With ``self_join`` only pairs ``l_id < r_id`` are returned."""
+    With ``self_join`` the two sides are one table under two id names and only
+    pairs ``l_id < r_id`` are returned. Empty and null sets match nothing."""
     if not min_sim > 0:
         raise ValueError("min_sim must be > 0 for a threshold join")
     t = float(min_sim)
-    L = left.select(F.col(l_id).alias("l_id"), F.array_distinct(bits).alias("lb"))
-    R = right.select(F.col(r_id).alias("r_id"), F.array_distinct(bits).alias("rb"))
-    # global element order: rarest first (one row per element, bounded by the bit width)
-    freq = (L.select(F.explode("lb").alias("e")).unionByName(R.select(F.explode("rb").alias("e")))
-             .groupBy("e").agg(F.count(F.lit(1)).alias("f")).collect())
-    order = sorted(((int(r["f"]), int(r["e"])) for r in freq))
-    rank_of = {e: i for i, (_, e) in enumerate(order)}
-    if not rank_of:
-        return left.sparkSession.createDataFrame([], f"{l_id} long, {r_id} long, similarity double")
-    rmap = F.create_map(*[x for e, i in rank_of.items() for x in (F.lit(e), F.lit(i))])
-
-    def prefix(col):
-        srt = F.array_sort(F.transform(col, lambda e: F.element_at(rmap, e)))
-        n = F.size(col)
-        plen = n - F.ceil(F.lit(t) * n - F.lit(EPS)) + 1
-        return F.slice(srt, 1, F.greatest(plen, F.lit(0)).cast("int"))
-
-    lp = L.select("l_id", "lb", F.explode(prefix(F.col("lb"))).alias("e"))
-    rp = R.select("r_id", "rb", F.explode(prefix(F.col("rb"))).alias("e"))
-    cand = lp.join(rp, "e").select("l_id", "r_id", "lb", "rb")
-    if self_join:
-        cand = cand.filter(F.col("l_id") < F.col("r_id"))
-    cand = cand.dropDuplicates(["l_id", "r_id"])
-    la, ra = F.size("lb"), F.size("rb")
-    cand = cand.filter((F.least(la, ra) >= F.lit(t) * F.greatest(la, ra) - F.lit(EPS)))
-    out = cand.select("l_id", "r_id", tanimoto(F.col("lb"), F.col("rb")).alias("similarity"))
-    out = out.filter(F.col("similarity") >= F.lit(t))
-    return out.withColumnRenamed("l_id", l_id).withColumnRenamed("r_id", r_id)
-
+    sides = [(left, l_id, bits)] if self_join else [(left, l_id, bits), (right, r_id, bits)]
+    sets = cut_lineage(ordered_sets(sides))
+    one = sets.where("side = 0").select("id", "e")
+    two = one if self_join else sets.where("side = 1").select("id", "e")
+    cand = tanimoto_candidates(one, two, t, self_join)
+    out = (cand.join(one.select(F.col("id").alias("l"), F.col("e.e").alias("x")), "l")
+               .join(two.select(F.col("id").alias("r"), F.col("e.e").alias("y")), "r")
+               .select(F.col("l").alias(l_id), F.col("r").alias(r_id), tanimoto(F.col("x"), F.col("y")).alias("similarity")))
+    return out.filter(F.col("similarity") >= F.lit(t))

@@ -83,6 +83,19 @@ def q_c3(spark, sf):
                     F.md5("sequence_label").alias("label_md5"))
 
 
+@register("C3_screen_pairs", with_views(f"""
+select distinct i.protein_id as protein_idx, i.compound_id as compound_idx,
+ {HASH_SCORE_SQL.format(p='p.protein', c='c.compound')} as binding_affinity
+from t_interactions_ids i join t_proteins p on p.protein_id = i.protein_id join t_compounds c on c.compound_id = i.compound_id""",
+                                        "t_interactions_ids", "t_proteins", "t_compounds"))
+def q_c3p(spark, sf):
+    s = joins.screen_pairs(
+        V.interactions_ids(spark, sf).select(F.col("protein_id").alias("protein_idx"), F.col("compound_id").alias("compound_idx")),
+        V.proteins(spark, sf).withColumnRenamed("protein_id", "protein_idx"),
+        V.compounds(spark, sf).withColumnRenamed("compound_id", "compound_idx"))
+    return s.select("protein_idx", "compound_idx", "binding_affinity")
+
+
 @register("P3_run_screen", with_views(SCREEN_SQL + """
 select 'total' as metric, cast(count(*) as double) as value from s
 union all select 'avg_binding_affinity', round(coalesce(avg(binding_affinity), 0), 6) from s
@@ -211,20 +224,16 @@ def q_e9(spark, sf):
 
 @register("C8_tanimoto_join", with_views("""
 with d as (select distinct compound from t_compounds),
-f as (select compound, list_filter(range(0, least(length(compound), 1024)), i -> ascii(substr(compound, i + 1, 1)) % 2 = 1) as bits from d),
+f as (select compound, list_distinct(list_transform(range(1, length(compound) - 1), i -> substr(compound, i::int, 3))) as grams from d),
 p as (select a.compound as a, b.compound as b,
-        len(list_intersect(a.bits, b.bits)) as inter, len(a.bits) + len(b.bits) - len(list_intersect(a.bits, b.bits)) as uni
+        len(list_intersect(a.grams, b.grams)) as inter, len(a.grams) + len(b.grams) - len(list_intersect(a.grams, b.grams)) as uni
       from f a join f b on a.compound < b.compound)
 select a as compound_a, b as compound_b, round(case when uni > 0 then inter / uni else 0.0 end, 6) as similarity
 from p where case when uni > 0 then inter / uni else 0.0 end >= 0.7""", "t_compounds"))
 def q_c8(spark, sf):
-    d = V.compounds(spark, sf).select("compound").distinct() \
-        .withColumn("bits", S.bit_fingerprint("compound"))
-    return _tanimoto_strings(d)
-
-
-def _tanimoto_strings(d):
-    """Self-join keyed by the SMILES text (ids are the strings themselves)."""
+    """Compounds as sets of character trigrams, keyed by the SMILES text."""
+    from bindscape.functions.smiles import trigrams
+    d = V.compounds(spark, sf).select("compound").distinct().withColumn("bits", trigrams("compound"))
     left = d.select(F.col("compound").alias("compound_a"), "bits")
     right = d.select(F.col("compound").alias("compound_b"), "bits")
     j = similarity.tanimoto_join(left, right, 0.7, l_id="compound_a", r_id="compound_b", self_join=True)

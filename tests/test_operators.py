@@ -94,9 +94,9 @@ def test_knn_matches_brute_force(spark):
     for i in range(300):
         order = sorted(range(300), key=lambda j: (round(D[i, j], 12), j))[:5]
         ref |= {(i, j) for j in order}
-    for block_rows in (4096, 16):       # one block per cell, and many blocks per cell
+    for block_rows in (4096, 70):       # one block of queries, and several
         k = similarity.knn_join(df.withColumnRenamed("id", "q_id"), df.withColumnRenamed("id", "t_id"), 5,
-                                n_pivots=8, block_rows=block_rows)
+                                block_rows=block_rows)
         got = {(r.q_id, r.t_id) for r in k.collect()}
         assert got == ref
 
@@ -116,6 +116,10 @@ def test_tanimoto_join_matches_brute_force(spark):
             if u and len(A & B) / u >= 0.4:
                 ref.add((a, b))
     assert got == ref
+    sets = similarity.ordered_sets([(df, "id", "bits")]).select("id", "e")
+    scored = similarity.tanimoto_candidates(sets, sets, 0.7, True).count()
+    print("share of pairs compared at 0.7:", scored / (120 * 119 / 2))
+    assert scored < 0.1 * 120 * 119 / 2
     sym = similarity.tanimoto(F.array(F.lit(1), F.lit(2)), F.array(F.lit(1), F.lit(2)))
     assert spark.range(1).select(sym).first()[0] == 1.0
 
