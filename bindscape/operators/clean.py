@@ -39,12 +39,21 @@ def clean_interactions(df: DataFrame, protein: str = "protein", compound: str =
               .withColumn("compound_length", F.length(compound)))
 
 
+# Strict length bounds of a training row.
+PROTEIN_LENGTHS, COMPOUND_LENGTHS = (10, 1024), (5, 200)
+
+
+def lengths_in_range(protein_length: Column, compound_length: Column, protein_range=PROTEIN_LENGTHS,
+                     compound_range=COMPOUND_LENGTHS) -> Column:
+    """B8 on given lengths: strict bounds."""
+    return ((protein_length > protein_range[0]) & (protein_length < protein_range[1])
+            & (compound_length > compound_range[0]) & (compound_length < compound_range[1]))
+
+
 def filter_length_ranges(df: DataFrame, protein: str = "protein", compound: str = "compound",
-                         protein_range=(10, 1024), compound_range=(5, 200)) -> DataFrame:
+                         protein_range=PROTEIN_LENGTHS, compound_range=COMPOUND_LENGTHS) -> DataFrame:
     """Strict bounds on protein and compound lengths."""
-    lp, lc = F.length(protein), F.length(compound)
-    return df.filter((lp > protein_range[0]) & (lp < protein_range[1])
-                     & (lc > compound_range[0]) & (lc < compound_range[1]))
+    return df.filter(lengths_in_range(F.length(protein), F.length(compound), protein_range, compound_range))
 
 
 def to_pkd(affinity) -> Column:

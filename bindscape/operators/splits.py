@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bindscape.operators.ranking import hash_key, hash_rank
+from bindscape.operators.ranking import global_rank, hash_key, hash_rank
 
 # Load order of datasets and of split files ("first" wins on duplicates).
 DATASET_ORDER = ["davis", "kiba", "bindingdb"]
@@ -64,12 +64,19 @@ def drop_exact_duplicates(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
+def _shuffled(df: DataFrame, key_cols, seed: int, n_parts: int | None, hash_col: str | None) -> DataFrame:
+    if hash_col is None:
+        return hash_rank(df, list(key_cols), seed, "shuffle_rank", n_parts)
+    return global_rank(df, [hash_col, *key_cols], "shuffle_rank", "n_total", n_parts)
+
+
 def ratio_split(df: DataFrame, key_cols=("compound", "protein"), ratios=(0.8, 0.1, 0.1),
                 seed: int = 42, names=("train", "validation", "test"),
-                n_parts: int | None = None) -> DataFrame:
+                n_parts: int | None = None, hash_col: str | None = None) -> DataFrame:
     """shuffle by ``md5(key|seed)`` and cut at exact counts
-    ``int(n*r0)``, ``int(n*r1)``, rest. Adds ``split`` and ``shuffle_rank``."""
-    ranked = hash_rank(df, list(key_cols), seed, "shuffle_rank", n_parts)
+    ``int(n*r0)``, ``int(n*r1)``, rest. Adds ``split`` and ``shuffle_rank``.
+    ``hash_col`` names a hash worked out before, so the keys can be ids."""
+    ranked = _shuffled(df, key_cols, seed, n_parts, hash_col)
     n = F.col("n_total")
     n_train = F.floor(n * F.lit(float(ratios[0])))
     n_val = F.floor(n * F.lit(float(ratios[1])))
@@ -80,9 +87,10 @@ def ratio_split(df: DataFrame, key_cols=("compound", "protein"), ratios=(0.8, 0.
 
 
 def two_stage_split(df: DataFrame, key_cols=("compound", "protein"), test_size: float = 0.2,
-                    val_size: float = 0.25, seed: int = 42, n_parts: int | None = None) -> DataFrame:
+                    val_size: float = 0.25, seed: int = 42, n_parts: int | None = None,
+                    hash_col: str | None = None) -> DataFrame:
     """test = ceil(test_size*n) first, then validation = ceil(val_size*rest)."""
-    ranked = hash_rank(df, list(key_cols), seed, "shuffle_rank", n_parts)
+    ranked = _shuffled(df, key_cols, seed, n_parts, hash_col)
     n = F.col("n_total")
     n_test = F.ceil(n * F.lit(float(test_size)))
     n_val = F.ceil((n - n_test) * F.lit(float(val_size)))

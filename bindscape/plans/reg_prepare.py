@@ -28,8 +28,7 @@ with {F1_SQL_CORE}
 select compound_id, protein_id, l_orderkey, l_linenumber, source_dataset, source_split from d""",
                                       "t_interactions"))
 def q_f1(spark, sf):
-    d = splits.dedup_pairs(V.interactions(spark, sf), ("compound", "protein"),
-                           ("l_orderkey", "l_linenumber"))
+    d = W.first_interactions(V.interactions_ids(spark, sf), V.compounds(spark, sf), V.proteins(spark, sf))
     return d.select("compound_id", "protein_id", "l_orderkey", "l_linenumber", "source_dataset",
                     "source_split")
 
@@ -60,14 +59,20 @@ r as (select *, row_number() over (order by md5(concat_ws('|', compound, protein
              count(*) over () as n from d)"""
 
 
+def _hashed_pairs(spark, sf):
+    comp, prot = V.compounds(spark, sf), V.proteins(spark, sf)
+    return W.with_pair_hash(W.first_interactions(V.interactions_ids(spark, sf), comp, prot), comp, prot)
+
+
 @register("F2_ratio_split", with_views(SPLIT_SQL + """
 select compound_id, protein_id, shuffle_rank,
  case when shuffle_rank <= floor(n*0.8) then 'train'
       when shuffle_rank <= floor(n*0.8) + floor(n*0.1) then 'validation' else 'test' end as split
 from r""", "t_interactions"))
 def q_f2(spark, sf):
-    d = splits.dedup_pairs(V.interactions(spark, sf), ("compound", "protein"), ("l_orderkey", "l_linenumber"))
-    return splits.ratio_split(d).select("compound_id", "protein_id", "shuffle_rank", "split")
+    d = _hashed_pairs(spark, sf)
+    return splits.ratio_split(d, ("canon_c", "canon_p"), hash_col="pair_hash").select(
+        "compound_id", "protein_id", "shuffle_rank", "split")
 
 
 @register("F3_two_stage_split", with_views(SPLIT_SQL + """
@@ -76,8 +81,9 @@ select compound_id, protein_id, shuffle_rank,
       when shuffle_rank <= ceil(n*0.2) + ceil((n - ceil(n*0.2))*0.25) then 'validation' else 'train' end as split
 from r""", "t_interactions"))
 def q_f3(spark, sf):
-    d = splits.dedup_pairs(V.interactions(spark, sf), ("compound", "protein"), ("l_orderkey", "l_linenumber"))
-    return splits.two_stage_split(d).select("compound_id", "protein_id", "shuffle_rank", "split")
+    d = _hashed_pairs(spark, sf)
+    return splits.two_stage_split(d, ("canon_c", "canon_p"), hash_col="pair_hash").select(
+        "compound_id", "protein_id", "shuffle_rank", "split")
 
 
 @register("P1_prepare_training", with_views(SPLIT_SQL + f""",
@@ -86,13 +92,13 @@ s as (select *, case when shuffle_rank <= floor(n*0.8) then 'train'
 p as (select *, {PKD_SQL} as pKd from s
       where length(protein) > 10 and length(protein) < 1024 and length(compound) > 5 and length(compound) < 200)
 select compound_id, protein_id, l_orderkey, l_linenumber, split, round(pKd, 6) as pKd,
-       cast(pKd >= 6.0 as int) as binding_label
+       cast(pKd >= 6.0 as int) as binding_label, md5(protein) as protein_md5, compound
 from p where pKd between 4.0 and 12.0 and not isnan(pKd)""", "t_interactions"))
 def q_p1(spark, sf):
     out = W.prepare_training_normalized(V.interactions_ids(spark, sf), V.compounds(spark, sf),
                                         V.proteins(spark, sf))
     return out.select("compound_id", "protein_id", "l_orderkey", "l_linenumber", "split",
-                      r6("pKd").alias("pKd"), "binding_label")
+                      r6("pKd").alias("pKd"), "binding_label", F.md5("protein").alias("protein_md5"), "compound")
 
 
 @register("F4_sample_n", with_views("""
@@ -166,9 +172,12 @@ from (select distinct compound, protein, affinity, source_dataset from t_interac
         and compound = {STRIP_SQL.format(c='compound')} and coalesce({valid_smiles_sql('compound')}, false)) x""",
                                                "t_interactions"))
 def q_b7(spark, sf):
-    df = V.interactions(spark, sf).select("compound", "protein", "affinity", "source_dataset")
-    c = clean.clean_interactions(df)
-    return c.select("compound", F.md5("protein").alias("protein_md5"), r6("affinity").alias("affinity"),
+    comp, prot = V.compounds(spark, sf), V.proteins(spark, sf)
+    c = W.clean_normalized(V.interactions_ids(spark, sf), comp, prot, ["affinity", "source_dataset"])
+    # a canonical id is an id of its dimension: the strings of the final rows come back by it
+    c = (c.join(comp.select(F.col("compound_id").alias("canon_c"), "compound"), "canon_c")
+          .join(prot.select(F.col("protein_id").alias("canon_p"), F.md5("protein").alias("protein_md5")), "canon_p"))
+    return c.select("compound", "protein_md5", r6("affinity").alias("affinity"),
                     "source_dataset", F.col("protein_length").cast("long").alias("protein_length"),
                     F.col("compound_length").cast("long").alias("compound_length"))
 
@@ -227,14 +236,28 @@ cl as (select distinct compound, protein, affinity, source_dataset, pKd, binding
          and compound = {STRIP_SQL.format(c='compound')} and coalesce({valid_smiles_sql('compound')}, false))
 select 'protein' as section, 'total_proteins' as metric, cast(count(*) as double) as value from pv
 union all select 'protein', 'valid_proteins', cast(sum(cast(v as int)) as double) from pv
+union all select 'protein', 'length_min', min(case when v then n end) from pv
+union all select 'protein', 'length_max', max(case when v then n end) from pv
+union all select 'protein', 'length_mean', round(avg(case when v then n end), 6) from pv
 union all select 'protein', 'length_median', round(quantile_cont(case when v then n end, 0.5), 6) from pv
 union all select 'drug', 'total_drugs', cast(count(*) as double) from cv
 union all select 'drug', 'valid_drugs', cast(sum(cast(v as int)) as double) from cv
 union all select 'interaction', 'total_interactions', cast(count(*) as double) from t
+union all select 'interaction', 'unique_proteins', cast(count(*) as double) from dp
+union all select 'interaction', 'unique_compounds', cast(count(*) as double) from dc
 union all select 'interaction', 'positive_interactions', cast(sum(binding_label) as double) from t
+union all select 'interaction', 'binding_ratio', round(avg(binding_label), 6) from t
+union all select 'interaction', 'min_pkd', round(min(pKd), 6) from t
+union all select 'interaction', 'max_pkd', round(max(pKd), 6) from t
 union all select 'interaction', 'mean_pkd', round(avg(pKd), 6) from t
 union all select 'quality', 'duplicate_interactions', cast(sum(c - 1) as double) from g
-union all select 'cleaned', 'rows', cast(count(*) as double) from cl""", "t_interactions"))
+union all select 'quality', 'missing_' || m, 0.0 from (select unnest(['compound', 'protein', 'affinity', 'source_dataset', 'pKd', 'binding_label']) as m) x
+union all select 'quality', 'protein_quality', round(avg(cast(v as int)) * 100.0, 6) from pv
+union all select 'quality', 'drug_quality', round(avg(cast(v as int)) * 100.0, 6) from cv
+union all select 'quality', 'overall_quality_score', round(((select avg(cast(v as int)) from pv) + (select avg(cast(v as int)) from cv)) * 50.0, 6)
+union all select 'cleaned', 'rows', cast(count(*) as double) from cl
+union all select 'cleaned', 'protein_length', cast(sum(length(protein)) as double) from cl
+union all select 'cleaned', 'compound_length', cast(sum(length(compound)) as double) from cl""", "t_interactions"))
 def q_p2(spark, sf):
     facts = V.interactions_ids(spark, sf).select("compound_id", "protein_id", "affinity", "source_dataset")
     facts = facts.withColumn("pKd", clean.to_pkd("affinity")).withColumn("binding_label", clean.binding_label("pKd"))
@@ -247,13 +270,14 @@ def q_p2(spark, sf):
             .alias("metric", "value")).select(F.lit(section).alias("section"), "metric", "value")
 
     parts = [
-        long(prot, "protein", ["total_proteins", "valid_proteins", "length_median"]),
+        long(prot, "protein", ["total_proteins", "valid_proteins", "length_min", "length_max", "length_mean",
+                               "length_median"]),
         long(drug, "drug", ["total_drugs", "valid_drugs"]),
-        long(inter, "interaction", ["total_interactions", "positive_interactions", "mean_pkd"]),
-        quality.filter(F.col("metric") == "duplicate_interactions").select(F.lit("quality").alias("section"),
-                                                                           "metric", "value"),
-        cleaned.agg(F.count(F.lit(1)).cast("double").alias("rows")).select(
-            F.lit("cleaned").alias("section"), F.lit("rows").alias("metric"), F.col("rows").alias("value")),
+        long(inter, "interaction", inter.columns),
+        quality.select(F.lit("quality").alias("section"), "metric", "value"),
+        long(cleaned.agg(F.count(F.lit(1)).alias("rows"), F.sum("protein_length").alias("protein_length"),
+                         F.sum("compound_length").alias("compound_length")), "cleaned",
+             ["rows", "protein_length", "compound_length"]),
     ]
     out = parts[0]
     for p in parts[1:]:

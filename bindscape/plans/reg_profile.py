@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from bindscape.functions import protein as P
 from bindscape.operators import profile
 from bindscape.plans import views as V
+from bindscape.plans import workflows as W
 from bindscape.plans.oracle_views import with_views
 from bindscape.plans.reg_prepare import VALID_PROT_SQL, valid_smiles_sql
 from bindscape.plans.reg_scalar import SP, cnt
 from bindscape.plans.registry import joined, r6, register
+from bindscape.session import cut_lineage
 
 NORM = "upper(replace(replace(protein, ' ', ''), chr(10), ''))"
 
@@ -21,7 +23,8 @@ select source_dataset, array_to_string(list_sort(list_distinct(list(source_split
  count(distinct protein) as unique_proteins
 from t_interactions group by source_dataset""", "t_interactions"))
 def q_d1(spark, sf):
-    d = profile.dataset_statistics(V.interactions(spark, sf))
+    keyed = W.keyed_interactions(V.interactions_ids(spark, sf), V.compounds(spark, sf), V.proteins(spark, sf))
+    d = profile.dataset_statistics(keyed, compound="canon_c", protein="canon_p")
     return d.select("source_dataset", joined("splits").alias("splits"), "total_interactions",
                     "unique_compounds", "unique_proteins")
 
@@ -88,8 +91,14 @@ union all select 'drug_quality', round(vd * 100.0 / nd, 6) from s
 union all select 'overall_quality_score', round((vp * 1.0 / np + vd * 1.0 / nd) * 50, 6) from s""",
                                        "t_interactions"))
 def q_d5(spark, sf):
-    df = V.interactions(spark, sf).select("compound", "protein", "affinity", "source_dataset", "source_split")
-    return profile.data_quality(df).select("metric", r6("value").alias("value"))
+    comp, prot = V.compounds(spark, sf), V.proteins(spark, sf)
+    attrs = ["affinity", "source_dataset", "source_split"]
+    keyed = W.keyed_interactions(V.interactions_ids(spark, sf), comp, prot)
+    g = cut_lineage(keyed.groupBy("canon_c", "canon_p", *attrs).agg(F.count(F.lit(1)).alias("_c")))
+    _, _, canon_c, canon_p = W.canonical_ids(comp, prot)
+    q = W.quality_normalized(g, g.select("canon_p").distinct().join(canon_p, "canon_p"),
+                             g.select("canon_c").distinct().join(canon_c, "canon_c"), attrs)
+    return q.select("metric", r6("value").alias("value"))
 
 
 @register("D8_embedding_stats", with_views("""

@@ -18,29 +18,7 @@ SMILES_FRAGMENTS = [
 ]
 
 
-_DIMENSIONS: dict = {}
-
-
-def _materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """A derived dimension table is built once per session and table folder and
-    persisted (memory, spilling to disk): the protein view reads every document
-    text in full, and one plan may use a dimension several times. A lost
-    block is rebuilt from lineage."""
-    from pyspark import StorageLevel
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir, name)
-    df = _DIMENSIONS.get(key)
-    if df is None:
-        df = build().persist(StorageLevel.MEMORY_AND_DISK)
-        _DIMENSIONS[key] = df
-    return df
-
-
 def proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``protein_id long, protein string`` (materialized once per session)."""
-    return _materialized(spark, sf_dir, "proteins", lambda: _proteins(spark, sf_dir))
-
-
-def _proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``protein_id long, protein string`` from ``documents``: letters only, upper
     case, invalid letters removed except on every fifth id, lower case on every
     seventh."""
@@ -54,11 +32,6 @@ def _proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``compound_id long, compound string`` (materialized once per session)."""
-    return _materialized(spark, sf_dir, "compounds", lambda: _compounds(spark, sf_dir))
-
-
-def _compounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``compound_id long, compound string`` from ``part``."""
     p = read_table(spark, sf_dir, "part").select("p_partkey", "p_size")
     frag = F.element_at(F.array(*[F.lit(s) for s in SMILES_FRAGMENTS]),

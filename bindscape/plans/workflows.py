@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bindscape.operators import clean, splits
+from bindscape.session import cut_lineage
 
 
 def prepare_training(df: DataFrame, ratios=(0.8, 0.1, 0.1), seed: int = 42,
@@ -30,9 +30,7 @@ def interaction_profile_normalized(facts: DataFrame, compounds: DataFrame, prote
     protein) string pair via canonical ids -> pKd -> range filter -> label.
     Rows keep ``canon_c`` / ``canon_p``, whose distinct counts equal the
     distinct string counts, so the summary needs no sequence column."""
-    cmap, pmap, _, _ = canonical_ids(compounds, proteins)
-    keyed = facts.join(cmap, "compound_id").join(pmap, "protein_id")
-    first = splits.dedup_pairs(keyed, ("canon_c", "canon_p"), row_order)
+    first = first_interactions(facts, compounds, proteins, row_order)
     out = clean.filter_pkd_range(first.withColumn("pKd", clean.to_pkd("affinity")))
     return out.withColumn("binding_label", clean.binding_label("pKd", threshold))
 
@@ -56,16 +54,40 @@ def preprocess_dataset(df: DataFrame, protein: str = "protein", compound: str =
 
 def canonical_ids(compounds: DataFrame, proteins: DataFrame):
     """Canonical id per distinct string (its smallest id) for both dimensions:
-    ``(cmap: compound_id -> canon_c, pmap: protein_id -> canon_p, canon_c, canon_p)``.
-    String equality on the joined fact table is id equality on canonical ids,
-    so fact-side shuffles can carry longs instead of sequences."""
-    canon_c = compounds.groupBy("compound").agg(F.min("compound_id").alias("canon_c"))
-    canon_p = proteins.groupBy("protein").agg(F.min("protein_id").alias("canon_p"))
-    cmap = compounds.join(canon_c, "compound").select("compound_id", "canon_c")
-    pmap = proteins.join(canon_p, "protein").select("protein_id", "canon_p")
+    ``(cmap: compound_id -> canon_c, pmap: protein_id -> canon_p, canon_c, canon_p)``, the last two
+    with one row and string per canonical id. Strings are compared by their md5, worked out once
+    per row, so no shuffle groups or joins on a string."""
+    def one(dim, ident, text, canon):
+        keyed = dim.select(ident, F.md5(text).alias("_h"))
+        first = keyed.groupBy("_h").agg(F.min(ident).alias(canon))
+        named = dim.join(first.select(canon), F.col(ident) == F.col(canon)).select(canon, text)
+        return keyed.join(first, "_h").select(ident, canon), named
+    cmap, canon_c = one(compounds, "compound_id", "compound", "canon_c")
+    pmap, canon_p = one(proteins, "protein_id", "protein", "canon_p")
     return cmap, pmap, canon_c, canon_p
 
 
+def keyed_interactions(facts: DataFrame, compounds: DataFrame, proteins: DataFrame) -> DataFrame:
+    """Facts with ``canon_c`` and ``canon_p``: equality of the strings is equality of these ids."""
+    cmap, pmap, _, _ = canonical_ids(compounds, proteins)
+    return facts.join(cmap, "compound_id").join(pmap, "protein_id")
+
+
+def first_interactions(facts: DataFrame, compounds: DataFrame, proteins: DataFrame,
+                       row_order=("l_orderkey", "l_linenumber")) -> DataFrame:
+    """F1 over the normalized star: the first row per pair of strings, found on canonical ids."""
+    return splits.dedup_pairs(keyed_interactions(facts, compounds, proteins), ("canon_c", "canon_p"), row_order)
+
+
+def with_pair_hash(rows: DataFrame, compounds: DataFrame, proteins: DataFrame, seed: int = 42) -> DataFrame:
+    """Rows with ``canon_c`` / ``canon_p`` -> plus ``pair_hash`` (md5 of compound, protein and seed) and both
+    lengths. The strings are met once, protein last, and dropped in the same stage."""
+    _, _, canon_c, canon_p = canonical_ids(compounds, proteins)
+    met = rows.join(canon_c, "canon_c").join(canon_p, "canon_p")
+    return met.select(*rows.columns, F.md5(F.concat_ws("|", "compound", "protein", F.lit(str(seed)))).alias("pair_hash"),
+                      F.length("compound").alias("compound_length"), F.length("protein").alias("protein_length"))
+
+
 def preprocess_dataset_normalized(facts: DataFrame, compounds: DataFrame, proteins: DataFrame,
                                   attrs=("affinity", "source_dataset", "pKd", "binding_label")):
     """P2 over a normalized star (facts keyed by ids + the two dimensions).
@@ -75,12 +97,10 @@ def preprocess_dataset_normalized(facts: DataFrame, compounds: DataFrame, protei
     from bindscape.functions import protein as PF
     from bindscape.functions import smiles as SF
     from bindscape.operators import profile
-    cmap, pmap, canon_c, canon_p = canonical_ids(compounds, proteins)
-    keyed = facts.join(cmap, "compound_id").join(pmap, "protein_id").select("canon_c", "canon_p", *attrs)
-    # the distinct-row table feeds all five outputs: persisted so it is built once
-    # (memory, spilling to disk; a lost block is rebuilt from lineage)
-    g = keyed.groupBy("canon_c", "canon_p", *attrs).agg(F.count(F.lit(1)).alias("_c")) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    _, _, canon_c, canon_p = canonical_ids(compounds, proteins)
+    keyed = keyed_interactions(facts, compounds, proteins).select("canon_c", "canon_p", *attrs)
+    # the distinct-row table (ids and attributes) feeds all five outputs: written once to the shared folder
+    g = cut_lineage(keyed.groupBy("canon_c", "canon_p", *attrs).agg(F.count(F.lit(1)).alias("_c")))
     used_p = g.select("canon_p").distinct().join(canon_p, "canon_p")
     used_c = g.select("canon_c").distinct().join(canon_c, "canon_c")
     prot = profile.protein_summary(used_p.select("protein"))
@@ -98,15 +118,28 @@ def preprocess_dataset_normalized(facts: DataFrame, compounds: DataFrame, protei
     c = used_c.agg(F.count(F.lit(1)).alias("unique_compounds"))
     inter = a.unionByName(b, allowMissingColumns=True).unionByName(c, allowMissingColumns=True)
     inter = inter.agg(*[F.max(x).alias(x) for x in a.columns])
-    # quality: duplicates and nulls from the grouped ids, valid shares from the distinct values
+    quality = quality_normalized(g, used_p, used_c, attrs)
     cols = ["compound", "protein", *attrs]
-    nulls = {"compound": F.lit(0), "protein": F.lit(0)}
+    # cleaned rows: distinct id rows whose strings pass, strings joined back once
+    ok_p = used_p.filter((F.col("protein") == PF.normalize_protein("protein")) & PF.is_valid_protein("protein"))
+    ok_c = used_c.filter((F.col("compound") == SF.strip("compound")) & SF.is_valid_smiles("compound"))
+    cleaned = (g.drop("_c").join(ok_c, "canon_c").join(ok_p, "canon_p").select(*cols)
+                .withColumn("protein_length", F.length("protein"))
+                .withColumn("compound_length", F.length("compound")))
+    return prot, drug, inter, quality, cleaned
+
+
+def quality_normalized(g: DataFrame, used_p: DataFrame, used_c: DataFrame, attrs) -> DataFrame:
+    """D5 from distinct id rows ``(canon_c, canon_p, attrs..., _c)`` and the distinct strings in use:
+    duplicates and nulls from the rows, valid shares from the strings; ``(metric, value)``."""
+    from bindscape.functions import protein as PF
+    from bindscape.functions import smiles as SF
+    w = F.col("_c")
     q1 = g.agg(F.sum(w - 1).cast("double").alias("duplicate_interactions"),
-               *[(nulls[x] if x in nulls else F.sum(F.when(F.col(x).isNull(), w).otherwise(0)))
-                 .cast("double").alias(f"missing_{x}") for x in cols])
-    names = q1.columns
-    long1 = q1.select(F.explode(F.map_from_arrays(F.array(*[F.lit(x) for x in names]),
-                                                  F.array(*[F.col(x) for x in names]))).alias("metric", "value"))
+               F.lit(0.0).alias("missing_compound"), F.lit(0.0).alias("missing_protein"),
+               *[F.sum(F.when(F.col(x).isNull(), w).otherwise(0)).cast("double").alias(f"missing_{x}") for x in attrs])
+    long1 = q1.select(F.explode(F.map_from_arrays(F.array(*[F.lit(x) for x in q1.columns]),
+                                                  F.array(*[F.col(x) for x in q1.columns]))).alias("metric", "value"))
     vp = used_p.agg(F.avg(PF.is_valid_protein("protein").cast("double")).alias("pq"))
     vd = used_c.agg(F.avg(SF.is_valid_smiles("compound").cast("double")).alias("dq"))
     shares = vp.unionByName(vd, allowMissingColumns=True).agg(
@@ -114,33 +147,42 @@ def preprocess_dataset_normalized(facts: DataFrame, compounds: DataFrame, protei
     long2 = shares.select(F.explode(F.map_from_arrays(
         F.array(F.lit("protein_quality"), F.lit("drug_quality"), F.lit("overall_quality_score")),
         F.array(F.col("pq") * 100, F.col("dq") * 100, (F.col("pq") + F.col("dq")) * 50))).alias("metric", "value"))
-    quality = long1.unionByName(long2)
-    # cleaned rows: distinct id rows whose strings pass, strings joined back once
-    ok_p = used_p.filter((F.col("protein") == PF.normalize_protein("protein")) & PF.is_valid_protein("protein"))
-    ok_c = used_c.filter((F.col("compound") == SF.strip("compound")) & SF.is_valid_smiles("compound"))
-    cleaned = (g.drop("_c").join(ok_c, "canon_c").join(ok_p, "canon_p").select(*cols)
-                .withColumn("protein_length", F.length("protein"))
-                .withColumn("compound_length", F.length("compound")))
-    return prot, drug, inter, quality, cleaned
+    return long1.unionByName(long2)
+
+
+def clean_normalized(facts: DataFrame, compounds: DataFrame, proteins: DataFrame, attrs) -> DataFrame:
+    """B7 over the normalized star: the distinct rows whose strings pass, as canonical ids, attributes and
+    both lengths. The tests run once per dimension row; facts shuffle ids only."""
+    from bindscape.functions import protein as PF
+    from bindscape.functions import smiles as SF
+    _, _, canon_c, canon_p = canonical_ids(compounds, proteins)
+    ok_p = canon_p.where((F.col("protein") == PF.normalize_protein("protein")) & PF.is_valid_protein("protein")).select(
+        "canon_p", F.length("protein").alias("protein_length"))
+    ok_c = canon_c.where((F.col("compound") == SF.strip("compound")) & SF.is_valid_smiles("compound")).select(
+        "canon_c", F.length("compound").alias("compound_length"))
+    rows = keyed_interactions(facts, compounds, proteins).select("canon_c", "canon_p", *attrs).dropDuplicates()
+    return rows.join(ok_c, "canon_c").join(ok_p, "canon_p")
 
 
 def prepare_training_normalized(facts: DataFrame, compounds: DataFrame, proteins: DataFrame,
                                 ratios=(0.8, 0.1, 0.1), seed: int = 42, threshold: float = 6.0,
-                                row_order=("l_orderkey", "l_linenumber"), n_parts: int | None = None) -> DataFrame:
+                                row_order=("l_orderkey", "l_linenumber"), n_parts: int | None = None,
+                                with_strings: bool = True) -> DataFrame:
     """P1 over a normalized star: facts keyed by ``compound_id`` / ``protein_id``
     plus the two dimension tables. Same result as ``prepare_training`` on the
-    joined table, but the keep-first step shuffles ids, not strings: each
-    distinct string gets a canonical id (its smallest id, from the dimension
-    table), facts are de-duplicated on canonical ids, and the strings are
-    joined back only to the rows kept."""
-    cmap, pmap, canon_c, canon_p = canonical_ids(compounds, proteins)
-    keyed = facts.join(cmap, "compound_id").join(pmap, "protein_id")
-    first = splits.dedup_pairs(keyed, ("canon_c", "canon_p"), row_order)
-    named = (first.join(canon_c.withColumnRenamed("canon_c", "_cc"), F.col("canon_c") == F.col("_cc"))
-                  .join(canon_p.withColumnRenamed("canon_p", "_cp"), F.col("canon_p") == F.col("_cp"))
-                  .drop("_cc", "_cp", "canon_c", "canon_p"))
-    cut = splits.ratio_split(named, ("compound", "protein"), ratios, seed, n_parts=n_parts)
-    return clean.add_training_columns(cut, "affinity", threshold)
+    joined table, but keep-first, rank and filters run on ids, the pair hash
+    and the two lengths; the strings join the final rows (or not at all, with
+    ``with_strings=False``: the ids name them)."""
+    first = first_interactions(facts, compounds, proteins, row_order)
+    hashed = with_pair_hash(first, compounds, proteins, seed)
+    cut = splits.ratio_split(hashed, ("canon_c", "canon_p"), ratios, seed, n_parts=n_parts, hash_col="pair_hash")
+    kept = cut.where(clean.lengths_in_range(F.col("protein_length"), F.col("compound_length")))
+    out = clean.filter_pkd_range(kept.withColumn("pKd", clean.to_pkd("affinity")))
+    out = out.withColumn("binding_label", clean.binding_label("pKd", threshold))
+    if with_strings:
+        out = (out.join(compounds.select("compound_id", "compound"), "compound_id")
+                  .join(proteins.select("protein_id", "protein"), "protein_id"))
+    return out.drop("canon_c", "canon_p", "pair_hash")
 
 
 def parsed_predictions(scored: DataFrame, text_col: str | None = None, y: str = "y_true",
