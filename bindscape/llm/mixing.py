@@ -9,8 +9,6 @@ exploded and put in one global random order by hash.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +17,10 @@ from bindscape.session import cut_lineage
 SEED = 42
 #: Exponent of the default target: weights in proportion to bytes ** ALPHA.
 ALPHA = 0.5
-#: Largest repetition rate; a larger one is refused, never cut down.
-MAX_RATE = 500.0
+#: A larger rate is drawn as a sum of independent draws of at most this mean (exact, and free of underflow).
+PIECE_RATE = 32.0
+#: Copies exploded at a time.
+CHUNK = 1 << 16
 BROADCAST_BYTES = 16 << 20
 
 
@@ -31,8 +31,8 @@ def uniform(*parts: Column) -> Column:
 
 
 def poisson_draw(u: Column, rate: Column) -> Column:
-    """Smallest k with P(X <= k) > u for X ~ Poisson(rate): the terms are summed until they pass
-    u or no longer change the sum. A rate of zero gives 0."""
+    """Smallest k with P(X <= k) > u for X ~ Poisson(rate), rate at most ``PIECE_RATE``: the terms are
+    summed until they pass u or no longer change the sum. A rate of zero gives 0."""
     steps = F.sequence(F.lit(1), (rate + 12 * F.sqrt(rate) + 40).cast("int"))
     start = F.struct(F.lit(0).alias("k"), F.exp(-rate).alias("p"), F.exp(-rate).alias("cdf"))
 
@@ -43,6 +43,20 @@ def poisson_draw(u: Column, rate: Column) -> Column:
     return F.aggregate(steps, start, step, lambda s: s["k"])
 
 
+def copies(seed: Column, ident: Column, rate: Column) -> Column:
+    """Copies of a document: a Poisson draw of mean ``rate`` at the uniform number of (seed, id). A rate
+    above ``PIECE_RATE`` is cut into equal pieces, the further ones drawn at (seed, id, number)."""
+    pieces = F.greatest(F.ceil(rate / PIECE_RATE), F.lit(1)).cast("int")
+
+    def draw(j: Column) -> Column:
+        u = F.when(j == 0, uniform(seed, ident)).otherwise(uniform(seed, ident, j))
+        return poisson_draw(u, rate / pieces).cast("long")
+
+    one = poisson_draw(uniform(seed, ident), rate).cast("long")
+    many = F.aggregate(F.sequence(F.lit(0), pieces - 1), F.lit(0).cast("long"), lambda s, j: s + draw(j))
+    return F.when(pieces == 1, one).otherwise(many)
+
+
 def repetition_rates(docs: DataFrame, weights: DataFrame | None = None, source_col: str = "source",
                      text_col: str = "text", alpha: float = ALPHA, total_bytes: float | None = None) -> DataFrame:
     """``(src, rate)`` per source. ``weights`` is a table ``(source, weight)``; a source that it does
@@ -62,11 +76,7 @@ def repetition_rates(docs: DataFrame, weights: DataFrame | None = None, source_c
     if not sums["w"]:
         return weighed.select("src", F.lit(0.0).alias("rate"))
     out = float(total_bytes if total_bytes is not None else sums["b"])
-    rates = weighed.select("src", (F.col("w") * F.lit(out) / F.lit(float(sums["w"])) / F.col("bytes")).alias("rate"))
-    top = rates.agg(F.max("rate")).first()[0]
-    if top is not None and (top > MAX_RATE or math.isnan(top) or top < 0):
-        raise ValueError(f"a source would be repeated {top:.1f} times; at most {MAX_RATE} is supported")
-    return rates
+    return weighed.select("src", (F.col("w") * F.lit(out) / F.lit(float(sums["w"])) / F.col("bytes")).alias("rate"))
 
 
 def mix_sources(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id",
@@ -85,9 +95,10 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, id_col: str =
         rates = F.broadcast(rates)
     cols = [F.col(f"`{c}`") for c in docs.columns]
     drawn = (docs.join(rates, docs[source_col].eqNullSafe(F.col("__src")))
-             .withColumn("__n", poisson_draw(uniform(F.lit(seed), F.col(id_col)), F.col("__rate")))
+             .withColumn("__n", copies(F.lit(seed), F.col(id_col), F.col("__rate")))
              .where("__n > 0")
-             .select(*cols, F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("__copy")))
+             .select(*cols, "__n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(CHUNK).cast("long"))).alias("__c"))
+             .select(*cols, F.explode(F.sequence("__c", F.least(F.col("__c") + CHUNK, F.col("__n")) - 1)).alias("__copy")))
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")),
                             F.col("__copy").cast("string")))
     return drawn.withColumn("__order", key).orderBy("__order")

@@ -63,7 +63,7 @@ c as (select source, k, sum(p) over (partition by source order by k) as cdf from
 l as (select source, list(cdf order by k) as cdfs from c group by 1),
 n as (select doc_id, d.source, text, len(list_filter(cdfs, lambda x: x <= u)) as n
   from d join l on d.source is not distinct from l.source),
-e as (select doc_id, source, text, unnest(range(0, n))::int as copy from n)
+e as (select doc_id, source, text, unnest(range(0, n))::bigint as copy from n)
 select doc_id, source, copy, md5(text) as text_md5,
  md5('42|' || coalesce(doc_id::varchar, '') || '|' || copy::varchar) as shuffle_key from e""")
 def op10(spark, sf_dir):

@@ -187,8 +187,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         def count(batches):
             seen = Counter()
             for b in batches:
-                for t in b.column(0).to_pylist():
-                    terms = terms_of(t or "")
+                for t in b.column(0):
+                    terms = terms_of(t.as_py() or "")
                     seen.update(terms if wanted is None else terms & wanted)
                     seen[""] += 1
             keys = list(seen)

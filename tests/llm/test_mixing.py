@@ -1,14 +1,13 @@
 import math
 from collections import Counter
 
-import pytest
 from pyspark.sql import functions as F
 
-from bindscape.llm.mixing import mix_sources, poisson_draw, repetition_rates
+from bindscape.llm.mixing import copies, mix_sources, poisson_draw, repetition_rates
 
 
 def test_poisson_inverse(spark):
-    for rate in (0.0, 0.3, 1.0, 7.5, 120.0):
+    for rate in (0.0, 0.3, 1.0, 7.5, 32.0):
         df = spark.range(2000).select((F.col("id") / 2000.0).alias("u")).withColumn("k", poisson_draw(F.col("u"), F.lit(rate)))
         for r in df.collect():
             k, cdf = -1, 0.0
@@ -41,8 +40,18 @@ def test_rates(spark, docs_of):
         assert abs(rates[s] - w[s] / sum(w.values()) * 51 / size) < 1e-9
     only = spark.createDataFrame([("a", 1.0)], "source string, weight double")
     assert {r["src"]: r["rate"] for r in repetition_rates(docs, only).collect()} == {"a": 5.1, "b": 0.0, None: 0.0}
-    with pytest.raises(ValueError):
-        mix_sources(docs, only, total_bytes=1e6)
+
+
+def test_large_rates(spark, docs_of):
+    n = [r[0] for r in spark.range(300).select(copies(F.lit(42), F.col("id"), F.lit(1000.0))).collect()]
+    mean = sum(n) / len(n)
+    var = sum((x - mean) ** 2 for x in n) / len(n)
+    assert abs(mean - 1000) < 8 and 700 < var < 1350
+    only = spark.createDataFrame([("a", 1.0)], "source string, weight double")
+    docs = docs_of([(1, "x" * 9, "a"), (2, "x" * 39, "b")])
+    out = mix_sources(docs, only, total_bytes=2e6)
+    rows = out.agg(F.count(F.lit(1)), F.countDistinct("__copy"), F.max("__copy"), F.max("doc_id")).first()
+    assert abs(rows[0] / 2e5 - 1) < 0.02 and rows[0] == rows[1] == rows[2] + 1 and rows[3] == 1
 
 
 def test_odd_rows(spark, docs_of, odd_rows):
