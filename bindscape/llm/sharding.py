@@ -26,7 +26,7 @@ ROWS_PER_BUCKET = 50_000
 CHUNK = 1 << 16
 
 
-def difference(items: list[tuple[int, int]], shards: int) -> dict[int, int]:
+def difference(items: list[tuple], shards: int) -> dict:
     """Karmarkar-Karp: ``(item, weight)`` -> ``{item: shard}``.
 
     Every item starts as a partial partition with one loaded part. The two partials
@@ -88,11 +88,11 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id",
     heavy = [(r["grp"], int(r["w"])) for r in groups.where(alone).collect()]          # at most n_items rows
     packed = [(r["b"], int(r["w"])) for r in groups.where(~alone)
               .groupBy(F.pmod("grp", F.lit(n_items)).alias("b")).agg(F.sum("w").alias("w")).collect()]
-    placed = difference([(2 * k, w) for k, (_, w) in enumerate(heavy)]
-                        + [(2 * b + 1, w) for b, w in packed], shards)
+    # ties go by group or bundle number, whatever the order in which the rows came
+    placed = difference([((0, g), w) for g, w in heavy] + [((1, b), w) for b, w in packed], shards)
     # both tables have at most n_items rows of 12 bytes: a broadcast of proven size
-    own = spark.createDataFrame([(g, placed[2 * k]) for k, (g, _) in enumerate(heavy)], "grp long, own int")
-    shared = spark.createDataFrame([(b, placed[2 * b + 1]) for b, _ in packed], "bundle long, shared int")
+    own = spark.createDataFrame([(g, placed[0, g]) for g, _ in heavy], "grp long, own int")
+    shared = spark.createDataFrame([(b, placed[1, b]) for b, _ in packed], "bundle long, shared int")
     return (rows.withColumn("bundle", F.pmod("grp", F.lit(n_items)))
             .join(F.broadcast(own), "grp", "left").join(F.broadcast(shared), "bundle", "left")
             .select("id", "size", "crc", "grp", F.coalesce("own", "shared").alias("shard")))
