@@ -1,7 +1,7 @@
 """Exact near-duplicate line removal as a set-similarity join (DataFrame functions only).
 
 A line is the set of its words. Words are ordered by rarity, the rarest first: each word
-becomes a code whose high bits are the rank of its hash bucket by the number of words
+becomes a code whose high bits are the class of its hash bucket by the number of words
 counted there over all lines (a table of fixed size), so common words sort last in every
 line alike. Two lines of Jaccard similarity t or more must share ``SHARED`` words among their first
 ones; that prefix, a length filter and a positional filter choose the candidates, whose sets
@@ -15,12 +15,11 @@ from decimal import Decimal
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from bindscape.session import cut_lineage
 
 THRESHOLD = 0.8
-BUCKET_BITS = 16
+BUCKET_BITS = 20
 BUCKETS = 1 << BUCKET_BITS
 #: Words that a candidate pair must share in the prefixes, which are that much longer.
 SHARED = 2
@@ -47,16 +46,18 @@ def _bucket(word_hash: Column) -> Column:
 
 
 def rarity(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row with the array ``ranks``: the rank (from 0, rarest first) of each of the 65,536 hash
-    buckets by the number of words in it, over all lines."""
+    """One row with the array ``ranks`` (tinyint, by hash bucket): the class of the number of words in the
+    bucket over all lines, three classes to a doubling, so that a lower one is rarer."""
     words = docs.select(F.explode(_words(F.replace(F.col(text_col), F.lit("\n"), F.lit(" ")))).alias("w"))
     counts = words.where("w <> ''").groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("n"))
-    dense = counts.union(every).groupBy("b").agg(F.sum("n").alias("n"))
-    # 65,536 rows at any data size
-    ranked = dense.select("b", (F.row_number().over(Window.orderBy("n", "b")) - 1).cast("long").alias("r"))
-    return cut_lineage(ranked.agg(F.transform(F.sort_array(F.collect_list(F.struct("b", "r"))), lambda x: x["r"])
-                                  .alias("ranks")))
+    classes = counts.union(every).groupBy("b").agg(
+        F.least(F.floor(3 * F.log2(F.sum("n") + 1)), F.lit(127)).cast("tinyint").alias("r"))
+    # 2 ** BUCKET_BITS bytes at any data size, put together from runs of 1,024
+    runs = classes.groupBy(F.shiftright("b", 10).alias("run")).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("b", "r"))), lambda x: x["r"]).alias("rs"))
+    return cut_lineage(runs.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("run", "rs"))),
+                                                      lambda x: x["rs"])).alias("ranks")))
 
 
 def _codes(words: Column, ranks: Column) -> Column:
@@ -64,8 +65,8 @@ def _codes(words: Column, ranks: Column) -> Column:
     hashes = F.array_distinct(F.transform(words, lambda w: F.when(w == "", F.lit(0).cast("long")).otherwise(F.xxhash64(w))))
 
     def code(h):
-        rank = F.coalesce(F.get(ranks, _bucket(h)), F.lit(0).cast("long"))
-        return F.shiftleft(rank, 63 - BUCKET_BITS).bitwiseOR(F.shiftrightunsigned(h, BUCKET_BITS + 1))
+        rank = F.coalesce(F.get(ranks, _bucket(h)), F.lit(0).cast("tinyint")).cast("long")
+        return F.shiftleft(rank, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
     return F.sort_array(F.transform(F.array_remove(hashes, F.lit(0).cast("long")), code))
 
 
