@@ -60,11 +60,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one driver table. ``TIMESTAMP_NTZ`` columns become ``timestamp``
-    read as UTC wall-clock time (the library works in UTC; the session time
-    zone is set to UTC when it is not) so watermarks and epoch functions
-    accept them."""
-    if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    read as wall-clock time of the session's zone, so watermarks and epoch
+    functions accept them. ``build_session`` sets the zone to UTC; a caller's
+    own session is left as it is and should do the same."""
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
     casts = [
         F.col(f.name).cast("timestamp").alias(f.name)

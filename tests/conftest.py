@@ -9,14 +9,18 @@ SMOKE = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
     from bindscape.session import ensure_checkpoint_dir
+    shared = tmp_path_factory.mktemp("shared")
     s = (SparkSession.builder.master("local[*]")
          .config("spark.sql.shuffle.partitions", "8")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
+         .config("spark.driver.memory", "6g")
+         .config("spark.checkpoint.dir", f"file://{shared}/checkpoints")
+         .config("spark.sql.warehouse.dir", f"file://{shared}/warehouse")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(s)

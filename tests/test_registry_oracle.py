@@ -22,8 +22,9 @@ def con():
 
 
 def test_every_query_has_an_oracle_or_is_rows_only():
-    rows_only = set(QUERIES) - set(ORACLE)
-    assert rows_only <= {"J2_stream_latency"}
+    # the training-data operators that SQL can't express have brute-force tests of their own
+    rows_only = {q for q in set(QUERIES) - set(ORACLE) if q != "pipeline" and not q.startswith("op")}
+    assert not rows_only
     assert set(ORACLE) <= set(QUERIES)
 
 
