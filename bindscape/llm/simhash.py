@@ -113,7 +113,8 @@ def close_pairs(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     if max_bits > MAX_BITS:
         raise ValueError(f"the anchors cover at most {MAX_BITS} differing bits")
     spark: SparkSession = fps.sparkSession
-    pieces = _pieces(fps)
+    # each row becomes 172: dealt out over all partitions, which a small input would not fill by itself
+    pieces = _pieces(fps.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp"))
     masks = spark.createDataFrame(codeword_offsets(), "threshold int, syndrome int, masks array<long>")
     key = (F.col("home") * 2 + F.col("part")).alias("anchor")
     covered = pieces.select(key, F.col("fp").alias("a"))
