@@ -9,7 +9,7 @@ from bindscape.operators import access, joins, similarity
 from bindscape.operators import clean
 from bindscape.plans import views as V
 from bindscape.plans.oracle_views import with_views
-from bindscape.plans.reg_scalar import HASH_SCORE_SQL
+from bindscape.plans.reg_scalar import FIT_SQL, HASH_SCORE_SQL, fit_score_sql, fitted_scorer
 from bindscape.plans.registry import r6, register
 from bindscape.session import read_table
 
@@ -61,38 +61,40 @@ def _screen_inputs(spark, sf):
 
 
 SCREEN_SQL = f"""
-with p as (select protein, min(protein_id) as protein_idx from t_proteins
+with {FIT_SQL},
+p as (select protein, min(protein_id) as protein_idx from t_proteins
            where regexp_full_match(upper(protein), '[ACDEFGHIKLMNPQRSTVWY]+') group by protein),
 c as (select compound, min(compound_id) as compound_idx from t_compounds
       where length(trim(compound)) >= 3
         and length(compound) - length(replace(compound, '(', '')) = length(compound) - length(replace(compound, ')', ''))
         and length(compound) - length(replace(compound, '[', '')) = length(compound) - length(replace(compound, ']', ''))
       group by compound),
-s as (select protein_idx, compound_idx, {HASH_SCORE_SQL.format(p='protein', c='compound')} as binding_affinity,
+s as (select protein_idx, compound_idx, {fit_score_sql('protein', 'compound')} as binding_affinity,
              'protein_' || protein_idx as protein_label, 'drug_' || compound_idx as drug_label,
              substr(protein, 1, 50) || '...' as sequence_label from p, c)"""
 
 
 @register("C3_screen", with_views(SCREEN_SQL + """
 select protein_idx, compound_idx, binding_affinity, protein_label, drug_label, md5(sequence_label) as label_md5 from s""",
-                                  "t_proteins", "t_compounds"))
+                                  "t_proteins", "t_compounds", "t_interactions"))
 def q_c3(spark, sf):
     p, c = _screen_inputs(spark, sf)
-    s = joins.screen(p, c)
+    s = joins.screen(p, c, scorer=fitted_scorer(spark, sf))
     return s.select("protein_idx", "compound_idx", "binding_affinity", "protein_label", "drug_label",
                     F.md5("sequence_label").alias("label_md5"))
 
 
 @register("C3_screen_pairs", with_views(f"""
+with {FIT_SQL}
 select distinct i.protein_id as protein_idx, i.compound_id as compound_idx,
- {HASH_SCORE_SQL.format(p='p.protein', c='c.compound')} as binding_affinity
+ {fit_score_sql('p.protein', 'c.compound')} as binding_affinity
 from t_interactions_ids i join t_proteins p on p.protein_id = i.protein_id join t_compounds c on c.compound_id = i.compound_id""",
-                                        "t_interactions_ids", "t_proteins", "t_compounds"))
+                                        "t_interactions_ids", "t_proteins", "t_compounds", "t_interactions"))
 def q_c3p(spark, sf):
     s = joins.screen_pairs(
         V.interactions_ids(spark, sf).select(F.col("protein_id").alias("protein_idx"), F.col("compound_id").alias("compound_idx")),
         V.proteins(spark, sf).withColumnRenamed("protein_id", "protein_idx"),
-        V.compounds(spark, sf).withColumnRenamed("compound_id", "compound_idx"))
+        V.compounds(spark, sf).withColumnRenamed("compound_id", "compound_idx"), scorer=fitted_scorer(spark, sf))
     return s.select("protein_idx", "compound_idx", "binding_affinity")
 
 
@@ -103,22 +105,22 @@ union all select 'high_affinity_count', cast(sum(case when binding_affinity > 8.
 union all select 'max_binding_affinity', coalesce(max(binding_affinity), 0) from s
 union all select 'min_binding_affinity', coalesce(min(binding_affinity), 0) from s
 union all select 'strong_pairs', cast(sum(case when binding_affinity > 7 then 1 else 0 end) as double) from s""",
-                                      "t_proteins", "t_compounds"))
+                                      "t_proteins", "t_compounds", "t_interactions"))
 def q_p3(spark, sf):
     from bindscape.plans.workflows import run_screen
     p, c = _screen_inputs(spark, sf)
-    return run_screen(p, c).select("metric", r6("value").alias("value"))
+    return run_screen(p, c, scorer=fitted_scorer(spark, sf)).select("metric", r6("value").alias("value"))
 
 
 @register("D6_screening_summary", with_views(SCREEN_SQL + """
 select count(*) as total_processed, round(coalesce(avg(binding_affinity), 0), 6) as avg_binding_affinity,
  cast(sum(case when binding_affinity > 8.0 then 1 else 0 end) as bigint) as high_affinity_count,
  coalesce(max(binding_affinity), 0) as max_binding_affinity, coalesce(min(binding_affinity), 0) as min_binding_affinity
-from s""", "t_proteins", "t_compounds"))
+from s""", "t_proteins", "t_compounds", "t_interactions"))
 def q_d6(spark, sf):
     from bindscape.plans.workflows import screening_summary
     p, c = _screen_inputs(spark, sf)
-    s = screening_summary(joins.screen(p, c))
+    s = screening_summary(joins.screen(p, c, scorer=fitted_scorer(spark, sf)))
     return s.select("total_processed", r6("avg_binding_affinity").alias("avg_binding_affinity"),
                     "high_affinity_count", r6("max_binding_affinity").alias("max_binding_affinity"),
                     r6("min_binding_affinity").alias("min_binding_affinity"))

@@ -8,6 +8,7 @@ from bindscape.operators import metrics as M
 from bindscape.operators import reports as R
 from bindscape.plans import views as V
 from bindscape.plans.oracle_views import with_views
+from bindscape.plans.reg_scalar import FIT_SQL, fit_score_sql, fitted_scorer
 from bindscape.plans.registry import r6, register
 
 # --------------------------------------------------------------- E1 .. E5
@@ -327,18 +328,15 @@ def q_p5(spark, sf):
 
 
 @register("E6_concordance_index", with_views("""
-with t as (select protein_id as g, affinity as y,
-  round(0.1 + 9.4 * cast(cast('0x' || substr(md5(concat_ws('|', protein, compound)), 1, 8) as bigint) as double) / 4294967296.0, 2) as p
-  from t_interactions),
+with """ + FIT_SQL + f""",
+t as (select protein_id as g, affinity as y, {fit_score_sql('protein', 'compound')} as p from t_interactions),
 pr as (select a.g, count(*) as comparable,
               sum(case when a.p > b.p then 1.0 when a.p = b.p then 0.5 else 0.0 end) as concordant
        from t a join t b on a.g = b.g and a.y > b.y group by a.g)
 select g as protein_id, comparable as comparable_pairs, round(cast(concordant as double), 6) as concordant,
        round(cast(concordant as double) / comparable, 6) as c_index from pr""", "t_interactions"))
 def q_e6(spark, sf):
-    from bindscape.functions.scoring import hash_score
-    d = V.interactions(spark, sf).select("protein_id", "affinity",
-                                         hash_score("protein", "compound").alias("pred"))
+    d = V.interactions(spark, sf).select("protein_id", "affinity", fitted_scorer(spark, sf)("protein", "compound").alias("pred"))
     c = M.concordance_index(d, "protein_id", "affinity", "pred")
     return c.filter(F.col("comparable_pairs") > 0).select(
         "protein_id", "comparable_pairs", r6("concordant").alias("concordant"), r6("c_index").alias("c_index"))

@@ -410,6 +410,33 @@ def q_i1(spark, sf):
                                             K.pair_key("protein", "compound").alias("pair_key"))
 
 
+# the fitted scorer in SQL: one row of weights, from the interactions with a pKd of 4 to 12
+_LETTERS_SQL = "coalesce(length(regexp_replace({c}, '[^A-Za-z]', '', 'g')), 0)::double"
+_SHARE_SQL = ("coalesce(case when length({p}) > 0 then (length({p}) - length(translate(upper({p}), 'AILMFWV', '')))"
+              " / length({p}) end, 0.0)::double")
+FIT_SQL = f"""fit_in as (select a, b, y from (select {_LETTERS_SQL.format(c='compound')} as a, {_SHARE_SQL.format(p='protein')} as b,
+  {PKD_SQL} as y from t_interactions) z where y between 4.0 and 12.0 and not isnan(y)),
+fit_s as (select avg(a) as ma, avg(b) as mb, avg(y) as my, var_pop(a) as aa, var_pop(b) as bb, covar_pop(a, b) as ab,
+  covar_pop(a, y) as ay, covar_pop(b, y) as by_ from fit_in),
+fit_w as (select *, (bb * ay - ab * by_) / (aa * bb - ab * ab) as wa, (aa * by_ - ab * ay) / (aa * bb - ab * ab) as wb from fit_s)"""
+
+
+def fit_score_sql(p: str, c: str) -> str:
+    return (f"round((select my - wa * ma - wb * mb from fit_w) + (select wa from fit_w) * {_LETTERS_SQL.format(c=c)}"
+            f" + (select wb from fit_w) * {_SHARE_SQL.format(p=p)}, 4)")
+
+
+def fitted_scorer(spark, sf):
+    """The linear scorer fitted to the interactions with a pKd of 4 to 12."""
+    from bindscape.functions.affinity import fit_affinity, hydrophobic_share, letter_count
+    comp = V.compounds(spark, sf).select("compound_id", letter_count("compound").alias("letters"))
+    prot = V.proteins(spark, sf).select("protein_id", hydrophobic_share("protein").alias("share"))
+    facts = clean.filter_pkd_range(V.interactions_ids(spark, sf).select(
+        "compound_id", "protein_id", clean.to_pkd("affinity").alias("pKd")))
+    return fit_affinity(facts.join(comp, "compound_id").join(prot, "protein_id"), letters=F.col("letters"),
+                        hydrophobic=F.col("share"))
+
+
 HASH_SCORE_SQL = ("round(0.1 + 9.4 * cast(cast('0x' || substr(md5(concat_ws('|', {p}, {c})), 1, 8) as bigint) "
                   "as double) / 4294967296.0, 2)")
 
@@ -578,12 +605,15 @@ def q_i22(spark, sf):
 
 
 @register("K1_score_batch", with_views(f"""
-select l_orderkey, l_linenumber, {HASH_SCORE_SQL.format(p='protein', c='compound')} as native_score,
-       {HASH_SCORE_SQL.format(p='protein', c='compound')} as model_score
+with {FIT_SQL}
+select l_orderkey, l_linenumber, {fit_score_sql('protein', 'compound')} as native_score,
+       {fit_score_sql('protein', 'compound')} as model_score
 from t_interactions""", "t_interactions"))
 def q_k1(spark, sf):
-    from bindscape.operators.scoring import md5_model, score_batch
+    from bindscape.functions.affinity import linear_model
+    from bindscape.operators.scoring import score_batch
+    model = fitted_scorer(spark, sf)
     d = V.interactions(spark, sf).select("l_orderkey", "l_linenumber", "protein", "compound")
-    native = score_batch(d, out="native_score")
-    both = score_batch(native, model_factory=md5_model, out="model_score")
-    return both.select("l_orderkey", "l_linenumber", "native_score", "model_score")
+    native = d.withColumn("native_score", model("protein", "compound"))
+    both = score_batch(native, model_factory=linear_model(model), out="model_score")
+    return both.select("l_orderkey", "l_linenumber", "native_score", F.round("model_score", 4).alias("model_score"))

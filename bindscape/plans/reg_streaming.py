@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from bindscape.plans import views as V
 from bindscape.plans.oracle_views import with_views
-from bindscape.plans.reg_scalar import HASH_SCORE_SQL
+from bindscape.plans.reg_scalar import FIT_SQL, fit_score_sql, fitted_scorer
 from bindscape.plans.registry import r6, register
 from bindscape.sources.writers import scratch_dir
 from bindscape.streaming import jobs, ttl
@@ -111,8 +111,9 @@ def q_j2s(spark, sf):
 
 
 @register("J3_stream_score", with_views(f"""
+with {FIT_SQL}
 select distinct md5(concat_ws('|', protein, compound)) as pair_key,
-       {HASH_SCORE_SQL.format(p='protein', c='compound')} as binding_affinity
+       {fit_score_sql('protein', 'compound')} as binding_affinity
 from t_interactions
 where length(protein) > 0 and regexp_full_match(upper(protein), '[ACDEFGHIKLMNPQRSTVWY]+')
   and length(compound) >= 3 and regexp_matches(compound, '[A-Za-z]')""", "t_interactions"))
@@ -129,5 +130,5 @@ def q_j3(spark, sf):
     for y in sorted(r[0] for r in staged.select("year").distinct().collect()):       # one value per year
         staged.where(F.col("year") == y).drop("year").write.mode("append").parquet(os.path.join(root, "in"))
     stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 4).parquet(os.path.join(root, "in"))
-    out = jobs.stream_score(stream, "l_shipdate", delay="400 days").select("pair_key", "binding_affinity")
+    out = jobs.stream_score(stream, "l_shipdate", delay="400 days", scorer=fitted_scorer(spark, sf)).select("pair_key", "binding_affinity")
     return _run_to_end(out, root).dropDuplicates(["pair_key"])

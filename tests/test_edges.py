@@ -131,3 +131,19 @@ def test_lines_of_a_split_file(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got == {i: f"line {i} {'x' * (i % 50)}".rstrip() if i == 2999 else f"line {i} {'x' * (i % 50)}" for i in range(3000)}
+
+
+def test_fitted_scorer(spark):
+    import numpy as np
+    from bindscape.functions.affinity import LinearAffinity, fit_affinity, linear_model
+    rng = np.random.default_rng(3)
+    rows = [("C" * int(n) + "1(", "A" * int(k) + "G" * (20 - int(k)), 2.0 + 0.3 * int(n) + 1.5 * int(k) / 20)
+            for n, k in zip(rng.integers(1, 30, 200), rng.integers(0, 20, 200), strict=True)]
+    df = spark.createDataFrame(rows, "compound string, protein string, pKd double")
+    m = fit_affinity(df)
+    assert abs(m.intercept - 2) < 1e-6 and abs(m.letters - 0.3) < 1e-6 and abs(m.hydrophobic - 1.5) < 1e-6
+    got = [r[0] for r in df.select(m("protein", "compound")).collect()]
+    assert got == [round(x, 4) for x in linear_model(m)()([r[1] for r in rows], [r[0] for r in rows])]
+    assert fit_affinity(df.limit(0)) == LinearAffinity(0.0, 0.0, 0.0)
+    flat = fit_affinity(df.withColumn("protein", F.lit("")))
+    assert flat.hydrophobic == 0.0 and abs(flat.letters - 0.3) < 0.1
