@@ -3,9 +3,9 @@
 A line is the set of its words. Words are ordered by rarity, the rarest first: each word
 becomes a code whose high bits are the class of its hash bucket by the number of words
 counted there over all lines (a table of fixed size), so common words sort last in every
-line alike. Two lines of Jaccard similarity t or more must share ``SHARED`` words among their first
-ones; that prefix, a length filter and a positional filter choose the candidates, whose sets
-are then compared in full. Equal sets are one class, represented by the earliest line.
+line alike. Two lines of Jaccard similarity t or more must share a word among their first
+ones; that prefix, a length filter, a positional filter and a bound on the overlap from 64-bit
+parity bitmaps of the sets choose the candidates, whose sets are then compared in full. Equal sets are one class, represented by the earliest line.
 """
 
 from __future__ import annotations
@@ -21,8 +21,6 @@ from bindscape.session import cut_lineage
 THRESHOLD = 0.8
 BUCKET_BITS = 20
 BUCKETS = 1 << BUCKET_BITS
-#: Words that a candidate pair must share in the prefixes, which are that much longer.
-SHARED = 2
 #: A table of candidate lines up to this many bytes is broadcast, a larger one is joined by a shuffle.
 BROADCAST_BYTES = 8 << 20
 
@@ -86,27 +84,35 @@ def _ceil(x: Column) -> Column:
     return F.ceil(x - F.lit(1e-9)).cast("int")
 
 
+def _parity(codes: Column) -> Column:
+    """64-bit map: bit i is set if an odd number of codes end in i. Two sets whose maps differ in d bits
+    differ in at least d elements."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(codes, F.lit(0).cast("long"), lambda s, c: s.bitwiseXOR(
+        F.call_function("shiftleft", one, c.bitwiseAND(F.lit(63)).cast("int"))))
+
+
 def similar_sets(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Candidate pairs ``(a, b)`` of the sets ``(key, n, prefix)``, each once: all pairs of Jaccard
+    """Candidate pairs ``(a, b)`` of the sets ``(key, n, bits, prefix)``, each once: all pairs of Jaccard
     similarity ``threshold`` or more, and some below. ``prefix`` holds the first
-    ``n - ceil(t n) + SHARED`` codes, rarest first; of the smaller set of a pair the first
-    ``n - ceil(2 t n / (1 + t)) + SHARED`` are enough. Two sets whose overlap must be ``need`` share
-    at least min(SHARED, need) codes there, and the first of them lie early enough (positions)."""
+    ``n - ceil(t n) + 1`` codes, rarest first; of the smaller set of a pair the first
+    ``n - ceil(2 t n / (1 + t)) + 1`` are enough."""
     t = F.lit(threshold)
     packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
-    entry = sets.select("key", "n", F.posexplode("prefix").alias("pos", "code")).select("code", "key", packed.alias("at"))
+    entry = sets.select("key", "n", "bits", F.posexplode("prefix").alias("pos", "code")).select(
+        "code", "key", "bits", packed.alias("at"))
     one, two = entry.alias("one"), entry.alias("two")
     a, b = F.col("one.key"), F.col("two.key")
     na, nb = (F.shiftright(F.col(f"{s}.at"), 32).cast("int") for s in ("one", "two"))
     pa, pb = (F.col(f"{s}.at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int") for s in ("one", "two"))
     # asked of the pair rather than of the smaller set's entries, so that one shuffle serves both sides
-    short = (pa < na - _ceil(2 * t / (1 + t) * na) + SHARED) | (nb < 0)
+    short = (pa < na - _ceil(2 * t / (1 + t) * na) + 1) | (nb < 0)
     sized = ((na < nb) | ((na == nb) & (a < b))) & (na >= t * nb - 1e-9)
     need = _ceil(t / (1 + t) * (na + nb))
-    placed = F.least(na - pa, nb - pb) + (SHARED - 1) >= need
-    met = one.hint("shuffle_hash").join(two, (F.col("one.code") == F.col("two.code")) & short & sized & placed)
-    return (met.select(a.alias("a"), b.alias("b"), F.least(need, F.lit(SHARED)).alias("least")).groupBy("a", "b", "least")
-               .agg(F.count(F.lit(1)).alias("shared")).where("shared >= least").select("a", "b"))
+    placed = F.least(na - pa, nb - pb) >= need
+    mapped = na + nb - F.bit_count(F.col("one.bits").bitwiseXOR(F.col("two.bits"))) >= 2 * need
+    on = (F.col("one.code") == F.col("two.code")) & sized & mapped & placed & short
+    return one.hint("shuffle_hash").join(two, on).select(a.alias("a"), b.alias("b")).distinct()
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -120,12 +126,12 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     place = _place(F.col("doc"), F.col("line_no"))
     # read three times below; blocks that are lost or don't fit are coded again from the texts
     wide = coded.where(n > 0).select(
-        "doc", "hash", "line_no", F.xxhash64("codes").alias("key"), n.alias("n"),
-        F.slice("codes", 1, F.least(n, n - _ceil(t * n) + SHARED)).alias("prefix")).persist(StorageLevel.MEMORY_AND_DISK)
+        "doc", "hash", "line_no", F.xxhash64("codes").alias("key"), n.alias("n"), _parity(F.col("codes")).alias("bits"),
+        F.slice("codes", 1, n - _ceil(t * n) + 1).alias("prefix")).persist(StorageLevel.MEMORY_AND_DISK)
     lines = cut_lineage(wide.select("doc", "hash", "line_no", "key"))
     # a set that could only be similar to an equal one has no partner: equal sets are one class already
     least = next(m for m in range(1, 1000) if m >= threshold * (m + 1) - 1e-9 or threshold / (1 + threshold) * 2 * m <= m - 1)
-    sets = wide.where(F.col("n") >= least).select("key", "n", "prefix").distinct()
+    sets = wide.where(F.col("n") >= least).select("key", "n", "bits", "prefix").distinct()
     pairs = cut_lineage(similar_sets(sets, threshold))
     wide.unpersist()
     narrow = cut_lineage(lines.groupBy("key").agg(F.min(place).alias("first")))
