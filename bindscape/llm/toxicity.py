@@ -14,6 +14,7 @@ import functools
 import math
 import unicodedata
 from collections import Counter
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,7 @@ from pyspark.sql import functions as F
 MAX_TRAIN = 20_000
 THRESHOLD = 0.7
 MIN_DOCS = 3
-MIN_G2 = 14.0
-MIN_WEIGHT = 2.0
+MIN_WEIGHT = 3.0
 PRIOR_WEIGHT = 3.0
 PREFIXES = range(4, 9)
 
@@ -76,8 +76,11 @@ def terms_of(text: str) -> set[str]:
 
 
 def _lexicon(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Weights of the terms that mark toxic documents (Dunning's G2 and log odds), shortest first; a
-    term that a kept beginning covers about as well is left out. Seed words fill in."""
+    """Weights of the terms that mark toxic documents (log odds), shortest first; a term that a kept
+    beginning covers about as well is left out. Seed words fill in. The evidence asked (Dunning's
+    G2) rises with the number of terms tried, so that about one would pass by chance."""
+    tried = max(2, len(toxic))
+    least_g2 = NormalDist().inv_cdf(1 - 0.5 / tried) ** 2
 
     def weight(term):
         a, b = toxic.get(term, 0), clean.get(term, 0)
@@ -92,7 +95,7 @@ def _lexicon(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean
     kept: dict[str, float] = {}
     for term in sorted(toxic, key=lambda t: (len(t.strip()), t[-1] == " ", t)):
         w = weight(term)
-        if w < MIN_WEIGHT or g2(term) < MIN_G2:
+        if w < MIN_WEIGHT or g2(term) < least_g2:
             continue
         word = term.strip()
         if any(kept.get(f" {word[:n]}", 0.0) >= 0.75 * w for n in PREFIXES if n <= len(word)):
@@ -131,11 +134,14 @@ def features(text: str | None, lexicon: tuple[tuple[str, float], ...]) -> tuple[
     words = folded.split()
     folded = f" {' '.join(words)} "
     spans = [(end - n + 1, end) for end, n in harmless.iter(folded)]
-    total = 0.0
+    hits, weights = Counter(), {}
     for end, (term, w) in machine.iter(folded):
         start = end - len(term) + 1
         if not any(a <= start and end <= b for a, b in spans):
-            total += w
+            hits[term] += 1
+            weights[term] = w
+    # a repeated term counts less each time
+    total = sum(weights[term] * (1 + math.log(n)) for term, n in hits.items())
     return math.log1p(total), math.log1p(1000.0 * total / max(1, len(words)))
 
 
