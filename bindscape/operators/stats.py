@@ -1,40 +1,15 @@
 """Exact order statistics that stay distributed.
 
-``exact_percentiles`` reduces a column to its distinct values with counts
-(map-side combined), takes running counts with ``prefix_sums`` (bucketed by
-value, no single-partition window), and picks the order statistics with
-conditional aggregates. Linear interpolation between closest ranks, the
-definition used by NumPy and SQL ``percentile`` / ``quantile_cont``.
+A column is reduced to its distinct values with counts (map-side combined),
+``prefix_sums`` gives running counts, and ``percentile_aggs`` picks the order
+statistics with conditional aggregates. Linear interpolation between closest
+ranks, the definition used by NumPy and SQL ``percentile`` / ``quantile_cont``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindscape.operators.ranking import prefix_sums
-
-
-def exact_percentiles(df: DataFrame, col: str, probs, names=None, group_cols=()) -> DataFrame:
-    """One row (per group) with one column per probability.
-
-    With ``group_cols`` the running count is a window per group over the
-    distinct values of that group (groups are small summaries, e.g. per batch)."""
-    names = list(names or [f"p{int(round(p * 100))}" for p in probs])
-    base = df.filter(F.col(col).isNotNull() & ~F.isnan(col))
-    counts = base.groupBy(*group_cols, col).agg(F.count(F.lit(1)).alias("_c"))
-    if group_cols:
-        from pyspark.sql import Window
-        w = Window.partitionBy(*group_cols).orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
-        cum = (counts.withColumn("cum__c", F.sum("_c").over(w))
-                     .withColumn("total__c", F.sum("_c").over(Window.partitionBy(*group_cols))))
-    else:
-        cum = prefix_sums(counts, col, ["_c"])
-    aggs = percentile_aggs(col, "cum__c", "total__c", probs, names)
-    if group_cols:
-        return cum.groupBy(*group_cols).agg(*aggs)
-    return cum.agg(*aggs)
-
 
 def percentile_aggs(value_col: str, cum_col: str, total_col: str, probs, names):
     """Aggregate expressions picking linear-interpolated percentiles from a

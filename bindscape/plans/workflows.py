@@ -17,7 +17,7 @@ def prepare_training(df: DataFrame, ratios=(0.8, 0.1, 0.1), seed: int = 42,
 
     The split is a column, so the three splits are one plan; the filters run
     after the cut, as in the reference, so final ratios drift. Two shuffles:
-    the pair de-duplication and the hash-bucketed rank."""
+    the pair de-duplication and the range-partitioned rank."""
     splits.require_columns(df, ["compound", "protein", "affinity"])
     first = splits.dedup_pairs(df, ("compound", "protein"), row_order)
     cut = splits.ratio_split(first, ("compound", "protein"), ratios, seed, n_parts=n_parts)

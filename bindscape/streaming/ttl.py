@@ -8,7 +8,7 @@ where ``nxt(e)`` is the first request of the key at or after ``t_e + ttl``.
 Batch (no per-key buffering, so a key holding a large share of the log is
 still spread over many tasks):
 
-1. row numbers per key from bucketed ranking;
+1. row numbers per key from range-partitioned ranking;
 2. ``nxt`` by ranking each request's probe time ``t + ttl`` among the key's
    request times (a rank, not a join);
 3. pointer doubling: ``J_{m+1} = J_m o J_m`` and the reached set
