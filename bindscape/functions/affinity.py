@@ -25,9 +25,12 @@ class LinearAffinity:
     letters: float
     hydrophobic: float
 
+    def of(self, letters: Column, share: Column) -> Column:
+        """Score from the two descriptors."""
+        return F.round(F.lit(self.intercept) + F.lit(self.letters) * letters + F.lit(self.hydrophobic) * share, DECIMALS)
+
     def __call__(self, protein, compound) -> Column:
-        return F.round(F.lit(self.intercept) + F.lit(self.letters) * letter_count(compound)
-                       + F.lit(self.hydrophobic) * hydrophobic_share(protein), DECIMALS)
+        return self.of(letter_count(compound), hydrophobic_share(protein))
 
 
 def _col(c) -> Column:

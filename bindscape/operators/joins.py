@@ -7,8 +7,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bindscape.functions import protein as P
+from bindscape.functions.affinity import LinearAffinity, hydrophobic_share, letter_count
 from bindscape.functions import scoring as K
 from bindscape.operators.ranking import hash_key
+from bindscape.session import cut_lineage
+
+
+# A list of up to this many bytes is broadcast by the full screen.
+BROADCAST_BYTES = 64 << 20
 
 
 def residue_info_table(spark: SparkSession) -> DataFrame:
@@ -66,15 +72,26 @@ def sample_pairs(ligands: DataFrame, proteins: DataFrame, n: int = 100, cap: int
                  .drop("_lh", "_ph").withColumn("synthetic", F.lit(True)))
 
 
+def _described(proteins: DataFrame, compounds: DataFrame, scorer):
+    """Both lists, with the descriptors of a descriptor-based scorer worked out once per list row
+    (written, as a generated loop over pairs would work them out again for each pair)."""
+    if not isinstance(scorer, LinearAffinity):
+        return proteins, compounds
+    return (cut_lineage(proteins.withColumn("_share", hydrophobic_share("protein"))),
+            compounds.withColumn("_letters", letter_count("compound")))
+
+
 def _labelled(pairs: DataFrame, protein_idx: str, compound_idx: str, scorer) -> DataFrame:
-    out = pairs.select(
+    if isinstance(scorer, LinearAffinity):
+        score = scorer.of(F.col("_letters"), F.col("_share"))
+    else:
+        score = (scorer if scorer is not None else K.hash_score)(F.col("protein"), F.col("compound"))
+    return pairs.select(
         protein_idx, compound_idx, "protein", "compound",
         F.concat(F.lit("protein_"), F.col(protein_idx).cast("string")).alias("protein_label"),
         F.concat(F.lit("drug_"), F.col(compound_idx).cast("string")).alias("drug_label"),
         F.concat(F.substring("protein", 1, 50), F.lit("...")).alias("sequence_label"),
-    )
-    score = scorer if scorer is not None else K.hash_score
-    return out.withColumn("binding_affinity", score(F.col("protein"), F.col("compound")))
+        score.alias("binding_affinity"))
 
 
 def screen(proteins: DataFrame, compounds: DataFrame, protein_idx: str = "protein_idx",
@@ -83,13 +100,19 @@ def screen(proteins: DataFrame, compounds: DataFrame, protein_idx: str = "protei
     product is the operator's documented output; ``screen_pairs`` is the form
     for a large library. Labels are ``protein_<i>`` / ``drug_<j>`` and the
     sequence label is the first 50 residues plus ``...``."""
-    return _labelled(proteins.crossJoin(compounds), protein_idx, compound_idx, scorer)
+    proteins, compounds = _described(proteins, compounds, scorer)
+    # the inner list is written once; up to BROADCAST_BYTES it is broadcast, else read by each task of the product
+    inner = cut_lineage(compounds)
+    size = inner.agg(F.sum(F.octet_length("compound") + 64)).first()[0] or 0
+    pairs = proteins.crossJoin(F.broadcast(inner) if size <= BROADCAST_BYTES else inner)
+    return _labelled(pairs, protein_idx, compound_idx, scorer)
 
 
 def screen_pairs(pairs: DataFrame, proteins: DataFrame, compounds: DataFrame, protein_idx: str = "protein_idx",
                  compound_idx: str = "compound_idx", scorer=None) -> DataFrame:
     """C3 over a relation of requested pairs ``(protein_idx, compound_idx)``: each distinct pair once,
     by two equi-joins; ids that a list does not have are left out."""
+    proteins, compounds = _described(proteins, compounds, scorer)
     asked = pairs.select(protein_idx, compound_idx).dropDuplicates()
     return _labelled(asked.join(compounds, compound_idx).join(proteins, protein_idx), protein_idx, compound_idx, scorer)
 

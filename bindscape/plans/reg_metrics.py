@@ -8,7 +8,7 @@ from bindscape.operators import metrics as M
 from bindscape.operators import reports as R
 from bindscape.plans import views as V
 from bindscape.plans.oracle_views import with_views
-from bindscape.plans.reg_scalar import FIT_SQL, fit_score_sql, fitted_scorer
+from bindscape.plans.reg_scalar import FIT_SQL, described_interactions, fit_score_sql, fitted_scorer
 from bindscape.plans.registry import r6, register
 
 # --------------------------------------------------------------- E1 .. E5
@@ -336,7 +336,9 @@ pr as (select a.g, count(*) as comparable,
 select g as protein_id, comparable as comparable_pairs, round(cast(concordant as double), 6) as concordant,
        round(cast(concordant as double) / comparable, 6) as c_index from pr""", "t_interactions"))
 def q_e6(spark, sf):
-    d = V.interactions(spark, sf).select("protein_id", "affinity", fitted_scorer(spark, sf)("protein", "compound").alias("pred"))
+    model = fitted_scorer(spark, sf)
+    d = described_interactions(spark, sf).select(
+        "protein_id", "affinity", model.of(F.col("letters"), F.col("share")).alias("pred"))
     c = M.concordance_index(d, "protein_id", "affinity", "pred")
     return c.filter(F.col("comparable_pairs") > 0).select(
         "protein_id", "comparable_pairs", r6("concordant").alias("concordant"), r6("c_index").alias("c_index"))

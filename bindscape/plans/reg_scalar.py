@@ -426,15 +426,19 @@ def fit_score_sql(p: str, c: str) -> str:
             f" + (select wb from fit_w) * {_SHARE_SQL.format(p=p)}, 4)")
 
 
-def fitted_scorer(spark, sf):
-    """The linear scorer fitted to the interactions with a pKd of 4 to 12."""
-    from bindscape.functions.affinity import fit_affinity, hydrophobic_share, letter_count
+def described_interactions(spark, sf):
+    """Interactions by id with the scorer's descriptors, worked out once per dimension row."""
+    from bindscape.functions.affinity import hydrophobic_share, letter_count
     comp = V.compounds(spark, sf).select("compound_id", letter_count("compound").alias("letters"))
     prot = V.proteins(spark, sf).select("protein_id", hydrophobic_share("protein").alias("share"))
-    facts = clean.filter_pkd_range(V.interactions_ids(spark, sf).select(
-        "compound_id", "protein_id", clean.to_pkd("affinity").alias("pKd")))
-    return fit_affinity(facts.join(comp, "compound_id").join(prot, "protein_id"), letters=F.col("letters"),
-                        hydrophobic=F.col("share"))
+    return V.interactions_ids(spark, sf).join(comp, "compound_id").join(prot, "protein_id")
+
+
+def fitted_scorer(spark, sf):
+    """The linear scorer fitted to the interactions with a pKd of 4 to 12."""
+    from bindscape.functions.affinity import fit_affinity
+    facts = clean.filter_pkd_range(described_interactions(spark, sf).withColumn("pKd", clean.to_pkd("affinity")))
+    return fit_affinity(facts, letters=F.col("letters"), hydrophobic=F.col("share"))
 
 
 HASH_SCORE_SQL = ("round(0.1 + 9.4 * cast(cast('0x' || substr(md5(concat_ws('|', {p}, {c})), 1, 8) as bigint) "
