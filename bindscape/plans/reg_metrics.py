@@ -314,15 +314,17 @@ select u.user_id, round(mu, 6) as mean_prediction, round(tot, 6) as total_uncert
  round(coalesce(reliability, 0.5), 6) as reliability_score
 from u left join r on r.q_id = u.user_id""", "t_emb"))
 def q_p5(spark, sf):
-    """Predictions are grouped by user; the user's embedding (every tenth has one) is the query."""
+    """Predictions are grouped by user; the embedding of every user that has one is a query."""
     from bindscape.operators import similarity as SIM
     from bindscape.plans.workflows import score_with_uncertainty
     from bindscape.session import read_table
     e = V.embeddings(spark, sf)
+    events = read_table(spark, sf, "events").select("user_id", "value")
     train = e.withColumnRenamed("vec_id", "t_id")
-    near = SIM.knn_join(e.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "q_id"), train, 5)
+    queries = e.withColumnRenamed("vec_id", "q_id").join(events, F.col("q_id") == F.col("user_id"), "left_semi")
+    near = SIM.knn_join(queries, train, 5)
     rel = SIM.reliability(near, train).select(F.col("q_id").alias("user_id"), "reliability")
-    s = score_with_uncertainty(read_table(spark, sf, "events").select("user_id", "value"), ["user_id"], "value", 1.5, rel)
+    s = score_with_uncertainty(events, ["user_id"], "value", 1.5, rel)
     return s.select("user_id", *[r6(c).alias(c) for c in ("mean_prediction", "total_uncertainty", "ci_low", "ci_high",
                                                           "calibrated", "reliability_score")])
 
