@@ -56,19 +56,22 @@ def canonical_ids(compounds: DataFrame, proteins: DataFrame):
     """Canonical id per distinct string (its smallest id) for both dimensions:
     ``(cmap: compound_id -> canon_c, pmap: protein_id -> canon_p, canon_c, canon_p)``, the last two
     with one row and string per canonical id. Strings are compared by their md5, worked out once
-    per row, so no shuffle groups or joins on a string."""
+    per row, so no shuffle groups or joins on a string. The canonical id of a null string is null:
+    nulls group as one, are not counted as a distinct string and have no row in the last two."""
     def one(dim, ident, text, canon):
         keyed = dim.select(ident, F.md5(text).alias("_h"))
-        first = keyed.groupBy("_h").agg(F.min(ident).alias(canon))
+        first = keyed.where("_h is not null").groupBy("_h").agg(F.min(ident).alias(canon))
         named = dim.join(first.select(canon), F.col(ident) == F.col(canon)).select(canon, text)
-        return keyed.join(first, "_h").select(ident, canon), named
+        # a null meets nothing under its own id (no md5 is that short), so nulls are spread over the tasks
+        own = keyed.withColumn("_h", F.coalesce("_h", F.col(ident).cast("string")))
+        return own.join(first, "_h", "left").select(ident, canon), named
     cmap, canon_c = one(compounds, "compound_id", "compound", "canon_c")
     pmap, canon_p = one(proteins, "protein_id", "protein", "canon_p")
     return cmap, pmap, canon_c, canon_p
 
 
 def keyed_interactions(facts: DataFrame, compounds: DataFrame, proteins: DataFrame) -> DataFrame:
-    """Facts with ``canon_c`` and ``canon_p``: equality of the strings is equality of these ids."""
+    """Facts with ``canon_c`` and ``canon_p``: equality of the strings is (null-safe) equality of these ids."""
     cmap, pmap, _, _ = canonical_ids(compounds, proteins)
     return facts.join(cmap, "compound_id").join(pmap, "protein_id")
 
@@ -83,7 +86,7 @@ def with_pair_hash(rows: DataFrame, compounds: DataFrame, proteins: DataFrame, s
     """Rows with ``canon_c`` / ``canon_p`` -> plus ``pair_hash`` (md5 of compound, protein and seed) and both
     lengths. The strings are met once, protein last, and dropped in the same stage."""
     _, _, canon_c, canon_p = canonical_ids(compounds, proteins)
-    met = rows.join(canon_c, "canon_c").join(canon_p, "canon_p")
+    met = rows.join(canon_c, "canon_c", "left").join(canon_p, "canon_p", "left")
     return met.select(*rows.columns, F.md5(F.concat_ws("|", "compound", "protein", F.lit(str(seed)))).alias("pair_hash"),
                       F.length("compound").alias("compound_length"), F.length("protein").alias("protein_length"))
 
@@ -101,8 +104,8 @@ def preprocess_dataset_normalized(facts: DataFrame, compounds: DataFrame, protei
     keyed = keyed_interactions(facts, compounds, proteins).select("canon_c", "canon_p", *attrs)
     # the distinct-row table (ids and attributes) feeds all five outputs: written once to the shared folder
     g = cut_lineage(keyed.groupBy("canon_c", "canon_p", *attrs).agg(F.count(F.lit(1)).alias("_c")))
-    used_p = g.select("canon_p").distinct().join(canon_p, "canon_p")
-    used_c = g.select("canon_c").distinct().join(canon_c, "canon_c")
+    used_p = g.select("canon_p").distinct().join(canon_p, "canon_p", "left")
+    used_c = g.select("canon_c").distinct().join(canon_c, "canon_c", "left")
     prot = profile.protein_summary(used_p.select("protein"))
     drug = profile.drug_summary(used_c.select("compound"))
     # interaction summary: one row assembled from three one-row aggregates by union + max
@@ -114,8 +117,8 @@ def preprocess_dataset_normalized(facts: DataFrame, compounds: DataFrame, protei
               F.lit(None).cast("long").alias("unique_compounds"), pos.alias("positive_interactions"),
               (pos / n).alias("binding_ratio"), F.min(pk).alias("min_pkd"), F.max(pk).alias("max_pkd"),
               (F.sum(F.col(pk) * w) / F.sum(F.when(F.col(pk).isNotNull(), w))).alias("mean_pkd"))
-    b = used_p.agg(F.count(F.lit(1)).alias("unique_proteins"))
-    c = used_c.agg(F.count(F.lit(1)).alias("unique_compounds"))
+    b = used_p.agg(F.count("protein").alias("unique_proteins"))
+    c = used_c.agg(F.count("compound").alias("unique_compounds"))
     inter = a.unionByName(b, allowMissingColumns=True).unionByName(c, allowMissingColumns=True)
     inter = inter.agg(*[F.max(x).alias(x) for x in a.columns])
     quality = quality_normalized(g, used_p, used_c, attrs)
@@ -131,17 +134,17 @@ def preprocess_dataset_normalized(facts: DataFrame, compounds: DataFrame, protei
 
 def quality_normalized(g: DataFrame, used_p: DataFrame, used_c: DataFrame, attrs) -> DataFrame:
     """D5 from distinct id rows ``(canon_c, canon_p, attrs..., _c)`` and the distinct strings in use:
-    duplicates and nulls from the rows, valid shares from the strings; ``(metric, value)``."""
+    duplicates and nulls from the rows, valid shares from the strings that are not null; ``(metric, value)``."""
     from bindscape.functions import protein as PF
     from bindscape.functions import smiles as SF
     w = F.col("_c")
+    nulls = [("canon_c", "compound"), ("canon_p", "protein"), *[(x, x) for x in attrs]]
     q1 = g.agg(F.sum(w - 1).cast("double").alias("duplicate_interactions"),
-               F.lit(0.0).alias("missing_compound"), F.lit(0.0).alias("missing_protein"),
-               *[F.sum(F.when(F.col(x).isNull(), w).otherwise(0)).cast("double").alias(f"missing_{x}") for x in attrs])
+               *[F.sum(F.when(F.col(x).isNull(), w).otherwise(0)).cast("double").alias(f"missing_{n}") for x, n in nulls])
     long1 = q1.select(F.explode(F.map_from_arrays(F.array(*[F.lit(x) for x in q1.columns]),
                                                   F.array(*[F.col(x) for x in q1.columns]))).alias("metric", "value"))
-    vp = used_p.agg(F.avg(PF.is_valid_protein("protein").cast("double")).alias("pq"))
-    vd = used_c.agg(F.avg(SF.is_valid_smiles("compound").cast("double")).alias("dq"))
+    vp = used_p.where("protein is not null").agg(F.avg(PF.is_valid_protein("protein").cast("double")).alias("pq"))
+    vd = used_c.where("compound is not null").agg(F.avg(SF.is_valid_smiles("compound").cast("double")).alias("dq"))
     shares = vp.unionByName(vd, allowMissingColumns=True).agg(
         F.coalesce(F.max("pq"), F.lit(0.0)).alias("pq"), F.coalesce(F.max("dq"), F.lit(0.0)).alias("dq"))
     long2 = shares.select(F.explode(F.map_from_arrays(

@@ -1,11 +1,19 @@
 """Whole-job tests: every row that has an answer gets it."""
 
+import os
+
+import duckdb
 import numpy as np
+import pytest
 
+from bindscape.operators import clean
 from bindscape.plans import views as V
+from bindscape.plans import workflows as W
+from bindscape.plans.oracle_views import with_views
 from bindscape.plans.registry import load_all
-from bindscape.session import read_table
+from bindscape.session import TABLES, read_table
 from tests.conftest import SMOKE
+from tools.oracle_check import rows_of
 
 
 def test_every_user_with_an_embedding_gets_a_reliability(spark):
@@ -22,3 +30,48 @@ def test_every_user_with_an_embedding_gets_a_reliability(spark):
     got = {r.user_id: r.reliability_score for r in load_all()[0]["P5_score_with_uncertainty"](spark, SMOKE).collect()}
     assert set(got) == users and any(u % 10 for u in want)
     assert all(abs(got[u] - want.get(u, 0.5)) < 2e-6 for u in users)
+
+
+@pytest.fixture(scope="module")
+def with_nulls(tmp_path_factory):
+    """The smoke tables with null texts (a fifth of the interactions' proteins) and null SMILES."""
+    root = tmp_path_factory.mktemp("with_nulls")
+    con = duckdb.connect()
+    for t in TABLES:
+        source, path = f"read_parquet('{SMOKE}/{t}.parquet')", f"{root}/{t}.parquet"
+        rows = {"documents": f"select * replace (case when doc_id % 10 in (2, 7) then null else text end as text) from {source}",
+                "part": f"select * replace (case when p_partkey % 6 = 1 then null else p_size end as p_size) from {source}"}
+        if t in rows:
+            con.execute(f"copy ({rows[t]}) to '{path}' (format parquet)")
+        else:
+            os.symlink(f"{SMOKE}/{t}.parquet", path)
+        con.execute(f"create view {t} as select * from read_parquet('{path}')")
+    return str(root), con
+
+
+@pytest.mark.parametrize("name", ["D5_data_quality", "F1_dedup_pairs", "F2_ratio_split", "F3_two_stage_split",
+                                  "P1_prepare_training", "B7_clean_interactions", "D1_dataset_statistics",
+                                  "D4_interaction_summary"])
+def test_null_strings_are_kept(spark, with_nulls, name):
+    sf, con = with_nulls
+    queries, oracle = load_all()
+    assert rows_of(queries[name](spark, sf).toPandas()) == rows_of(con.sql(oracle[name]).df())
+
+
+def test_preprocess_dataset_counts_null_strings(spark, with_nulls):
+    sf, con = with_nulls
+    got = {(r.section, r.metric): r.value for r in load_all()[0]["P2_preprocess_dataset"](spark, sf).collect()}
+    sql = "select count(*), sum((compound is null)::int), sum((protein is null)::int) from t_interactions"
+    total, no_compound, no_protein = con.sql(with_views(sql, "t_interactions")).fetchall()[0]
+    assert no_compound and no_protein
+    assert got["interaction", "total_interactions"] == total
+    assert (got["quality", "missing_compound"], got["quality", "missing_protein"]) == (no_compound, no_protein)
+    df = V.interactions(spark, sf).select("compound", "protein", "affinity", "source_dataset")
+    df = df.withColumn("pKd", clean.to_pkd("affinity")).withColumn("binding_label", clean.binding_label("pKd"))
+    prot, drug, inter, quality, cleaned = W.preprocess_dataset(df)
+    want = {("quality", r.metric): r.value for r in quality.collect()}
+    for section, one in (("protein", prot), ("drug", drug), ("interaction", inter)):
+        want |= {(section, k): v for k, v in one.first().asDict().items()}
+    want["cleaned", "rows"] = cleaned.count()
+    shared = got.keys() & want.keys()
+    assert len(shared) >= 24 and all(abs(got[k] - want[k]) < 1e-5 for k in shared)
