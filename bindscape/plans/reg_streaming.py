@@ -104,7 +104,7 @@ select time_bucket(interval 1 hour, ts) as window_start, count(*) as n_requests,
 from t_requests group by all""", "t_requests"))
 def q_j2s(spark, sf):
     root, stream = _stream_files(spark, sf, "latency-stream", ["event_id", "ts", "latency_ms"])
-    out = _run_to_end(jobs.stream_latency(stream, watermark=ARRIVAL_DELAY), root)
+    out = jobs.latency_of_counts(_run_to_end(jobs.stream_latency_counts(stream, watermark=ARRIVAL_DELAY), root))
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n_requests",
                       r6("avg_latency_ms").alias("avg_latency_ms"), r6("max_latency_ms").alias("max_latency_ms"),
                       r6("p95_latency_ms").alias("p95_latency_ms"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bindscape.functions import scoring as K
 from bindscape.operators.clean import validate_pair
+from bindscape.operators.ranking import prefix_sums
 
 
 def stream_latency(log: DataFrame, ts: str = "ts", latency: str = "latency_ms",
@@ -14,7 +15,8 @@ def stream_latency(log: DataFrame, ts: str = "ts", latency: str = "latency_ms",
     """Per event-time window: requests, mean, max and p95 latency; rows
     later than the watermark are dropped. ``percentile_approx`` keeps a
     bounded sketch per window (the exact percentile would buffer a window);
-    ``exact`` is for batch use."""
+    ``exact`` is for batch use. ``stream_latency_counts`` with
+    ``latency_of_counts`` is the exact form for a stream."""
     w = log.withWatermark(ts, watermark) if log.isStreaming else log
     p95 = F.percentile(latency, 0.95) if exact else F.percentile_approx(latency, 0.95, 10000)
     return w.groupBy(F.window(ts, window).alias("w")).agg(
@@ -24,6 +26,34 @@ def stream_latency(log: DataFrame, ts: str = "ts", latency: str = "latency_ms",
              "n_requests", "avg_latency_ms", "max_latency_ms", "p95_latency_ms")
 
 
+def stream_latency_counts(log: DataFrame, ts: str = "ts", latency: str = "latency_ms",
+                          window: str = "1 hour", watermark: str = "10 minutes") -> DataFrame:
+    """J2, the stream's part: requests ``n`` per event-time window and latency
+    (null latencies included); rows later than the watermark are dropped."""
+    w = log.withWatermark(ts, watermark) if log.isStreaming else log
+    return w.groupBy(F.window(ts, window).alias("w"), latency).agg(F.count(F.lit(1)).alias("n")).select(
+        F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), latency, "n")
+
+
+def latency_of_counts(counts: DataFrame, latency: str = "latency_ms") -> DataFrame:
+    """J2 from the counts that the sink holds: per window requests, mean, max and
+    exact p95, the smallest latency that 95 % of the window's latencies do not
+    exceed. Running counts go over all windows in one order, so a busy window
+    is spread over many tasks; null latencies count as requests only."""
+    known = F.when(F.col(latency).isNotNull(), F.col("n")).otherwise(F.lit(0))
+    rows = prefix_sums(counts.withColumn("_m", known).withColumn("_place", F.struct("window_start", latency)), "_place", ["_m"])
+    window = ["window_start", "window_end"]
+    per = rows.groupBy(*window).agg(
+        F.sum("n").alias("n_requests"),
+        F.try_divide(F.sum(F.col(latency) * F.col("n")), F.sum("_m")).alias("avg_latency_ms"),
+        F.max(latency).alias("max_latency_ms"),
+        F.sum("_m").alias("_all"), F.min(F.col("cum__m") - F.col("_m")).alias("_before"))
+    reached = F.col(latency).isNotNull() & ((F.col("cum__m") - F.col("_before")) * 20 >= F.col("_all") * 19)
+    p95 = (rows.join(per.select(*window, "_all", "_before"), window).where(reached)
+               .groupBy(*window).agg(F.min(latency).alias("p95_latency_ms")))
+    return per.drop("_all", "_before").join(p95, window, "left")
+
+
 def stream_score(requests: DataFrame, ts: str, protein: str = "protein", compound: str = "compound",
                  delay: str = "7 days", scorer=None) -> DataFrame:
     """Validate -> pair key -> drop keys already seen within the watermark
