@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from bindscape.llm.oracles import MERKLE
 from bindscape.session import read_table
 
 QUERIES: dict = {}
@@ -107,3 +108,9 @@ def op4(spark, sf_dir):
 def op7(spark, sf_dir):
     from bindscape.llm.quality import score_quality
     return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@register("op12_merkle_manifest", MERKLE)
+def op12(spark, sf_dir):
+    from bindscape.llm.merkle import manifest, without_line_feeds
+    return manifest(read_table(spark, sf_dir, "documents"), claim=without_line_feeds())
