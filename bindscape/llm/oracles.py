@@ -55,3 +55,26 @@ bases as (select s.doc_id, s.leaf, s.node as subroot, 1 as grp, q.at as pos, s.n
  from sub s join subs q on s.grp is not distinct from q.source),
 {_tree("whole", "bases", 6)}
 select doc_id, leaf, subroot, node as root, sha256(proof) as proof_sha256, fold as folded_root, fold = node as verified from whole"""
+
+
+#: Stretches of each period by gaps and islands over pairs of equal words; the smallest period of a stretch stays.
+RUNS = f"""with {CRC_TABLE},
+d as (select doc_id, row_number() over () as row, {crc32("coalesce(doc_id, 0)::varchar")} as h,
+ doc_id is not null as known, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents, crc),
+m as (select *, len(w) as n, h // 10 as g, known and h % 10 = 0 and len(w) > 0 as hit from d),
+ap as (select *, case when hit then g % n end as a, case when hit then 1 + (n - g % n) // (3 + g % 8) end as p from m),
+t as (select row, doc_id, n, case when hit then list_transform(range(n), lambda i: w[case when i < a then i + 1 else a + (i - a) % p + 1 end])
+ else w end as w from ap),
+e as (select row, n, unnest(w) as x, unnest(range(n)) as i from t),
+eq as (select a.row, b.i - a.i as q, a.i from e a join e b on a.row = b.row and a.x = b.x and b.i > a.i and (b.i - a.i) * 4 <= a.n),
+isl as (select row, q, min(i) as start, count(*) + q as length from
+ (select *, i - row_number() over (partition by row, q order by i) as k from eq) group by row, q, k),
+runs as (select row, start, length, min(q) as period from isl where length >= greatest(6, 4 * q) group by row, start, length),
+best as (select row, start, length, period from runs qualify row_number() over (
+ partition by row order by length::decimal(18, 0) * 1000000000000 // period desc, start, period) = 1),
+lists as (select row, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as s from runs group by row),
+gone as (select distinct e.row, e.i from e join runs r on e.row = r.row and e.i >= r.start + r.period and e.i < r.start + r.length),
+kept as (select row, string_agg(x, ' ' order by i) as s from e anti join gone using (row, i) group by row)
+select doc_id, coalesce(n_runs, 0) as n_runs, start, length, period, 1000 * length // period as exponent_milli,
+ sha256(coalesce(l.s, '')) as runs_sha256, sha256(coalesce(k.s, '')) as collapsed_sha256
+from t left join lists l using (row) left join best using (row) left join kept k using (row)"""

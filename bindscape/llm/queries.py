@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bindscape.llm.oracles import MERKLE
+from bindscape.llm.oracles import MERKLE, RUNS
 from bindscape.session import read_table
 
 QUERIES: dict = {}
@@ -114,3 +114,9 @@ def op7(spark, sf_dir):
 def op12(spark, sf_dir):
     from bindscape.llm.merkle import manifest, without_line_feeds
     return manifest(read_table(spark, sf_dir, "documents"), claim=without_line_feeds())
+
+
+@register("op13_periodic_runs", RUNS)
+def op13(spark, sf_dir):
+    from bindscape.llm.runs import find_runs, plant_periods, run_report
+    return run_report(find_runs(plant_periods(read_table(spark, sf_dir, "documents"))))
