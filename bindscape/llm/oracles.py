@@ -78,3 +78,31 @@ kept as (select row, string_agg(x, ' ' order by i) as s from e anti join gone us
 select doc_id, coalesce(n_runs, 0) as n_runs, start, length, period, 1000 * length // period as exponent_milli,
  sha256(coalesce(l.s, '')) as runs_sha256, sha256(coalesce(k.s, '')) as collapsed_sha256
 from t left join lists l using (row) left join best using (row) left join kept k using (row)"""
+
+
+_WORDS = ("regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')")
+
+
+def _values(rows) -> str:
+    return ", ".join("('" + "', '".join(x.replace("'", "''") for x in r) + "')" for r in rows)
+
+
+def licenses(phrases, notices, threshold: float) -> str:
+    """Every phrase at every place, and every block against every notice."""
+    return f"""with d as (select row_number() over () as row, doc_id, {_WORDS.format("text")} as w from documents),
+ph as (select label, {_WORDS.format("p")} as p from (values {_values(phrases)}) v(label, p)),
+pl as (select row, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1:i + len(p)] = p)) as at from d, ph),
+base as (select row, count(*) as n_base, min(at) as first_word, max(at) as last_word, list_sort(list(distinct label)) as labels
+ from pl group by row),
+no as (select label, list_distinct({_WORDS.format("p")}) as own,
+ greatest(16, pow(2, ceil(log2(2 * len({_WORDS.format("p")}))))::bigint) as size from (values {_values(notices)}) v(label, p)),
+bl as (select row, size, w[b + 1:b + size] as words from (select row, w, size, unnest(range(0, greatest(len(w) - size // 2, 1), size // 2)) as b
+ from d, (select distinct size from no))),
+me as (select row, label, len(list_intersect(list_distinct(words), own)) / len(own)::double as share from bl join no using (size)),
+found as (select row, list(distinct label) as labels, max(share) as share from me where share >= {threshold} - 1e-9 group by row)
+select doc_id, len(w) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word,
+ coalesce(array_to_string(b.labels, ','), '') as base_labels,
+ coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(f.labels, [])))), ','), '') as labels,
+ case when n_base > 0 then 1.0 else coalesce(share, 0) end::double as score
+from d left join base b using (row) left join found f using (row)"""

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bindscape.llm.oracles import MERKLE, RUNS
+from bindscape.llm.licenses import NOTICES, PHRASES, THRESHOLD
+from bindscape.llm.oracles import MERKLE, RUNS, licenses
 from bindscape.session import read_table
 
 QUERIES: dict = {}
@@ -110,6 +111,12 @@ def op7(spark, sf_dir):
     return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+@register("op11_license_scan", licenses(PHRASES, NOTICES, THRESHOLD))
+def op11(spark, sf_dir):
+    from bindscape.llm.licenses import license_labels
+    return license_labels(read_table(spark, sf_dir, "documents"))
+
+
 @register("op12_merkle_manifest", MERKLE)
 def op12(spark, sf_dir):
     from bindscape.llm.merkle import manifest, without_line_feeds
