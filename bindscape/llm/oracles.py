@@ -92,8 +92,8 @@ def licenses(phrases, notices, threshold: float) -> str:
     """Every phrase at every place, and every block against every notice."""
     return f"""with d as (select row_number() over () as row, doc_id, {_WORDS.format("text")} as w from documents),
 ph as (select label, {_WORDS.format("p")} as p from (values {_values(phrases)}) v(label, p)),
-pl as (select row, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1:i + len(p)] = p)) as at from d, ph),
-base as (select row, count(*) as n_base, min(at) as first_word, max(at) as last_word, list_sort(list(distinct label)) as labels
+pl as (select row, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1:i + len(p)] = p)) as place from d, ph),
+base as (select row, count(*) as n_base, min(place) as first_word, max(place) as last_word, list_sort(list(distinct label)) as labels
  from pl group by row),
 no as (select label, list_distinct({_WORDS.format("p")}) as own,
  greatest(16, pow(2, ceil(log2(2 * len({_WORDS.format("p")}))))::bigint) as size from (values {_values(notices)}) v(label, p)),
