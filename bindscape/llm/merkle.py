@@ -134,7 +134,8 @@ RESULT = ("id string, leaf string, subroot string, root string, proof_sha256 str
 def audit(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
     """Proofs of the leaves ``(tree, id, leaf, claim, at)``, ordered within a tree by ``at`` (nulls first,
     ties by leaf and claim): ``RESULT`` with the fold of each ``claim`` along the proof of its leaf."""
-    ranked = partition_rank(rows, ["tree"], "at", ["leaf", "claim"], rank_col="rn")
+    # digests are written before they are ordered, so that the texts are read once
+    ranked = partition_rank(cut_lineage(rows), ["tree"], "at", ["leaf", "claim"], rank_col="rn")
     leaves = cut_lineage(ranked.select("tree", "id", F.col("leaf").alias("node"), "claim",
                                        (F.col("rn") - 1).alias("idx")))
     inner = _stages(leaves, depth)
