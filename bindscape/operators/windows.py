@@ -87,15 +87,19 @@ def top_n_per_group(df: DataFrame, group_cols, order_cols, n: int, rank_col: str
 
 def normalize_and_argmax(df: DataFrame, group_cols, value: str, order_cols) -> DataFrame:
     """F8: value / group total, and a flag on the group's largest value
-    (first by ``order_cols`` on ties). Group totals and the argmax come from one
-    aggregate that combines map-side, joined back on the group key."""
+    (first by ``order_cols`` on ties; of nulls only, the first row). Group totals and the argmax come from one
+    aggregate that combines map-side, joined back on the group key; a null key is a group."""
     agg = df.groupBy(*group_cols).agg(
         F.sum(value).alias("_total"),
-        F.min(F.struct((-F.col(value)).alias("_nv"), *[F.col(c) for c in order_cols])).alias("_best"))
-    out = df.join(agg, list(group_cols))
+        F.min(F.struct(F.col(value).isNull().alias("_none"), (-F.col(value)).alias("_nv"), *[F.col(c) for c in order_cols])).alias("_best"))
+    agg = agg.select("_total", "_best", *[F.col(g).alias(f"_g{k}") for k, g in enumerate(group_cols)])
+    same = F.lit(True)
+    for k, g in enumerate(group_cols):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{k}"))
+    out = df.join(agg, same).drop(*[f"_g{k}" for k in range(len(group_cols))])
     is_best = F.lit(True)
     for c in order_cols:
-        is_best = is_best & (F.col(c) == F.col(f"_best.{c}"))
+        is_best = is_best & F.col(c).eqNullSafe(F.col(f"_best.{c}"))
     return (out.withColumn("share", F.when(F.col("_total") != 0, F.col(value) / F.col("_total")))
                .withColumn("is_max", is_best).drop("_total", "_best"))
 
@@ -129,10 +133,12 @@ def cumulative_throughput(df: DataFrame, ts_us: str = "ts_us", tie_cols=("event_
 
 def pad_and_mask(df: DataFrame, ids: str, batch: str) -> DataFrame:
     """Right-pad token ids with 0 to the batch's longest list; mask = id != 0.
-    The batch maximum is an aggregate per batch joined back on the batch key."""
-    widths = df.groupBy(batch).agg(F.max(F.size(ids)).alias("_w"))
-    out = df.join(widths, batch)
+    The batch maximum is an aggregate per batch joined back on the batch key; null is a batch. A null list
+    is an empty one."""
+    df = df.withColumn(ids, F.coalesce(F.col(ids), F.array().cast(df.schema[ids].dataType)))
+    widths = df.groupBy(F.col(batch).alias("_batch")).agg(F.max(F.size(ids)).alias("_w"))
+    out = df.join(widths, F.col(batch).eqNullSafe(F.col("_batch")))
     padded = F.concat(F.col(ids), F.array_repeat(F.lit(0), (F.col("_w") - F.size(ids)).cast("int")))
     return (out.withColumn("input_ids", padded)
                .withColumn("attention_mask", F.transform("input_ids", lambda x: (x != 0).cast("int")))
-               .drop("_w"))
+               .drop("_w", "_batch"))

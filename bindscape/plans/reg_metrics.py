@@ -301,7 +301,7 @@ with m as (select user_id, avg(value) as mu, stddev_pop(value) as e from events
 u as (select user_id, mu, 0.5 * e as a, sqrt(e * e + 0.25 * e * e) as tot,
    case when mu > 1.0 or mu < 0.0 then 1.0 / (1.0 + exp(-mu)) else mu end as p from m),
 n as (select vec_id, embedding, label, sqrt(list_sum(list_transform(embedding, x -> x * x))) as nrm from t_emb),
-q as (select * from n where vec_id % 10 = 0),
+q as (select * from n where vec_id in (select user_id from events)),
 d as (select q.vec_id as q_id, t.vec_id as t_id, t.label,
    1.0 - case when q.nrm * t.nrm > 0 then list_dot_product(q.embedding, t.embedding) / (q.nrm * t.nrm) else 0.0 end as distance
    from q cross join n t),

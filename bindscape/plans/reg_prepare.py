@@ -251,7 +251,12 @@ union all select 'interaction', 'min_pkd', round(min(pKd), 6) from t
 union all select 'interaction', 'max_pkd', round(max(pKd), 6) from t
 union all select 'interaction', 'mean_pkd', round(avg(pKd), 6) from t
 union all select 'quality', 'duplicate_interactions', cast(sum(c - 1) as double) from g
-union all select 'quality', 'missing_' || m, 0.0 from (select unnest(['compound', 'protein', 'affinity', 'source_dataset', 'pKd', 'binding_label']) as m) x
+union all select 'quality', 'missing_compound', cast(sum(case when compound is null then c else 0 end) as double) from g
+union all select 'quality', 'missing_protein', cast(sum(case when protein is null then c else 0 end) as double) from g
+union all select 'quality', 'missing_affinity', cast(sum(case when affinity is null then c else 0 end) as double) from g
+union all select 'quality', 'missing_source_dataset', cast(sum(case when source_dataset is null then c else 0 end) as double) from g
+union all select 'quality', 'missing_pKd', cast(sum(case when pKd is null then c else 0 end) as double) from g
+union all select 'quality', 'missing_binding_label', cast(sum(case when binding_label is null then c else 0 end) as double) from g
 union all select 'quality', 'protein_quality', round(avg(cast(v as int)) * 100.0, 6) from pv
 union all select 'quality', 'drug_quality', round(avg(cast(v as int)) * 100.0, 6) from cv
 union all select 'quality', 'overall_quality_score', round(((select avg(cast(v as int)) from pv) + (select avg(cast(v as int)) from cv)) * 50.0, 6)

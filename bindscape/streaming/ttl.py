@@ -12,9 +12,9 @@ still spread over many tasks):
 2. ``nxt`` by ranking each request's probe time ``t + ttl`` among the key's
    request times (a rank, not a join);
 3. pointer doubling: ``J_{m+1} = J_m o J_m`` and the reached set
-   ``S_{m+1} = S_m u J_m(S_m)`` (equi-joins on (key, row number)), until no
+   ``S_{m+1} = S_m u J_m(S_m)`` (equi-joins on (key, row number), the two parts are disjoint), until no
    pointer is left; ``S`` is then the chain of misses. About log2(chain length)
-   rounds; lineage is cut with reliable checkpoints.
+   rounds; each round's new part is cut from its lineage by a reliable checkpoint.
 
 Stream: ``applyInPandasWithState`` holds a key's requests until the watermark passes
 them, folds them in time order and keeps one anchor time per key (see
@@ -30,46 +30,48 @@ from bindscape.operators.ranking import partition_rank
 from bindscape.session import cut_lineage
 
 
-def _next_pointers(df: DataFrame, key: str, t: str, ident: str, ttl_us: int):
-    """``(key, rn, nxt)``: nxt = row number of the first request at or after t + ttl."""
-    ranked = partition_rank(df.select(key, t, ident), [key], t, [ident], rank_col="rn")
-    ev = ranked.select(key, F.col(t).alias("_v"), F.lit(1).alias("_kind"), ident, "rn")
-    pr = ranked.select(key, (F.col(t) + F.lit(ttl_us)).alias("_v"), F.lit(0).alias("_kind"), ident, "rn")
+def _next_pointers(ranked: DataFrame, t: str, ttl_us: int) -> DataFrame:
+    """``(_k, src, dst)``: dst = row number of the key's first request at or after t + ttl, where there is one."""
+    ev = ranked.select("_k", F.col(t).alias("_v"), F.lit(1).alias("_kind"), "rn")
+    pr = ranked.select("_k", (F.col(t) + F.lit(ttl_us)).alias("_v"), F.lit(0).alias("_kind"), "rn")
     # probes sort before requests at the same time: a request exactly at t0 + ttl is a miss
-    u = partition_rank(ev.unionByName(pr), [key], "_v", ["_kind", ident], rank_col="_ur")
-    probes = u.filter(F.col("_kind") == 0).select(key, "rn", (F.col("_ur") - F.col("rn") + 1).alias("nxt"))
-    counts = ranked.groupBy(key).agg(F.max("rn").alias("_n"))
-    return (probes.join(counts, key)
-                  .select(key, "rn", F.when(F.col("nxt") <= F.col("_n"), F.col("nxt")).alias("nxt")),
-            ranked)
+    u = partition_rank(ev.unionByName(pr), ["_k"], "_v", ["_kind", "rn"], rank_col="_ur")
+    last = ranked.groupBy("_k").agg(F.max("rn").alias("_n"))
+    return (u.filter(F.col("_kind") == 0).select("_k", F.col("rn").alias("src"), (F.col("_ur") - F.col("rn") + 1).alias("dst"))
+             .join(last, "_k").where(F.col("dst") <= F.col("_n")).select("_k", "src", "dst"))
 
 
 def ttl_hits(df: DataFrame, key: str = "cache_key", t: str = "ts_us", ident: str = "event_id",
              ttl_us: int = 3600 * 1_000_000, max_rounds: int = 64) -> DataFrame:
     """Batch J1: the input rows with ``hit`` (boolean), by pointer doubling (no key is gathered
-    into one task). Raises if pointers are left after ``max_rounds`` rounds, enough for
-    2 ** max_rounds misses of one key."""
-    jumps, ranked = _next_pointers(df, key, t, ident, ttl_us)
-    ranked = cut_lineage(ranked.select(key, ident, "rn"))
-    J = cut_lineage(jumps.select(key, F.col("rn").alias("src"), F.col("nxt").alias("dst"))
-                    .filter(F.col("dst").isNotNull()))
-    S = ranked.filter(F.col("rn") == 1).select(key, "rn")
-    for _ in range(max_rounds):
-        if J.isEmpty():
+    into one task). A null key is a key; rows with equal ids are rows of their own. Raises if pointers are left after
+    ``max_rounds`` rounds, enough for 2 ** max_rounds misses of one key."""
+    keyed = df.withColumn("_k", F.when(F.col(key).isNull(), F.lit("")).otherwise(F.concat(F.lit("+"), F.col(key).cast("string"))))
+    ranked = cut_lineage(partition_rank(keyed, ["_k"], t, [ident], rank_col="rn"))
+    jumps = cut_lineage(_next_pointers(ranked, t, ttl_us))
+    # round m: the first 2 ** m misses of each key are reached, and a pointer leads 2 ** m misses on
+    misses = [ranked.filter(F.col("rn") == 1).select("_k", "rn")]
+    for m in range(max_rounds):
+        if jumps.isEmpty():
             break
-        reached = S.join(J.withColumnRenamed("src", "rn"), [key, "rn"]).select(key, F.col("dst").alias("rn"))
-        S = S.unionByName(reached).distinct()
-        J2 = J.alias("a").join(J.alias("b"), (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.dst") == F.col("b.src"))) \
-            .select(F.col(f"a.{key}").alias(key), F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
-        J = J2
-        S, J = cut_lineage(S), cut_lineage(J)
+        reached = misses[0]
+        for part in misses[1:]:
+            reached = reached.unionByName(part)
+        # these are new: nothing has to be compared with what was reached before
+        found = reached.join(jumps.withColumnRenamed("src", "rn"), ["_k", "rn"]).select("_k", F.col("dst").alias("rn"))
+        misses.append(cut_lineage(found))
+        a, b = jumps.alias("a"), jumps.alias("b")
+        twice = a.join(b, (F.col("a._k") == F.col("b._k")) & (F.col("a.dst") == F.col("b.src"))).select(
+            F.col("a._k").alias("_k"), F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
+        jumps = cut_lineage(twice)
     else:
-        if not J.isEmpty():
+        if not jumps.isEmpty():
             raise RuntimeError(f"pointers are left after {max_rounds} rounds")
-    misses = S.withColumn("_miss", F.lit(True))
-    out = ranked.join(misses, [key, "rn"], "left")
-    return (df.join(out.select(ident, key, F.coalesce(F.col("_miss"), F.lit(False)).alias("_m")), [key, ident])
-              .withColumn("hit", ~F.col("_m")).drop("_m"))
+    every = misses[0]
+    for part in misses[1:]:
+        every = every.unionByName(part)
+    return (ranked.join(every.withColumn("_miss", F.lit(True)), ["_k", "rn"], "left")
+                  .withColumn("hit", F.col("_miss").isNull()).select(*df.columns, "hit"))
 
 
 STATE_SCHEMA = "t0 long, wait_t array<long>, wait_id array<long>"

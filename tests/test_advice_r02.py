@@ -52,7 +52,7 @@ def with_nulls(tmp_path_factory):
 
 @pytest.mark.parametrize("name", ["D5_data_quality", "F1_dedup_pairs", "F2_ratio_split", "F3_two_stage_split",
                                   "P1_prepare_training", "B7_clean_interactions", "D1_dataset_statistics",
-                                  "D4_interaction_summary"])
+                                  "D4_interaction_summary", "P2_preprocess_dataset"])
 def test_null_strings_are_kept(spark, with_nulls, name):
     sf, con = with_nulls
     queries, oracle = load_all()

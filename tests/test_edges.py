@@ -147,3 +147,20 @@ def test_fitted_scorer(spark):
     assert fit_affinity(df.limit(0)) == LinearAffinity(0.0, 0.0, 0.0)
     flat = fit_affinity(df.withColumn("protein", F.lit("")))
     assert flat.hydrophobic == 0.0 and abs(flat.letters - 0.3) < 0.1
+
+
+def test_null_keys_are_keys(spark):
+    """J1, F8 and I29 keep the rows of a null key; J1 keeps rows with equal ids apart."""
+    from bindscape.streaming.ttl import ttl_hits
+    log = spark.createDataFrame([(1, None, 0), (2, None, 50), (2, None, 50), (3, "a", 0), (4, "a", 100), (4, "a", 250), (5, "", 7)],
+                                "event_id long, cache_key string, ts_us long")
+    got = sorted((r.event_id, r.cache_key or "-", r.ts_us, r.hit) for r in ttl_hits(log, ttl_us=100).collect())
+    assert got == [(1, "-", 0, False), (2, "-", 50, True), (2, "-", 50, True), (3, "a", 0, False), (4, "a", 100, False),
+                   (4, "a", 250, False), (5, "-", 7, False)]
+    rows = spark.createDataFrame([(1, None, 1.0), (2, None, 3.0), (3, "a", None), (4, "b", 5.0), (5, "b", None)],
+                                 "event_id long, g string, v double")
+    n = {r.event_id: (r.share, r.is_max) for r in windows.normalize_and_argmax(rows, ["g"], "v", ["event_id"]).collect()}
+    assert n == {1: (0.25, False), 2: (0.75, True), 3: (None, True), 4: (1.0, True), 5: (None, False)}
+    ids = spark.createDataFrame([(1, None, [1, 2]), (2, None, [3]), (3, 0, None), (4, 0, [4])], "i int, batch int, ids array<int>")
+    p = {r.i: (r.input_ids, r.attention_mask) for r in windows.pad_and_mask(ids, "ids", "batch").collect()}
+    assert p == {1: ([1, 2], [1, 1]), 2: ([3, 0], [1, 0]), 3: ([0], [0]), 4: ([4], [1])}
