@@ -16,9 +16,8 @@ still spread over many tasks):
    pointer is left; ``S`` is then the chain of misses. About log2(chain length)
    rounds; each round's new part is cut from its lineage by a reliable checkpoint.
 
-Stream: ``applyInPandasWithState`` holds a key's requests until the watermark passes
-them, folds them in time order and keeps one anchor time per key (see
-``ttl_hits_stream``).
+Stream: ``transformWithState`` with the anchor in a value state, waiting requests in a map state of
+time slices, and event-time timers (see ``ttl_hits_stream``).
 """
 
 from __future__ import annotations
@@ -74,50 +73,114 @@ def ttl_hits(df: DataFrame, key: str = "cache_key", t: str = "ts_us", ident: str
                   .withColumn("hit", F.col("_miss").isNull()).select(*df.columns, "hit"))
 
 
-STATE_SCHEMA = "t0 long, wait_t array<long>, wait_id array<long>"
+SLICES = 4
+PART_ROWS = 4096
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _fold(times, t0, ttl_us: int):
+    """Hits among ascending ``times`` after an anchor ``t0`` (or None), and the last anchor. One step per miss."""
+    import numpy as np
+    hits, at = np.ones(len(times), bool), 0
+    while at < len(times):
+        at = 0 if t0 is None else int(np.searchsorted(times, t0 + ttl_us, side="left"))
+        if at < len(times):
+            t0 = int(times[at])
+            hits[at] = False
+    return hits, t0
 
 
 def ttl_hits_stream(stream: DataFrame, key: str = "cache_key", ts: str = "ts", ident: str = "event_id",
-                    ttl_seconds: int = 3600, watermark: str = "1 hour") -> DataFrame:
-    """Streaming J1 in event-time order. Requests of a key wait in state until the
-    watermark passes them, are then sorted by (time, id) and folded into the
-    anchor time, so files and batches may arrive in any order within the
-    watermark delay; requests later than that are dropped by the watermark. State
-    is one time per key plus its requests of the delay, and is dropped once
-    the watermark passes t0 + ttl with nothing waiting. A finite log needs one
-    later row of any key to move the watermark past its end."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
+                    ttl_seconds: int = 3600, watermark: str = "1 hour", slice_seconds: int | None = None) -> DataFrame:
+    """Streaming J1 in event-time order with ``transformWithState``: ``(key, ident, hit)`` rows.
 
-    ttl_us = int(ttl_seconds) * 1_000_000
+    State of a key: the anchor time (a value), and the requests that the watermark has not passed, in
+    time slices of ``slice_seconds`` (default: a quarter of the TTL) cut into parts of at most 4,096 requests (a
+    map from slice and part). A timer at the end of the key's first waiting slice reads the slices that the watermark has passed one by one, sorts each by (time, id)
+    and folds it into the anchor; so memory is one slice of one key, not all that waits. Files and batches may arrive in any order within the watermark delay;
+    requests behind the watermark are dropped. An anchor is dropped by a timer at t0 + ttl if nothing waits. A null
+    key is a key. A finite log needs one later row of any key to move the watermark past its end.
 
-    def fold(k, pdfs, state):
-        import pandas as pd
-        t0, waiting = None, []
-        if state.exists:
-            t0, wait_t, wait_id = state.get
-            waiting = list(zip(wait_t, wait_id, strict=True))
-        if not state.hasTimedOut:
-            for p in pdfs:
-                waiting += zip(p["_t"].tolist(), p[ident].tolist(), strict=True)
-        mark_ms = state.getCurrentWatermarkMs()
-        waiting.sort()
-        ready = [w for w in waiting if w[0] // 1000 < mark_ms]
-        waiting = waiting[len(ready):]
-        hits = []
-        for tv, _ in ready:
-            hits.append(t0 is not None and tv - t0 < ttl_us)
-            if not hits[-1]:
-                t0 = tv
-        expires = [w[0] // 1000 + 1 for w in waiting[:1]] or [0 if t0 is None else (t0 + ttl_us) // 1000 + 1]
-        if not waiting and expires[0] <= mark_ms:
-            state.remove()          # every later request is a miss anyway
-        else:
-            state.update((t0, [w[0] for w in waiting], [w[1] for w in waiting]))
-            state.setTimeoutTimestamp(max(int(expires[0]), mark_ms + 1))
-        if ready:
-            yield pd.DataFrame({key: [k[0]] * len(ready), ident: [w[1] for w in ready], "hit": hits})
-
-    s = stream.withWatermark(ts, watermark).withColumn("_t", F.unix_micros(F.col(ts)))
-    return s.groupBy(key).applyInPandasWithState(
-        fold, f"{key} string, {ident} long, hit boolean", STATE_SCHEMA, "append",
-        GroupStateTimeout.EventTimeTimeout)
+    Sets the session's state store to RocksDB, which this kind of state needs."""
+    from itertools import islice
+
+    from pyspark.sql import Row
+    from pyspark.sql.streaming import StatefulProcessor
+
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    ttl_us = int(ttl_seconds) * 1_000_000
+    width = max(1, int(slice_seconds) * 1_000_000 if slice_seconds else ttl_us // SLICES)
+
+    class Hits(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            # the anchor time, and the earliest timer that is set (0: none)
+            self.anchor = handle.getValueState("anchor", "t0 long, due long")
+            # the number of parts of each waiting slice; the parts
+            self.slices = handle.getMapState("slices", "slice long", "parts int")
+            self.parts = handle.getMapState("parts", "slice long, part int", "t array<long>, id array<long>")
+
+        def _set(self, t0, due, at):
+            """Keep the anchor, and one timer: the earliest that is needed."""
+            if not due or at < due:
+                self.handle.registerTimer(at)
+                due = at
+            self.anchor.update((t0, due))
+
+        def handleInputRows(self, key, rows, timerValues):
+            mark = timerValues.getCurrentWatermarkInMs()
+            on_time = ((r["t"], r["i"]) for r in rows if r["t"] // 1000 >= mark)
+            first = None
+            while some := list(islice(on_time, PART_ROWS)):
+                by_slice = {}
+                for t, i in some:
+                    by_slice.setdefault(t // width, []).append((t, i))
+                for s, mine in by_slice.items():
+                    known = self.slices.getValue((s,))
+                    n = known[0] if known else 0
+                    self.parts.updateValue((s, n), tuple(map(list, zip(*mine, strict=True))))
+                    self.slices.updateValue((s,), (n + 1,))
+                first = min(by_slice) if first is None else min(first, *by_slice)
+            if first is not None:
+                t0, due = self.anchor.get() or (None, 0)
+                self._set(t0, due, self._end(first))
+            return iter(())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            import numpy as np
+            mark = timerValues.getCurrentWatermarkInMs()
+            t0, _ = self.anchor.get() or (None, 0)
+            waiting = sorted(r[0] for r in self.slices.keys())
+            ready = [s for s in waiting if self._end(s) <= mark]
+            for s in ready:                                               # in the order of time
+                n = self.slices.getValue((s,))[0]
+                found = sorted((t, i is not None, i or 0) for k in range(n)
+                               for t, i in zip(*self.parts.getValue((s, k)), strict=True))
+                hits, t0 = _fold(np.array([f[0] for f in found], "int64"), t0, ttl_us)
+                for k in range(n):
+                    self.parts.removeKey((s, k))
+                self.slices.removeKey((s,))
+                for (_, known, i), hit in zip(found, hits.tolist(), strict=True):
+                    yield Row(k=key[0], i=i if known else None, hit=hit)
+            later = waiting[len(ready):]
+            expires = 0 if t0 is None else (t0 + ttl_us) // 1000 + 1
+            if later:
+                self._set(t0, 0, self._end(later[0]))
+            elif expires > mark:
+                self._set(t0, 0, expires)
+            else:
+                self.anchor.clear()                                       # every later request is a miss
+
+        @staticmethod
+        def _end(s: int) -> int:
+            return -(-(s + 1) * width // 1000)
+
+        def close(self):
+            pass
+
+    kind = stream.schema[key].dataType.simpleString()
+    keyed = stream.withWatermark(ts, watermark).select(F.col(key).alias("k"), F.col(ident).cast("long").alias("i"),
+                                                       F.unix_micros(F.col(ts)).alias("t"), ts)
+    out = keyed.groupBy("k").transformWithState(
+        Hits(), f"k {kind}, i long, hit boolean", "Append", "EventTime")
+    return out.select(F.col("k").alias(key), F.col("i").alias(ident), "hit")
