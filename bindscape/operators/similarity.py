@@ -1,12 +1,10 @@
 """Similarity joins: exact cosine kNN of a query table against a large train
 table, and an exact Tanimoto threshold join with prefix filtering.
 
-kNN (C7). The query vectors go to the tasks in blocks of bounded size. Every
-task scores its train rows against a block with one matrix product per Arrow
-batch and keeps ``k`` rows per query, so ``k`` rows per query and partition
-are all that is shuffled; no train vector is moved or copied. The work is
-queries x train rows by definition of the exact answer; for a table against
-itself use it on a bounded set of queries.
+kNN (C7). Both sides are dealt into blocks of bounded size, and every pair of a query block and a train
+block is scored as one group by matrix products, which keeps ``k`` rows per query. The work is
+queries x train rows by definition of the exact answer; for a large table
+against itself use ``operators/ann.py`` (``CentroidIndex``, ``minhash_join``) or a bounded set of queries.
 
 Tanimoto (C8). Elements are ordered globally, rarest first (counts joined to
 the elements, so any number of distinct elements will do). Two sets with
@@ -26,6 +24,10 @@ from pyspark.sql import functions as F
 from bindscape.session import cut_lineage
 
 EPS = 1e-9
+QUERY_ROWS = 4096
+TRAIN_ROWS = 16_384
+#: Queries scored by one matrix product.
+SCORE_ROWS = 512
 
 
 def _dot(a, b):
@@ -44,67 +46,66 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _query_blocks(queries: DataFrame, block_rows: int):
-    """The query table in blocks of ``block_rows`` rows, one at a time on the driver."""
-    ids, vecs = [], []
-    for r in queries.toLocalIterator(prefetchPartitions=False):
-        ids.append(r[0])
-        vecs.append(r[1])
-        if len(ids) == block_rows:
-            yield np.array(ids, "int64"), np.array(vecs, "float64")
-            ids, vecs = [], []
-    if ids:
-        yield np.array(ids, "int64"), np.array(vecs, "float64")
+def _vectors(df: DataFrame, ident: str, vec: str, name: str) -> DataFrame:
+    """``(<name>, v)`` without rows that have a null id or vector."""
+    return df.select(F.col(ident).cast("long").alias(name), F.col(vec).cast("array<double>").alias("v")).dropna()
+
+
+def block_top_k(queries: DataFrame, train: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """``(q_id, t_id, distance)``: of each block (rows of both sides with equal ``keys``) the ``k`` nearest
+    train rows ``(keys, t_id, v)`` of every query ``(keys, q_id, v)``. A block meets in one task; callers bound its size."""
+
+    def nearest(asked: pa.Table, known: pa.Table) -> pa.Table:
+        ids, t_ids = asked.column("q_id").to_numpy(), known.column("t_id").to_numpy()
+        out_q, out_t, out_d = [ids[:0]], [t_ids[:0]], [np.zeros(0)]
+        if len(ids) and len(t_ids):
+            q, x = (_matrix(c.column("v").combine_chunks()) for c in (asked, known))
+            lengths, kk = np.linalg.norm(x, axis=1), min(k, len(x))
+            for at in range(0, len(q), SCORE_ROWS):
+                part = q[at:at + SCORE_ROWS]
+                den = np.linalg.norm(part, axis=1)[:, None] * lengths[None, :]
+                d = 1.0 - np.divide(part @ x.T, den, out=np.zeros(den.shape), where=den > 0)
+                # rows within the k-th distance, ties included, then by (distance, id)
+                near = d <= np.partition(d, kk - 1, axis=1)[:, kk - 1:kk]
+                for i in range(len(part)):
+                    js = np.flatnonzero(near[i])
+                    js = js[np.lexsort((t_ids[js], d[i, js]))][:kk]
+                    out_q.append(np.repeat(ids[at + i], kk))
+                    out_t.append(t_ids[js])
+                    out_d.append(d[i, js])
+        return pa.table({"q_id": pa.array(np.concatenate(out_q), pa.int64()), "t_id": pa.array(np.concatenate(out_t), pa.int64()),
+                         "distance": pa.array(np.concatenate(out_d), pa.float64())})
+
+    return (queries.groupBy(*keys).cogroup(train.groupBy(*keys))
+            .applyInArrow(nearest, "q_id long, t_id long, distance double"))
+
+
+def best_k(found: DataFrame, k: int) -> DataFrame:
+    """The ``k`` first rows per query by (distance, train id), with ``rank``."""
+    w = Window.partitionBy("q_id").orderBy("distance", "t_id")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def knn_join(queries: DataFrame, train: DataFrame, k: int = 5, q_id: str = "q_id", t_id: str = "t_id",
-             vec: str = "embedding", block_rows: int = 4096) -> DataFrame:
+             vec: str = "embedding", query_rows: int = QUERY_ROWS, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """The ``k`` nearest train vectors of every query by cosine distance
     (ties by train id); self is a legal neighbour. Output
     ``(q_id, t_id, distance, rank)``. Rows with a null id or vector are left
-    out; an empty side gives an empty result."""
-    spark = queries.sparkSession
-    schema = "q_id long, t_id long, distance double"
-    ask = queries.select(F.col(q_id).cast("long"), F.col(vec).cast("array<double>")).dropna()
-    tr = train.select(F.col(t_id).cast("long").alias("t_id"), F.col(vec).cast("array<double>").alias("v")).dropna()
-
-    def nearest(ids, vectors):
-        norms = np.linalg.norm(vectors, axis=1)
-
-        def scan(batches):
-            best_d = np.zeros((len(ids), 0))
-            best_t = np.zeros((len(ids), 0), "int64")
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                x = _matrix(b.column(1))
-                den = norms[:, None] * np.linalg.norm(x, axis=1)[None, :]
-                cos = np.divide(vectors @ x.T, den, out=np.zeros((len(ids), len(x))), where=den > 0)
-                d = np.concatenate([best_d, 1.0 - cos], axis=1)
-                t = np.concatenate([best_t, np.broadcast_to(b.column(0).to_numpy(), cos.shape)], axis=1)
-                # rows within the k-th distance, ties included, then by (distance, id)
-                kk = min(k, d.shape[1])
-                near = d <= np.partition(d, kk - 1, axis=1)[:, kk - 1:kk]
-                best_d, best_t = np.empty((len(ids), kk)), np.empty((len(ids), kk), "int64")
-                for i in range(len(ids)):
-                    at = np.flatnonzero(near[i])
-                    at = at[np.lexsort((t[i, at], d[i, at]))][:kk]
-                    best_d[i], best_t[i] = d[i, at], t[i, at]
-            if best_d.size:
-                yield pa.record_batch({"q_id": pa.array(np.repeat(ids, best_d.shape[1])),
-                                       "t_id": pa.array(best_t.ravel()), "distance": pa.array(best_d.ravel())})
-
-        return scan
-
-    found = None
-    for ids, vectors in _query_blocks(ask, block_rows):
-        part = tr.mapInArrow(nearest(ids, vectors), schema)
-        found = part if found is None else found.union(part)
-    if found is None:
-        return spark.createDataFrame([], f"{q_id} long, {t_id} long, distance double, rank int")
-    w = Window.partitionBy("q_id").orderBy("distance", "t_id")
-    out = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return out.withColumnRenamed("q_id", q_id).withColumnRenamed("t_id", t_id)
+    out; an empty side gives an empty result.
+
+    Both sides are dealt by a hash of the id into blocks of about ``query_rows`` and ``train_rows``; each pair of a
+    query block and a train block is one group of a cogrouped job. Nothing goes through the driver but the two counts."""
+    ask, tr = cut_lineage(_vectors(queries, q_id, vec, "q_id")), cut_lineage(_vectors(train, t_id, vec, "t_id"))
+    n_ask, n_train = -(-max(ask.count(), 1) // query_rows), -(-max(tr.count(), 1) // train_rows)
+    # as many groups as there are tasks, if the tables are small
+    n_train = max(n_train, min(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")) // n_ask, 64), 1)
+
+    def dealt(df, ident, own, n_own, other, n_other):
+        every = F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other)
+        return df.select(ident, "v", F.pmod(F.xxhash64(ident), F.lit(n_own)).cast("int").alias(own), every)
+
+    found = block_top_k(dealt(ask, "q_id", "qb", n_ask, "tb", n_train), dealt(tr, "t_id", "tb", n_train, "qb", n_ask), ["qb", "tb"], k)
+    return best_k(found, k).withColumnRenamed("q_id", q_id).withColumnRenamed("t_id", t_id)
 
 
 UNFITTED_RELIABILITY = 0.5

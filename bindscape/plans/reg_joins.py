@@ -51,10 +51,14 @@ def q_c2(spark, sf):
 
 def _screen_inputs(spark, sf):
     """Distinct valid proteins and distinct valid compounds (B2, B4), each
-    numbered by its smallest id."""
+    numbered by its smallest id. Proteins are grouped by their md5; the string of the
+    smallest id is joined back once, so no text is shuffled to be compared."""
     from bindscape.functions import protein as P
-    prots = (V.proteins(spark, sf).filter(P.is_valid_protein_strict("protein"))
-             .groupBy("protein").agg(F.min("protein_id").alias("protein_idx")))
+    from bindscape.session import cut_lineage
+    valid = V.proteins(spark, sf).filter(P.is_valid_protein_strict("protein"))
+    ids = cut_lineage(valid.groupBy(F.md5("protein").alias("h")).agg(F.min("protein_id").alias("protein_idx"))).select("protein_idx")
+    texts = V.proteins(spark, sf)
+    prots = texts.join(ids, texts["protein_id"] == ids["protein_idx"]).select("protein", "protein_idx")
     comps = (V.compounds(spark, sf).filter(S.is_valid_smiles("compound"))
              .groupBy("compound").agg(F.min("compound_id").alias("compound_idx")))
     return prots, comps
@@ -118,9 +122,9 @@ select count(*) as total_processed, round(coalesce(avg(binding_affinity), 0), 6)
  coalesce(max(binding_affinity), 0) as max_binding_affinity, coalesce(min(binding_affinity), 0) as min_binding_affinity
 from s""", "t_proteins", "t_compounds", "t_interactions"))
 def q_d6(spark, sf):
-    from bindscape.plans.workflows import screening_summary
+    from bindscape.plans.workflows import counted_screening_summary, screened_scores
     p, c = _screen_inputs(spark, sf)
-    s = screening_summary(joins.screen(p, c, scorer=fitted_scorer(spark, sf)))
+    s = counted_screening_summary(screened_scores(p, c, fitted_scorer(spark, sf)))
     return s.select("total_processed", r6("avg_binding_affinity").alias("avg_binding_affinity"),
                     "high_affinity_count", r6("max_binding_affinity").alias("max_binding_affinity"),
                     r6("min_binding_affinity").alias("min_binding_affinity"))
@@ -213,6 +217,32 @@ def q_c7(spark, sf):
     return k.select("q_id", "t_id", r6("distance").alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
+@register("C7_knn_index")
+def q_c7i(spark, sf):
+    """Neighbours by the centroid index, fitted on at most 20,000 sample rows; every row is indexed, the queries are the
+    rows whose id 50 divides. Approximate: C7_index_recall measures it."""
+    found, _ = _indexed_search(spark, sf)
+    return found.select("q_id", "t_id", r6("distance").alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+
+def _indexed_search(spark, sf):
+    from bindscape.operators import ann
+    t = V.embeddings(spark, sf).withColumnRenamed("vec_id", "t_id")
+    q = t.where("t_id % 50 = 0").withColumnRenamed("t_id", "q_id")
+    index = ann.fit_index(t)
+    return ann.knn_search(index, ann.index_rows(index, t), q, 5), similarity.knn_join(q, t, 5)
+
+
+@register("C7_index_recall", """
+select count(*) as n_queries, count(*) * least(5, (select count(*) from embeddings)) as n_neighbours, true as reached
+from embeddings where vec_id % 50 = 0""")
+def q_c7r(spark, sf):
+    """Of the exact neighbours of those queries, 0.9 or more are found by the index."""
+    from bindscape.operators import ann
+    found, exact = _indexed_search(spark, sf)
+    return ann.recall(found, exact).select("n_queries", "n_neighbours", (F.col("recall") >= 0.9).alias("reached"))
+
+
 @register("E9_reliability", with_views(KNN_SQL + """
 select q_id, round(avg(distance), 6) as avg_distance, round(var_pop(label), 6) as label_variance,
  round(least(1.0, greatest(0.0, 0.7 / (1 + avg(distance)) + 0.3 / (1 + var_pop(label)))), 6) as reliability
@@ -224,14 +254,28 @@ def q_e9(spark, sf):
     return r.select("q_id", *[r6(c).alias(c) for c in ("avg_distance", "label_variance", "reliability")])
 
 
-@register("C8_tanimoto_join", with_views("""
+C8_SQL = """
 with d as (select distinct compound from t_compounds),
 f as (select compound, list_distinct(list_transform(range(1, length(compound) - 1), i -> substr(compound, i::int, 3))) as grams from d),
 p as (select a.compound as a, b.compound as b,
         len(list_intersect(a.grams, b.grams)) as inter, len(a.grams) + len(b.grams) - len(list_intersect(a.grams, b.grams)) as uni
       from f a join f b on a.compound < b.compound)
 select a as compound_a, b as compound_b, round(case when uni > 0 then inter / uni else 0.0 end, 6) as similarity
-from p where case when uni > 0 then inter / uni else 0.0 end >= 0.7""", "t_compounds"))
+from p where case when uni > 0 then inter / uni else 0.0 end >= 0.7"""
+
+
+@register("C8_minhash_join", with_views(C8_SQL, "t_compounds"))
+def q_c8m(spark, sf):
+    """The same pairs by banded min-hash signatures, scored exactly."""
+    from bindscape.functions.smiles import trigrams
+    from bindscape.operators.ann import minhash_join
+    d = V.compounds(spark, sf).select("compound").distinct().withColumn("bits", trigrams("compound"))
+    j = minhash_join(d.withColumnRenamed("compound", "compound_a"), d.withColumnRenamed("compound", "compound_b"), 0.7,
+                     "compound_a", "compound_b", self_join=True)
+    return j.select("compound_a", "compound_b", r6("similarity").alias("similarity"))
+
+
+@register("C8_tanimoto_join", with_views(C8_SQL, "t_compounds"))
 def q_c8(spark, sf):
     """Compounds as sets of character trigrams, keyed by the SMILES text."""
     from bindscape.functions.smiles import trigrams

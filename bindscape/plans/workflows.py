@@ -256,24 +256,48 @@ def screening_summary(preds: DataFrame, affinity: str = "binding_affinity") -> D
         F.coalesce(F.min(a), F.lit(0.0)).alias("min_binding_affinity"))
 
 
-def run_screen(proteins: DataFrame, compounds: DataFrame, scorer=None) -> DataFrame:
-    """Screen validated lists (C3 with the K1 scorer), classify strength
-    (I21) and summarise (D6) as a long ``(metric, value)`` table."""
+def screened_scores(proteins: DataFrame, compounds: DataFrame, scorer) -> DataFrame:
+    """The scores of the full screen of two lists as ``(binding_affinity, n)``, ``n`` pairs each (rows may repeat a
+    score), without making pairs.
+
+    The fitted scorer knows a compound by the number of its letters and a protein by its hydrophobic share. Compounds are
+    counted per number of letters (as many rows as the longest SMILES has letters, at most), proteins per share; each
+    share meets the small table as one array, and the score expression is the screen's own, rounding included."""
+    from bindscape.functions.affinity import LinearAffinity, hydrophobic_share, letter_count
+    if not isinstance(scorer, LinearAffinity):
+        raise TypeError("a summary without pairs needs a scorer of descriptors")
+    letters = compounds.groupBy(letter_count("compound").alias("letters")).agg(F.count(F.lit(1)).alias("m"))
+    every = letters.agg(F.collect_list(F.struct("letters", "m")).alias("h"))
+    shares = cut_lineage(proteins.groupBy(hydrophobic_share("protein").alias("share")).agg(F.count(F.lit(1)).alias("k")))
+    met = shares.withColumn("h", every.scalar()).select("share", "k", F.explode("h").alias("c"))
+    return met.select(scorer.of(F.col("c.letters"), F.col("share")).alias("binding_affinity"), (F.col("k") * F.col("c.m")).alias("n"))
+
+
+def counted_screening_summary(scores: DataFrame) -> DataFrame:
+    """D6 of ``screened_scores``, and ``strong_pairs``."""
     from bindscape.functions.scoring import binding_strength
-    from bindscape.operators.joins import screen
-    s = screen(proteins, compounds, scorer=scorer)
-    s = s.withColumn("strength", binding_strength("binding_affinity")["binding_strength"])
-    a = F.col("binding_affinity")
-    agg = s.agg(
-        F.count(F.lit(1)).cast("double").alias("total"),
-        F.coalesce(F.avg(a), F.lit(0.0)).alias("avg_binding_affinity"),
-        F.sum(F.when(a > 8.0, 1).otherwise(0)).cast("double").alias("high_affinity_count"),
+    a, n = F.col("binding_affinity"), F.col("n")
+    strong = binding_strength("binding_affinity")["binding_strength"] == "Strong"
+
+    def pairs(condition):
+        return F.coalesce(F.sum(F.when(condition, n)), F.lit(0)).cast("long")
+
+    return scores.agg(
+        pairs(F.lit(True)).alias("total_processed"),
+        F.coalesce(F.sum(a * n) / F.sum(F.when(a.isNotNull(), n)), F.lit(0.0)).alias("avg_binding_affinity"),
+        pairs(a > 8.0).alias("high_affinity_count"),
         F.coalesce(F.max(a), F.lit(0.0)).alias("max_binding_affinity"),
         F.coalesce(F.min(a), F.lit(0.0)).alias("min_binding_affinity"),
-        F.sum(F.when(F.col("strength") == "Strong", 1).otherwise(0)).cast("double").alias("strong_pairs"))
-    names = agg.columns
+        pairs(strong).alias("strong_pairs"))
+
+
+def run_screen(proteins: DataFrame, compounds: DataFrame, scorer) -> DataFrame:
+    """Screen validated lists (C3 with the fitted scorer), classify strength
+    (I21) and summarise (D6) as a long ``(metric, value)`` table; no pair is made for the summary."""
+    agg = counted_screening_summary(screened_scores(proteins, compounds, scorer)).withColumnRenamed("total_processed", "total")
+    names = ["total", "avg_binding_affinity", "high_affinity_count", "max_binding_affinity", "min_binding_affinity", "strong_pairs"]
     return agg.select(F.explode(F.map_from_arrays(
-        F.array(*[F.lit(n) for n in names]), F.array(*[F.col(n) for n in names]))).alias("metric", "value"))
+        F.array(*[F.lit(n) for n in names]), F.array(*[F.col(n).cast("double") for n in names]))).alias("metric", "value"))
 
 
 def approved_compounds(df: DataFrame, limit: int, phase: str = "max_phase") -> DataFrame:

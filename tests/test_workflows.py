@@ -40,3 +40,26 @@ def test_preprocess_dataset_normalized_equals_joined(spark):
     assert qa.keys() == qb.keys() and all(abs(qa[k] - qb[k]) < 1e-9 for k in qa)
     assert a[4].count() == b[4].count()
     assert a[4].select(F.sum("protein_length")).first()[0] == b[4].select(F.sum("protein_length")).first()[0]
+
+
+def test_screen_summary_without_pairs(spark):
+    """Equal to the summary of the full screen, scores just at a threshold included; no product in the plan."""
+    from pyspark.sql import functions as F
+
+    from bindscape.functions.affinity import LinearAffinity
+    from bindscape.operators.joins import screen
+    from bindscape.plans import workflows as W
+    prots = spark.createDataFrame([(i, "A" * (i % 9) + "K" * (20 - i % 7)) for i in range(60)], "protein_idx long, protein string")
+    comps = spark.createDataFrame([(i, "C" * (i % 13) + "(=O)") for i in range(40)], "compound_idx long, compound string")
+    for model in (LinearAffinity(6.99995, 0.05, 2.0), LinearAffinity(9.00005, -0.25, -1.0), LinearAffinity(0.0, 0.0, 0.0)):
+        s = screen(prots, comps, scorer=model)
+        want = W.screening_summary(s).first()
+        scores = W.screened_scores(prots, comps, model)
+        got = W.counted_screening_summary(scores).first()
+        assert all(abs(got[c] - want[c]) < 1e-9 for c in want.asDict())
+        assert sorted(map(tuple, scores.groupBy("binding_affinity").agg(F.sum("n")).collect())) == sorted(
+            map(tuple, s.groupBy("binding_affinity").count().collect()))
+    plan = W.counted_screening_summary(scores)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    none = W.run_screen(prots.limit(0), comps, model).collect()
+    assert {r.metric: r.value for r in none}["total"] == 0
