@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from bindscape.plans import views as V
 from bindscape.plans.oracle_views import with_views
 from bindscape.plans.reg_scalar import FIT_SQL, fit_score_sql, fitted_scorer
-from bindscape.plans.registry import r6, register
+from bindscape.plans import reg_windows  # noqa: F401  (its oracle of F5 is used below)
+from bindscape.plans.registry import ORACLE, r6, register
 from bindscape.sources.writers import scratch_dir
 from bindscape.streaming import jobs, ttl
 
@@ -110,6 +111,35 @@ def q_j2s(spark, sf):
                       r6("p95_latency_ms").alias("p95_latency_ms"))
 
 
+@register("J2_sliding_report", with_views("""
+select w.s as window_start, count(*) as n_requests, round(avg(latency_ms) * count(*), 2) as window_sum_ms,
+ round(quantile_cont(latency_ms, 0.5), 6) as median_latency_ms, round(quantile_cont(latency_ms, 0.95), 6) as p95_latency_ms,
+ round(quantile_cont(latency_ms, 0.99), 6) as p99_latency_ms, round(min(latency_ms), 6) as min_latency_ms,
+ round(max(latency_ms), 6) as max_latency_ms, round(stddev_samp(latency_ms), 6) as std_latency_ms,
+ round(avg(case when latency_ms < 120 then 1.0 else 0.0 end), 6) as sub_120ms_rate
+from (select latency_ms, unnest([time_bucket(interval 1 hour, ts) - to_hours(k) for k in range(6)]) as s from t_requests
+      where latency_ms is not null and not isnan(latency_ms)) w group by all""", "t_requests"))
+def q_j2w(spark, sf):
+    """Windows of six hours every hour, over a stream of shuffled files. The mean is compared as the window's sum, as
+    in F5: a mean of 2-decimal values can sit exactly on a rounding edge."""
+    root, stream = _stream_files(spark, sf, "sliding-stream", ["event_id", "ts", "latency_ms"])
+    panes = _run_to_end(jobs.stream_latency_counts(stream, watermark=ARRIVAL_DELAY), root)
+    out = jobs.sliding_report(panes, n_panes=6)
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n_requests",
+                      F.round(F.col("avg_latency_ms") * F.col("n_requests"), 2).alias("window_sum_ms"),
+                      *[r6(c).alias(c) for c in jobs.FIGURES[1:]])
+
+
+@register("J2_rolling_latency_stream", ORACLE["F5_rolling_latency"])
+def q_j2r(spark, sf):
+    """F5 over a stream of shuffled files: equal to the batch result."""
+    root, stream = _stream_files(spark, sf, "rolling-stream", ["event_id", "ts", "latency_ms"])
+    jobs.rolling_latency_stream(stream, root, delay=ARRIVAL_DELAY).trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.option("basePath", os.path.join(root, "out")).parquet(os.path.join(root, "out")).where("event_id is not null")
+    wsum = F.round(F.col("avg_latency_ms") * F.least(F.col("request_count"), F.lit(1000)), 2)
+    return out.select("event_id", "request_count", wsum.alias("window_sum_ms"), r6("p95_latency_ms").alias("p95_latency_ms"), r6("p99_latency_ms").alias("p99_latency_ms"))
+
+
 @register("J3_stream_score", with_views(f"""
 with {FIT_SQL}
 select distinct md5(concat_ws('|', protein, compound)) as pair_key,
