@@ -1,169 +1,281 @@
-"""Exact near-duplicate line removal as a set-similarity join (DataFrame functions only).
+"""Exact near-duplicate line removal as a set-similarity join.
 
 A line is the set of its words. Words are ordered by rarity, the rarest first: each word
 becomes a code whose high bits are the class of its hash bucket by the number of words
 counted there over all lines (a table of fixed size), so common words sort last in every
 line alike. Two lines of Jaccard similarity t or more must share a word among their first
-ones; that prefix, a length filter, a positional filter and a bound on the overlap from 64-bit
+ones; that prefix, a length filter, a positional filter and a bound on the overlap from 48-bit
 parity bitmaps of the sets choose the candidates, whose sets are then compared in full. Equal sets are one class, represented by the earliest line.
+
+Words are counted and coded in Arrow batches (numpy); joins, filters and the removal are DataFrame operations.
 """
 
 from __future__ import annotations
 
-from decimal import Decimal
+import uuid
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindscape.session import cut_lineage
+from bindscape.session import cut_lineage, shared_dir
 
 THRESHOLD = 0.8
-BUCKET_BITS = 20
+BUCKET_BITS = 22
 BUCKETS = 1 << BUCKET_BITS
-#: A table of candidate lines up to this many bytes is broadcast, a larger one is joined by a shuffle.
+#: Class of a bucket that holds one word of all texts: no other line can have it.
+ONCE = 3
+PARITY_BITS = 48
+MAP_BITS = 26
+#: Bytes of text that are coded at a time (a longer text is coded alone).
+CHUNK_BYTES = 4 << 20
+#: A table of removed lines up to this many bytes is broadcast, a larger one is joined by a shuffle.
 BROADCAST_BYTES = 8 << 20
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _chunks(batch: pa.RecordBatch, column: int):
+    """``(from, rows)`` of pieces of a batch with about CHUNK_BYTES of text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+    first, held = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        held += size
+        if held >= CHUNK_BYTES or i + 1 == len(sizes):
+            yield first, batch.slice(first, i + 1 - first)
+            first, held = i + 1, 0
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(doc, hash, line_no, line)``: the lines of each text, cut at line feeds, from 0."""
-    return docs.where(F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("hash"),
-        F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "line"))
+def _lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """``(row, number, line)`` of the lines of the texts that are not null."""
+    cut = pc.split_pattern(texts, "\n")
+    row = pc.list_parent_indices(cut).to_numpy()
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    number = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
+    return row, number, pc.list_flatten(cut)
 
 
-def _words(line: Column) -> Column:
-    """Lower-case words between white space (may hold empty strings)."""
-    low = F.lower(line)
-    other = low.contains("\t") | low.contains("\r") | low.contains("\f") | low.contains("\v")
-    return F.split(F.when(other, F.regexp_replace(low, "[\\t\\r\\f\\x0B]", " ")).otherwise(low), " ")
+def _words(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of lines: ``(line of each word, number of each word, hash of each number)``. Words are in lower case,
+    between ASCII white space."""
+    words = pc.ascii_split_whitespace(pc.utf8_lower(lines))
+    line, flat = pc.list_parent_indices(words).to_numpy(), pc.list_flatten(words)
+    some = pc.greater(pc.binary_length(flat), 0)
+    if not pc.all(some, min_count=0).as_py():
+        line, flat = line[some.to_numpy(zero_copy_only=False)], flat.filter(some)
+    coded = flat.dictionary_encode()
+    known = coded.dictionary.cast(pa.binary()).to_pylist()
+    return line, coded.indices.to_numpy(), np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
 
 
-def _bucket(word_hash: Column) -> Column:
-    return word_hash.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-def rarity(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row with the array ``ranks`` (tinyint, by hash bucket): the class of the number of words in the
+def rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """By hash bucket (a table of fixed size): the class of the number of words in the
     bucket over all lines, three classes to a doubling, so that a lower one is rarer."""
-    words = docs.select(F.explode(_words(F.replace(F.col(text_col), F.lit("\n"), F.lit(" ")))).alias("w"))
-    counts = words.where("w <> ''").groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("n"))
-    classes = counts.union(every).groupBy("b").agg(
-        F.least(F.floor(3 * F.log2(F.sum("n") + 1)), F.lit(127)).cast("tinyint").alias("r"))
-    # 2 ** BUCKET_BITS bytes at any data size, put together from runs of 1,024
-    runs = classes.groupBy(F.shiftright("b", 10).alias("run")).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("b", "r"))), lambda x: x["r"]).alias("rs"))
-    return cut_lineage(runs.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("run", "rs"))),
-                                                      lambda x: x["rs"])).alias("ranks")))
 
+    def count(batches):
+        seen = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for _, rows in _chunks(batch, 0):
+                _, ids, hashes = _words(_lines(rows.column(0))[2])
+                np.add.at(seen, _bucket(hashes), np.bincount(ids, minlength=len(hashes)))
+        some = np.flatnonzero(seen)
+        for at in range(0, len(some), 1 << 18):
+            part = some[at:at + (1 << 18)]
+            yield pa.record_batch({"b": pa.array(part, pa.int32()), "n": pa.array(seen[part], pa.int64())})
+
+    counts = docs.select(text_col).mapInArrow(count, "b int, n long").groupBy("b").agg(F.sum("n").alias("n"))
+    # one byte per bucket: BUCKETS of them at any data size
+    classes = counts.select("b", F.least(F.floor(3 * F.log2(F.col("n") + 1) + F.lit(1e-9)), F.lit(127)).cast("tinyint").alias("r")).toArrow()
+    ranks = np.zeros(BUCKETS, np.int8)
+    ranks[classes.column("b").to_numpy()] = classes.column("r").to_numpy()
+    return ranks
+
+
+def _coded(lines: pa.Array, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(line, code)`` of the distinct words of lines, by line and code."""
+    line, ids, hashes = _words(lines)
+    codes = (ranks[_bucket(hashes)].astype(np.uint64) << np.uint64(56)) | (hashes >> np.uint64(8))
+    order = np.argsort(codes)
+    place = np.empty(len(codes), np.int64)
+    place[order] = np.arange(len(codes))
+    both = np.sort(line.astype(np.int64) * len(codes) + place[ids])
+    both = both[np.flatnonzero(np.diff(both, prepend=-1))]
+    return both // max(len(codes), 1), codes[order][both % max(len(codes), 1)]
+
+
+def _ceil(x: np.ndarray) -> np.ndarray:
+    """Ceiling that forgives rounding just above an integer."""
+    return np.ceil(x - 1e-9).astype(np.int64)
 
-def _codes(words: Column, ranks: Column) -> Column:
-    """Sorted distinct codes of the words, empty strings left out."""
-    hashes = F.array_distinct(F.transform(words, lambda w: F.when(w == "", F.lit(0).cast("long")).otherwise(F.xxhash64(w))))
 
-    def code(h):
-        rank = F.coalesce(F.get(ranks, _bucket(h)), F.lit(0).cast("tinyint")).cast("long")
-        return F.shiftleft(rank, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-    return F.sort_array(F.transform(F.array_remove(hashes, F.lit(0).cast("long")), code))
+def _keys(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(_mixed(codes * _MIX), starts).view(np.int64)
 
 
-def _coded(lines: DataFrame, ranks: DataFrame) -> DataFrame:
-    staged = lines.withColumn("ranks", ranks.scalar())
-    return staged.select(*lines.columns, _codes(_words(F.col("line")), F.col("ranks")).alias("codes")).drop("line")
+def _list(values: np.ndarray, sizes: np.ndarray, kind) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values, kind))
 
 
-def _place(doc: Column, line_no: Column) -> Column:
-    """Position of a line in the order of the corpus as one number: by id (null first), then line."""
-    return (F.coalesce(doc.cast("decimal(20,0)"), F.lit(Decimal(-(1 << 63) - 1)).cast("decimal(20,0)"))
-            * F.lit(1 << 32).cast("decimal(10,0)") + line_no.cast("decimal(10,0)")).cast("decimal(38,0)")
+WIDE = "id {id}, dh long, th long, line_no int, key long, n int, bits long, pos array<int>, code array<int>"
 
 
-def _ceil(x: Column) -> Column:
-    """Ceiling that forgives rounding just above an integer."""
-    return F.ceil(x - F.lit(1e-9)).cast("int")
+def _wide(docs: DataFrame, id_col: str, text_col: str, ranks: np.ndarray, t: float) -> DataFrame:
+    """One row per line with words: row's id, hashes of id and text, line number, set key, number of words, parity map, and
+    for the first line of a set in a chunk its prefix (places and 32 bits of the codes, without words that
+    occur once). Written to the shared folder."""
+    rows = docs.where(F.col(text_col).isNotNull()).select(
+        F.col(id_col).alias("id"), F.xxhash64(id_col).alias("dh"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
 
+    def code(batches):
+        for batch in batches:
+            for _, part in _chunks(batch, 3):
+                row, number, lines = _lines(part.column(3))
+                line, codes = _coded(lines, ranks)
+                if not len(line):
+                    continue
+                starts = np.flatnonzero(np.diff(line, prepend=-1))
+                n = np.diff(np.append(starts, len(line)))
+                own = line[starts]
+                keys = _keys(codes, starts)
+                bits = np.bitwise_xor.reduceat(np.uint64(1) << (codes % np.uint64(PARITY_BITS)), starts).view(np.int64)
+                new = np.zeros(len(keys), bool)
+                new[np.unique(keys, return_index=True)[1]] = True
+                at = np.arange(len(line)) - np.repeat(starts, n)
+                kept = at < np.repeat(np.where(new, n - _ceil(t * n) + 1, 0), n)
+                kept &= (codes >> np.uint64(56)) != ONCE
+                sizes = np.add.reduceat(kept, starts, dtype=np.int64)
+                rows_of = pa.array(row[own])
+                yield pa.RecordBatch.from_arrays([
+                    *[part.column(c).take(rows_of) for c in range(3)], pa.array(number[own], pa.int32()), pa.array(keys), pa.array(n, pa.int32()),
+                    pa.array(bits), _list(at[kept], sizes, pa.int32()), _list(codes[kept].astype(np.uint32).view(np.int32), sizes, pa.int32()),
+                ], names=["id", "dh", "th", "line_no", "key", "n", "bits", "pos", "code"])
 
-def _parity(codes: Column) -> Column:
-    """64-bit map: bit i is set if an odd number of codes end in i. Two sets whose maps differ in d bits
-    differ in at least d elements."""
-    one = F.lit(1).cast("long")
-    return F.aggregate(codes, F.lit(0).cast("long"), lambda s, c: s.bitwiseXOR(
-        F.call_function("shiftleft", one, c.bitwiseAND(F.lit(63)).cast("int"))))
+    path = f"{shared_dir(docs.sparkSession).rstrip('/')}/lines-{uuid.uuid4().hex}"
+    rows.mapInArrow(code, WIDE.format(id=rows.schema["id"].dataType.simpleString())).write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
 
 
 def similar_sets(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Candidate pairs ``(a, b)`` of the sets ``(key, n, bits, prefix)``, each once: all pairs of Jaccard
-    similarity ``threshold`` or more, and some below. ``prefix`` holds the first
+    """Candidate pairs ``(a, b)`` of the sets ``(key, n, bits, pos, code)``, each once: all pairs of different sets of Jaccard
+    similarity ``threshold`` or more, and some below. ``code`` holds the first
     ``n - ceil(t n) + 1`` codes, rarest first; of the smaller set of a pair the first
-    ``n - ceil(2 t n / (1 + t)) + 1`` are enough."""
+    ``n - ceil(2 t n / (1 + t)) + 1`` are enough. A set may come several times."""
     t = F.lit(threshold)
-    packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
-    entry = sets.select("key", "n", "bits", F.posexplode("prefix").alias("pos", "code")).select(
-        "code", "key", "bits", packed.alias("at"))
-    one, two = entry.alias("one"), entry.alias("two")
+
+    def ceil(x):
+        return F.ceil(x - F.lit(1e-9)).cast("int")
+
+    entry = sets.where(F.size("code") > 0).select("key", "n", "bits", F.explode(F.arrays_zip("pos", "code")).alias("e")).select(
+        F.col("e.code").alias("code"), "key", "bits", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("e.pos").cast("long")).alias("at"))
+    n, pos = F.shiftright("at", 32).cast("int"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # copies of a set meet behind the exchange that the join needs anyway
+    one = entry.where(pos < n - ceil(2 * t / (1 + t) * n) + 1).repartition(parts, "code").distinct().alias("one")
+    two = entry.repartition(parts, "code").distinct().alias("two")
     a, b = F.col("one.key"), F.col("two.key")
     na, nb = (F.shiftright(F.col(f"{s}.at"), 32).cast("int") for s in ("one", "two"))
-    pa, pb = (F.col(f"{s}.at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int") for s in ("one", "two"))
-    # asked of the pair rather than of the smaller set's entries, so that one shuffle serves both sides
-    short = (pa < na - _ceil(2 * t / (1 + t) * na) + 1) | (nb < 0)
+    pa_, pb = (F.col(f"{s}.at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int") for s in ("one", "two"))
     sized = ((na < nb) | ((na == nb) & (a < b))) & (na >= t * nb - 1e-9)
-    need = _ceil(t / (1 + t) * (na + nb))
-    placed = F.least(na - pa, nb - pb) >= need
+    need = ceil(t / (1 + t) * (na + nb))
+    placed = F.least(na - pa_, nb - pb) >= need
     mapped = na + nb - F.bit_count(F.col("one.bits").bitwiseXOR(F.col("two.bits"))) >= 2 * need
-    on = (F.col("one.code") == F.col("two.code")) & sized & mapped & placed & short
-    return one.hint("shuffle_hash").join(two, on).select(a.alias("a"), b.alias("b")).distinct()
+    return one.join(two, (F.col("one.code") == F.col("two.code")) & sized & mapped & placed).select(
+        a.alias("a"), b.alias("b")).distinct()
+
+
+def _bits_of(dh: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Place of a line in the map of lines asked for."""
+    mixed = _mixed(dh.view(np.uint64) * _MIX + number.astype(np.uint64))
+    return (mixed >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+
+
+def _asked_map(asked: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size with the places of the lines ``(dh, line_no)`` set."""
+
+    def mark(batches):
+        seen = np.zeros(1 << (MAP_BITS - 3), np.uint8)
+        for b in batches:
+            at = _bits_of(b.column(0).to_numpy(), b.column(1).to_numpy())
+            np.bitwise_or.at(seen, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        words = seen.view("<i8")
+        some = np.flatnonzero(words)
+        yield pa.record_batch({"w": pa.array(some, pa.int32()), "v": pa.array(words[some], pa.int64())})
+
+    found = asked.select("dh", "line_no").mapInArrow(mark, "w int, v long").groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
+    words = np.zeros(1 << (MAP_BITS - 6), "<i8")
+    words[found.column("w").to_numpy()] = found.column("v").to_numpy()
+    return words.view(np.uint8)
+
+
+def _full_sets(docs: DataFrame, id_col: str, text_col: str, ranks: np.ndarray, asked: DataFrame) -> DataFrame:
+    """``(key, codes)`` of the lines asked for (and of a few more whose places share a bit with theirs)."""
+    wanted = _asked_map(asked)
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(id_col).alias("dh"), F.col(text_col).alias("text"))
+
+    def code(batches):
+        for batch in batches:
+            for _, part in _chunks(batch, 1):
+                row, number, lines = _lines(part.column(1))
+                at = _bits_of(part.column(0).to_numpy()[row], number)
+                line, codes = _coded(lines.filter(pa.array((wanted[at >> 3] >> (at & 7) & 1).astype(bool))), ranks)
+                if not len(line):
+                    continue
+                starts = np.flatnonzero(np.diff(line, prepend=-1))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(_keys(codes, starts)), _list(codes.view(np.int64), np.diff(np.append(starts, len(line))), pa.int64())],
+                    names=["key", "codes"])
+
+    return rows.mapInArrow(code, "key long, codes array<long>")
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(lines, classes, links)``: each line with words ``(doc, hash, line_no, key)``; each distinct word
-    set ``(key, first)`` with the place of its earliest line; and the similar pairs of sets ``(a, b)``."""
+    """``(lines, classes, links)``: each line with words ``(id, th, line_no, key)``; each distinct word
+    set ``(key, first)`` with the place ``(id, line_no)`` of its earliest line; and the similar pairs of sets ``(a, b)``."""
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be above 0 and at most 1")
     ranks = rarity(docs, text_col)
-    t = F.lit(threshold)
-    coded = _coded(_lines(docs, id_col, text_col), ranks)
-    n = F.size("codes")
-    place = _place(F.col("doc"), F.col("line_no"))
-    # read three times below; blocks that are lost or don't fit are coded again from the texts
-    wide = coded.where(n > 0).select(
-        "doc", "hash", "line_no", F.xxhash64("codes").alias("key"), n.alias("n"), _parity(F.col("codes")).alias("bits"),
-        F.slice("codes", 1, n - _ceil(t * n) + 1).alias("prefix")).persist(StorageLevel.MEMORY_AND_DISK)
-    lines = cut_lineage(wide.select("doc", "hash", "line_no", "key"))
-    # a set that could only be similar to an equal one has no partner: equal sets are one class already
-    least = next(m for m in range(1, 1000) if m >= threshold * (m + 1) - 1e-9 or threshold / (1 + threshold) * 2 * m <= m - 1)
-    sets = wide.where(F.col("n") >= least).select("key", "n", "bits", "prefix").distinct()
-    pairs = cut_lineage(similar_sets(sets, threshold))
-    wide.unpersist()
-    narrow = cut_lineage(lines.groupBy("key").agg(F.min(place).alias("first")))
-    # the full sets of the lines that stand for a candidate
-    asked = cut_lineage(narrow.join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key", "left_semi")
-                        .select(F.col("key").alias("asked_key"), F.col("first").alias("asked_place")))
-    if asked.count() * 64 <= BROADCAST_BYTES:
-        asked = F.broadcast(asked)
-    wanted = _lines(docs, id_col, text_col).join(asked, F.col("asked_place") == place)
-    sets = cut_lineage(_coded(wanted.select("asked_key", "line"), ranks).where(F.xxhash64("codes") == F.col("asked_key"))
-                       .groupBy("asked_key").agg(F.first("codes").alias("codes")))
-    one = sets.select(F.col("asked_key").alias("a"), F.col("codes").alias("x"))
-    two = sets.select(F.col("asked_key").alias("b"), F.col("codes").alias("y"))
+    wide = _wide(docs, id_col, text_col, ranks, threshold)
+    lines = wide.select("id", "dh", "th", "line_no", "key")
+    classes = cut_lineage(lines.groupBy("key").agg(F.min(F.struct("id", "line_no", "dh")).alias("first")))
+    pairs = cut_lineage(similar_sets(wide.select("key", "n", "bits", "pos", "code"), threshold))
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    asked = cut_lineage(classes.join(keys, "key", "left_semi").select("key", "first.dh", "first.line_no"))
+    sets = cut_lineage(_full_sets(docs, id_col, text_col, ranks, asked).join(asked.select("key"), "key", "left_semi").dropDuplicates(["key"]))
+    one = sets.select(F.col("key").alias("a"), F.col("codes").alias("x"))
+    two = sets.select(F.col("key").alias("b"), F.col("codes").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
-    similar = common >= t * (F.size("x") + F.size("y") - common) - 1e-9
+    similar = common >= F.lit(threshold) * (F.size("x") + F.size("y") - common) - 1e-9
     links = pairs.join(one, "a").join(two, "b").where(similar).select("a", "b")
-    return lines, narrow, cut_lineage(links)
+    return lines, classes, cut_lineage(links)
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   threshold: float = THRESHOLD) -> DataFrame:
-    """``(doc, hash, removed)``: for each document with such lines, the numbers of those that an earlier
-    line (by id, then line number) matches; ``hash`` tells texts of one id apart."""
+    """``(id, th, removed)``: for each document with such lines, the numbers of those that an earlier
+    line (by id, then line number) matches; ``th``, a hash of the text, tells texts of one id apart."""
     lines, classes, links = line_classes(docs, id_col, text_col, threshold)
     both = links.union(links.select("b", "a"))
     # the earliest line of any similar set, combined before the shuffle
-    first = classes.select("key", "first")
+    first = classes.select("key", F.struct("first.id", "first.line_no").alias("first"))
     near = (both.join(first.withColumnRenamed("key", "b"), "b")
             .groupBy("a").agg(F.min("first").alias("near")).withColumnRenamed("a", "key"))
     judged = first.join(near, "key", "left").select("key", F.least("first", "near").alias("keep"))
-    gone = lines.join(judged, "key").where(F.col("keep") < _place(F.col("doc"), F.col("line_no")))
-    return gone.groupBy("doc", "hash").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
+    place = F.struct(F.col("id"), F.col("line_no"))
+    gone = lines.join(judged, "key").where(F.col("keep") < place)
+    return gone.groupBy("id", "th").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -171,12 +283,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with later near-duplicate lines taken out of the text, and the columns ``__lines`` (number of
     lines), ``__removed`` (numbers of the lines taken out).
 
-    Lines are cut at line feeds; a line without words matches nothing and stays. Lines of fewer
+    Lines are cut at line feeds, words at ASCII white space; a line without words matches nothing and stays. Lines of fewer
     than five words match equal sets, or sets of at most one word more. Null texts stay null
-    with 0 lines, empty ones have one empty line. Rows with a null id come first in the order. Rows
+    with 0 lines, empty ones have one empty line. Ids may be of any type that can be ordered; rows with a null id come first in the order. Rows
     of one id share its place in the order: a line is later only than lines of smaller ids or numbers. Other columns are untouched."""
-    gone = removed_lines(docs, id_col, text_col, threshold).select(
-        F.col("doc").alias("__doc"), F.col("hash").alias("__hash"), F.col("removed").alias("__gone"))
+    gone = cut_lineage(removed_lines(docs, id_col, text_col, threshold).select(
+        F.col("id").alias("__doc"), F.col("th").alias("__hash"), F.col("removed").alias("__gone")))
+    size = gone.agg(F.sum(32 + 4 * F.size("__gone"))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        gone = F.broadcast(gone)
     marked = docs.join(gone, docs[id_col].eqNullSafe(F.col("__doc")) & (F.xxhash64(docs[text_col]) == F.col("__hash")), "left")
     parts = F.split(F.col(text_col), "\n", -1)
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__gone", i)), "\n")
