@@ -21,17 +21,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindscape.session import cut_lineage, shared_dir
+from bindscape.session import shared_dir
 
 THRESHOLD = 0.8
-BUCKET_BITS = 22
+BUCKET_BITS = 24
 BUCKETS = 1 << BUCKET_BITS
 #: Class of a bucket that holds one word of all texts: no other line can have it.
 ONCE = 3
 PARITY_BITS = 48
 MAP_BITS = 26
 #: Bytes of text that are coded at a time (a longer text is coded alone).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 8 << 20
 #: A table of removed lines up to this many bytes is broadcast, a larger one is joined by a shuffle.
 BROADCAST_BYTES = 8 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -43,6 +43,18 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder (smaller than a checkpoint)."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/lines-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+PLACES = 64
+#: A random number for each byte at each of the first places of a word.
+_BYTES = _mixed(np.arange(1, PLACES * 256 + 1, dtype=np.uint64) * _MIX)
+
+
 def _chunks(batch: pa.RecordBatch, column: int):
     """``(from, rows)`` of pieces of a batch with about CHUNK_BYTES of text."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
@@ -72,8 +84,22 @@ def _words(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not pc.all(some, min_count=0).as_py():
         line, flat = line[some.to_numpy(zero_copy_only=False)], flat.filter(some)
     coded = flat.dictionary_encode()
-    known = coded.dictionary.cast(pa.binary()).to_pylist()
-    return line, coded.indices.to_numpy(), np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
+    return line, coded.indices.to_numpy(), word_hashes(coded.dictionary)
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of non-empty words: the sum of a random number per byte and place; long words by XXH3."""
+    if not len(words):
+        return np.empty(0, np.uint64)
+    words = words.cast(pa.large_binary())
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8)[ends[0]:ends[-1]]
+    starts, sizes = ends[:-1] - ends[0], np.diff(ends)
+    place = np.arange(len(data)) - np.repeat(starts, sizes)
+    out = np.add.reduceat(_BYTES[(place & (PLACES - 1)) << 8 | data], starts)
+    for k in np.flatnonzero(sizes > PLACES).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(words[k].as_py())
+    return out
 
 
 def _bucket(hashes: np.ndarray) -> np.ndarray:
@@ -85,15 +111,15 @@ def rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     bucket over all lines, three classes to a doubling, so that a lower one is rarer."""
 
     def count(batches):
-        seen = np.zeros(BUCKETS, np.int64)
+        seen = np.zeros(BUCKETS, np.uint32)
         for batch in batches:
             for _, rows in _chunks(batch, 0):
                 _, ids, hashes = _words(_lines(rows.column(0))[2])
-                np.add.at(seen, _bucket(hashes), np.bincount(ids, minlength=len(hashes)))
+                np.add.at(seen, _bucket(hashes), np.bincount(ids, minlength=len(hashes)).astype(np.uint32))
         some = np.flatnonzero(seen)
         for at in range(0, len(some), 1 << 18):
             part = some[at:at + (1 << 18)]
-            yield pa.record_batch({"b": pa.array(part, pa.int32()), "n": pa.array(seen[part], pa.int64())})
+            yield pa.record_batch({"b": pa.array(part, pa.int32()), "n": pa.array(seen[part].astype(np.int64))})
 
     counts = docs.select(text_col).mapInArrow(count, "b int, n long").groupBy("b").agg(F.sum("n").alias("n"))
     # one byte per bucket: BUCKETS of them at any data size
@@ -128,13 +154,13 @@ def _list(values: np.ndarray, sizes: np.ndarray, kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values, kind))
 
 
-WIDE = "id {id}, dh long, th long, line_no int, key long, n int, bits long, pos array<int>, code array<int>"
+WIDE = "id {id}, dh long, th long, line_no int, key long, n int, bits long, pos int, code int"
 
 
 def _wide(docs: DataFrame, id_col: str, text_col: str, ranks: np.ndarray, t: float) -> DataFrame:
-    """One row per line with words: row's id, hashes of id and text, line number, set key, number of words, parity map, and
-    for the first line of a set in a chunk its prefix (places and 32 bits of the codes, without words that
-    occur once). Written to the shared folder."""
+    """Written to the shared folder: a row per line with words (row's id, hashes of id and text, line number, set key), and
+    for the first line of a set in a chunk a row per word of its prefix without words that occur once (key, number of
+    words, parity map, place, 32 bits of the code)."""
     rows = docs.where(F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.xxhash64(id_col).alias("dh"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
 
@@ -155,21 +181,26 @@ def _wide(docs: DataFrame, id_col: str, text_col: str, ranks: np.ndarray, t: flo
                 at = np.arange(len(line)) - np.repeat(starts, n)
                 kept = at < np.repeat(np.where(new, n - _ceil(t * n) + 1, 0), n)
                 kept &= (codes >> np.uint64(56)) != ONCE
-                sizes = np.add.reduceat(kept, starts, dtype=np.int64)
-                rows_of = pa.array(row[own])
+                entry = np.repeat(np.arange(len(n)), n)[kept]
+                m, e = len(n), len(entry)
+                # line rows, then entry rows; each kind has nulls in the other's columns
+                line_row, entry_row = np.arange(m + e) >= m, np.arange(m + e) < m
+                both = np.append(np.arange(m), entry)
+                rows_of = pa.array(np.append(row[own], np.zeros(e, np.int64)), mask=line_row)
+                pad = np.zeros(m, np.int64)
                 yield pa.RecordBatch.from_arrays([
-                    *[part.column(c).take(rows_of) for c in range(3)], pa.array(number[own], pa.int32()), pa.array(keys), pa.array(n, pa.int32()),
-                    pa.array(bits), _list(at[kept], sizes, pa.int32()), _list(codes[kept].astype(np.uint32).view(np.int32), sizes, pa.int32()),
+                    *[part.column(c).take(rows_of) for c in range(3)], pa.array(number[own][both], pa.int32(), mask=line_row),
+                    pa.array(keys[both]), pa.array(n[both], pa.int32(), mask=entry_row), pa.array(bits[both], mask=entry_row),
+                    pa.array(np.append(pad, at[kept]), pa.int32(), mask=entry_row),
+                    pa.array(np.append(pad.astype(np.int32), codes[kept].astype(np.uint32).view(np.int32)), mask=entry_row),
                 ], names=["id", "dh", "th", "line_no", "key", "n", "bits", "pos", "code"])
 
-    path = f"{shared_dir(docs.sparkSession).rstrip('/')}/lines-{uuid.uuid4().hex}"
-    rows.mapInArrow(code, WIDE.format(id=rows.schema["id"].dataType.simpleString())).write.parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    return _written(rows.mapInArrow(code, WIDE.format(id=rows.schema["id"].dataType.simpleString())))
 
 
-def similar_sets(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Candidate pairs ``(a, b)`` of the sets ``(key, n, bits, pos, code)``, each once: all pairs of different sets of Jaccard
-    similarity ``threshold`` or more, and some below. ``code`` holds the first
+def similar_sets(entries: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Candidate pairs ``(a, b)`` of the sets with prefix entries ``(key, n, bits, pos, code)``, each once: all pairs of different sets of Jaccard
+    similarity ``threshold`` or more, and some below. Entries are the first
     ``n - ceil(t n) + 1`` codes, rarest first; of the smaller set of a pair the first
     ``n - ceil(2 t n / (1 + t)) + 1`` are enough. A set may come several times."""
     t = F.lit(threshold)
@@ -177,13 +208,11 @@ def similar_sets(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     def ceil(x):
         return F.ceil(x - F.lit(1e-9)).cast("int")
 
-    entry = sets.where(F.size("code") > 0).select("key", "n", "bits", F.explode(F.arrays_zip("pos", "code")).alias("e")).select(
-        F.col("e.code").alias("code"), "key", "bits", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("e.pos").cast("long")).alias("at"))
-    n, pos = F.shiftright("at", 32).cast("int"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
-    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # copies of a set meet behind the exchange that the join needs anyway
-    one = entry.where(pos < n - ceil(2 * t / (1 + t) * n) + 1).repartition(parts, "code").distinct().alias("one")
-    two = entry.repartition(parts, "code").distinct().alias("two")
+    entry = entries.select("code", "key", "bits", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("at"))
+    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # copies of a set meet behind the exchange that the join needs anyway; one exchange serves both sides
+    entry = entry.repartition(parts, "code").distinct()
+    one, two = entry.alias("one"), entry.alias("two")
     a, b = F.col("one.key"), F.col("two.key")
     na, nb = (F.shiftright(F.col(f"{s}.at"), 32).cast("int") for s in ("one", "two"))
     pa_, pb = (F.col(f"{s}.at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int") for s in ("one", "two"))
@@ -191,7 +220,9 @@ def similar_sets(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     need = ceil(t / (1 + t) * (na + nb))
     placed = F.least(na - pa_, nb - pb) >= need
     mapped = na + nb - F.bit_count(F.col("one.bits").bitwiseXOR(F.col("two.bits"))) >= 2 * need
-    return one.join(two, (F.col("one.code") == F.col("two.code")) & sized & mapped & placed).select(
+    # asked of the pair rather than of one side, whose exchange would differ
+    short = (pa_ < na - ceil(2 * t / (1 + t) * na) + 1) | (nb < 0)
+    return one.join(two, (F.col("one.code") == F.col("two.code")) & sized & mapped & placed & short).select(
         a.alias("a"), b.alias("b")).distinct()
 
 
@@ -248,18 +279,18 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError("threshold must be above 0 and at most 1")
     ranks = rarity(docs, text_col)
     wide = _wide(docs, id_col, text_col, ranks, threshold)
-    lines = wide.select("id", "dh", "th", "line_no", "key")
-    classes = cut_lineage(lines.groupBy("key").agg(F.min(F.struct("id", "line_no", "dh")).alias("first")))
-    pairs = cut_lineage(similar_sets(wide.select("key", "n", "bits", "pos", "code"), threshold))
+    lines = wide.where("code is null").select("id", "dh", "th", "line_no", "key")
+    classes = _written(lines.groupBy("key").agg(F.min(F.struct("id", "line_no", "dh")).alias("first")))
+    pairs = _written(similar_sets(wide.where("code is not null").select("key", "n", "bits", "pos", "code"), threshold))
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    asked = cut_lineage(classes.join(keys, "key", "left_semi").select("key", "first.dh", "first.line_no"))
-    sets = cut_lineage(_full_sets(docs, id_col, text_col, ranks, asked).join(asked.select("key"), "key", "left_semi").dropDuplicates(["key"]))
+    asked = _written(classes.join(keys, "key", "left_semi").select("key", "first.dh", "first.line_no"))
+    sets = _written(_full_sets(docs, id_col, text_col, ranks, asked).join(asked.select("key"), "key", "left_semi").dropDuplicates(["key"]))
     one = sets.select(F.col("key").alias("a"), F.col("codes").alias("x"))
     two = sets.select(F.col("key").alias("b"), F.col("codes").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     similar = common >= F.lit(threshold) * (F.size("x") + F.size("y") - common) - 1e-9
     links = pairs.join(one, "a").join(two, "b").where(similar).select("a", "b")
-    return lines, classes, cut_lineage(links)
+    return lines, classes, _written(links)
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -287,7 +318,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     than five words match equal sets, or sets of at most one word more. Null texts stay null
     with 0 lines, empty ones have one empty line. Ids may be of any type that can be ordered; rows with a null id come first in the order. Rows
     of one id share its place in the order: a line is later only than lines of smaller ids or numbers. Other columns are untouched."""
-    gone = cut_lineage(removed_lines(docs, id_col, text_col, threshold).select(
+    gone = _written(removed_lines(docs, id_col, text_col, threshold).select(
         F.col("id").alias("__doc"), F.col("th").alias("__hash"), F.col("removed").alias("__gone")))
     size = gone.agg(F.sum(32 + 4 * F.size("__gone"))).first()[0] or 0
     if size <= BROADCAST_BYTES:
