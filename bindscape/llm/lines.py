@@ -199,7 +199,8 @@ def _wide(docs: DataFrame, id_col: str, text_col: str, ranks: np.ndarray, t: flo
 
 
 def similar_sets(entries: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Candidate pairs ``(a, b)`` of the sets with prefix entries ``(key, n, bits, pos, code)``, each once: all pairs of different sets of Jaccard
+    """Candidate pairs ``(a, b, d)`` of the sets with prefix entries ``(key, n, bits, pos, code)``, each once, ``d`` bits of
+    their maps apart: all pairs of different sets of Jaccard
     similarity ``threshold`` or more, and some below. Entries are the first
     ``n - ceil(t n) + 1`` codes, rarest first; of the smaller set of a pair the first
     ``n - ceil(2 t n / (1 + t)) + 1`` are enough. A set may come several times."""
@@ -210,20 +211,22 @@ def similar_sets(entries: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     entry = entries.select("code", "key", "bits", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("at"))
     parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # copies of a set meet behind the exchange that the join needs anyway; one exchange serves both sides
-    entry = entry.repartition(parts, "code").distinct()
-    one, two = entry.alias("one"), entry.alias("two")
+    # copies of a set meet behind the exchange that the join needs anyway, which serves both sides; those of one side
+    # are left to the pairs, a pair comes at most as often as its set does
+    entry = entry.repartition(parts, "code")
+    one, two = entry.alias("one"), entry.distinct().alias("two")
     a, b = F.col("one.key"), F.col("two.key")
     na, nb = (F.shiftright(F.col(f"{s}.at"), 32).cast("int") for s in ("one", "two"))
     pa_, pb = (F.col(f"{s}.at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int") for s in ("one", "two"))
     sized = ((na < nb) | ((na == nb) & (a < b))) & (na >= t * nb - 1e-9)
     need = ceil(t / (1 + t) * (na + nb))
     placed = F.least(na - pa_, nb - pb) >= need
-    mapped = na + nb - F.bit_count(F.col("one.bits").bitwiseXOR(F.col("two.bits"))) >= 2 * need
+    apart = F.bit_count(F.col("one.bits").bitwiseXOR(F.col("two.bits")))
+    mapped = na + nb - apart >= 2 * need
     # asked of the pair rather than of one side, whose exchange would differ
     short = (pa_ < na - ceil(2 * t / (1 + t) * na) + 1) | (nb < 0)
     return one.join(two, (F.col("one.code") == F.col("two.code")) & sized & mapped & placed & short).select(
-        a.alias("a"), b.alias("b")).distinct()
+        a.alias("a"), b.alias("b"), apart.alias("d")).distinct()
 
 
 def _bits_of(dh: np.ndarray, number: np.ndarray) -> np.ndarray:
@@ -244,7 +247,7 @@ def _asked_map(asked: DataFrame) -> np.ndarray:
         some = np.flatnonzero(words)
         yield pa.record_batch({"w": pa.array(some, pa.int32()), "v": pa.array(words[some], pa.int64())})
 
-    found = asked.select("dh", "line_no").mapInArrow(mark, "w int, v long").groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
+    found = asked.mapInArrow(mark, "w int, v long").groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
     words = np.zeros(1 << (MAP_BITS - 6), "<i8")
     words[found.column("w").to_numpy()] = found.column("v").to_numpy()
     return words.view(np.uint8)
@@ -273,39 +276,50 @@ def _full_sets(docs: DataFrame, id_col: str, text_col: str, ranks: np.ndarray, a
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(lines, classes, links)``: each line with words ``(id, th, line_no, key)``; each distinct word
-    set ``(key, first)`` with the place ``(id, line_no)`` of its earliest line; and the similar pairs of sets ``(a, b)``."""
+    """``(lines, classes, later)``: each line with words ``(id, th, line_no, key)``; each distinct word
+    set ``(key, first, n)`` with the place ``(id, line_no)`` of its earliest line and its number of lines; and the
+    sets ``(key)`` that have a similar set whose earliest line comes before theirs.
+
+    A candidate pair can only tell about the set that comes later. Each such set is compared with its most promising
+    candidate first; sets that it does not settle are compared with all of theirs."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     ranks = rarity(docs, text_col)
     wide = _wide(docs, id_col, text_col, ranks, threshold)
     lines = wide.where("code is null").select("id", "dh", "th", "line_no", "key")
-    classes = _written(lines.groupBy("key").agg(F.min(F.struct("id", "line_no", "dh")).alias("first")))
+    classes = _written(lines.groupBy("key").agg(F.min(F.struct("id", "line_no", "dh")).alias("first"), F.count(F.lit(1)).alias("n")))
     pairs = _written(similar_sets(wide.where("code is not null").select("key", "n", "bits", "pos", "code"), threshold))
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    asked = _written(classes.join(keys, "key", "left_semi").select("key", "first.dh", "first.line_no"))
-    sets = _written(_full_sets(docs, id_col, text_col, ranks, asked).join(asked.select("key"), "key", "left_semi").dropDuplicates(["key"]))
-    one = sets.select(F.col("key").alias("a"), F.col("codes").alias("x"))
-    two = sets.select(F.col("key").alias("b"), F.col("codes").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    similar = common >= F.lit(threshold) * (F.size("x") + F.size("y") - common) - 1e-9
-    links = pairs.join(one, "a").join(two, "b").where(similar).select("a", "b")
-    return lines, classes, _written(links)
+    asked = _written(classes.join(keys, "key", "left_semi").select("key", "first"))
+    order = pairs.join(asked.select(F.col("key").alias("a"), F.col("first").alias("fa")), "a").join(
+        asked.select(F.col("key").alias("b"), F.col("first").alias("fb")), "b")
+    before = F.col("fa") < F.col("fb")
+    order = _written(order.select(F.when(before, F.col("a")).otherwise(F.col("b")).alias("earlier"),
+                                  F.when(before, F.col("b")).otherwise(F.col("a")).alias("later"), "d"))
+    sets = _full_sets(docs, id_col, text_col, ranks, asked.select("first.dh", "first.line_no"))
+    sets = _written(sets.join(asked.select("key"), "key", "left_semi").dropDuplicates(["key"]))
+
+    def similar(some: DataFrame) -> DataFrame:
+        both = (some.join(sets.select(F.col("key").alias("later"), F.col("codes").alias("y")), "later")
+                .join(sets.select(F.col("key").alias("earlier"), F.col("codes").alias("x")), "earlier"))
+        common = F.size(F.array_intersect("x", "y"))
+        return both.where(common >= F.lit(threshold) * (F.size("x") + F.size("y") - common) - 1e-9).select(F.col("later").alias("key"))
+
+    best = order.groupBy("later").agg(F.min(F.struct("d", "earlier"))["earlier"].alias("earlier"))
+    settled = _written(similar(best))
+    rest = order.join(settled, order["later"] == settled["key"], "left_anti").select("earlier", "later")
+    return lines, classes, settled.union(_written(similar(rest).distinct()))
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   threshold: float = THRESHOLD) -> DataFrame:
     """``(id, th, removed)``: for each document with such lines, the numbers of those that an earlier
     line (by id, then line number) matches; ``th``, a hash of the text, tells texts of one id apart."""
-    lines, classes, links = line_classes(docs, id_col, text_col, threshold)
-    both = links.union(links.select("b", "a"))
-    # the earliest line of any similar set, combined before the shuffle
-    first = classes.select("key", F.struct("first.id", "first.line_no").alias("first"))
-    near = (both.join(first.withColumnRenamed("key", "b"), "b")
-            .groupBy("a").agg(F.min("first").alias("near")).withColumnRenamed("a", "key"))
-    judged = first.join(near, "key", "left").select("key", F.least("first", "near").alias("keep"))
-    place = F.struct(F.col("id"), F.col("line_no"))
-    gone = lines.join(judged, "key").where(F.col("keep") < place)
+    lines, classes, later = line_classes(docs, id_col, text_col, threshold)
+    # all lines of such a set go; of other sets, all but those at the first place
+    judged = (classes.join(later.withColumn("every", F.lit(True)), "key", "left").where(F.col("every") | (F.col("n") > 1))
+              .select("key", F.struct("first.id", "first.line_no").alias("first"), F.coalesce("every", F.lit(False)).alias("every")))
+    gone = lines.join(judged, "key").where(F.col("every") | (F.col("first") < F.struct("id", "line_no")))
     return gone.groupBy("id", "th").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
 
