@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from bindscape.functions import protein as P
 from bindscape.functions.affinity import LinearAffinity, hydrophobic_share, letter_count
-from bindscape.functions import scoring as K
 from bindscape.operators.ranking import hash_key
 from bindscape.session import cut_lineage
 
@@ -85,7 +84,7 @@ def _labelled(pairs: DataFrame, protein_idx: str, compound_idx: str, scorer) ->
     if isinstance(scorer, LinearAffinity):
         score = scorer.of(F.col("_letters"), F.col("_share"))
     else:
-        score = (scorer if scorer is not None else K.hash_score)(F.col("protein"), F.col("compound"))
+        score = scorer(F.col("protein"), F.col("compound"))
     return pairs.select(
         protein_idx, compound_idx, "protein", "compound",
         F.concat(F.lit("protein_"), F.col(protein_idx).cast("string")).alias("protein_label"),
@@ -95,7 +94,7 @@ def _labelled(pairs: DataFrame, protein_idx: str, compound_idx: str, scorer) ->
 
 
 def screen(proteins: DataFrame, compounds: DataFrame, protein_idx: str = "protein_idx",
-           compound_idx: str = "compound_idx", scorer=None) -> DataFrame:
+           compound_idx: str = "compound_idx", *, scorer) -> DataFrame:
     """Every (protein, compound) pair of two request lists, scored. The full
     product is the operator's documented output; ``screen_pairs`` is the form
     for a large library. Labels are ``protein_<i>`` / ``drug_<j>`` and the
@@ -109,7 +108,7 @@ def screen(proteins: DataFrame, compounds: DataFrame, protein_idx: str = "protei
 
 
 def screen_pairs(pairs: DataFrame, proteins: DataFrame, compounds: DataFrame, protein_idx: str = "protein_idx",
-                 compound_idx: str = "compound_idx", scorer=None) -> DataFrame:
+                 compound_idx: str = "compound_idx", *, scorer) -> DataFrame:
     """C3 over a relation of requested pairs ``(protein_idx, compound_idx)``: each distinct pair once,
     by two equi-joins; ids that a list does not have are left out."""
     proteins, compounds = _described(proteins, compounds, scorer)
@@ -152,12 +151,11 @@ def binding_data(activities: DataFrame, pairs: DataFrame, keys=("compound_id", "
 
 
 def split_cached(requests: DataFrame, cache: DataFrame, key: str = "cache_key",
-                 value: str = "cached_score", scorer=None) -> DataFrame:
-    """Hits take the cached value; a miss is scored from its key. One left
-    join; the score of a key is the same for all its requests."""
+                 value: str = "cached_score", *, scorer) -> DataFrame:
+    """C10 over a cache of keys: hits take the cached value; a miss is scored from its key by ``scorer``. One left
+    join. ``score_store.score_requests`` keeps scores of pairs between runs."""
     cache = cache.groupBy(F.col(key).alias("_k")).agg(F.min(F.struct(F.col(value).alias("v"))).alias("_c"))
-    score = scorer if scorer is not None else (lambda k: K.hash_score(k, F.lit("")))
     j = requests.join(cache, F.col(key) == F.col("_k"), "left")
     return j.select(*[F.col(c) for c in requests.columns],
-                    F.when(F.col("_k").isNotNull(), F.col("_c.v")).otherwise(score(F.col(key))).alias(value),
+                    F.when(F.col("_k").isNotNull(), F.col("_c.v")).otherwise(scorer(F.col(key))).alias(value),
                     F.col("_k").isNotNull().alias("cached"))

@@ -193,13 +193,23 @@ def dimension_extremes(df: DataFrame, vec: str = "embedding") -> DataFrame:
               .withColumn("low_dims", F.filter(idx, lambda i: F.col(vec)[i] < F.col("p25"))))
 
 
+def pooled_vectors(df: DataFrame, seq: str, vec: str, mask: str) -> DataFrame:
+    """Per sequence the vector sum(v * mask) / sum(mask) over its tokens, ``(seq, pooled)``, null when every token
+    is masked. One weighted vector mean per sequence, combined map-side; rows are never multiplied by dimensions. Null vectors and masks
+    are left out; a null sequence is a sequence."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    weight = F.coalesce(F.col(mask).cast("double"), F.lit(0.0))
+    live = df.where(F.col(vec).isNotNull() & (weight != 0)).groupBy(F.col(seq).alias("_seq")).agg(
+        vector_to_array(Summarizer.mean(array_to_vector(F.col(vec)), weight)).alias("pooled"))
+    every = df.groupBy(seq).agg(F.max(F.size(vec)).alias("_d"))
+    return every.join(live, F.col(seq).eqNullSafe(F.col("_seq")), "left").select(
+        seq, F.coalesce("pooled", F.array_repeat(F.lit(None).cast("double"), F.col("_d"))).alias("pooled"))
+
+
 def masked_mean_pool(df: DataFrame, seq: str, vec: str, mask: str) -> DataFrame:
-    """Per sequence and dimension, sum(v * mask) / sum(mask) over its
-    tokens (null when every token is masked). Long form ``(seq, dim, value)``: one partial aggregate per
-    (sequence, dimension), so a long sequence is reduced map-side."""
-    ex = df.select(seq, mask, F.posexplode(vec).alias("dim", "v"))
-    return ex.groupBy(seq, "dim").agg(
-        F.try_divide(F.sum(F.col("v") * F.col(mask)), F.sum(mask)).alias("value"))
+    """D18 in long form ``(seq, dim, value)``, from ``pooled_vectors``: one row per dimension of a result."""
+    return pooled_vectors(df, seq, vec, mask).select(seq, F.posexplode("pooled").alias("dim", "value"))
 
 
 def binding_coverage(sites: DataFrame, seqs: DataFrame, seq_id: str = "protein_id",

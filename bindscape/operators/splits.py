@@ -39,6 +39,15 @@ def require_columns(df: DataFrame, cols) -> DataFrame:
     return df
 
 
+def checked_columns(df: DataFrame, cols) -> tuple[DataFrame, str | None]:
+    """B13 without a stop: the table and None, or an empty table that has all required columns (missing ones as
+    strings) and the error."""
+    missing = [c for c in cols if c not in df.columns]
+    if not missing:
+        return df, None
+    return df.withColumns({c: F.lit(None).cast("string") for c in missing}).where(F.lit(False)), f"Missing required columns: {missing}"
+
+
 def dedup_pairs(df: DataFrame, keys=("compound", "protein"), order_cols=None) -> DataFrame:
     """keep the first row per ``keys``. "First" = dataset load order, then
     split-file order, then ``order_cols`` (row position).

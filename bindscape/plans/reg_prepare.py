@@ -288,3 +288,18 @@ def q_p2(spark, sf):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.select("section", "metric", r6("value").alias("value"))
+
+
+@register("B13_required_columns", with_views("""
+select 'complete' as input, count(*) as n_rows, null::varchar as error from t_interactions_ids
+union all select 'no affinity', 0, 'Missing required columns: [''affinity'']'""", "t_interactions_ids"))
+def q_b13(spark, sf):
+    """A table with all required columns, and one without: an empty result and the error."""
+    ids = V.interactions_ids(spark, sf)
+    out = None
+    for name, df in (("complete", ids), ("no affinity", ids.drop("affinity"))):
+        rows, error = splits.checked_columns(df, ["compound_id", "protein_id", "affinity"])
+        one = rows.agg(F.count(F.lit(1)).alias("n_rows")).select(
+            F.lit(name).alias("input"), "n_rows", F.lit(error).cast("string").alias("error"))
+        out = one if out is None else out.unionByName(one)
+    return out

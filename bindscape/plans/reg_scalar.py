@@ -614,10 +614,58 @@ select l_orderkey, l_linenumber, {fit_score_sql('protein', 'compound')} as nativ
        {fit_score_sql('protein', 'compound')} as model_score
 from t_interactions""", "t_interactions"))
 def q_k1(spark, sf):
-    from bindscape.functions.affinity import linear_model
-    from bindscape.operators.scoring import score_batch
+    """The model gets the descriptors, made once per dimension row, so no text goes with the facts."""
+    from bindscape.operators.scoring import score_by_capability
     model = fitted_scorer(spark, sf)
-    d = V.interactions(spark, sf).select("l_orderkey", "l_linenumber", "protein", "compound")
-    native = d.withColumn("native_score", model("protein", "compound"))
-    both = score_batch(native, model_factory=linear_model(model), out="model_score")
-    return both.select("l_orderkey", "l_linenumber", "native_score", F.round("model_score", 4).alias("model_score"))
+    d = described_interactions(spark, sf).select("l_orderkey", "l_linenumber", "letters", "share")
+    native = d.withColumn("native_score", model.of(F.col("letters"), F.col("share")))
+    both = score_by_capability(native, _predictor(model, "batch"), ("letters", "share"))
+    return both.select("l_orderkey", "l_linenumber", "native_score", F.round("binding_affinity", 4).alias("model_score"))
+
+
+def _predictor(model, capability: str):
+    """A factory of predictors with one capability over the fitted scorer's descriptors; rows of 16 letters or more fail
+    in the single one."""
+    def of(letters, share):
+        return model.intercept + model.letters * letters + model.hydrophobic * share
+
+    class Batch:
+        def predict_batch(self, letters, share):
+            return [(of(a, b), 0.9) for a, b in zip(letters, share, strict=True)]
+
+    class Single:
+        def predict_single(self, letters, share):
+            if letters >= 16:
+                raise ValueError("too long")
+            return of(letters, share), 0.8
+
+    class Basic:
+        def predict_interaction(self, letters, share):
+            return of(letters, share)
+
+    class Nothing:
+        pass
+
+    return {"batch": Batch, "single": Single, "basic": Basic, "constant": Nothing}[capability]
+
+
+@register("K1_capabilities", with_views(f"""
+with {FIT_SQL},
+s as (select protein_id % 4 as kind, {_LETTERS_SQL.format(c='compound')} as letters, {fit_score_sql('protein', 'compound')} as score from t_interactions),
+k as (select case kind when 0 then 'batch' when 1 then case when letters >= 16 then 'fallback' else 'single' end when 2 then 'basic' else 'constant' end as capability,
+ case when kind = 3 or (kind = 1 and letters >= 16) then 0.75 else score end as affinity,
+ case kind when 0 then 0.9 when 1 then case when letters >= 16 then 0.85 else 0.8 end else 0.85 end as confidence from s)
+select capability, count(*) as n_rows, round(sum(affinity), 4) as sum_affinity, min(confidence) as confidence from k group by capability""",
+                                        "t_interactions"))
+def q_k1c(spark, sf):
+    """A quarter of the interactions for each kind of predictor: rows, affinities and confidence per capability used."""
+    from bindscape.operators.scoring import score_by_capability
+    model = fitted_scorer(spark, sf)
+    d = described_interactions(spark, sf).select(F.pmod("protein_id", F.lit(4)).alias("kind"), "letters", "share")
+    out = None
+    for k, capability in enumerate(("batch", "single", "basic", "constant")):
+        part = score_by_capability(d.where(F.col("kind") == k), _predictor(model, capability), ("letters", "share"), on_error="constant")
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("capability").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.round(F.sum(F.round("binding_affinity", 4)), 4).alias("sum_affinity"),
+        F.min("confidence").alias("confidence"))

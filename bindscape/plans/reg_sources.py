@@ -260,3 +260,18 @@ def q_a12(spark, sf):
     cols = ["true_positives", "false_positives", "true_negatives", "false_negatives"]
     return back.select(*cols, *[r6(c).alias(c) for c in ("accuracy", "precision", "recall", "f1_score",
                                                           "specificity", "npv")])
+
+
+@register("A3_read_large_id_dict", with_views("select cast(compound_id as varchar) as id, compound as data from t_compounds", "t_compounds"))
+def q_a3l(spark, sf):
+    """One JSON object in one file, read in splits."""
+    root = WR.scratch_dir(spark, "large-dict")
+    comp = V.compounds(spark, sf)
+    entry = F.concat(F.to_json(F.struct(F.col("compound_id").cast("string").alias("k"))), F.lit("|"), F.to_json(F.struct(F.col("compound").alias("v"))))
+    # {"k":"1"}|{"v":"CCO"} -> "1": "CCO"
+    text = F.regexp_replace(entry, r'^\{"k":(.*)\}\|\{"v":(.*)\}$', "$1: $2")
+    first = spark.range(1).select(F.lit('{"first": "entry"').alias("value"))
+    last = spark.range(1).select(F.lit("}").alias("value"))
+    first.union(comp.select(F.concat(F.lit(", "), text))).union(last).coalesce(1).write.mode("overwrite").text(os.path.join(root, "dict"))
+    d = RD.read_large_id_dict(spark, os.path.join(root, "dict"))
+    return d.where("id <> 'first'").select("id", "data")

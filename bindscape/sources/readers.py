@@ -208,3 +208,43 @@ def flatten_activities(df: DataFrame, rec: str = "rec") -> DataFrame:
         F.col("_a.pchembl_value").alias("pchembl_value"),
         F.coalesce(F.col("_a.activity_comment"), F.lit("")).alias("activity_comment"),
     ).filter(F.col("activity_id").isNotNull() | F.col("standard_type").isNotNull())
+
+
+def _depth(text: Column) -> Column:
+    """Opening less closing braces and brackets outside strings, of a piece without escapes that starts outside a string."""
+    bare = F.regexp_replace(text, r'"[^"]*(?:"|$)', "")
+    return F.length(F.regexp_replace(bare, r"[^{\[]", "")) - F.length(F.regexp_replace(bare, r"[^}\]]", ""))
+
+
+def read_large_id_dict(spark: SparkSession, path: str) -> DataFrame:
+    """A3 for one large file: ``(id, data)``, the entries of one JSON object, read by as many tasks as the
+    file has splits; the rows that ``from_json`` to a map of strings gives.
+
+    The text source cuts the file at commas, wherever its splits lie. A comma ends an entry if it stands outside
+    strings and at depth one: running counts of the quotes and of the braces before each piece, in the order of the file, tell
+    (range partitions with offsets, on narrow rows). Pieces of an entry are then put together and parsed by themselves, so a task holds
+    entries, not the file. An entry that is no valid JSON raises. A missing or empty object gives no rows."""
+    from bindscape.operators.ranking import prefix_sums
+    raw = spark.read.option("lineSep", ",").text(path).select(
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("o"), "value")
+    pieces = cut_lineage(raw)
+    # no piece ends within an escape, as no comma is escaped
+    value = F.regexp_replace("value", r"\\.", "")
+    quotes = F.length(F.regexp_replace(value, '[^"]', ""))
+    # the two ways in which a piece can start: outside a string, or inside one up to its first quote
+    inside = F.regexp_replace(value, r'^[^"]*(?:"|$)', "")
+    narrow = pieces.select("o", quotes.alias("q"), _depth(value).alias("out"), _depth(inside).alias("in"))
+    quoted = prefix_sums(narrow, "o", ["q"])
+    starts_in = (F.col("cum_q") - F.col("q")) % 2 == 1
+    deep = prefix_sums(quoted.select("o", "cum_q", F.when(starts_in, F.col("in")).otherwise(F.col("out")).alias("d")), "o", ["d"])
+    border = ((F.col("cum_q") % 2 == 0) & (F.col("cum_d") == 1)).cast("int")
+    ends = prefix_sums(deep.select("o", border.alias("e")), "o", ["e"])
+    numbered = pieces.join(ends.select("o", (F.col("cum_e") - F.col("e")).alias("entry")), "o")
+    texts = numbered.groupBy("entry").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o", "value"))), lambda x: x["value"]), ",").alias("t"))
+    last = texts.agg(F.max("entry")).first()[0]
+    t = F.col("t")
+    t = F.when(F.col("entry") == 0, F.regexp_replace(t, r"^\s*\{", "")).otherwise(t)
+    t = F.when(F.col("entry") == F.lit(last), F.regexp_replace(t, r"\}\s*$", "")).otherwise(t)
+    parsed = F.from_json(F.concat(F.lit("{"), t, F.lit("}")), T.MapType(T.StringType(), T.StringType()))
+    parsed = F.when(parsed.isNotNull(), parsed).otherwise(F.raise_error(F.concat(F.lit("not an entry of a JSON object: "), F.substring(t, 1, 80))))
+    return texts.select(F.explode(parsed).alias("id", "data"))

@@ -142,7 +142,7 @@ def rolling_latency_stream(stream: DataFrame, root: str, delay: str = "1 hour",
 
 
 def stream_score(requests: DataFrame, ts: str, protein: str = "protein", compound: str = "compound",
-                 delay: str = "7 days", scorer=None) -> DataFrame:
+                 delay: str = "7 days", *, scorer) -> DataFrame:
     """Validate -> pair key -> drop keys already seen within the watermark
     delay -> score the new pairs. Invalid pairs are dropped here (they carry
     the B6 error text in the batch form)."""
@@ -152,5 +152,4 @@ def stream_score(requests: DataFrame, ts: str, protein: str = "protein", compoun
         keyed = keyed.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["pair_key"])
     else:
         keyed = keyed.dropDuplicates(["pair_key"])
-    score = scorer if scorer is not None else K.hash_score
-    return keyed.withColumn("binding_affinity", score(F.col(protein), F.col(compound)))
+    return keyed.withColumn("binding_affinity", scorer(F.col(protein), F.col(compound)))
