@@ -14,7 +14,7 @@ def test_large_dictionary_in_many_splits(spark, tmp_path):
     data = {f"id{i}": v for i, v in enumerate([
         "plain", "a,b", 'quote " comma , brace } {', "back\\slash", "ends with \\", "\\\\,\\\"", "", "日本, é", None, 5, 1.5, True,
         {"x": [1, {"y": "a,b}"}], "z": "{"}, [1, 2, [3, ","]], "tab\tline\n,", "\\", '"', ',"', '\\"'] * 40)}
-    data |= {'key "with, quotes\\': "v", "": "empty key", "{": "}", "long": "x\\" y" * 60_000}
+    data |= {'key "with, quotes\\': "v", "": "empty key", "{": "}", "long": 'x" y\\' * 60_000}
     path = tmp_path / "one.json"
     path.write_text("  " + json.dumps(data, ensure_ascii=False, indent=1) + "\n ")
     want = dict(spark.createDataFrame([(path.read_text().strip(),)], "t string").select(
