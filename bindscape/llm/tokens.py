@@ -70,7 +70,12 @@ class PrefixCounter:
         self.tokens = {i: t for t, i in self.vocab.items()}
         if max(self.tokens) >= START:
             raise ValueError("a vocabulary of at most 65,536 tokens is needed")
-        self.longest = max(map(len, self.vocab))
+        #: lengths of the tokens that end in two letters, the longest first
+        self.lengths: dict[str, list[int]] = {}
+        for t in self.vocab:
+            if len(t) > 1:
+                self.lengths.setdefault(t[-2:], []).append(len(t))
+        self.lengths = {e: [*sorted(set(n), reverse=True), 1] for e, n in self.lengths.items()}
         special = [a["content"] for a in spec.get("added_tokens", [])]
         if any(a.get(k) for a in spec.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word")):
             raise ValueError("added tokens that strip their surroundings aren't supported")
@@ -122,7 +127,7 @@ class PrefixCounter:
         vocab, follows, n = self.vocab.get, self.follows.get, len(letters)
         count, last = [0], [START]
         back, old = self.back.get, self.old_back.get
-        for k in range(len(text) - 1, 0, -1):
+        for k in range(min(len(text) - 1, LONG), 0, -1):          # longer ones are never kept
             start = text[:k]
             known = back(start) or old(start)
             if known is not None:
@@ -130,9 +135,11 @@ class PrefixCounter:
                 last.extend(known[:m])
                 count.extend(known[m:])
                 break
+        lengths, one = self.lengths.get, [1]
         for i in range(len(count), n + 1):
-            for j in range(max(0, i - self.longest), i):
-                token = vocab(letters[j:i])
+            for size in lengths(letters[i - 2:i], one) if i > 1 else one:
+                j = i - size
+                token = vocab(letters[j:i]) if j >= 0 else None
                 if token is not None:
                     ok = follows(last[j] << 17 | token)
                     if ok or (ok is None and self.may_follow(last[j], token)):

@@ -67,3 +67,15 @@ def test_documents(spark, encode):
     docs = spark.read.parquet(f"{SMOKE}/documents.parquet")
     want = {r["doc_id"]: encode(r["text"]) for r in docs.collect()}
     assert {r["doc_id"]: r["n_tokens"] for r in token_summary(docs).collect()} == want
+
+
+@pytest.mark.parametrize("text", ["a" * 1_000_000, " " * 1_000_000, "\u4e2d\u6587\u5b57" * 120_000, "ab1" * 3 + "Zq" * 500_000, "\n" * 300_000 + "x"],
+                         ids=["letter", "blanks", "chinese", "base64", "feeds"])
+def test_a_long_run_costs_as_much_as_its_length(text, encode):
+    import time
+    began = time.process_time()
+    counts = counter().prefixes(text)
+    assert time.process_time() - began < 10
+    for n in (0, 1, 59, 60, 61, 62, 119, 1000, 9_999):
+        assert counts[n] == encode(text[:n])
+    assert counts[-1] == encode(text)
