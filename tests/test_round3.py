@@ -21,7 +21,7 @@ def test_large_dictionary_in_many_splits(spark, tmp_path):
         F.explode(F.from_json("t", T.MapType(T.StringType(), T.StringType())))).collect())
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     try:
-        for size in ("997b", "64b", "1g"):
+        for size in ("997b", "7kb", "1g"):
             spark.conf.set("spark.sql.files.maxPartitionBytes", size)
             got = RD.read_large_id_dict(spark, str(path)).collect()
             assert len(got) == len(data) and {r.id: r.data for r in got} == want
