@@ -99,23 +99,22 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id",
 
 
 def number_slots(placed: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Add ``slot``: 0, 1, 2, ... without gaps in each ``shard``. Equal rows are counted
-    first and spread out again last, so no id or group fills one task."""
+    """Add ``slot``: 0, 1, 2, ... without gaps in each ``shard``, in an order given by a hash of the row and its
+    copy, so that copies of a row stand apart. Equal rows are counted first and spread out again, so no id or
+    group fills one task."""
     keys = ["shard", "id", "size", "crc", "grp"]
     counted = cut_lineage(placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
-    buckets = max(1, -(-counted.count() // rows_per_bucket))
-    tagged = counted.withColumn("bucket", F.pmod(F.xxhash64("id", "grp"), F.lit(buckets)))
-    by_bucket = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (tagged.groupBy("shard", "bucket").agg(F.sum("n").alias("m"))
-               .select("shard", "bucket", F.coalesce(F.sum("m").over(by_bucket), F.lit(0)).alias("before")))
-    within = Window.partitionBy("shard", "bucket").orderBy("id", "grp", "size", "crc").rowsBetween(
-        Window.unboundedPreceding, -1)
-    first = (tagged.withColumn("ahead", F.coalesce(F.sum("n").over(within), F.lit(0)))
-             .join(offsets, ["shard", "bucket"]).withColumn("start", F.col("before") + F.col("ahead")))
+    buckets = max(1, -(-(counted.agg(F.sum("n")).first()[0] or 0) // rows_per_bucket))
     chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(CHUNK).cast("long"))).alias("c")
     one = F.explode(F.sequence("c", F.least(F.col("c") + CHUNK, F.col("n")) - 1)).alias("k")
-    return (first.select(*keys, "start", "n", chunk).select(*keys, "start", one)
-            .withColumn("slot", F.col("start") + F.col("k")).drop("start", "k"))
+    spread = counted.select(*keys, "n", chunk).select(*keys, one)
+    tagged = spread.withColumn("place", F.xxhash64("id", "grp", "k")).withColumn("bucket", F.pmod("place", F.lit(buckets)))
+    by_bucket = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (tagged.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("m"))
+               .select("shard", "bucket", F.coalesce(F.sum("m").over(by_bucket), F.lit(0)).alias("before")))
+    within = Window.partitionBy("shard", "bucket").orderBy("place", "id", "grp", "k")
+    return (tagged.withColumn("ahead", F.row_number().over(within) - 1).join(offsets, ["shard", "bucket"])
+            .withColumn("slot", (F.col("before") + F.col("ahead")).cast("long")).select(*keys, "slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text",

@@ -84,3 +84,11 @@ def test_repeated_rows_and_small_buckets(docs_of):
     for r in rows:
         slots[r["shard"]].append(r["slot"])
     assert len(rows) == 800 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_copies_stand_apart(docs_of):
+    """100 documents of three copies each: few of the 200 copies are neighbours of another one."""
+    from bindscape.llm.sharding import shard_documents
+    rows = shard_documents(docs_of([(i // 3, f"text {i // 3} " * 9) for i in range(300)]), shards=2).collect()
+    order = [r["doc_id"] for r in sorted(rows, key=lambda r: (r["shard"], r["slot"]))]
+    assert sum(a == b for a, b in zip(order, order[1:], strict=False)) < 15
