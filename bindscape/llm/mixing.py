@@ -101,4 +101,7 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, id_col: str =
              .select(*cols, F.explode(F.sequence("__c", F.least(F.col("__c") + CHUNK, F.col("__n")) - 1)).alias("__copy")))
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")),
                             F.col("__copy").cast("string")))
-    return drawn.withColumn("__order", key).orderBy("__order")
+    # the hash is uniform: equal ranges of its first digits need no sample, so every number is drawn once
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.floor(F.conv(F.substring("__order", 1, 8), 16, 10).cast("long") * parts / F.lit(1 << 32)).cast("int")
+    return drawn.withColumn("__order", key).repartitionById(parts, part).sortWithinPartitions("__order")
