@@ -156,7 +156,7 @@ def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: st
     A null text is empty. An empty text has the empty fingerprint, alike only to an empty one. A
     single row is its own next. Repeated rows follow each other. Other columns are ignored.
 
-    Rows are range-partitioned once by id. A task compares each row with the next
+    Rows are range-partitioned once by id and the text's beginning. A task compares each row with the next
     one it reads; its first and last row are kept with their texts (two rows per partition), and
     the last row of each partition is compared with the first of the next one that has rows."""
     ids = F.col(id_col).cast("long")
@@ -194,8 +194,9 @@ def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     schema = "kind int, part int, id long, text string, " + RESULT
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # order of id only across partitions: rows with equal ids stay in one
-    seen = cut_lineage(rows.repartitionByRange(parts, order[0]).sortWithinPartitions(*order).mapInArrow(walk, schema))
+    # ranges of (id, beginning of the text) follow the order too, and part rows of one id
+    begins = F.substring("text", 1, 32).asc()
+    seen = cut_lineage(rows.repartitionByRange(parts, order[0], begins).sortWithinPartitions(*order).mapInArrow(walk, schema))
 
     # two rows per partition: the numbers of the partitions that have rows, in order
     used = [r[0] for r in seen.where("kind = 1").select("part").orderBy("part").collect()]
