@@ -31,6 +31,7 @@ PIECE_MASK = (1 << PIECE_BITS) - 1
 #: (shift of the piece in the fingerprint, differing bits allowed in it)
 PIECES = ((0, 2), (31, 1))
 BLOCK = 1 << 16
+SALTS = 16
 
 
 def fingerprint_bits(text: str | None, shingle: int = SHINGLE) -> int:
@@ -146,11 +147,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = cut_lineage(docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col), shingle).alias("fp")))
     groups = cut_lineage(fps.groupBy("fp").agg(F.min("id").alias("first")))
     roots = connected_components(spanning_links(close_pairs(groups.select("fp"), max_bits), "a", "b"))
-    linked = groups.join(roots, groups["fp"] == roots["node"], "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root"))
-    linked = cut_lineage(linked)
-    first = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = linked.join(first, "root").select("fp", "component_id")
+    # most fingerprints have no partner; of a large component, members and its one row meet in SALTS tasks
+    members = cut_lineage(roots.join(groups, roots["node"] == groups["fp"]).select("fp", "root", "first"))
+    low = members.groupBy("root").agg(F.min("first").alias("low"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    named = members.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(
+        low.select("root", "low", every), ["root", "salt"]).select(F.col("fp").alias("member"), "low")
+    classes = groups.join(named, groups["fp"] == named["member"], "left").select(
+        "fp", F.when(F.col("member").isNull(), F.col("first")).otherwise(F.col("low")).alias("component_id"))
     return fps.join(classes, "fp").select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 

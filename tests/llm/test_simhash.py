@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 import numpy as np
 import xxhash
@@ -102,3 +103,13 @@ def test_odd_rows(docs_of, odd_rows):
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [1, 4, 6, 7, 8]
     assert near_duplicates(docs_of([])).count() == 0 and keep_one(docs_of([])).count() == 0
+
+
+def test_one_large_component(docs_of):
+    """Half of the rows in one component of many fingerprints, a third in one fingerprint."""
+    base = [f"w{k}" for k in range(400)]
+    rows = [(i, " ".join(base[:200 + i % 3] + [f"x{i % 60}"] + base[200 + i % 3:])) for i in range(150)]
+    rows += [(i, "") for i in range(150, 250)] + [(i, f"other text number {i} " * (i % 7 + 1)) for i in range(250, 300)]
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs_of(rows)).collect()}
+    want = plain_components({i: plain_fingerprint(t) for i, t in rows})
+    assert got == want and max(Counter(got.values()).values()) >= 100
