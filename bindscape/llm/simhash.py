@@ -32,6 +32,7 @@ PIECE_MASK = (1 << PIECE_BITS) - 1
 PIECES = ((0, 2), (31, 1))
 BLOCK = 1 << 16
 SALTS = 16
+ROW_SALTS = 8
 
 
 def fingerprint_bits(text: str | None, shingle: int = SHINGLE) -> int:
@@ -155,7 +156,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         low.select("root", "low", every), ["root", "salt"]).select(F.col("fp").alias("member"), "low")
     classes = groups.join(named, groups["fp"] == named["member"], "left").select(
         "fp", F.when(F.col("member").isNull(), F.col("first")).otherwise(F.col("low")).alias("component_id"))
-    return fps.join(classes, "fp").select(
+    # rows of one fingerprint (all empty texts, say) meet its class in ROW_SALTS tasks
+    each = F.explode(F.sequence(F.lit(0), F.lit(ROW_SALTS - 1))).alias("salt")
+    rows = fps.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(ROW_SALTS)).cast("int"))
+    return rows.join(classes.select("*", each), ["fp", "salt"]).select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
