@@ -64,6 +64,17 @@ def _screen_inputs(spark, sf):
     return prots, comps
 
 
+def _screen_shares(spark, sf):
+    """Distinct valid proteins by md5, as their hydrophobic share alone, and the distinct valid compounds: one
+    reading of the texts, none of which is moved."""
+    from bindscape.functions import protein as P
+    from bindscape.functions.affinity import hydrophobic_share
+    valid = V.proteins(spark, sf).filter(P.is_valid_protein_strict("protein"))
+    prots = valid.select(F.md5("protein").alias("h"), hydrophobic_share("protein").alias("_share")).groupBy("h").agg(
+        F.min("_share").alias("_share"))
+    return prots, V.compounds(spark, sf).filter(S.is_valid_smiles("compound")).select("compound").distinct()
+
+
 SCREEN_SQL = f"""
 with {FIT_SQL},
 p as (select protein, min(protein_id) as protein_idx from t_proteins
@@ -112,7 +123,7 @@ union all select 'strong_pairs', cast(sum(case when binding_affinity > 7 then 1
                                       "t_proteins", "t_compounds", "t_interactions"))
 def q_p3(spark, sf):
     from bindscape.plans.workflows import run_screen
-    p, c = _screen_inputs(spark, sf)
+    p, c = _screen_shares(spark, sf)
     return run_screen(p, c, scorer=fitted_scorer(spark, sf)).select("metric", r6("value").alias("value"))
 
 
@@ -123,7 +134,7 @@ select count(*) as total_processed, round(coalesce(avg(binding_affinity), 0), 6)
 from s""", "t_proteins", "t_compounds", "t_interactions"))
 def q_d6(spark, sf):
     from bindscape.plans.workflows import counted_screening_summary, screened_scores
-    p, c = _screen_inputs(spark, sf)
+    p, c = _screen_shares(spark, sf)
     s = counted_screening_summary(screened_scores(p, c, fitted_scorer(spark, sf)))
     return s.select("total_processed", r6("avg_binding_affinity").alias("avg_binding_affinity"),
                     "high_affinity_count", r6("max_binding_affinity").alias("max_binding_affinity"),

@@ -262,13 +262,15 @@ def screened_scores(proteins: DataFrame, compounds: DataFrame, scorer) -> DataFr
 
     The fitted scorer knows a compound by the number of its letters and a protein by its hydrophobic share. Compounds are
     counted per number of letters (as many rows as the longest SMILES has letters, at most), proteins per share; each
-    share meets the small table as one array, and the score expression is the screen's own, rounding included."""
+    share meets the small table as one array, and the score expression is the screen's own, rounding included.
+    ``proteins`` may bring the share as ``_share`` in place of the text."""
     from bindscape.functions.affinity import LinearAffinity, hydrophobic_share, letter_count
     if not isinstance(scorer, LinearAffinity):
         raise TypeError("a summary without pairs needs a scorer of descriptors")
     letters = compounds.groupBy(letter_count("compound").alias("letters")).agg(F.count(F.lit(1)).alias("m"))
     every = letters.agg(F.collect_list(F.struct("letters", "m")).alias("h"))
-    shares = cut_lineage(proteins.groupBy(hydrophobic_share("protein").alias("share")).agg(F.count(F.lit(1)).alias("k")))
+    share = F.col("_share") if "_share" in proteins.columns else hydrophobic_share("protein")
+    shares = cut_lineage(proteins.groupBy(share.alias("share")).agg(F.count(F.lit(1)).alias("k")))
     met = shares.withColumn("h", every.scalar()).select("share", "k", F.explode("h").alias("c"))
     return met.select(scorer.of(F.col("c.letters"), F.col("share")).alias("binding_affinity"), (F.col("k") * F.col("c.m")).alias("n"))
 
