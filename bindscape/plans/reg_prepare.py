@@ -225,10 +225,10 @@ def q_b12(spark, sf):
 with t as (select compound, protein, affinity, source_dataset, {PKD_SQL} as pKd,
                   cast({PKD_SQL} >= 6.0 as int) as binding_label from t_interactions),
 dp as (select distinct protein from t),
-pv as (select coalesce({VALID_PROT_SQL.format(c='protein')}, false) as v,
+pv as (select protein, coalesce({VALID_PROT_SQL.format(c='protein')}, false) as v,
               length(upper(replace(replace(protein, ' ', ''), chr(10), ''))) as n from dp),
 dc as (select distinct compound from t),
-cv as (select coalesce({valid_smiles_sql('compound')}, false) as v from dc),
+cv as (select compound, coalesce({valid_smiles_sql('compound')}, false) as v from dc),
 g as (select compound, protein, affinity, source_dataset, pKd, binding_label, count(*) as c from t group by all),
 cl as (select distinct compound, protein, affinity, source_dataset, pKd, binding_label from t
        where protein = upper(replace(replace(protein, ' ', ''), chr(10), ''))
@@ -243,8 +243,8 @@ union all select 'protein', 'length_median', round(quantile_cont(case when v the
 union all select 'drug', 'total_drugs', cast(count(*) as double) from cv
 union all select 'drug', 'valid_drugs', cast(sum(cast(v as int)) as double) from cv
 union all select 'interaction', 'total_interactions', cast(count(*) as double) from t
-union all select 'interaction', 'unique_proteins', cast(count(*) as double) from dp
-union all select 'interaction', 'unique_compounds', cast(count(*) as double) from dc
+union all select 'interaction', 'unique_proteins', cast(count(protein) as double) from dp
+union all select 'interaction', 'unique_compounds', cast(count(compound) as double) from dc
 union all select 'interaction', 'positive_interactions', cast(sum(binding_label) as double) from t
 union all select 'interaction', 'binding_ratio', round(avg(binding_label), 6) from t
 union all select 'interaction', 'min_pkd', round(min(pKd), 6) from t
@@ -257,9 +257,9 @@ union all select 'quality', 'missing_affinity', cast(sum(case when affinity is n
 union all select 'quality', 'missing_source_dataset', cast(sum(case when source_dataset is null then c else 0 end) as double) from g
 union all select 'quality', 'missing_pKd', cast(sum(case when pKd is null then c else 0 end) as double) from g
 union all select 'quality', 'missing_binding_label', cast(sum(case when binding_label is null then c else 0 end) as double) from g
-union all select 'quality', 'protein_quality', round(avg(cast(v as int)) * 100.0, 6) from pv
-union all select 'quality', 'drug_quality', round(avg(cast(v as int)) * 100.0, 6) from cv
-union all select 'quality', 'overall_quality_score', round(((select avg(cast(v as int)) from pv) + (select avg(cast(v as int)) from cv)) * 50.0, 6)
+union all select 'quality', 'protein_quality', round(avg(cast(v as int)) * 100.0, 6) from pv where protein is not null
+union all select 'quality', 'drug_quality', round(avg(cast(v as int)) * 100.0, 6) from cv where compound is not null
+union all select 'quality', 'overall_quality_score', round(((select avg(cast(v as int)) from pv where protein is not null) + (select avg(cast(v as int)) from cv where compound is not null)) * 50.0, 6)
 union all select 'cleaned', 'rows', cast(count(*) as double) from cl
 union all select 'cleaned', 'protein_length', cast(sum(length(protein)) as double) from cl
 union all select 'cleaned', 'compound_length', cast(sum(length(compound)) as double) from cl""", "t_interactions"))
