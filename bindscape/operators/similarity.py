@@ -87,16 +87,16 @@ def best_k(found: DataFrame, k: int) -> DataFrame:
 
 
 def knn_join(queries: DataFrame, train: DataFrame, k: int = 5, q_id: str = "q_id", t_id: str = "t_id",
-             vec: str = "embedding", query_rows: int = QUERY_ROWS, train_rows: int = TRAIN_ROWS) -> DataFrame:
+             vec: str = "embedding", block_rows: int = QUERY_ROWS, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """The ``k`` nearest train vectors of every query by cosine distance
     (ties by train id); self is a legal neighbour. Output
     ``(q_id, t_id, distance, rank)``. Rows with a null id or vector are left
     out; an empty side gives an empty result.
 
-    Both sides are dealt by a hash of the id into blocks of about ``query_rows`` and ``train_rows``; each pair of a
+    Both sides are dealt by a hash of the id into blocks of about ``block_rows`` and ``train_rows``; each pair of a
     query block and a train block is one group of a cogrouped job. Nothing goes through the driver but the two counts."""
     ask, tr = cut_lineage(_vectors(queries, q_id, vec, "q_id")), cut_lineage(_vectors(train, t_id, vec, "t_id"))
-    n_ask, n_train = -(-max(ask.count(), 1) // query_rows), -(-max(tr.count(), 1) // train_rows)
+    n_ask, n_train = -(-max(ask.count(), 1) // block_rows), -(-max(tr.count(), 1) // train_rows)
     # as many groups as there are tasks, if the tables are small
     n_train = max(n_train, min(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")) // n_ask, 64), 1)
 

@@ -26,7 +26,7 @@ def test_exact_join_in_blocks(spark):
     q = t.withColumnRenamed("t_id", "q_id")
     d = 1 - np.divide(x @ x.T, (n := np.linalg.norm(x, axis=1))[:, None] * n, out=np.zeros((300, 300)), where=np.outer(n, n) > 0)
     want = [(i, k + 1, int(j), round(d[i, j], 9)) for i in range(300) for k, j in enumerate(np.lexsort((np.arange(300), np.round(d[i], 12)))[:5])]
-    got = rows(similarity.knn_join(q, t, 5, query_rows=64, train_rows=50))
+    got = rows(similarity.knn_join(q, t, 5, block_rows=64, train_rows=50))
     assert [(a, b, e) for a, b, _, e in got] == [(a, b, abs(e)) if e == 0 else (a, b, e) for a, b, _, e in want]
     assert sum(g[2] == w[2] for g, w in zip(got, want, strict=True)) > 1490       # equal distances may differ in the last digit
     assert rows(similarity.knn_join(q, t, 5)) == got
