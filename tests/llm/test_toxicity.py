@@ -55,3 +55,38 @@ def test_odd_rows(spark, docs_of, odd_rows):
     nulls = spark.createDataFrame([(4, None, None), (9, None, 1), (9, None, 0)], "doc_id long, quality int, toxic int")
     assert score(docs, fit(docs, nulls)).count() == len(rows)
     assert score(docs_of([]), model).count() == 0 and reject_toxic(docs_of([]), model).count() == 0
+
+
+def plain_features(text, lexicon):
+    """Every term at every place of the folded text, exception phrases by the same plain scan."""
+    import math
+
+    from bindscape.llm.toxicity import EXCEPTIONS
+    words = fold(text or "").split()
+    s = f" {' '.join(words)} "
+
+    def places(p):
+        return [i for i in range(len(s) - len(p) + 1) if s[i:i + len(p)] == p]
+    spans = [(i, i + len(p)) for e in EXCEPTIONS for p in [f" {' '.join(fold(e).split())} "] for i in places(p)]
+    total = 0.0
+    for term, w in lexicon:
+        n = sum(not any(a <= i and i + len(term) <= b for a, b in spans) for i in places(term))
+        total += w * (1 + math.log(n)) if n else 0.0
+    return math.log1p(total), math.log1p(1000 * total / max(1, len(words)))
+
+
+def test_features_against_a_plain_scan():
+    """Random texts of overlapping terms, beginnings of words, exception phrases and disguised letters."""
+    import random
+
+    from bindscape.llm.toxicity import EXCEPTIONS
+    rng = random.Random(3)
+    lexicon = (*LEX, (" lose", 1.5), (" ab", 0.5), (" abab ", 1.0), (" pathetic id", 0.7))
+    parts = [*SEED, *EXCEPTIONS, "abab", "ab", "abc", "1d10t", "lоser", "fine", "words", "-", "\n", "loser's", "SCUM", "pathetic idiot"]
+    hits = 0
+    for _ in range(600):
+        text = rng.choice(["", " "]) + rng.choice([" ", "  ", ", "]).join(rng.choice(parts) for _ in range(rng.randrange(14)))
+        got, want = features(text, lexicon), plain_features(text, lexicon)
+        assert all(abs(a - b) < 1e-9 for a, b in zip(got, want, strict=True)), text
+        hits += want[0] > 0
+    assert 200 < hits < 600
