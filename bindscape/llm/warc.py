@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bindscape.llm.files import file_system
 from bindscape.session import cut_lineage, shared_dir
 
 MIN_REVISIT_BYTES = 100
@@ -87,11 +88,6 @@ def decode_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[:size]
 
 
-def _file_system(uri: str):
-    from pyarrow import fs
-    return fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "", 1))
-
-
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url",
                    payload_col: str = "html", min_bytes: int = MIN_REVISIT_BYTES,
                    date: str = "2024-01-01T00:00:00Z", level: int = 5) -> DataFrame:
@@ -101,7 +97,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     are records like others; an empty table writes none. Other columns are ignored."""
 
     def write(batches):
-        fs, root = _file_system(folder)
+        fs, root = file_system(folder)
         name, out, at = f"{root.rstrip('/')}/{uuid.uuid4().hex}.warc.gz", None, 0
         try:
             for batch in batches:
@@ -139,7 +135,7 @@ def read_records(index: DataFrame, folder: str, max_gap: int = MAX_GAP, max_read
     out_schema = "rec_id long, url string, record_type string, digest string, refers_to_id string, payload binary"
 
     def read(batches):
-        fs, _ = _file_system(folder)
+        fs, _ = file_system(folder)
         name, handle = None, None
         try:
             for batch in batches:

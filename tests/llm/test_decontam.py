@@ -1,6 +1,11 @@
 import random
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from bindscape.llm import decontam
 from bindscape.llm.decontam import Matcher, budget, drop_leaks, find_leaks, letter_masks, myers_best, normalise, pieces
+from bindscape.session import shared_dir
 from tests.conftest import SMOKE
 
 
@@ -74,3 +79,41 @@ def test_odd_rows_and_blocks(spark, docs_of, odd_rows):
     assert kept.columns == docs.columns and kept.count() == len(rows) - 5
     assert drop_leaks(docs_of([]), bench).count() == 0
     assert drop_leaks(docs, bench.limit(0)).count() == len(rows)
+
+
+def test_five_blocks(spark, docs_of):
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    items = [(i, word(rng.randint(20, 60))) for i in range(40)] + [(7, word(30)), (8, "")]
+    texts = [word(30) + " ".join(t for _, t in rng.sample(items, rng.randint(0, 3))) + word(30) for _ in range(60)]
+    rows = [(i, texts[0] if i % 2 else texts[i]) for i in range(60)] + [(None, texts[0]), (3, None), (4, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = docs_of(rows, extra=True).withColumn("leaks", F.lit("old")).withColumn("kinds", F.create_map(F.lit(1), F.lit(2)))
+    chars = sum(len(t) for _, t in items) // 5 + 1
+    folder = f"{shared_dir(spark)}/blocks-{rng.random()}"
+    blocks = decontam.write_blocks(bench, folder, block_chars=chars)
+    assert len(blocks) == 5
+    whole = Matcher(tuple(sorted((i, normalise(t)) for i, t in items if t)), 0.1)
+    for limit in (chars, 1 << 20):
+        got = find_leaks(docs, bench, block_chars=limit).collect()
+        assert sorted(((r["doc_id"] or 0, r["text"] or "", [tuple(x) for x in r["leaks"]]) for r in got)) == sorted(
+            (i or 0, t or "", whole.matches(t)) for i, t in rows)
+    kept = drop_leaks(docs, bench, block_chars=chars)
+    assert kept.columns == docs.columns and {r["leaks"] for r in kept.collect()} == {"old"}
+    assert kept.count() == sum(not whole.matches(t) for _, t in rows)
+
+
+def test_a_task_builds_its_automaton_once_and_plans_hold_no_item(spark, monkeypatch):
+    bench = spark.createDataFrame([(i, f"benchmark passage of number {i * 7919}") for i in range(20)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"x benchmark passage of number {i * 7919} y") for i in range(30)], "doc_id long, text string")
+    folder = f"{shared_dir(spark)}/blocks-{random.random()}"
+    blocks = decontam.write_blocks(bench, folder, block_chars=150)
+    built = []
+    monkeypatch.setattr(decontam, "Matcher", lambda items, rate: built.append(len(items)) or Matcher(items, rate))
+    batch = pa.record_batch({"h": [str(i) for i in range(30)],
+                             "text": [f"x benchmark passage of number {i * 7919} y" for i in range(30)]})
+    hits = sum(b.num_rows for k in blocks for b in decontam.scan_block(f"{folder}/blocks", k, 0.1)([batch] * 4))
+    assert len(blocks) >= 4 and len(built) == len(blocks) and sum(built) == 20 and hits >= 4 * 20
+    for limit in (150, 1 << 20):
+        plan = find_leaks(docs, bench, block_chars=limit)._jdf.queryExecution().toString()
+        assert "number 7919" not in plan
