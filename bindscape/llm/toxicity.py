@@ -21,7 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bound of the labelled rows that a fit reads (chosen by a hash of the id).
+from bindscape.session import cut_lineage
+
+#: Bound of the labelled ids, and so of the texts, that a fit reads (chosen by a hash of the id).
 MAX_TRAIN = 20_000
 THRESHOLD = 0.7
 MIN_DOCS = 3
@@ -176,9 +178,10 @@ def held_out(id_col: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "toxic", max_train: int = MAX_TRAIN) -> dict:
-    """Model ``{lexicon, beta, cut}`` from at most about ``max_train`` labelled rows of the training fold.
-    Null labels are skipped; several labels of one id count as the largest. Without
-    rows of both classes the seed words are used with a fixed curve."""
+    """Model ``{lexicon, beta, cut}`` from at most about ``max_train`` labelled texts of the training fold,
+    one per id. Null labels are skipped; several labels of one id count as the largest; of several
+    texts of one id that with the smallest hash is read, so that an id that holds many rows weighs as
+    much as any other. Without texts of both classes the seed words are used with a fixed curve."""
     known = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
              .groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("__y")))
     n = known.count()
@@ -186,8 +189,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     cut = int(share * (1 << 32))
     picked = known.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 32)) < cut)
     # at most about max_train rows of 12 bytes: a broadcast of proven size
-    rows = (docs.join(F.broadcast(picked), docs[id_col] == F.col("__id"))
-            .select(F.col(text_col).alias("text"), F.col("__y").alias("y")))
+    mine = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    one = F.min(F.struct(F.xxhash64("__text").alias("h"), F.col("__text").alias("text"))).alias("one")
+    # one text per id, written once: the counts and the curve read the same rows
+    rows = cut_lineage(mine.join(F.broadcast(picked), "__id").groupBy("__id", "__y").agg(one)
+                       .select(F.col("one.text").alias("text"), F.col("__y").alias("y")))
 
     def counted(wanted):
         def count(batches):
@@ -217,8 +223,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return {"lexicon": tuple((f" {fold(w).strip()} ", PRIOR_WEIGHT) for w in SEED),
                 "beta": (-4.0, 2.0, 0.5), "cut": 0.5}
     lexicon = tuple(sorted(_lexicon(toxic, clean, n_toxic, n_clean).items()))
-    got = np.array([(r[0], r[1], r[2]) for r in rows.select(_features(F.col("text"), lexicon).alias("f"), "y")
-                    .select("f.total", "f.rate", "y").collect()])
+    # sorted, so that sums don't depend on the order in which tasks end
+    got = np.array(sorted((r[0], r[1], r[2]) for r in rows.select(_features(F.col("text"), lexicon).alias("f"), "y")
+                          .select("f.total", "f.rate", "y").collect()))
     beta = _logistic(got[:, :2], got[:, 2])
     p = 1 / (1 + np.exp(-np.clip(beta[0] + got[:, :2] @ beta[1:], -30, 30)))
     return {"lexicon": lexicon, "beta": tuple(float(b) for b in beta), "cut": _cut(p, got[:, 2])}

@@ -90,3 +90,39 @@ def test_features_against_a_plain_scan():
         assert all(abs(a - b) < 1e-9 for a, b in zip(got, want, strict=True)), text
         hits += want[0] > 0
     assert 200 < hits < 600
+
+
+def plain_fit(rows, labels):
+    """Lexicon by plain counts over one text per labelled id of the training fold."""
+    from collections import Counter
+
+    from bindscape.llm.toxicity import MIN_DOCS, _lexicon, terms_of
+    y = {}
+    for i, v in labels:
+        if i is not None and v is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            y[i] = max(v, y.get(i, 0))
+    counts, n = {0: Counter(), 1: Counter()}, Counter()
+    for i, text in {i: t for i, t in rows if i in y}.items():
+        counts[y[i]].update(terms_of(text or ""))
+        n[y[i]] += 1
+    toxic = {t: c for t, c in counts[1].items() if c >= MIN_DOCS}
+    return tuple(sorted(_lexicon(toxic, {t: c for t, c in counts[0].items() if t in toxic}, n[1], n[0]).items()))
+
+
+def test_fit_against_plain_counts_and_a_hot_id(spark, docs_of):
+    """The lexicon equals plain counts; one labelled id in half of the rows weighs as one text."""
+    import random
+    rng = random.Random(5)
+    bad, good = ["vrexil", "skurn", "dolt ard", "idiot"], ["table", "river", "garden", "winter", "paper", "stone"]
+    labels = [(i, int(i % 4 == 0)) for i in range(400)] + [(401, None), (None, 1), (8, 0), (12, None)]
+    rows = [(i, " ".join(rng.choices(good, k=20) + (rng.choices(bad, k=3) if i % 4 == 0 else []))) for i in range(400)]
+    rows += [(402, "no label here"), (None, "null id idiot")]
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = fit(docs_of(rows, extra=True), table)
+    assert model["lexicon"] == plain_fit(rows, labels)
+    assert {t.strip() for t, _ in model["lexicon"]} & {fold("vrexil").strip(), fold("vrex").strip()}
+    hot = next(i for i in range(0, 400, 4) if zlib.crc32(str(i).encode()) % 3 != 1)
+    again = fit(docs_of(rows + [(hot, rows[hot][1])] * 400, extra=True), table)
+    assert again == model
+    many = [(hot, f"{rows[hot][1]} copy {k}") for k in range(400)]
+    assert len(fit(docs_of(rows + many), table)["lexicon"]) <= len(model["lexicon"]) + 2
