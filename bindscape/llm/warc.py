@@ -27,6 +27,10 @@ from bindscape.session import cut_lineage, shared_dir
 MIN_REVISIT_BYTES = 100
 MAX_GAP = 1 << 16
 MAX_READ = 8 << 20
+#: Archive bytes that one reading task is given.
+TASK_BYTES = 32 << 20
+#: Tasks that the records of one digest, or the revisits of one response, meet their response in.
+SPREAD = 16
 #: A duplicate table up to this many bytes is broadcast, a larger one is joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
 
@@ -42,16 +46,28 @@ def plan_revisits(pages: DataFrame, id_col: str, url_col: str, payload_col: str,
     rows = pages.select(F.col(id_col).alias("rec_id"), F.col(url_col).alias("url"),
                         F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    first = (rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest")
+    long = F.octet_length("payload") >= min_bytes
+    first = (rows.where(long).groupBy("digest")
              .agg(F.min("rec_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
              .select(F.col("digest").alias("d"), "first"))
     first = cut_lineage(first)
-    small = first.count() * 128 <= BROADCAST_BYTES
-    joined = rows.join(F.broadcast(first) if small else first, F.col("digest") == F.col("d"), "left")
+    if first.count() * 128 <= BROADCAST_BYTES:
+        joined = rows.join(F.broadcast(first), F.col("digest") == F.col("d"), "left")
+    else:
+        # short payloads go by their row, the copies of a long one to SPREAD tasks
+        mark = F.xxhash64("rec_id", "url")
+        rows = rows.withColumn("d", F.when(long, F.col("digest")).otherwise(mark.cast("string")))
+        rows = rows.withColumn("s", F.pmod(mark, F.lit(SPREAD)).cast("int"))
+        joined = rows.join(_spread(first), ["d", "s"], "left")
     other = F.col("rec_id").isNull() | (F.col("rec_id") != F.col("first"))
     return joined.select("rec_id", "url", "payload", "digest", F.when(other, F.col("first")).alias("refers_to"))
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """``rows`` once for each number ``s`` below ``SPREAD``."""
+    return rows.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+
+
 def record_id(rec_id: int | None, digest: str) -> str:
     """A stable record id, so that a revisit can name its response before it is written."""
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{rec_id}:{digest}')}>"
@@ -63,15 +79,16 @@ def _clean(value: str) -> str:
 
 def encode_record(rec_id, url, payload: bytes, digest: str, refers_to, date: str) -> bytes:
     """One WARC/1.1 record. A revisit has no block; its digest and refers-to headers name
-    the response that holds the payload."""
+    the response that holds the payload. The ids of the rows are headers too (``X-Row-Id``, empty if
+    null, and ``X-Refers-To-Row-Id``), so the archives alone tell what the index tells."""
     block = payload if refers_to is None else b""
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
             f"WARC-Record-ID: {record_id(rec_id, digest)}", f"WARC-Date: {date}",
             f"WARC-Target-URI: {_clean(url or '')}", f"WARC-Payload-Digest: sha256:{digest}",
-            "Content-Type: text/html; charset=utf-8", f"Content-Length: {len(block)}"]
+            f"X-Row-Id: {'' if rec_id is None else rec_id}", "Content-Type: text/html; charset=utf-8", f"Content-Length: {len(block)}"]
     if refers_to is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-                 f"WARC-Refers-To: {record_id(refers_to, digest)}"]
+                 f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Row-Id: {refers_to}"]
     return ("\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
 
@@ -129,10 +146,14 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
 
 def read_records(index: DataFrame, folder: str, max_gap: int = MAX_GAP, max_read: int = MAX_READ) -> DataFrame:
-    """``(rec_id, url, record_type, digest, refers_to_id, payload)`` of the records in ``index`` (any
-    subset of its rows). Ranges of a file that lie within ``max_gap`` bytes are read together,
+    """``(rec_id, url, record_type, digest, refers_to_id, refers_to, payload)`` of the records in ``index``
+    (any subset of its rows), all read from the records. Ranges of a file that lie within ``max_gap`` bytes are read together,
     up to ``max_read`` bytes at a time. ``payload`` is null for revisits."""
-    out_schema = "rec_id long, url string, record_type string, digest string, refers_to_id string, payload binary"
+    out_schema = ("rec_id long, url string, record_type string, digest string, refers_to_id string, refers_to long, "
+                  "payload binary")
+
+    def number(value):
+        return int(value) if value else None
 
     def read(batches):
         fs, _ = file_system(folder)
@@ -161,9 +182,10 @@ def read_records(index: DataFrame, folder: str, max_gap: int = MAX_GAP, max_read
                         digest = fields["warc-payload-digest"].removeprefix("sha256:")
                         if kind == "response" and hashlib.sha256(block).hexdigest() != digest:
                             raise ValueError(f"payload of {fields['warc-record-id']} does not match its digest")
-                        found.append((r["rec_id"], fields["warc-target-uri"], kind, digest,
-                                      fields.get("warc-refers-to"), block if kind == "response" else None))
-                    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary()]
+                        found.append((number(fields["x-row-id"]), fields["warc-target-uri"], kind, digest,
+                                      fields.get("warc-refers-to"), number(fields.get("x-refers-to-row-id")),
+                                      block if kind == "response" else None))
+                    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary()]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)],
                         names=[x.split()[0] for x in out_schema.split(", ")])
@@ -172,26 +194,30 @@ def read_records(index: DataFrame, folder: str, max_gap: int = MAX_GAP, max_read
             if handle is not None:
                 handle.close()
 
-    wanted = index.select("file", "offset", "length", "rec_id")
-    # ranges of one file stay in runs: range-partitioned, then read in order
-    return wanted.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInArrow(
+    wanted = index.select("file", "offset", "length")
+    total = wanted.agg(F.sum("length")).first()[0] or 0
+    # ranges of one file stay in runs: range-partitioned by the bytes of the archives, then read in order
+    parts = max(1, -(-total // TASK_BYTES))
+    return wanted.repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(
         read, out_schema)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
                folder: str | None = None) -> DataFrame:
     """Write ``pages`` and read the archives back: ``(id, payload_bytes, payload_digest,
-    record_type, refers_to)`` per row, all taken from the records read. A revisit's length is
-    that of the response its refers-to header names."""
+    record_type, refers_to)`` per row, taken from the records read. A revisit's length is that
+    which the index has for the response that its refers-to header names."""
     spark = pages.sparkSession
     folder = folder or f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     index = write_archives(pages, folder, id_col, url_col, payload_col)
+    mark = F.xxhash64("rec_id", "url")
     read = read_records(index, folder).select(
-        "rec_id", "record_type", "digest", "refers_to_id", F.octet_length("payload").cast("long").alias("n"))
-    revisits = index.where("record_type = 'revisit'")
-    named = index.where("record_type = 'response'").join(
-        revisits.select("digest").distinct(), "digest", "left_semi").groupBy("record_id").agg(
-        F.min("rec_id").alias("target"), F.min("payload_bytes").alias("target_bytes"))
-    return read.join(named, F.col("refers_to_id") == F.col("record_id"), "left").select(
+        "rec_id", "record_type", "digest", "refers_to", F.octet_length("payload").cast("long").alias("n"),
+        # responses go by their row, the revisits of one response meet it in SPREAD tasks
+        F.coalesce("refers_to_id", mark.cast("string")).alias("named"), F.pmod(mark, F.lit(SPREAD)).cast("int").alias("s"))
+    named = (index.where("record_type = 'response'").join(
+        index.where("record_type = 'revisit'").select("digest").distinct(), "digest", "left_semi")
+        .groupBy(F.col("record_id").alias("named")).agg(F.min("payload_bytes").alias("target_bytes")))
+    return read.join(_spread(named), ["named", "s"], "left").select(
         F.col("rec_id").alias(id_col), F.coalesce("n", "target_bytes").alias("payload_bytes"),
-        F.col("digest").alias("payload_digest"), "record_type", F.col("target").alias("refers_to"))
+        F.col("digest").alias("payload_digest"), "record_type", "refers_to")

@@ -52,6 +52,8 @@ def test_files_and_selected_records(spark, tmp_path):
             fields, block = decode_record(gzip.decompress(f.read(r["length"])))
         assert fields["warc-type"] == r["record_type"] and fields["warc-record-id"] == r["record_id"]
         assert "x" not in fields
+        assert fields["x-row-id"] == ("" if r["rec_id"] is None else str(r["rec_id"]))
+        assert fields.get("x-refers-to-row-id") == (None if r["refers_to"] is None else str(r["refers_to"]))
         if r["record_type"] == "response":
             assert hashlib.sha256(block).hexdigest() == r["digest"]
     assert {os.path.basename(r["file"]) for r in rows} == {f for f in os.listdir(tmp_path / "w") if f.endswith(".gz")}
@@ -62,3 +64,20 @@ def test_files_and_selected_records(spark, tmp_path):
 def test_torn_record():
     with pytest.raises(ValueError):
         decode_record(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n")
+
+
+def test_half_of_the_rows_under_one_digest(spark, monkeypatch):
+    """Blank pages and copies of one page, with the duplicate table joined by a shuffle; reading in several tasks."""
+    from bindscape.llm import warc
+    monkeypatch.setattr(warc, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(warc, "TASK_BYTES", 2000)
+    rows = [(i, f"u{i}", ("", "x" * 500, f"page {i} " * 30, None)[i % 4]) for i in range(400)]
+    rows += [(i, f"u{i}", "copy " * 40) for i in range(400, 800)] + [(None, None, ""), (None, "u", "copy " * 40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = f"{warc.shared_dir(spark)}/warc-half-{warc.uuid.uuid4().hex}"
+    assert got(round_trip(pages, folder=folder)) == expect(rows)
+    planned = warc.plan_revisits(pages, "page_id", "url", "html")
+    plan = planned._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" in plan
+    again = read_records(write_archives(pages, folder + "-2"), folder + "-2")
+    assert again.rdd.getNumPartitions() > 4 and again.count() == len(rows)
