@@ -16,12 +16,14 @@ still spread over many tasks):
    pointer is left; ``S`` is then the chain of misses. About log2(chain length)
    rounds; each round's new part is cut from its lineage by a reliable checkpoint.
 
-Stream: ``transformWithState`` with the anchor in a value state, waiting requests in a map state of
+Stream: ``transformWithState`` per bucket of keys, with the anchors in a value state, waiting requests in a map state of
 time slices, and event-time timers (see ``ttl_hits_stream``).
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,30 +77,42 @@ def ttl_hits(df: DataFrame, key: str = "cache_key", t: str = "ts_us", ident: str
 
 SLICES = 4
 PART_ROWS = 4096
+#: Keys share the state of their bucket, so the calls to the state grow with buckets and slices, not with keys.
+BUCKETS = 1024
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _fold(times, t0, ttl_us: int):
     """Hits among ascending ``times`` after an anchor ``t0`` (or None), and the last anchor. One step per miss."""
-    import numpy as np
-    hits, at = np.ones(len(times), bool), 0
+    from bisect import bisect_left
+    hits, at = [True] * len(times), 0
     while at < len(times):
-        at = 0 if t0 is None else int(np.searchsorted(times, t0 + ttl_us, side="left"))
+        at = 0 if t0 is None else bisect_left(times, t0 + ttl_us)
         if at < len(times):
-            t0 = int(times[at])
+            t0 = times[at]
             hits[at] = False
     return hits, t0
 
 
+def _same(key):
+    """A key as it is grouped: bytes can be hashed, and every NaN is one key."""
+    if isinstance(key, bytearray):
+        return bytes(key)
+    return math.nan if key != key else key
+
+
 def ttl_hits_stream(stream: DataFrame, key: str = "cache_key", ts: str = "ts", ident: str = "event_id",
-                    ttl_seconds: int = 3600, watermark: str = "1 hour", slice_seconds: int | None = None) -> DataFrame:
+                    ttl_seconds: int = 3600, watermark: str = "1 hour", slice_seconds: int | None = None,
+                    buckets: int = BUCKETS) -> DataFrame:
     """Streaming J1 in event-time order with ``transformWithState``: ``(key, ident, hit)`` rows.
 
-    State of a key: the anchor time (a value), and the requests that the watermark has not passed, in
+    Keys are dealt by their hash into ``buckets``, and a bucket has one state: the anchor times of its keys (a value), and the
+    requests that the watermark has not passed, in
     time slices of ``slice_seconds`` (default: a quarter of the TTL) cut into parts of at most 4,096 requests (a
-    map from slice and part). A timer at the end of the key's first waiting slice reads the slices that the watermark has passed one by one, sorts each by (time, id)
-    and folds it into the anchor; so memory is one slice of one key, not all that waits. Files and batches may arrive in any order within the watermark delay;
-    requests behind the watermark are dropped. An anchor is dropped by a timer at t0 + ttl if nothing waits. A null
+    map from slice and part). A timer at the end of the bucket's first waiting slice reads the slices that the watermark has passed one by one,
+    sorts each key's requests by (time, id) and folds them into its anchor; so memory is one slice of one bucket and the bucket's live anchors,
+    not all that waits. Files and batches may arrive in any order within the watermark delay;
+    requests behind the watermark are dropped. Anchors older than the TTL are dropped when a timer fires, the last at t0 + ttl. A null
     key is a key. A finite log needs one later row of any key to move the watermark past its end.
 
     Sets the session's state store to RocksDB, which this kind of state needs."""
@@ -110,31 +124,32 @@ def ttl_hits_stream(stream: DataFrame, key: str = "cache_key", ts: str = "ts", i
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     ttl_us = int(ttl_seconds) * 1_000_000
     width = max(1, int(slice_seconds) * 1_000_000 if slice_seconds else ttl_us // SLICES)
+    kind = stream.schema[key].dataType.simpleString()
 
     class Hits(StatefulProcessor):
         def init(self, handle):
             self.handle = handle
-            # the anchor time, and the earliest timer that is set (0: none)
-            self.anchor = handle.getValueState("anchor", "t0 long, due long")
+            # the keys with an anchor and their times, and the earliest timer that is set (0: none)
+            self.anchors = handle.getValueState("anchors", f"k array<{kind}>, t0 array<long>, due long")
             # the number of parts of each waiting slice; the parts
             self.slices = handle.getMapState("slices", "slice long", "parts int")
-            self.parts = handle.getMapState("parts", "slice long, part int", "t array<long>, id array<long>")
+            self.parts = handle.getMapState("parts", "slice long, part int", f"k array<{kind}>, t array<long>, id array<long>")
 
-        def _set(self, t0, due, at):
-            """Keep the anchor, and one timer: the earliest that is needed."""
+        def _set(self, keys, times, due, at):
+            """Keep the anchors, and one timer: the earliest that is needed."""
             if not due or at < due:
                 self.handle.registerTimer(at)
                 due = at
-            self.anchor.update((t0, due))
+            self.anchors.update((keys, times, due))
 
         def handleInputRows(self, key, rows, timerValues):
             mark = timerValues.getCurrentWatermarkInMs()
-            on_time = ((r["t"], r["i"]) for r in rows if r["t"] // 1000 >= mark)
+            on_time = ((r["k"], r["t"], r["i"]) for r in rows if r["t"] // 1000 >= mark)
             first = None
             while some := list(islice(on_time, PART_ROWS)):
                 by_slice = {}
-                for t, i in some:
-                    by_slice.setdefault(t // width, []).append((t, i))
+                for row in some:
+                    by_slice.setdefault(row[1] // width, []).append(row)
                 for s, mine in by_slice.items():
                     known = self.slices.getValue((s,))
                     n = known[0] if known else 0
@@ -142,45 +157,56 @@ def ttl_hits_stream(stream: DataFrame, key: str = "cache_key", ts: str = "ts", i
                     self.slices.updateValue((s,), (n + 1,))
                 first = min(by_slice) if first is None else min(first, *by_slice)
             if first is not None:
-                t0, due = self.anchor.get() or (None, 0)
-                self._set(t0, due, self._end(first))
+                keys, times, due = self.anchors.get() or ([], [], 0)
+                at = self._end(first)
+                if not due or at < due:
+                    self._set(keys, times, due, at)
             return iter(())
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            import numpy as np
             mark = timerValues.getCurrentWatermarkInMs()
-            t0, _ = self.anchor.get() or (None, 0)
+            keys, times, _ = self.anchors.get() or ([], [], 0)
+            anchors = {_same(k): t for k, t in zip(keys, times, strict=True)}
             waiting = sorted(r[0] for r in self.slices.keys())
             ready = [s for s in waiting if self._end(s) <= mark]
             for s in ready:                                               # in the order of time
                 n = self.slices.getValue((s,))[0]
-                found = sorted((t, i is not None, i or 0) for k in range(n)
-                               for t, i in zip(*self.parts.getValue((s, k)), strict=True))
-                hits, t0 = _fold(np.array([f[0] for f in found], "int64"), t0, ttl_us)
-                for k in range(n):
-                    self.parts.removeKey((s, k))
+                found = {}
+                for part in range(n):
+                    for k, t, i in zip(*self.parts.getValue((s, part)), strict=True):
+                        found.setdefault(_same(k), []).append((t, i is not None, i or 0))
+                for k, mine in found.items():
+                    mine.sort()
+                    hits, anchors[k] = _fold([r[0] for r in mine], anchors.get(k), ttl_us)
+                    for (_, known, i), hit in zip(mine, hits, strict=True):
+                        yield Row(k=k, i=i if known else None, hit=hit)
+                for part in range(n):
+                    self.parts.removeKey((s, part))
                 self.slices.removeKey((s,))
-                for (_, known, i), hit in zip(found, hits.tolist(), strict=True):
-                    yield Row(k=key[0], i=i if known else None, hit=hit)
             later = waiting[len(ready):]
-            expires = 0 if t0 is None else (t0 + ttl_us) // 1000 + 1
-            if later:
-                self._set(t0, 0, self._end(later[0]))
-            elif expires > mark:
-                self._set(t0, 0, expires)
+            # the watermark may stand within the first waiting slice; every later request of the other keys is a miss
+            begin = min(mark, later[0] * width // 1000) if later else mark
+            live = {k: t for k, t in anchors.items() if self._expires(t) > begin}
+            if later or live:
+                at = self._end(later[0]) if later else max(map(self._expires, live.values()))
+                self._set(list(live), list(live.values()), 0, at)
             else:
-                self.anchor.clear()                                       # every later request is a miss
+                self.anchors.clear()
 
         @staticmethod
         def _end(s: int) -> int:
             return -(-(s + 1) * width // 1000)
 
+        @staticmethod
+        def _expires(t0: int) -> int:
+            return (t0 + ttl_us) // 1000 + 1
+
         def close(self):
             pass
 
-    kind = stream.schema[key].dataType.simpleString()
-    keyed = stream.withWatermark(ts, watermark).select(F.col(key).alias("k"), F.col(ident).cast("long").alias("i"),
+    bucket = F.pmod(F.xxhash64(key), F.lit(int(buckets))).cast("int")
+    keyed = stream.withWatermark(ts, watermark).select(bucket.alias("b"), F.col(key).alias("k"), F.col(ident).cast("long").alias("i"),
                                                        F.unix_micros(F.col(ts)).alias("t"), ts)
-    out = keyed.groupBy("k").transformWithState(
+    out = keyed.groupBy("b").transformWithState(
         Hits(), f"k {kind}, i long, hit boolean", "Append", "EventTime")
     return out.select(F.col("k").alias(key), F.col("i").alias(ident), "hit")

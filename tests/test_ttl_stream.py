@@ -55,3 +55,23 @@ def test_late_rows_and_expired_anchors(spark, tmp_path):
     got = run(spark, tmp_path, files, ttl_seconds=10, watermark="50 seconds", slice_seconds=3)
     # the watermark stands at 350 s when rows 5 and 7 arrive: both are dropped, and so the anchors of the first rows are gone
     assert {k: v for k, v in got.items() if k != 8} == {1: False, 2: False, 9: False, 3: False, 4: False, 6: True}
+
+
+def test_many_keys_share_the_state_of_a_bucket(spark, tmp_path):
+    """600 keys, a null one among them, in two buckets; anchors outlive their slices."""
+    rng = random.Random(3)
+    rows = [(None if k == 0 else f"k{k}", (1_000 + rng.randrange(400)) * 1_000_000, 10 * k + j) for k in range(600) for j in range(8)]
+    rng.shuffle(rows)
+    files = [rows[:2_000], rows[2_000:], [("k1", 10_000_000_000_000, -1)]]
+    got = run(spark, tmp_path, files, ttl_seconds=60, watermark="2 hours", buckets=2)
+    want = plain(rows, 60_000_000)
+    got.pop(-1, None)
+    assert got == want and 0 < sum(want.values()) < len(want)
+
+
+def test_an_anchor_stays_for_the_slice_that_the_watermark_stands_in(spark, tmp_path):
+    """The anchor of 1000 s ends before the watermark (1011 s), but its hit waits in the slice of 1008 to 1012 s."""
+    files = [[(k, (1_000 + t) * 1_000_000, i) for k, t, i in f]
+             for f in ([("a", 0, 1), ("a", 9, 2)], [("b", 61, 3)], [("z", 10_000, 4)])]
+    got = run(spark, tmp_path, files, ttl_seconds=10, watermark="50 seconds", slice_seconds=4)
+    assert {k: v for k, v in got.items() if k != 4} == {1: False, 2: True, 3: False}
