@@ -553,7 +553,9 @@ from (select *, 'Affinity ' || case when l_linenumber % 4 = 0 then 'unknown'
 def q_i26(spark, sf):
     from bindscape.session import read_table
     li = read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    d = V.interactions(spark, sf).join(li, ["l_orderkey", "l_linenumber"])
+    # ids and numbers meet first: no sequence goes through the join by row key
+    ids = V.interactions_ids(spark, sf).select("l_orderkey", "l_linenumber", "compound_id", "protein_id")
+    d = V.with_strings(spark, sf, ids.join(li, ["l_orderkey", "l_linenumber"]))
     text = F.concat(F.lit("Affinity "), F.when(F.col("l_linenumber") % 4 == 0, F.lit("unknown"))
                     .otherwise(F.round(F.col("l_quantity") / F.lit(5.0), 2).cast("string")))
     return d.select("l_orderkey", "l_linenumber",
