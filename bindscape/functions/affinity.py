@@ -29,8 +29,16 @@ class LinearAffinity:
         """Score from the two descriptors."""
         return F.round(F.lit(self.intercept) + F.lit(self.letters) * letters + F.lit(self.hydrophobic) * share, DECIMALS)
 
+    def of_compound(self, compound) -> Column:
+        """What the score needs of a compound: one number, worked out once per string."""
+        return letter_count(compound)
+
+    def of_protein(self, protein) -> Column:
+        """What the score needs of a protein: one number, worked out once per string."""
+        return hydrophobic_share(protein)
+
     def __call__(self, protein, compound) -> Column:
-        return self.of(letter_count(compound), hydrophobic_share(protein))
+        return self.of(self.of_compound(compound), self.of_protein(protein))
 
 
 def _col(c) -> Column:

@@ -26,15 +26,20 @@ def score_requests(requests: DataFrame, proteins: DataFrame, compounds: DataFram
                    compound: str = "compound") -> DataFrame:
     """``requests`` with ``score`` and ``cached`` (the pair was in the store before this run).
 
-    Missing pairs are taken once each, scored from their sequences by the column expression ``scorer`` and written to the store's part ``run``; strings
-    meet only these pairs. Pairs with an id that a list does not have get a null score and are not kept. Requests with a null id likewise."""
+    Missing pairs are taken once each, scored from their sequences by the column expression ``scorer`` and written to the store's part ``run``. A scorer
+    of descriptors (``of_protein``, ``of_compound`` and ``of``, as ``LinearAffinity``) gets them made once per row of the lists, so no sequence goes
+    with the pairs; for others the strings meet only these pairs. Pairs with an id that a list does not have get a null score and are not kept. Requests with a null id likewise."""
     spark, keys = requests.sparkSession, [protein_id, compound_id]
     types = [requests.schema[k].dataType.simpleString() for k in keys]
     known = stored_scores(spark, store, keys, types, without=run)
     asked = requests.select(*keys).dropna().distinct()
     missing = asked.join(known, keys, "left_anti")
-    fresh = (missing.join(compounds.select(compound_id, compound), compound_id).join(proteins.select(protein_id, protein), protein_id)
-             .select(*keys, scorer(F.col(protein), F.col(compound)).alias("score")))
+    described = all(hasattr(scorer, x) for x in ("of", "of_protein", "of_compound"))
+    of_compound, of_protein = (scorer.of_compound, scorer.of_protein) if described else (F.col, F.col)
+    c = compounds.select(compound_id, of_compound(compound).alias("_c"))
+    p = proteins.select(protein_id, of_protein(protein).alias("_p"))
+    score = scorer.of(F.col("_c"), F.col("_p")) if described else scorer(F.col("_p"), F.col("_c"))
+    fresh = missing.join(c, compound_id).join(p, protein_id).select(*keys, score.alias("score"))
     fresh.write.mode("overwrite").parquet(f"{store}/run={run}")
     own = spark.read.schema(fresh.schema).parquet(f"{store}/run={run}")
     scores = known.withColumn("cached", F.lit(True)).unionByName(own.withColumn("cached", F.lit(False)))
