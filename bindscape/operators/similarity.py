@@ -26,8 +26,8 @@ from bindscape.session import cut_lineage
 EPS = 1e-9
 QUERY_ROWS = 4096
 TRAIN_ROWS = 16_384
-#: Queries scored by one matrix product.
-SCORE_ROWS = 512
+#: Queries scored by one matrix product: its matrices of 128 x 16,384 doubles are 16 MB each.
+SCORE_ROWS = 128
 
 
 def _dot(a, b):
