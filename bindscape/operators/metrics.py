@@ -8,10 +8,15 @@ with the range-partitioned ``prefix_sums`` - no global single-partition window.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindscape.operators.ranking import prefix_sums
+from bindscape.operators.ranking import partition_rank, prefix_sums
+from bindscape.session import cut_lineage
 
 
 def classification_metrics(df: DataFrame, y: str = "y_true", score: str = "score",
@@ -169,56 +174,108 @@ def calibrate(df: DataFrame, score: str, temperature: float | None) -> DataFrame
               .withColumn("calibration_error", F.abs(F.col("_p") - F.col("calibrated"))).drop("_p"))
 
 
-def concordance_index(df: DataFrame, group: str, y: str, pred: str, n_parts: int | None = None) -> DataFrame:
+#: Points whose pairs one task counts at a time.
+DOMINANCE_POINTS = 1 << 17
+
+
+def dominance_counts(g: np.ndarray, p: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Per group number ``g`` (0, 1, ...) the weight of the pairs whose second point is above the first in both ``p`` and ``y``.
+
+    Points get a place by (group, p, falling y) and are taken in the order (falling group, y, falling place): a
+    point then comes before another in both only if it is in the same group and lower in both. The places are
+    halved level by level; at each level a point of a right half meets the sum of the left half before it."""
+    n = len(g)
+    by_place = np.lexsort((-y, p, g))
+    g, y, w = g[by_place], y[by_place], w[by_place]
+    at = np.lexsort((-np.arange(n), y, -g))
+    found = np.zeros(n, np.int64)
+    for level in reversed(range(max(n - 1, 0).bit_length())):
+        right = (at >> level) & 1 == 1
+        before = np.concatenate(([0], np.cumsum(np.where(right, 0, w[at]))))
+        start = np.searchsorted(at >> (level + 1), at >> (level + 1))      # blocks lie one after another
+        found[at[right]] += (before[:-1] - before[start])[right]
+        at = at[np.argsort(at >> level, kind="stable")]
+    out = np.zeros(int(g.max()) + 1 if n else 0, np.int64)
+    np.add.at(out, g, found * w)
+    return out
+
+
+def _codes(values) -> np.ndarray:
+    """Dense ranks; NaN is one value, above all others."""
+    return np.unique(values.to_numpy(), return_inverse=True)[1]
+
+
+def concordant_weight(points: DataFrame, size: int | None = None) -> DataFrame:
+    """``(g, conc)`` of distinct points ``(g, y, p, w)``, a table that is read several times: per group that has such pairs, the sum of ``w_i * w_j``
+    over the pairs with ``y_i > y_j`` and ``p_i > p_j``. No pair is made.
+
+    Groups of up to ``size`` points are dealt by hash into units that one task counts at a time. The points of a larger
+    group are numbered along both axes and cut into strips of ``size`` points along each. A pair then lies in one
+    strip of the first axis, or in two of the first and one of the second, or in two of both; the first two kinds are counted
+    per strip, the last one between the cells of the grid, of which there are fewer than points: the same
+    task again on a smaller table."""
+    size = size or DOMINANCE_POINTS
+    sizes = points.groupBy("g").agg(F.count(F.lit(1)).alias("_n"))
+    n, most = sizes.agg(F.sum("_n"), F.max("_n")).first()
+    # strips of 4 sqrt(n) points or more leave at most n / 16 cells
+    size = max(size, 4 * math.isqrt(most or 0))
+    unit = [F.pmod(F.xxhash64("g"), F.lit((n or 0) // size + 1)).alias("u"), F.lit(0).cast("long").alias("k"), F.lit(0).alias("axis")]
+    if (most or 0) <= size:
+        return _unit_weight(points.select(*unit, "g", "y", "p", "w"))
+    # at most n / size groups are larger
+    large = F.broadcast(sizes.where(F.col("_n") > size).select("g"))
+    small = points.join(large, "g", "left_anti").select(*unit, "g", "y", "p", "w")
+    # one order is strict in the other's ties: a pair that rises in both numbers rises in both values
+    rows = partition_rank(points.join(large, "g"), ["g"], "p", [F.col("y").desc()], rank_col="_r")
+    rows = partition_rank(rows, ["g"], "y", [F.col("_r").desc()], rank_col="_s")
+    strip = [F.floor((F.col(c) - 1) / F.lit(size)).cast("long") for c in ("_r", "_s")]
+    rows = rows.select("g", "w", F.col("_r").cast("double").alias("r"), F.col("_s").cast("double").alias("s"),
+                       strip[0].alias("c"), strip[1].alias("d"))
+    first = rows.select(F.xxhash64("g").alias("u"), F.col("c").alias("k"), F.lit(1).alias("axis"), "g", F.col("s").alias("y"), F.col("r").alias("p"), "w")
+    # within a strip of the second axis only pairs from two strips of the first rise in ``c``
+    second = rows.select(F.xxhash64("g").alias("u"), F.col("d").alias("k"), F.lit(2).alias("axis"), "g", F.col("s").alias("y"),
+                         F.col("c").cast("double").alias("p"), "w")
+    cells = cut_lineage(rows.groupBy("g", F.col("d").cast("double").alias("y"), F.col("c").cast("double").alias("p")).agg(F.sum("w").alias("w")))
+    parts = _unit_weight(small.unionByName(first).unionByName(second)).unionByName(concordant_weight(cells, size))
+    return parts.groupBy("g").agg(F.sum("conc").alias("conc"))
+
+
+def _unit_weight(rows: DataFrame) -> DataFrame:
+    """``dominance_counts`` of each unit ``(u, k, axis)``, as ``(g, conc)``."""
+
+    def count(pdf):
+        codes, groups = pd.factorize(pdf["g"], use_na_sentinel=False)
+        conc = dominance_counts(codes, _codes(pdf["p"]), _codes(pdf["y"]), pdf["w"].to_numpy())
+        return pd.DataFrame({"g": groups, "conc": conc})
+
+    return rows.groupBy("u", "k", "axis").applyInPandas(count, f"g {rows.schema['g'].dataType.simpleString()}, conc long")
+
+
+def concordance_index(df: DataFrame, group: str, y: str, pred: str, size: int | None = None) -> DataFrame:
     """Per group, Harrell's C over pairs with ``y_i > y_j``: a pair counts 1
     when ``pred_i > pred_j``, 0.5 when the predictions tie. Output
     ``(group, comparable_pairs, concordant, c_index)``.
 
-    No pair is materialised. With ``a`` = rank of y and ``b`` = dense rank
-    of pred inside the group, the concordant count of row i is the number of
-    rows with ``a_j < a_i`` and ``b_j < b_i``. The range ``[0, b_i)`` splits
-    into at most log2(max b) power-of-two blocks (one per set bit of ``b_i``);
-    every row is counted in the block that holds its ``b_j`` at each level, so
-    each (level, block) is a one-dimensional count of smaller ``a`` - a rank
-    inside the block. Ranks come from the range-partitioned ``partition_rank``, so a
-    large group or block is spread over many tasks. Work is O(n log n)."""
-    from bindscape.operators.ranking import partition_rank
-    from bindscape.session import cut_lineage
-
-    # a row id that stays fixed for every use below (reliable checkpoint of 4 columns)
-    base = cut_lineage(df.select(F.col(group).alias("g"), F.col(y).cast("double").alias("y"),
-                                 F.col(pred).cast("double").alias("p"))
-                         .filter(F.col("y").isNotNull() & F.col("p").isNotNull())
-                         .withColumn("id", F.monotonically_increasing_id()))
-    # a: 0-based count of rows with a smaller y (ties share it); b: dense rank of p from 0
-    ry = partition_rank(base, ["g"], "y", ["id"], rank_col="_ry", n_parts=n_parts)
-    amin = ry.groupBy("g", "y").agg((F.min("_ry") - 1).alias("a"))
-    dp = base.select("g", "p").distinct()
-    dp = partition_rank(dp, ["g"], "p", rank_col="_rp", n_parts=n_parts).withColumn("b", F.col("_rp") - 1)
-    pts = base.join(amin, ["g", "y"]).join(dp.select("g", "p", "b"), ["g", "p"]).select("g", "id", "a", "b")
-    max_b = pts.agg(F.max("b")).first()[0] or 0
-    levels = list(range(max(1, int(max_b).bit_length())))
-    lv = F.explode(F.array(*[F.lit(L) for L in levels])).alias("L")
-    contrib = pts.select("g", "id", "a", "b", lv).select(
-        "g", "L", F.expr("shiftright(b, L)").alias("node"), "a", F.lit(1).alias("kind"), "id")
-    queries = pts.select("g", "id", "a", "b", lv).filter(F.expr("shiftright(b, L)") % 2 == 1).select(
-        "g", "L", (F.expr("shiftright(b, L)") - 1).alias("node"), "a", F.lit(0).alias("kind"), "id")
-    # queries sort before contributors at equal a (strictly smaller a only)
-    u = partition_rank(contrib.unionByName(queries), ["g", "L", "node"], "a", ["kind", "id"],
-                       rank_col="_ur", n_parts=n_parts)
-    q_ranked = u.filter(F.col("kind") == 0)
-    qq = partition_rank(q_ranked.select("g", "L", "node", "a", "id"), ["g", "L", "node"], "a", ["id"],
-                        rank_col="_qr", n_parts=n_parts)
-    before = q_ranked.join(qq, ["g", "L", "node", "a", "id"]).select(
-        "g", "id", (F.col("_ur") - F.col("_qr")).alias("_less"))
-    conc = before.groupBy("g").agg(F.sum("_less").alias("conc"))
-    # ties in the prediction: rows with the same b and a smaller a
-    rt = partition_rank(pts, ["g", "b"], "a", ["id"], rank_col="_rt", n_parts=n_parts)
-    ties = rt.groupBy("g", "b", "a").agg(F.count(F.lit(1)).alias("_n"), (F.min("_rt") - 1).alias("_below")) \
-        .groupBy("g").agg(F.sum(F.col("_n") * F.col("_below")).alias("ties"))
-    comp = pts.groupBy("g").agg(F.sum("a").alias("comparable"))
-    out = comp.join(conc, "g", "left").join(ties, "g", "left").fillna(0, ["conc", "ties"])
+    No pair is materialised. Rows are counted per distinct (group, y, pred). Comparable pairs and ties come from the counts:
+    all pairs but those of equal y, and pairs of equal pred but those of equal y; pairs that rise in both come from
+    ``concordant_weight``. Work is O(n log n); rows with a null group, y or pred are left out."""
+    points = df.select(F.col(group).alias("g"), F.col(y).cast("double").alias("y"), F.col(pred).cast("double").alias("p")).where(
+        "g is not null and y is not null and p is not null").groupBy("g", "y", "p").agg(F.count(F.lit(1)).alias("w"))
+    points = cut_lineage(points)      # read once per figure below
+
+    def pairs(*keys):
+        """Twice the pairs of rows that agree in ``g`` and ``keys``, rows with themselves included."""
+        n = points.groupBy("g", *keys).agg(F.sum("w").alias("_n"))
+        return n.groupBy("g").agg(F.sum(F.col("_n") * F.col("_n")).alias("v"))
+
+    # one signed table per figure, added up by group
+    comp = pairs().select("g", "v").unionByName(pairs("y").select("g", (-F.col("v")).alias("v")))
+    ties = pairs("p").unionByName(points.groupBy("g").agg((-F.sum(F.col("w") * F.col("w"))).alias("v")))
+    parts = (comp.select("g", "v", F.lit(0).alias("ties"), F.lit(0).alias("conc"))
+             .unionByName(ties.select("g", F.lit(0).alias("v"), F.col("v").alias("ties"), F.lit(0).alias("conc")))
+             .unionByName(concordant_weight(points, size).select("g", F.lit(0).alias("v"), F.lit(0).alias("ties"), "conc")))
+    out = parts.groupBy("g").agg(F.expr("sum(v) div 2").alias("comparable"), F.expr("sum(ties) div 2").alias("ties"),
+                                 F.sum("conc").alias("conc"))
     c = (F.col("conc") + F.lit(0.5) * F.col("ties"))
-    return out.select(F.col("g").alias(group), F.col("comparable").cast("long").alias("comparable_pairs"),
-                      c.alias("concordant"),
+    return out.select(F.col("g").alias(group), F.col("comparable").alias("comparable_pairs"), c.alias("concordant"),
                       F.when(F.col("comparable") > 0, c / F.col("comparable")).alias("c_index"))
