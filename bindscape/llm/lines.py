@@ -4,7 +4,7 @@ A line is the set of its words. Words are ordered by rarity, the rarest first: e
 becomes a code whose high bits are the class of its hash bucket by the number of words
 counted there over all lines (a table of fixed size), so common words sort last in every
 line alike. Two lines of Jaccard similarity t or more must share a word among their first
-ones; that prefix, a length filter, a positional filter and a bound on the overlap from 48-bit
+ones; that prefix, a length filter, a positional filter and a bound on the overlap from 192-bit
 parity bitmaps of the sets choose the candidates, whose sets are then compared in full. Equal sets are one class, represented by the earliest line.
 
 Words are counted and coded in Arrow batches (numpy); joins, filters and the removal are DataFrame operations.
@@ -13,6 +13,8 @@ Words are counted and coded in Arrow batches (numpy); joins, filters and the rem
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,9 @@ BUCKET_BITS = 24
 BUCKETS = 1 << BUCKET_BITS
 #: Class of a bucket that holds one word of all texts: no other line can have it.
 ONCE = 3
-PARITY_BITS = 48
+#: Parity map of a set, in words of 64 bits: two sets differ in at least as many words as their maps in bits. A
+#: long line fills a map of few bits, which then tells nothing.
+MAPS = ["bits", "bits_2", "bits_3"]
 MAP_BITS = 26
 #: Bytes of text that are coded at a time (a longer text is coded alone).
 CHUNK_BYTES = 8 << 20
@@ -154,7 +158,7 @@ def _list(values: np.ndarray, sizes: np.ndarray, kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values, kind))
 
 
-WIDE = "id {id}, dh long, th long, line_no int, key long, n int, bits long, pos int, code int"
+WIDE = "id {id}, dh long, th long, line_no int, key long, n int, bits long, bits_2 long, bits_3 long, pos int, code int"
 
 
 def _wide(docs: DataFrame, id_col: str, text_col: str, ranks: np.ndarray, t: float) -> DataFrame:
@@ -175,7 +179,9 @@ def _wide(docs: DataFrame, id_col: str, text_col: str, ranks: np.ndarray, t: flo
                 n = np.diff(np.append(starts, len(line)))
                 own = line[starts]
                 keys = _keys(codes, starts)
-                bits = np.bitwise_xor.reduceat(np.uint64(1) << (codes % np.uint64(PARITY_BITS)), starts).view(np.int64)
+                place = codes % np.uint64(64 * len(MAPS))
+                maps = [np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == k, np.uint64(1) << (place & np.uint64(63)), np.uint64(0)),
+                                                starts).view(np.int64) for k in range(len(MAPS))]
                 new = np.zeros(len(keys), bool)
                 new[np.unique(keys, return_index=True)[1]] = True
                 at = np.arange(len(line)) - np.repeat(starts, n)
@@ -190,16 +196,17 @@ def _wide(docs: DataFrame, id_col: str, text_col: str, ranks: np.ndarray, t: flo
                 pad = np.zeros(m, np.int64)
                 yield pa.RecordBatch.from_arrays([
                     *[part.column(c).take(rows_of) for c in range(3)], pa.array(number[own][both], pa.int32(), mask=line_row),
-                    pa.array(keys[both]), pa.array(n[both], pa.int32(), mask=entry_row), pa.array(bits[both], mask=entry_row),
+                    pa.array(keys[both]), pa.array(n[both], pa.int32(), mask=entry_row),
+                    *[pa.array(bits[both], mask=entry_row) for bits in maps],
                     pa.array(np.append(pad, at[kept]), pa.int32(), mask=entry_row),
                     pa.array(np.append(pad.astype(np.int32), codes[kept].astype(np.uint32).view(np.int32)), mask=entry_row),
-                ], names=["id", "dh", "th", "line_no", "key", "n", "bits", "pos", "code"])
+                ], names=["id", "dh", "th", "line_no", "key", "n", *MAPS, "pos", "code"])
 
     return _written(rows.mapInArrow(code, WIDE.format(id=rows.schema["id"].dataType.simpleString())))
 
 
 def similar_sets(entries: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Candidate pairs ``(a, b, d)`` of the sets with prefix entries ``(key, n, bits, pos, code)``, each once, ``d`` bits of
+    """Candidate pairs ``(a, b, d)`` of the sets with prefix entries ``(key, n, bits, bits_2, bits_3, pos, code)``, each once, ``d`` bits of
     their maps apart: all pairs of different sets of Jaccard
     similarity ``threshold`` or more, and some below. Entries are the first
     ``n - ceil(t n) + 1`` codes, rarest first; of the smaller set of a pair the first
@@ -209,7 +216,7 @@ def similar_sets(entries: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     def ceil(x):
         return F.ceil(x - F.lit(1e-9)).cast("int")
 
-    entry = entries.select("code", "key", "bits", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("at"))
+    entry = entries.select("code", "key", *MAPS, F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("at"))
     parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # copies of a set meet behind the exchange that the join needs anyway, which serves both sides; those of one side
     # are left to the pairs, a pair comes at most as often as its set does
@@ -221,7 +228,7 @@ def similar_sets(entries: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sized = ((na < nb) | ((na == nb) & (a < b))) & (na >= t * nb - 1e-9)
     need = ceil(t / (1 + t) * (na + nb))
     placed = F.least(na - pa_, nb - pb) >= need
-    apart = F.bit_count(F.col("one.bits").bitwiseXOR(F.col("two.bits")))
+    apart = reduce(add, [F.bit_count(F.col(f"one.{m}").bitwiseXOR(F.col(f"two.{m}"))) for m in MAPS])
     mapped = na + nb - apart >= 2 * need
     # asked of the pair rather than of one side, whose exchange would differ
     short = (pa_ < na - ceil(2 * t / (1 + t) * na) + 1) | (nb < 0)
@@ -288,7 +295,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wide = _wide(docs, id_col, text_col, ranks, threshold)
     lines = wide.where("code is null").select("id", "dh", "th", "line_no", "key")
     classes = _written(lines.groupBy("key").agg(F.min(F.struct("id", "line_no", "dh")).alias("first"), F.count(F.lit(1)).alias("n")))
-    pairs = _written(similar_sets(wide.where("code is not null").select("key", "n", "bits", "pos", "code"), threshold))
+    pairs = _written(similar_sets(wide.where("code is not null").select("key", "n", *MAPS, "pos", "code"), threshold))
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     asked = _written(classes.join(keys, "key", "left_semi").select("key", "first"))
     order = pairs.join(asked.select(F.col("key").alias("a"), F.col("first").alias("fa")), "a").join(

@@ -1,7 +1,9 @@
+import random
 from collections import defaultdict
 
 import pytest
 
+from bindscape.llm import lines as L
 from bindscape.llm.lines import dedup_lines
 from tests.conftest import SMOKE
 
@@ -70,3 +72,14 @@ def test_odd_rows(docs_of, odd_rows):
 def test_native_plan(spark, docs_of):
     plan = dedup_lines(docs_of([(1, "a b c")]))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "CartesianProduct"))
+
+
+def test_long_lines_that_share_some_words_are_no_candidates(spark):
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(300)]
+    texts = [" ".join(rng.sample(words, 100)) for _ in range(60)]
+    texts.append(texts[7].replace(texts[7].split()[50], "other"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    wide = L._wide(docs, "doc_id", "text", L.rarity(docs), 0.8).where("code is not null")
+    assert L.similar_sets(wide.drop("id", "dh", "th", "line_no"), 0.8).count() == 1
+    assert [(r.doc_id, r["__removed"]) for r in L.dedup_lines(docs).where("size(__removed) > 0").collect()] == [(60, [0])]
