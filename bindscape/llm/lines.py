@@ -4,9 +4,13 @@ A line is the set of its words. Words are ordered by rarity, the rarest first: e
 becomes a code whose high bits are the class of its hash bucket by the number of words
 counted there over all lines (a table of fixed size), so common words sort last in every
 line alike. Two lines of Jaccard similarity t or more must share a word among their first
-ones; that prefix, a length filter, a positional filter and a bound on the overlap from 192-bit
+ones; that prefix, a length filter, a positional filter and a bound on the overlap from 128-bit
 parity bitmaps of the sets choose the candidates, whose sets are then compared in full. Equal sets are one class, represented by the earliest line.
 
+Only whether an earlier similar line exists is asked. So each set first meets the earliest set, and those just before
+it, with two equal words among their rarest three; two sets that both have their answer from there do not meet
+again in the join. Near copies of one line then cost about in proportion to their number.
+
 Words are counted and coded in Arrow batches (numpy); joins, filters and the removal are DataFrame operations.
 """
 
@@ -14,13 +18,14 @@ from __future__ import annotations
 
 import uuid
 from functools import reduce
+from itertools import combinations
 from operator import add
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bindscape.session import shared_dir
@@ -32,7 +37,11 @@ BUCKETS = 1 << BUCKET_BITS
 ONCE = 3
 #: Parity map of a set, in words of 64 bits: two sets differ in at least as many words as their maps in bits. A
 #: long line fills a map of few bits, which then tells nothing.
-MAPS = ["bits", "bits_2", "bits_3"]
+MAPS = ["bits", "bits_2"]
+#: Hashes of two of the rarest three words of a line that occur elsewhere.
+MARKS = ["mark", "mark_2", "mark_3"]
+#: Sets just before one that it meets, beside the earliest.
+BEFORE = 2
 MAP_BITS = 26
 #: Bytes of text that are coded at a time (a longer text is coded alone).
 CHUNK_BYTES = 8 << 20
@@ -158,11 +167,11 @@ def _list(values: np.ndarray, sizes: np.ndarray, kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values, kind))
 
 
-WIDE = "id {id}, dh long, th long, line_no int, key long, n int, bits long, bits_2 long, bits_3 long, pos int, code int"
+WIDE = "id {id}, dh long, th long, line_no int, key long, n int, bits long, bits_2 long, pos int, code int, mark int, mark_2 int, mark_3 int"
 
 
 def _wide(docs: DataFrame, id_col: str, text_col: str, ranks: np.ndarray, t: float) -> DataFrame:
-    """Written to the shared folder: a row per line with words (row's id, hashes of id and text, line number, set key), and
+    """Written to the shared folder: a row per line with words (row's id, hashes of id and text, line number, set key, number of words, marks), and
     for the first line of a set in a chunk a row per word of its prefix without words that occur once (key, number of
     words, parity map, place, 32 bits of the code)."""
     rows = docs.where(F.col(text_col).isNotNull()).select(
@@ -188,6 +197,12 @@ def _wide(docs: DataFrame, id_col: str, text_col: str, ranks: np.ndarray, t: flo
                 kept = at < np.repeat(np.where(new, n - _ceil(t * n) + 1, 0), n)
                 kept &= (codes >> np.uint64(56)) != ONCE
                 entry = np.repeat(np.arange(len(n)), n)[kept]
+                known = np.flatnonzero((codes >> np.uint64(56)) != ONCE)
+                of = np.repeat(np.arange(len(n)), n)[known]
+                nth = np.arange(len(of)) - np.searchsorted(of, of)
+                rare, has = np.zeros((3, len(n)), np.uint64), np.zeros((3, len(n)), bool)
+                for k in range(3):
+                    rare[k, of[nth == k]], has[k, of[nth == k]] = codes[known[nth == k]], True
                 m, e = len(n), len(entry)
                 # line rows, then entry rows; each kind has nulls in the other's columns
                 line_row, entry_row = np.arange(m + e) >= m, np.arange(m + e) < m
@@ -196,19 +211,20 @@ def _wide(docs: DataFrame, id_col: str, text_col: str, ranks: np.ndarray, t: flo
                 pad = np.zeros(m, np.int64)
                 yield pa.RecordBatch.from_arrays([
                     *[part.column(c).take(rows_of) for c in range(3)], pa.array(number[own][both], pa.int32(), mask=line_row),
-                    pa.array(keys[both]), pa.array(n[both], pa.int32(), mask=entry_row),
+                    pa.array(keys[both]), pa.array(n[both], pa.int32()),
                     *[pa.array(bits[both], mask=entry_row) for bits in maps],
                     pa.array(np.append(pad, at[kept]), pa.int32(), mask=entry_row),
                     pa.array(np.append(pad.astype(np.int32), codes[kept].astype(np.uint32).view(np.int32)), mask=entry_row),
-                ], names=["id", "dh", "th", "line_no", "key", "n", *MAPS, "pos", "code"])
+                    *[pa.array((_mixed(rare[i] * _MIX + rare[j]) >> np.uint64(32)).astype(np.uint32).view(np.int32)[both],
+                               mask=line_row | ~has[j][both]) for i, j in combinations(range(3), 2)],
+                ], names=["id", "dh", "th", "line_no", "key", "n", *MAPS, "pos", "code", *MARKS])
 
     return _written(rows.mapInArrow(code, WIDE.format(id=rows.schema["id"].dataType.simpleString())))
 
 
 def similar_sets(entries: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Candidate pairs ``(a, b, d)`` of the sets with prefix entries ``(key, n, bits, bits_2, bits_3, pos, code)``, each once, ``d`` bits of
-    their maps apart: all pairs of different sets of Jaccard
-    similarity ``threshold`` or more, and some below. Entries are the first
+    """Candidate pairs ``(a, b)`` of the sets with prefix entries ``(key, n, bits, bits_2, pos, code)``, each once: all pairs of different sets of Jaccard
+    similarity ``threshold`` or more, and some below; if there is a column ``settled``, without the pairs of which both sets are. Entries are the first
     ``n - ceil(t n) + 1`` codes, rarest first; of the smaller set of a pair the first
     ``n - ceil(2 t n / (1 + t)) + 1`` are enough. A set may come several times."""
     t = F.lit(threshold)
@@ -216,7 +232,8 @@ def similar_sets(entries: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     def ceil(x):
         return F.ceil(x - F.lit(1e-9)).cast("int")
 
-    entry = entries.select("code", "key", *MAPS, F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("at"))
+    known = ["settled"] if "settled" in entries.columns else []
+    entry = entries.select("code", "key", *MAPS, *known, F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("at"))
     parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # copies of a set meet behind the exchange that the join needs anyway, which serves both sides; those of one side
     # are left to the pairs, a pair comes at most as often as its set does
@@ -232,8 +249,10 @@ def similar_sets(entries: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     mapped = na + nb - apart >= 2 * need
     # asked of the pair rather than of one side, whose exchange would differ
     short = (pa_ < na - ceil(2 * t / (1 + t) * na) + 1) | (nb < 0)
-    return one.join(two, (F.col("one.code") == F.col("two.code")) & sized & mapped & placed & short).select(
-        a.alias("a"), b.alias("b"), apart.alias("d")).distinct()
+    asked = sized & mapped & placed & short
+    if known:
+        asked = asked & ~(F.col("one.settled") & F.col("two.settled"))
+    return one.join(two, (F.col("one.code") == F.col("two.code")) & asked).select(a.alias("a"), b.alias("b")).distinct()
 
 
 def _bits_of(dh: np.ndarray, number: np.ndarray) -> np.ndarray:
@@ -281,41 +300,57 @@ def _full_sets(docs: DataFrame, id_col: str, text_col: str, ranks: np.ndarray, a
     return rows.mapInArrow(code, "key long, codes array<long>")
 
 
+def _met(classes: DataFrame, threshold: float) -> DataFrame:
+    """``(a, b)``: each set with the earliest one, and with the last ones before it, of those that share a mark."""
+    marks = classes.select("key", "first.id", "first.line_no", F.col("first.n").alias("n"),
+                           F.explode(F.array_compact(F.array(*[F.col(f"first.{m}") for m in MARKS]))).alias("mark"))
+    order = Window.partitionBy("mark").orderBy("id", "line_no", "key")
+    one = F.struct("key", "n")
+    others = F.array(F.first(one).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+                     *[F.lag(one, k).over(order) for k in range(1, BEFORE + 1)])
+    met = marks.select("key", "n", others.alias("others")).select("key", "n", F.explode("others").alias("other"))
+    sized = F.least("n", "other.n") >= F.lit(threshold) * F.greatest("n", "other.n") - 1e-9
+    return met.where((F.col("other.key") != F.col("key")) & sized).select(F.col("key").alias("a"), F.col("other.key").alias("b")).distinct()
+
+
+def _later(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, ranks: np.ndarray,
+           threshold: float) -> DataFrame:
+    """``(key)``, written: of the pairs ``(a, b)`` of similar sets, those whose earliest line is the later one. Of two
+    sets at one place the smaller is the later one."""
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    asked = _written(classes.join(keys, "key", "left_semi").select("key", "first.dh", F.struct("first.id", "first.line_no").alias("first")))
+    sets = _full_sets(docs, id_col, text_col, ranks, asked.select("dh", "first.line_no"))
+    sets = _written(sets.dropDuplicates(["key"]).join(asked.select("key", "first"), "key"))
+    both = (pairs.join(sets.select(F.col("key").alias("a"), F.col("first").alias("fa"), F.col("codes").alias("x")), "a")
+            .join(sets.select(F.col("key").alias("b"), F.col("first").alias("fb"), F.col("codes").alias("y")), "b"))
+    common = F.size(F.array_intersect("x", "y"))
+    same = both.where(common >= F.lit(threshold) * (F.size("x") + F.size("y") - common) - 1e-9)
+    smaller = F.struct(F.size("x"), F.col("a")) < F.struct(F.size("y"), F.col("b"))
+    a_later = F.when(F.col("fa") == F.col("fb"), smaller).otherwise(F.col("fa") > F.col("fb"))
+    return _written(same.select(F.when(a_later, F.col("a")).otherwise(F.col("b")).alias("key")).distinct())
+
+
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(lines, classes, later)``: each line with words ``(id, th, line_no, key)``; each distinct word
     set ``(key, first, n)`` with the place ``(id, line_no)`` of its earliest line and its number of lines; and the
-    sets ``(key)`` that have a similar set whose earliest line comes before theirs.
-
-    A candidate pair can only tell about the set that comes later. Each such set is compared with its most promising
-    candidate first; sets that it does not settle are compared with all of theirs."""
+    sets ``(key)`` that have a similar set whose earliest line comes before theirs."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     ranks = rarity(docs, text_col)
     wide = _wide(docs, id_col, text_col, ranks, threshold)
-    lines = wide.where("code is null").select("id", "dh", "th", "line_no", "key")
-    classes = _written(lines.groupBy("key").agg(F.min(F.struct("id", "line_no", "dh")).alias("first"), F.count(F.lit(1)).alias("n")))
-    pairs = _written(similar_sets(wide.where("code is not null").select("key", "n", *MAPS, "pos", "code"), threshold))
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    asked = _written(classes.join(keys, "key", "left_semi").select("key", "first"))
-    order = pairs.join(asked.select(F.col("key").alias("a"), F.col("first").alias("fa")), "a").join(
-        asked.select(F.col("key").alias("b"), F.col("first").alias("fb")), "b")
-    before = F.col("fa") < F.col("fb")
-    order = _written(order.select(F.when(before, F.col("a")).otherwise(F.col("b")).alias("earlier"),
-                                  F.when(before, F.col("b")).otherwise(F.col("a")).alias("later"), "d"))
-    sets = _full_sets(docs, id_col, text_col, ranks, asked.select("first.dh", "first.line_no"))
-    sets = _written(sets.join(asked.select("key"), "key", "left_semi").dropDuplicates(["key"]))
-
-    def similar(some: DataFrame) -> DataFrame:
-        both = (some.join(sets.select(F.col("key").alias("later"), F.col("codes").alias("y")), "later")
-                .join(sets.select(F.col("key").alias("earlier"), F.col("codes").alias("x")), "earlier"))
-        common = F.size(F.array_intersect("x", "y"))
-        return both.where(common >= F.lit(threshold) * (F.size("x") + F.size("y") - common) - 1e-9).select(F.col("later").alias("key"))
-
-    best = order.groupBy("later").agg(F.min(F.struct("d", "earlier"))["earlier"].alias("earlier"))
-    settled = _written(similar(best))
-    rest = order.join(settled, order["later"] == settled["key"], "left_anti").select("earlier", "later")
-    return lines, classes, settled.union(_written(similar(rest).distinct()))
+    rows = wide.where("code is null")
+    lines = rows.select("id", "dh", "th", "line_no", "key")
+    classes = _written(rows.groupBy("key").agg(F.min(F.struct("id", "line_no", "dh", F.col("n"), *MARKS)).alias("first"), F.count(F.lit(1)).alias("n")))
+    settled = _later(_written(_met(classes, threshold)), classes, docs, id_col, text_col, ranks, threshold)
+    known = settled.withColumn("settled", F.lit(True))
+    if settled.count() * 16 <= BROADCAST_BYTES:
+        known = F.broadcast(known)
+    entries = wide.where("code is not null").select("key", "n", *MAPS, "pos", "code")
+    entries = entries.join(known, "key", "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
+    pairs = _written(similar_sets(entries, threshold))
+    later = settled.union(_later(pairs, classes, docs, id_col, text_col, ranks, threshold)).distinct()
+    return lines, classes, later
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -83,3 +83,24 @@ def test_long_lines_that_share_some_words_are_no_candidates(spark):
     wide = L._wide(docs, "doc_id", "text", L.rarity(docs), 0.8).where("code is not null")
     assert L.similar_sets(wide.drop("id", "dh", "th", "line_no"), 0.8).count() == 1
     assert [(r.doc_id, r["__removed"]) for r in L.dedup_lines(docs).where("size(__removed) > 0").collect()] == [(60, [0])]
+
+
+def test_near_copies_of_one_line_make_few_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"word{k}" for k in range(40)]
+    rows = []
+    for d in range(300):
+        x = list(words)
+        x[rng.randrange(40)] = f"new{d % 150}"
+        rows.append((d, " ".join(x)))
+    made, whole = [], L.similar_sets
+
+    def counted(*args):
+        pairs = whole(*args)
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(L, "similar_sets", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["__removed"] for r in dedup_lines(docs).collect() if r["__removed"]} == brute(rows)
+    assert sum(made) <= 3 * len(rows)
