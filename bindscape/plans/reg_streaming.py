@@ -140,6 +140,10 @@ def q_j2r(spark, sf):
     return out.select("event_id", "request_count", wsum.alias("window_sum_ms"), r6("p95_latency_ms").alias("p95_latency_ms"), r6("p99_latency_ms").alias("p99_latency_ms"))
 
 
+#: Requests of one year arrive in so many files, whatever their number.
+FILES_PER_YEAR = 8
+
+
 @register("J3_stream_score", with_views(f"""
 with {FIT_SQL}
 select distinct md5(concat_ws('|', protein, compound)) as pair_key,
@@ -149,17 +153,19 @@ where length(protein) > 0 and regexp_full_match(upper(protein), '[ACDEFGHIKLMNPQ
   and length(compound) >= 3 and regexp_matches(compound, '[A-Za-z]')""", "t_interactions"))
 def q_j3(spark, sf):
     """The requests of a year arrive shuffled, the years in order: keys are kept for 400 days. A pair
-    that comes back later is scored again and falls together with the first in the sink."""
+    that comes back later is scored again and falls together with the first in the sink. The log has the
+    ids; the stream gives its requests their strings."""
     from bindscape.session import read_table
     root = scratch_dir(spark, "score-stream")
     li = read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
     ids = V.interactions_ids(spark, sf).select("l_orderkey", "l_linenumber", "compound_id", "protein_id")
-    # ids and dates meet first: no sequence goes through the join by row key
-    src = V.with_strings(spark, sf, ids.join(li, ["l_orderkey", "l_linenumber"])).select("l_shipdate", "protein", "compound")
+    src = ids.join(li, ["l_orderkey", "l_linenumber"]).select("l_shipdate", "protein_id", "compound_id")
     src.withColumn("year", F.year("l_shipdate")).write.mode("overwrite").partitionBy("year").parquet(os.path.join(root, "years"))
     staged = spark.read.parquet(os.path.join(root, "years"))
     for y in sorted(r[0] for r in staged.select("year").distinct().collect()):       # one value per year
-        staged.where(F.col("year") == y).drop("year").write.mode("append").parquet(os.path.join(root, "in"))
+        (staged.where(F.col("year") == y).drop("year").repartition(FILES_PER_YEAR)
+               .write.mode("append").parquet(os.path.join(root, "in")))
     stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 4).parquet(os.path.join(root, "in"))
-    out = jobs.stream_score(stream, "l_shipdate", delay="400 days", scorer=fitted_scorer(spark, sf)).select("pair_key", "binding_affinity")
+    out = jobs.stream_score(stream, "l_shipdate", delay="400 days", scorer=fitted_scorer(spark, sf), proteins=V.proteins(spark, sf),
+                            compounds=V.compounds(spark, sf)).select("pair_key", "binding_affinity")
     return _run_to_end(out, root).dropDuplicates(["pair_key"])

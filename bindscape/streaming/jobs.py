@@ -9,6 +9,7 @@ from bindscape.functions import scoring as K
 from bindscape.operators.clean import validate_pair
 from bindscape.operators.ranking import prefix_sums
 from bindscape.session import cut_lineage
+from bindscape.streaming.ttl import ROCKSDB
 
 
 def stream_latency(log: DataFrame, ts: str = "ts", latency: str = "latency_ms",
@@ -141,15 +142,50 @@ def rolling_latency_stream(stream: DataFrame, root: str, delay: str = "1 hour",
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/chk")
 
 
+def _dimension(table: DataFrame, ident: str, text: str, of=None) -> DataFrame:
+    """``ident``, ``text`` and, as ``_text``, what the scorer needs of a text, kept for all batches: made once per row, dealt
+    by ``ident`` and in its order, so that a batch reads it and does not deal or sort it again (an adaptive plan would
+    not pass on how the kept rows are dealt)."""
+    conf = table.sparkSession.conf
+    d = table.select(ident, text, *([] if of is None else [of(F.col(text)).alias(f"_{text}")])).where(F.col(ident).isNotNull())
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut_lineage(d.repartition(int(conf.get("spark.sql.shuffle.partitions")), ident).sortWithinPartitions(ident))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def stream_score(requests: DataFrame, ts: str, protein: str = "protein", compound: str = "compound",
-                 delay: str = "7 days", *, scorer) -> DataFrame:
+                 delay: str = "7 days", *, scorer, proteins: DataFrame | None = None, compounds: DataFrame | None = None,
+                 protein_id: str = "protein_id", compound_id: str = "compound_id") -> DataFrame:
     """Validate -> pair key -> drop keys already seen within the watermark
     delay -> score the new pairs. Invalid pairs are dropped here (they carry
-    the B6 error text in the batch form)."""
+    the B6 error text in the batch form).
+
+    Requests have the two strings, or, with the lists ``proteins`` and ``compounds``, their ids: the strings then meet the requests
+    of each batch, where they are checked and make the key, and go no further. A scorer of descriptors (``of_protein``, ``of_compound`` and ``of``, as
+    ``LinearAffinity``) gets those made once per row of the lists, so no sequence goes with the pairs to the state; for others
+    the strings go along. Requests with an id that a list does not have are dropped.
+
+    The keys of a stream are kept in RocksDB (the session's state store is set to it), so they need not fit an executor's memory."""
+    if (proteins is None) != (compounds is None):
+        raise ValueError("proteins and compounds are given together")
+    described = proteins is not None and all(hasattr(scorer, x) for x in ("of", "of_protein", "of_compound"))
+    if proteins is not None:
+        of_protein, of_compound = (scorer.of_protein, scorer.of_compound) if described else (None, None)
+        requests = (requests.join(_dimension(compounds, compound_id, compound, of_compound), compound_id)
+                            .join(_dimension(proteins, protein_id, protein, of_protein), protein_id))
     v = validate_pair(requests, protein, compound).filter("is_valid")
     keyed = v.withColumn("pair_key", K.pair_key(protein, compound))
+    if described:
+        keyed = keyed.drop(protein, compound)
     if keyed.isStreaming:
+        keyed.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
         keyed = keyed.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["pair_key"])
     else:
         keyed = keyed.dropDuplicates(["pair_key"])
+    if described:
+        score = scorer.of(F.col(f"_{compound}"), F.col(f"_{protein}"))
+        return keyed.withColumn("binding_affinity", score).drop(f"_{compound}", f"_{protein}")
     return keyed.withColumn("binding_affinity", scorer(F.col(protein), F.col(compound)))
